@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, exact_dedup, minhash, mixing, packing, quality, warc
+from brindle.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest, split_bytes=1 << 20, with_payload=False).drop("url")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 24 shards of even bytes that keep copies together."""
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of ``documents`` on two-word shingles."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), ngram=2)
@@ -61,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_chat": op4_chat, "op5_warc": op5_warc, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_chat": op4_chat, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 SQL = {
     "op4_chat": r"""
