@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, warc
+from brindle.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read(spark, sf_dir, "documents")).drop("passes")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes or more that ``documents`` with smaller ids hold too, removed."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and one made of control strings: each turn replies to the one before."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op4_chat": op4_chat, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 SQL = {
     "op4_chat": r"""
