@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm import chat, exact_dedup, minhash, mixing, packing, quality, sharding, suffix_dedup, warc
+from brindle.llm import chat, exact_dedup, lm, minhash, mixing, packing, quality, sharding, suffix_dedup, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, manifest, split_bytes=1 << 20, with_payload=False).drop("url")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram stupid-backoff scores of ``documents``, each by the others."""
+    return lm.backoff_scores(read(spark, sf_dir, "documents"), order=2)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 24 shards of even bytes that keep copies together."""
     return sharding.shard(read(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_lm": op6_lm, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 SQL = {
     "op4_chat": r"""
@@ -94,6 +99,32 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM p
+""",
+    "op6_lm": r"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT u, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT u, i, w, lag(w) OVER (PARTITION BY u ORDER BY i) AS v FROM t),
+own1 AS (SELECT u, w, count(*) AS n FROM t GROUP BY u, w),
+all1 AS (SELECT w, sum(n)::BIGINT AS n FROM own1 GROUP BY w),
+own2 AS (SELECT u, v, w, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY u, v, w),
+all2 AS (SELECT v, w, sum(n)::BIGINT AS n FROM own2 GROUP BY v, w),
+total AS (SELECT sum(len(ws))::BIGINT AS n FROM d),
+one AS (
+  SELECT own1.u, own1.w, all1.n - own1.n AS c, greatest(total.n - len(d.ws), 1) AS others
+  FROM own1 JOIN all1 USING (w) JOIN d USING (u), total),
+seen AS (
+  SELECT own2.u, own2.v, own2.w, own2.n, all2.n - own2.n AS c, x.c AS cv, y.c AS cw, y.others
+  FROM own2 JOIN all2 USING (v, w) JOIN one x ON x.u = own2.u AND x.w = own2.v JOIN one y ON y.u = own2.u AND y.w = own2.w),
+s AS (
+  SELECT u, n, (c > 0) AS hit,
+    CASE WHEN c > 0 THEN round(1e6::DOUBLE * ln(c::DOUBLE / cv)) ELSE round(1e6::DOUBLE * ln(0.4::DOUBLE)) + round(1e6::DOUBLE * ln(greatest(cw, 1)::DOUBLE / others)) END AS m
+  FROM seen
+  UNION ALL
+  SELECT b.u, 1, false, round(1e6::DOUBLE * ln(greatest(y.c, 1)::DOUBLE / y.others)) FROM b JOIN one y ON y.u = b.u AND y.w = b.w WHERE b.v IS NULL),
+r AS (SELECT u, sum(CASE WHEN hit THEN n ELSE 0 END)::BIGINT AS n_seen, sum(n * m)::BIGINT AS score_micro FROM s GROUP BY u)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_seen, 0) AS n_seen, coalesce(score_micro, 0) AS score_micro,
+       CASE WHEN len(ws) > 0 THEN score_micro::DOUBLE / 1e6::DOUBLE / len(ws) END AS mean_score
+FROM d LEFT JOIN r USING (u)
 """,
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
