@@ -1,11 +1,60 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns a DataFrame, which :func:`run` writes as Parquet in the shared
+folder and rereads for the next. All but the last return the columns of
+``documents``. Every stage handles nulls, repeated rows and empty tables as its
+operator states.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import exact_dedup, minhash, mixing, packing, quality
+from brindle.llm.common import free_shuffles, release, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the robust outlier test accept."""
+    return quality.drop_rejected(docs)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, white space aside."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 on five-word shingles."""
+    return minhash.drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, each as often as its source's target takes it; n_chars follows a cut text."""
+    return mixing.mixed(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 1024, and their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", source_mix), ("packing", sequences)]
+
+#: Robust estimates and near-duplicate components are iterative: SQL cannot express the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        done = table(stage(spark, docs, sf_dir), name)
+        if hasattr(docs, "_brindle_path"):
+            release(docs)
+        docs = done
+        free_shuffles(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
