@@ -12,8 +12,9 @@ probability of 1e-7, whatever the size of its sets.
 
 Skew. Documents with equal word sequences are one class, found by partial
 aggregation, and only its smallest identifier goes on. Within a band's bucket
-members are first linked to the bucket's smallest member only, which gathers
-large groups of near copies into components without pairs. A second round
+members are first linked to one pivot only, the member with most company in
+all buckets, which gathers large groups of near copies into components without
+pairs. A second round
 covers what a star can miss: in the buckets that still hold several
 components, members of different components are compared in blocks of bounded
 size, and only pairs whose estimate may reach the threshold leave a block. No
@@ -194,9 +195,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key"))
     banded = reps.select("rep", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("b")).select("rep", "b.band", "b.key")
-    low = banded.groupBy("band", "key").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    shared = table(banded.join(low, ["band", "key"]), "bands")
-    star = shared.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = table(banded.join(sizes, ["band", "key"]), "bands")
+    # A bucket's pivot is its member with most company over all buckets: the text that near copies were made from
+    # shares more buckets with them than they do with each other.
+    company = shared.groupBy("rep").agg(F.sum("members").alias("company"))
+    pivots = shared.join(company, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("pivot"))
+    star = shared.join(pivots, ["band", "key"]).where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
 
     sig = reps.select("rep", "n", "sig")
 
