@@ -44,22 +44,25 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     now = nodes.select("c", "n", F.col("up").alias("a"), F.lit(1).cast("long").alias("depth"), F.col("score").cast("double").alias("total"))
     here = nodes.select("c", F.col("n").alias("a"), F.lit(True).alias("there"))
     now = now.join(here, ["c", "a"], "left").withColumn("a", F.when(F.col("there"), F.col("a"))).drop("there")
-    jumps = [table(now, "jumps")]
-    rounds = max(1, jumps[0].count()).bit_length()
+    now = table(now, "jumps")
+    rounds = max(1, now.count()).bit_length()
+    done, open_ = now.where("a is null"), now.where("a is not null")
+    jumps = [open_]
     for _ in range(rounds):
-        now = jumps[-1]
-        if now.where("a is not null").isEmpty():
+        if open_.isEmpty():
             break
-        above = now.select("c", F.col("n").alias("a"), F.col("a").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        now = now.join(above, ["c", "a"], "left").select("c", "n", F.col("next").alias("a"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"))
-        jumps.append(table(now, "jumps"))
-    done = jumps[-1].where("a is null")
-    parents = jumps[0].where("a is not null").select("c", F.col("a").alias("n")).distinct()
+        # Only messages that have not reached their root go on; those above them may have.
+        above = done.unionByName(open_).select("c", F.col("n").alias("a"), F.col("a").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        now = open_.join(above, ["c", "a"]).select("c", "n", F.col("next").alias("a"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
+        now = table(now, "jumps")
+        done, open_ = done.unionByName(now.where("a is null")), now.where("a is not null")
+        jumps.append(open_)
+    parents = jumps[0].select("c", F.col("a").alias("n")).distinct()
     leaves = done.join(parents, ["c", "n"], "left_anti")
     order = Window.partitionBy("c").orderBy((F.col("total") / F.col("depth")).desc(), "n")
     paths = leaves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("c", F.col("n").alias("leaf"), "n")
     for jump in jumps[:-1]:
-        more = paths.join(jump.where("a is not null").select("c", "n", "a"), ["c", "n"]).select("c", "leaf", F.col("a").alias("n"))
+        more = paths.join(jump.select("c", "n", "a"), ["c", "n"]).select("c", "leaf", F.col("a").alias("n"))
         paths = table(paths.unionByName(more), "paths")
     return paths.join(done.select("c", "n", "depth"), ["c", "n"])
 
