@@ -74,19 +74,30 @@ def pattern_match(normalized: Column, compacted: Column, name: str) -> Column:
     return F.when(F.rlike(compacted, F.lit(f"(?i:{PATTERNS[name]})")), found)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _overlaps_itself(needle: str) -> bool:
+    return any(needle.startswith(needle[i:]) for i in range(1, len(needle)))
+
+
 def occurrences(haystack: Column, needle: str, boundary: bool) -> Column:
     """Spans (s, e) of a literal, overlapping ones too."""
     n = len(needle)
-    at = F.when(F.length(haystack) >= n, F.sequence(F.lit(1), F.length(haystack) - n + 1)).otherwise(F.array().cast("array<int>"))
-
-    def here(i: Column) -> Column:
-        hit = F.substr(haystack, i, F.lit(n)) == needle
-        if boundary:
-            edge = lambda c: ~F.rlike(c, F.lit(r"^\p{javaLetterOrDigit}"))
-            hit = hit & ((i == 1) | edge(F.substr(haystack, i - 1, F.lit(1)))) & edge(F.substr(haystack, i + n, F.lit(1)))
-        return hit
-
-    return F.transform(F.filter(at, here), lambda i: F.struct(i.alias("s"), (i + n).alias("e")))
+    if _overlaps_itself(needle):
+        at = F.when(F.length(haystack) >= n, F.sequence(F.lit(1), F.length(haystack) - n + 1)).otherwise(F.array().cast("array<int>"))
+        at = F.filter(at, lambda i: F.substr(haystack, i, F.lit(n)) == needle)
+    else:
+        # Occurrences cannot overlap: they lie between the parts of a split.
+        start = F.struct(F.lit(1).alias("i"), F.array().cast("array<int>").alias("at"))
+        step = lambda s, p: F.struct((s["i"] + F.length(p) + n).alias("i"), F.concat(s["at"], F.array(s["i"] + F.length(p))).alias("at"))
+        at = let(F.split(haystack, re.escape(needle)), lambda parts: F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda s: s["at"]))
+    if boundary:
+        edge = lambda c: ~F.rlike(c, F.lit(r"^\p{javaLetterOrDigit}"))
+        at = F.filter(at, lambda i: ((i == 1) | edge(F.substr(haystack, i - 1, F.lit(1)))) & edge(F.substr(haystack, i + n, F.lit(1))))
+    return F.transform(at, lambda i: F.struct(i.alias("s"), (i + n).alias("e")))
 
 
 def _inside(exception: str, needle: str, boundary: bool) -> bool:
@@ -97,23 +108,27 @@ def _inside(exception: str, needle: str, boundary: bool) -> bool:
 def covered(normalized: Column, compacted: Column, term: str, f: Filter) -> Column:
     """The first exception that covers, if every occurrence of the term lies inside an exception; else null."""
 
-    def view(haystack: Column, needle: str, boundary: bool, compact_view: bool) -> tuple[Column, Column]:
+    def view(haystack: Column, needle: str, boundary: bool, compact_view: bool) -> Column:
+        def named(spans: Column, by: str) -> Column:
+            return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(by).alias("by")))
+
         found = occurrences(haystack, needle, boundary)
         lists = []
         for e in f.exceptions:
             cover = plain.compact(e) if compact_view else e
             if needle and _inside(cover, needle, boundary):
-                lists.append(F.transform(occurrences(haystack, cover, boundary), lambda x, e=e: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(e).alias("by"))))
+                lists.append(named(occurrences(haystack, cover, boundary), e))
         covers = F.flatten(F.array(*lists)) if lists else F.array().cast("array<struct<s:int,e:int,by:string>>")
-        whole = F.forall(found, lambda m: F.exists(covers, lambda c: (c["s"] <= m["s"]) & (c["e"] >= m["e"])))
-        return F.size(found), F.when(whole, F.get(covers, F.lit(0))["by"])
+        both = F.struct(found.alias("f"), covers.alias("c"))
+        inside = lambda z: F.forall(z["f"], lambda m: F.exists(z["c"], lambda c: (c["s"] <= m["s"]) & (c["e"] >= m["e"])))
+        return let(both, lambda z: F.struct(F.size(z["f"]).alias("n"), F.when(inside(z), F.get(z["c"], F.lit(0))["by"]).alias("by")))
 
     squeezed = f.mode in COMPACT
     first = view(compacted, plain.compact(term), False, True) if squeezed else view(normalized, term, f.mode != "SUBSTRING", False)
     if squeezed or f.mode in LEGACY:
-        return F.when(first[0] > 0, first[1])
+        return let(first, lambda x: F.when(x["n"] > 0, x["by"]))
     second = view(compacted, plain.compact(term), False, True)
-    return F.when(first[0] > 0, first[1]).otherwise(F.when(second[0] > 0, second[1]))
+    return let(first, lambda x: F.when(x["n"] > 0, x["by"]).otherwise(let(second, lambda y: F.when(y["n"] > 0, y["by"]))))
 
 
 def filter_result(f: Filter, variants: list[tuple[Column, Column]]) -> tuple[Column, Column]:
@@ -132,9 +147,9 @@ def filter_result(f: Filter, variants: list[tuple[Column, Column]]) -> tuple[Col
     if f.exceptions:
         by_term = prevented
         for i, t in enumerate(f.terms):
-            states = [(term_matches(n, c, t, f.mode), covered(n, c, t, f)) for n, c in variants]
-            open_ = _any([hit & by.isNull() for hit, by in states])
-            by_term = F.when(which == i, F.when(~open_, F.coalesce(*[F.when(hit, by) for hit, by in states]))).otherwise(by_term)
+            states = F.array(*[F.when(term_matches(n, c, t, f.mode), F.struct(covered(n, c, t, f).alias("by"))) for n, c in variants])
+            held = let(F.array_compact(states), lambda z: F.when(~F.exists(z, lambda x: x["by"].isNull()), F.get(z, F.lit(0))["by"]))
+            by_term = F.when(which == i, held).otherwise(by_term)
         prevented = by_term
     hit = F.lit(f.rule.enabled) & value.isNotNull()
     found = match(f.rule, f.id, f.category, f"filtered {f.mode.lower()}", value, f.severity)

@@ -39,7 +39,7 @@ RULES = "(VALUES (0, 'flooding.message_length', 'FLOODING', 1), (1, 'flooding.ca
 LONG = f"{E}, x AS (SELECT player_id, seq, k, rule_id, category, 'MODERATE' AS severity, points, (k > 0 AND len)::INT + (k > 1 AND cap)::INT AS pos FROM e, {RULES} WHERE CASE k WHEN 0 THEN len WHEN 1 THEN cap ELSE dup END)"
 RULE_IDS = "array_to_string(list_filter([CASE WHEN len THEN 'flooding.message_length' END, CASE WHEN cap THEN 'flooding.caps' END, CASE WHEN dup THEN 'spam.duplicate' END], lambda x: x IS NOT NULL), ',')"
 NOW = "(player_id * 3600000 + 1704067260000)"
-PLACED = f"{E}, v AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ms DESC, seq DESC) AS place FROM e WHERE hit AND ms >= {NOW} - 30 * 86400000), t AS (SELECT *, count(*) OVER (PARTITION BY player_id) AS total_entries FROM v WHERE place <= 100)"
+PLACED = f"{E}, v AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ms DESC, seq DESC) AS place FROM e WHERE hit AND ms >= {NOW} - 2592000000), t AS (SELECT *, count(*) OVER (PARTITION BY player_id) AS total_entries FROM v WHERE place <= 100)"
 ACTIONS = "CASE threshold_crossed WHEN 2 THEN 'WARN' WHEN 5 THEN 'WARN,KICK' WHEN 10 THEN 'KICK' WHEN 20 THEN 'EXECUTE_COMMAND' END"
 TLDS = ", ".join(f"'{t}'" for t in plain.ADVERTISING_TLDS)
 SCORE_EVENTS = """
@@ -102,7 +102,7 @@ SQL = {
     "detect_ip": rf"""WITH {MESSAGES_SQL}, n AS (SELECT *, {CANONICAL} AS canonical FROM m),
       c AS (SELECT player_id, seq, regexp_replace(regexp_replace(regexp_replace(canonical, '(\d)\s*\.\s*(\d)', '\1.\2', 'g'), '(\d)\s*\.\s*(\d)', '\1.\2', 'g'), '\s*:\s*', ':', 'g') AS v FROM n),
       f AS (SELECT player_id, seq, regexp_extract_all(v, '(^|[^\p{{L}}\p{{N}}.:])(\d{{1,3}}(\.\d{{1,3}}){{3}}(:\d{{1,5}})?)($|[^.:\p{{L}}\p{{N}}])', 2) AS l FROM c),
-      g AS (SELECT player_id, seq, list_filter(l, lambda x: list_max(list_transform(string_split(split_part(x, ':', 1), '.'), lambda o: o::INT)) <= 255 AND (NOT contains(x, ':') OR split_part(x, ':', 2)::INT BETWEEN 1 AND 65535)) AS l FROM f)
+      g AS (SELECT player_id, seq, list_filter(l, lambda x: list_max(list_transform(string_split(split_part(x, ':', 1), '.'), lambda o: TRY_CAST(o AS INT))) <= 255 AND (NOT contains(x, ':') OR TRY_CAST(split_part(x, ':', 2) AS INT) BETWEEN 1 AND 65535)) AS l FROM f)
       SELECT player_id, seq, l[1] AS value FROM g WHERE len(l) > 0""",
     "detect_domain": rf"""WITH {MESSAGES_SQL}, n AS (SELECT *, {CANONICAL} AS canonical FROM m),
       f AS (SELECT player_id, seq, regexp_extract_all(replace(canonical, ' ', '  '), '(^|[^a-z0-9-])(([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+([a-z]{{2,24}}|xn--[a-z0-9-]{{2,59}})([/:]|[^a-z0-9-]|$))', 2) AS l FROM n),

@@ -50,6 +50,10 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed.evaluate(document_messages(spark, sf_dir), SLICE)
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 # --- text -------------------------------------------------------------------------------------------------------------
 
 CANONICAL = r"lower(trim(regexp_replace(regexp_replace(raw, '[\p{Cf}\p{Co}\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F]', '', 'g'), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')))"
@@ -97,7 +101,7 @@ def text_bounds(spark, sf_dir):
 
 
 def duration_formats(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 37 % 200_000).alias("s"))
+    e = events(spark, sf_dir).select("event_id", (F.col("event_id") * 37 % 200_000).alias("s"))
     return e.select("event_id", text.format_short(F.col("s")).alias("short"), text.format_compact(F.col("s")).alias("full"), text.parse_duration(text.format_short(F.col("s"))).alias("parsed"))
 
 
@@ -228,7 +232,7 @@ POINTS = {"view": 0, "click": 1, "signup": 1, "purchase": 2, "error": 5}
 
 def _event_scores(spark, sf_dir):
     """Events as messages of one match each, scored with a decay of a day."""
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("player_id"), F.col("event_id").alias("seq"), "ts", "event_type")
+    e = events(spark, sf_dir).select(F.col("user_id").alias("player_id"), F.col("event_id").alias("seq"), "ts", "event_type")
     points = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in POINTS.items()]).cast("long")
     one = F.transform(F.array(points, points), lambda p: F.struct(F.col("event_type").alias("rule_id"), p.alias("points")))
     return windowed.with_score(e.withColumn("matches", one), replace(BASE, decay_seconds=86_400, cap=6))
@@ -292,7 +296,7 @@ def max_score_entries(spark, sf_dir):
 
 def mute_gate(spark, sf_dir):
     """Events outside of 12-hour mutes that errors open."""
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("player_id"), F.col("event_id").alias("seq"), "ts", "event_type")
+    e = events(spark, sf_dir).select(F.col("user_id").alias("player_id"), F.col("event_id").alias("seq"), "ts", "event_type")
     opened = e.where("event_type = 'error'").select("player_id", (F.col("ts") + F.make_dt_interval(secs=F.lit(1))).alias("muted_at"), (F.col("ts") + F.make_dt_interval(hours=F.lit(12))).alias("muted_until"))
     return lookups.muted(e, opened).select("player_id", "seq")
 
@@ -314,7 +318,7 @@ def suggest_names(spark, sf_dir):
 
 
 def lookup_permission(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("player_id")).distinct()
+    e = events(spark, sf_dir).select(F.col("user_id").alias("player_id")).distinct()
     asked = e.withColumns({"node": F.lit("alerts"), "operator_level": (F.col("player_id") % 5).cast("int")})
     given = e.where("player_id % 3 = 0").select("player_id", F.lit("alerts").alias("node"), (F.col("player_id") % 2 == 0).alias("value"))
     return lookups.permission(asked, given, 3).select("player_id", "allowed", "origin")
@@ -322,7 +326,7 @@ def lookup_permission(spark, sf_dir):
 
 def case_lifecycle(spark, sf_dir):
     """Each user's first signup opens a case for 30 days; later events click on it."""
-    e = read(spark, sf_dir, "events")
+    e = events(spark, sf_dir)
     opened = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("case_id")).agg(F.min("ts").alias("opened_at"))
     opened = opened.withColumn("expires_at", F.col("opened_at") + F.make_dt_interval(days=F.lit(3)))
     kind = F.col("event_type")
