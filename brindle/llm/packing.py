@@ -3,7 +3,7 @@
 Pattern packing by non-negative least squares: all multisets of at most
 ``max_parts`` lengths that fill a sequence exactly are enumerated; their repeat
 counts are fitted to the histogram of piece lengths with x >= 0 (accelerated
-projected gradient); counts are rounded as far as the histogram allows; what is
+projected gradient); counts are rounded down, as far as the histogram allows; what is
 left is packed best-fit-decreasing, group-wise on the histogram. All of that
 sees only the histogram, whose size is the sequence length, so the driver's
 work does not depend on the number of documents.
@@ -104,9 +104,17 @@ def patterns(length: int, max_parts: int, present: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, max_parts), dtype=np.int64)
 
 
+#: Exponent of the weight of a length in the fit.
+POWER = 1.0
+
+
 def fit(rows: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - counts|^2, A[l, p] being how often pattern p has length l."""
+    """Repeat counts x >= 0 that minimise |W (A x - counts)|^2, A[l, p] being how often pattern p has length l.
+
+    Weights grow with the length: a long piece that is left over costs a sequence, a short one fills a gap.
+    """
     n = len(counts)
+    weight = (np.arange(n) / (n - 1)) ** POWER
 
     def used(x: np.ndarray) -> np.ndarray:
         total = np.zeros(n)
@@ -115,7 +123,7 @@ def fit(rows: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
         total[0] = 0
         return total
 
-    gather = lambda r: r[rows].sum(1)
+    gather = lambda r: (weight * weight * r)[rows].sum(1)
     v = np.ones(len(rows))
     for _ in range(30):
         v = gather(used(v))
@@ -143,7 +151,7 @@ def plan(counts: np.ndarray, max_parts: int = 3) -> list[tuple[tuple[int, ...],
     if len(rows):
         x = fit(rows, left)
         for p in np.argsort(-x, kind="stable"):
-            if (want := round(float(x[p]))) <= 0:
+            if (want := int(x[p])) <= 0:
                 break
             parts = tuple(int(v) for v in rows[p] if v)
             want = min(want, *(int(left[v]) // parts.count(v) for v in parts))
