@@ -33,7 +33,7 @@ from brindle.llm.common import free_shuffles, release, table
 
 BACKOFF = 0.4
 #: Bytes of text in a block, and behind one range of a count table.
-BLOCK, RANGE = 8 << 20, 16 << 20
+BLOCK, RANGE = 3 << 20, 16 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -42,6 +42,16 @@ def micro(x) -> np.ndarray:
     return np.rint(1e6 * np.log(x)).astype(np.int64)
 
 
+def narrow(v: np.ndarray) -> bytes:
+    """Counts in two, four or eight bytes each, as the largest needs."""
+    top = int(v.max()) if len(v) else 0
+    return v.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
+
+
+def widen(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64)
+
+
 class Grams:
     """The n-grams of a block's documents: by order the distinct tags, sorted, their counts, and each word's place among them."""
 
@@ -115,11 +125,11 @@ def _ask(batches: Iterator[pd.DataFrame], order: int, parts: int) -> Iterator[pd
         for r in b.itertuples(index=False):
             g = Grams(_texts(r.sizes, r.texts), order, parts)
             for k in range(1, order + 1):
-                tags, counts, rows = g.tags[k - 1], g.counts[k - 1].astype("<u4"), []
+                tags, counts, rows = g.tags[k - 1], g.counts[k - 1], []
                 which, at = np.unique(tags >> np.uint64(48), return_index=True)
-                for p, a, z in zip(which.tolist(), at, np.append(at[1:], len(tags)), strict=True):
+                for p, a, z in zip(which.tolist(), at, np.append(at, len(tags))[1:], strict=True):
                     six = np.ascontiguousarray(tags[a:z].view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows.append((p, k, r.block, six.tobytes(), counts[a:z].tobytes()))
+                    rows.append((p, k, r.block, six.tobytes(), narrow(counts[a:z])))
                 yield pd.DataFrame(rows, columns=["part", "k", "block", "keys", "counts"])
 
 
@@ -127,14 +137,14 @@ def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals of one range, for each block in the order of its keys."""
     out = []
     for k, mine in rows.groupby("k"):
-        counts = [np.frombuffer(c, dtype="<u4") for c in mine["counts"]]
+        counts = [widen(c, len(x) // 6) for c, x in zip(mine["counts"], mine["keys"], strict=True)]
         keys = np.zeros((sum(len(c) for c in counts), 8), dtype=np.uint8)
         keys[:, :6] = np.frombuffer(b"".join(mine["keys"]), dtype=np.uint8).reshape(-1, 6)
         tags, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(tags)).astype("<u8")[inverse]
+        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(tags)).astype(np.int64)[inverse]
         at = np.cumsum([len(c) for c in counts])[:-1]
         for block, t in zip(mine["block"], np.split(total, at), strict=True):
-            out.append((block, int(k), int(rows["part"].iloc[0]), t.tobytes()))
+            out.append((block, int(k), int(rows["part"].iloc[0]), narrow(t)))
     return pd.DataFrame(out, columns=["block", "k", "part", "totals"])
 
 
@@ -144,7 +154,9 @@ def _score(blocks: pd.DataFrame, answers: pd.DataFrame, order: int, parts: int,
     answers = answers.sort_values(["k", "part"])
     left = []
     for k in range(1, order + 1):
-        total = np.frombuffer(b"".join(answers.loc[answers["k"] == k, "totals"]), dtype="<u8").astype(np.int64)
+        sizes = np.unique(g.tags[k - 1] >> np.uint64(48), return_counts=True)[1]
+        parts_ = [widen(t, n) for t, n in zip(answers.loc[answers["k"] == k, "totals"], sizes, strict=True)]
+        total = np.concatenate([np.zeros(0, dtype=np.int64), *parts_])
         count = np.zeros(len(g.doc), dtype=np.int64)
         has = g.place[k - 1] >= 0
         count[has] = total[g.place[k - 1][has]]
