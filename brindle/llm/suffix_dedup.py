@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import free_shuffles, release, table
 
-GRAM = 24
+GRAM = 28
 #: Bytes of text hashed at once, of text behind one range of anchors, of snippets in one suffix array.
 SLICE, RANGE, ARRAY = 1 << 20, 16 << 20, 2 << 20
 LOW48 = np.uint64((1 << 48) - 1)
@@ -61,6 +61,10 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h += eight[16 : n + 16]
     h *= np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(30)
+    # The last eight bytes, which overlap those before.
+    h += eight[GRAM - 8 : n + GRAM - 8]
+    h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     width, span = length - GRAM + 1, 1
     while 2 * span <= width:
