@@ -87,7 +87,7 @@ def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: st
     nodes = table(nodes, "messages")
     chosen = best_paths(nodes, top).join(nodes.select("c", "n", "role", "text", "conv"), ["c", "n"])
     turns = F.transform(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), escape(t["role"]).alias("r"), escape(t["text"]).alias("t")))
-    paths = chosen.groupBy("c", "leaf").agg(F.first("conv").alias(conv_col), turns.alias("turns"))
+    paths = chosen.groupBy("c", "leaf").agg(F.first("conv").alias("conv"), turns.alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["r"], F.lit(MIDDLE), t["t"], F.lit(CLOSE))), "")
 
     def add(state: Column, t: Column) -> Column:
@@ -98,7 +98,7 @@ def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: st
 
     empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"), empty.alias("none"))
-    return paths.select(conv_col, "leaf", formatted.alias("formatted"), F.aggregate("turns", zero, add, lambda s: s["spans"]).alias("loss_spans"))
+    return paths.select(F.col("conv").alias(conv_col), "leaf", formatted.alias("formatted"), F.aggregate("turns", zero, add, lambda s: s["spans"]).alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
