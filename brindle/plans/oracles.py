@@ -157,4 +157,6 @@ SQL = {
              k.event_id AS claimed_by, coalesce(f.i, f.n, 0) AS attempts
       FROM c LEFT JOIN f USING (case_id) LEFT JOIN k ON k.case_id = f.case_id AND k.i = f.i""",
 }
+SQL["tier_s_evaluate"] = f"{E} SELECT player_id, seq, decision, points_before, points_added, threshold_crossed FROM e"
+SQL["audit_daily_counts"] = f"{E} SELECT make_timestamp(ms * 1000)::DATE AS event_date, count(*) AS n, sum(points_added)::BIGINT AS points FROM e WHERE hit GROUP BY ALL"
 SQL |= {f"filter_{f[1].lower()}": _filter(*f) for f in PACK[:8]}

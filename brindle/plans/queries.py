@@ -11,7 +11,8 @@ from brindle.functions import plain, similarity, text
 from brindle.operators import cases, detectors, filters, history, lookups
 from brindle.plans import windowed
 from brindle.plans.config import FILTER_LEET, LEET, LOOKALIKE, Action, Config, Filter, Rule, default_config, normal_term
-from brindle.sources.messages import CONVERSATIONS_SQL, MESSAGES_SQL, conversation_messages, document_messages, read
+from brindle.sources.messages import MESSAGES_SQL, conversation_messages, document_messages, read
+from brindle.streaming import audit, processor
 
 BASE = default_config()
 WARN = (Action("WARN", message="Please follow the server chat rules."),)
@@ -339,13 +340,31 @@ def case_lifecycle(spark, sf_dir):
     return done.select("case_id", "status", "claimed_by", "attempts")
 
 
+def tier_s_evaluate(spark, sf_dir):
+    """The flagship slice by the stateful tier."""
+    e = processor.evaluate(document_messages(spark, sf_dir), SLICE)
+    return e.select(F.col("player_id").cast("long").alias("player_id"), "seq", "decision", "points_before", "points_added", "threshold_crossed")
+
+
+def auto_mute_feedback(spark, sf_dir):
+    """With a threshold that mutes for five seconds: muted messages are neither judged nor remembered."""
+    mute = replace(SLICE, thresholds=((2, (Action("MUTE", seconds=5, reason="Repeated chat violations."),)),))
+    e = processor.evaluate(document_messages(spark, sf_dir), mute)
+    return e.select("player_id", "seq", "decision", "points_added", F.array_join("actions", ",").alias("actions"))
+
+
+def audit_daily_counts(spark, sf_dir):
+    rows = audit.audit_rows(history.violations(sliced(spark, sf_dir)))
+    return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"), F.sum("points_added").alias("points"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         moderate_slice, normalize_forms, filter_text_forms, link_forms, text_bounds, duration_formats, detect_length, detect_caps, detect_repeated_characters, detect_advertising, detect_ip, detect_domain, detect_invite,
         host_allowlist, duplicate_spam, rapid_spam, similarity_containment, similarity_spam, filter_builtin_pattern, filter_exceptions, match_union, rule_counts, category_severity_rollup, score_transition,
         threshold_crossing, point_cap, action_plan, decision_summary, template_expand, violation_history, history_page, history_page_core, history_retention, active_violations, max_score_entries, mute_gate, bypass_filter,
-        suggest_names, lookup_permission, case_lifecycle,
+        suggest_names, lookup_permission, case_lifecycle, tier_s_evaluate, auto_mute_feedback, audit_daily_counts,
     )
 }
 QUERIES |= {f"filter_{f.mode.lower()}": _filtered(f) for f in FILTERS[:8]}
