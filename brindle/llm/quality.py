@@ -10,7 +10,8 @@ The estimate is a deterministic MCD: from fixed starts, concentration steps
 recompute mean and covariance over the ``support`` share of the group that is
 nearest, and the start with the smallest determinant is refined. Covariances
 are regularised towards the pooled one (weight ``prior`` rows) and floored, so
-that one formula serves groups of any size, constant statistics included.
+that one formula serves groups of any size, constant statistics included. In
+the verdict a floor is the least variance, not an addition to it.
 
 DataFrame functions only. A group is reduced to sums and to counts in
 logarithmic distance bins, both aggregated before the shuffle, so that a group
@@ -118,25 +119,33 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "n", F.array(*m).alias("m"), F.array(*cov).alias("c"))
 
 
-def _estimates(moments: DataFrame, by: list[str], prior: float) -> DataFrame:
+def _estimates(moments: DataFrame, by: list[str], prior: float, factor: float | None = None) -> DataFrame:
     """Regularised location, precision (row-major) and log-determinant by group.
 
     The pooled covariance is the mean of the groups' own, weighted by rows;
-    ``by`` names what is pooled apart (the start of the estimate).
+    ``by`` names what is pooled apart (the start of the estimate). The search
+    for the nearest rows adds the floors to the variances. With ``factor``, for
+    the verdict, covariances are that much larger and a floor is the least that
+    a variance may be; correlations are shrunk by ``prior`` rows of all, and by
+    a hundredth at least, which keeps the matrix positive definite.
     """
     pool = moments.groupBy(*by).agg(
         F.array(*[F.sum(F.get("c", F.lit(k)) * F.col("n")) / F.sum("n") for k in range(len(PAIRS))]).alias("pc"),
         F.array(*[F.sum(F.get("m", F.lit(k)) * F.col("n")) / F.sum("n") for k in range(D)]).alias("pm"),
+        F.sum("n").alias("pn"),
     )
     # Rows: one for each start.
     mixed = moments.join(F.broadcast(pool), by)
     share = F.col("n") / (F.col("n") + F.lit(prior))
     blend = lambda a, b: F.zip_with(a, b, lambda x, y: x * share + y * (F.lit(1.0) - share))
     mixed = mixed.withColumns({"m": blend("m", "pm"), "c": blend("c", "pc")}).drop("pm", "pc")
+    tied = F.least(F.col("pn") / (F.col("pn") + F.lit(prior)), F.lit(0.99))
     at = {p: k for k, p in enumerate(PAIRS)}
 
     def entry(i: int, j: int) -> Column:
         c = F.get("c", F.lit(at[min(i, j), max(i, j)]))
+        if factor is not None:
+            return F.greatest(c * F.lit(factor), F.lit(FLOORS[i] ** 2)) if i == j else c * F.lit(factor) * tied
         return F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[i] ** 2) if i == j else c
 
     augmented = F.array(*[F.array(*[entry(i, j) for j in range(D)], *[F.lit(1.0 if i == j else 0.0) for j in range(D)]) for i in range(D)])
@@ -161,7 +170,7 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _step(rows: DataFrame, fitted: DataFrame, support: float, prior: float) -> DataFrame:
+def _step(rows: DataFrame, fitted: DataFrame, support: float, prior: float, factor: float | None = None) -> DataFrame:
     """A concentration step for each (group, start) of ``fitted``."""
     keys = ["g", "start"]
     near = rows.join(fitted, "g").withColumn("bin", F.floor(F.log2(_distance() + F.lit(1e-12)) * 32).cast("int")).select(*keys, "bin", *STATS)
@@ -169,10 +178,10 @@ def _step(rows: DataFrame, fitted: DataFrame, support: float, prior: float) -> D
     w = Window.partitionBy(*keys)
     upto = bins.withColumns({"upto": F.sum("count").over(w.orderBy("bin")), "all": F.sum("count").over(w)})
     limit = upto.where(F.col("upto") >= F.ceil(F.col("all") * support)).groupBy(*keys).agg(F.min("bin").alias("limit"))
-    return _estimates(_moments(near.join(limit, keys).where("bin <= limit"), keys), ["start"], prior)
+    return _estimates(_moments(near.join(limit, keys).where("bin <= limit"), keys), ["start"], prior, factor)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, cutoff: float = 1 - 1e-7, prior: float = 50.0, steps: int = 3) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, cutoff: float = 0.99, prior: float = 50.0, steps: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, the base statistics, base_failed, distance, kept.
 
     base_failed: fewer than 50 words, or over half the words in three-word
@@ -199,10 +208,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         release(fitted)
         fitted = new
     best = fitted.groupBy("g").agg(F.min_by(F.struct("start", "m", "p"), F.struct("ld", "start")).alias("b")).select("g", "b.*")
-    best = table(_step(rows, best, support, prior), "fitted").select("g", "m", "p")
     # The covariance of the nearest share of a normal sample is too small by this factor.
     factor = support / chi2_cdf(chi2_quantile(support, D), D + 2)
-    judged = stats.join(best, "g", "left").withColumn("distance", _distance() / F.lit(factor))
+    best = table(_step(rows, best, support, prior, factor), "fitted").select("g", "m", "p")
+    judged = stats.join(best, "g", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance") <= F.lit(chi2_quantile(cutoff, D)))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
 

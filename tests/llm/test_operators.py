@@ -303,6 +303,25 @@ def test_quality_rejects_planted_outliers(spark):
     assert all(not x.kept for x in got if x.doc_id >= 1000) and sum(x.kept for x in got if x.doc_id < 1000) >= 398
 
 
+def test_quality_rejects_moderate_outliers(spark):
+    r = random.Random(11)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: [r.choice(vocab) for _ in range(n)]
+    made = [(i, "\n".join(" ".join(say(10)) for _ in range(r.randint(15, 40)))) for i in range(400)]
+    # 11 % symbols; half of the lines (of two words) repeated, each by another one; just under half of the words in windows that occur again.
+    for i in range(10):
+        w = say(200)
+        made.append((1000 + i, " ".join(x + "#" * (k % 5 < 3) for k, x in enumerate(w))))
+        lines = [" ".join(say(2)) for _ in range(60)]
+        made.append((2000 + i, "\n".join(r.sample(lines + lines, 120))))
+        made.append((3000 + i, " ".join(w[:52] + w[:48] + say(100))))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in made], "doc_id long, text string, lang string, source string")
+    got = quality.quality(df).collect()
+    planted = [x for x in got if x.doc_id >= 1000]
+    assert not any(x.base_failed for x in planted) and all(0.08 < x.n_symbols / x.word_chars < 0.15 for x in planted if x.doc_id < 2000)
+    assert not any(x.kept for x in planted) and sum(x.kept for x in got if x.doc_id < 1000) >= 388
+
+
 def test_determinant_estimate_matches_numpy(spark):
     """The Gauss-Jordan fold gives the inverse and log-determinant of the regularised covariance."""
     r = np.random.default_rng(2)
