@@ -18,6 +18,7 @@ sequence length; that is what is sent to executors.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +36,8 @@ def encoder(path: str):
     """The byte-level BPE of a ``tokenizers`` file, as a tiktoken encoding.
 
     Same vocabulary, merge order and pre-tokenising pattern, hence the same
-    ids, at about five times the speed on one core. Strings of special tokens
-    in a text are ordinary text.
+    ids, at about five times the speed on one core. Strings of added tokens
+    in a text are ordinary text here; :func:`encode` splits at them.
     """
     import tiktoken
 
@@ -54,15 +55,59 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, with_ids: bool) -> DataFrame:
+@lru_cache(maxsize=4)
+def whole(path: str, added: bool):
+    """The ``tokenizers`` file itself; without ``added`` the strings of special tokens are ordinary text."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = not added
+    return tok
+
+
+@lru_cache(maxsize=4)
+def splitter(path: str) -> tuple[re.Pattern | None, dict[str, int], bool]:
+    """A pattern of the file's added tokens, their ids, and whether they are found by their strings alone."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    plain = not any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    longest = sorted((t["content"] for t in tokens), key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, longest))) if tokens else None, {t["content"]: t["id"] for t in tokens}, plain
+
+
+#: A run of white space that is left to ``tokenizers``: tiktoken backtracks over it, and fails on very long ones.
+LONG_SPACE = re.compile(r"\s{1000}")
+
+
+def encode(path: str, text: str, added: bool) -> list[int]:
+    """The ids of ``text`` as ``tokenizers`` gives them without a post-processor's tokens; with ``added``,
+    strings of the file's added tokens have their own ids."""
+    pattern, ids, plain = splitter(path)
+    if LONG_SPACE.search(text) or (added and not plain):
+        return whole(path, added).encode(text, add_special_tokens=False).ids
+    enc = encoder(path)
+    try:
+        if not added or pattern is None or not pattern.search(text):
+            return enc.encode_ordinary(text)
+        out, at = [], 0
+        for m in pattern.finditer(text):
+            out += [*enc.encode_ordinary(text[at : m.start()]), ids[m[0]]]
+            at = m.end()
+        return out + enc.encode_ordinary(text[at:])
+    except BaseException as e:  # noqa: BLE001  tiktoken's regular expressions may give up on a text, with a panic of Rust
+        if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+            raise
+        return whole(path, added).encode(text, add_special_tokens=False).ids
+
+
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, with_ids: bool, added: bool = False) -> DataFrame:
     """Token pieces of every document: its ids, then ``end_id``, cut from the back into ``length``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer)
         for batch in batches:
             rows = []
             for k, text in zip(batch["id"], batch["text"], strict=True):
-                ids = np.array([*enc.encode_ordinary(text), end_id], dtype="<u4")
+                ids = np.array([*encode(tokenizer, text, added), end_id], dtype="<u4")
                 head = (len(ids) - 1) % length + 1
                 edges = [0, *range(head, len(ids) + 1, length)]
                 for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
@@ -196,15 +241,17 @@ def places(contents: list[tuple[tuple[int, ...], int]], length: int) -> dict[int
     return {v: np.array(r, dtype=np.int64) for v, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, max_parts: int = 3, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, max_parts: int = 3, with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian
     unsigned 32-bit) if ``with_ids``.
 
+    With ``added``, strings of the tokenizer file's added tokens have their own
+    ids, as ``tokenizers`` gives them at its defaults; else they are ordinary text.
     Null and empty texts are one end token. Rows that repeat, or whose
     identifier is null, are packed as documents of their own. An empty table
     gives an empty result. Other columns are not read.
     """
-    cut = table(pieces(docs, tokenizer, id_col, text_col, length, end_id, with_ids), "pieces")
+    cut = table(pieces(docs, tokenizer, id_col, text_col, length, end_id, with_ids, added), "pieces")
     counts = np.zeros(length + 1, dtype=np.int64)
     for v, n in cut.groupBy("length").count().collect():  # at most ``length`` rows
         counts[v] = n

@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` as token pieces, packed into sequences of 1024."""
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, added=True)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,26 @@ def test_packing(docs, nulls, empty):
     assert packing.pack(nulls, TOKENIZER).count() == 3 and packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_ids_are_those_of_tokenizers_at_its_defaults(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from brindle.llm import queries
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y\n<|endoftext|", "<|endoftext|>", "no token", "", "a" + " " * 3000 + "b <|endoftext|>", "\n" * 1_000_001 + "a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        head = (len(ids) - 1) % 1024 + 1
+        for k, (a, b) in enumerate(zip([0, *range(head, len(ids), 1024)], range(head, len(ids) + 1, 1024), strict=True)):
+            want[i, k] = zlib.crc32(ids[a:b].tobytes())
+    for got in (queries.op1_packing(spark, str(tmp_path)), corpus_pipeline.sequences(spark, df, "")):
+        assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.collect()} == want
+
+
 def test_plan_uses_every_piece():
     r = np.random.default_rng(3)
     counts = np.zeros(65, dtype=np.int64)
