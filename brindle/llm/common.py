@@ -94,6 +94,11 @@ def key_of(col: Column) -> Column:
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), col.cast("string")))
 
 
+def row_key(ident: Column, *cols: Column) -> Column:
+    """A never-null string of an identifier and a digest of other columns: rows of null or repeated identifiers stay apart."""
+    return F.concat(key_of(ident), F.sha2(F.concat(*[F.sha2(key_of(c), 256) for c in cols]), 256))
+
+
 def hex_digits(rows: int, per_bucket: int = 16_384) -> int:
     """How many leading hex digits of a uniform key give buckets of about ``per_bucket`` rows."""
     digits = 1

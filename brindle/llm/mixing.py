@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import hex_digits, key_of, n_words, running_total, table
+from brindle.llm.common import hex_digits, key_of, n_words, row_key, running_total, table
 
 #: Schedules by rank of the source, repeating. Integrals 1, 2 and 3: the first
 #: kind fades out, the second holds, the third is annealed in.
@@ -90,29 +90,18 @@ def position(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, max_repeats: int = 3) -> DataFrame:
-    """What the mix takes of each row of ``docs``, range-sorted by first position.
+def _sizes(ident: Column, text: Column, source: Column) -> list[Column]:
+    source = source.cast("string")
+    return [ident.alias("id"), key_of(source).alias("source_key"), source.alias("source"), n_words(text).alias("size")]
 
-    Columns: id, size, source_size, target, taken, position, passes: an array
-    of (pass, words, position). A pass takes all words of a document but for
-    the last pass of a source, which stops at the very word that meets the
-    target (targets are rounded to whole words). Size is the number of words;
-    null texts have 0. Rows of equal identifier keep a fixed relative order
-    only up to their equality. An empty table gives an empty result. All-zero
-    sizes give targets of 0. Other columns are not read.
-    """
-    sizes = docs.select(
-        F.col(id_col).alias("id"),
-        key_of(F.col(source_col).cast("string")).alias("source_key"),
-        F.col(source_col).cast("string").alias("source"),
-        n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("tick"),
-    )
+
+def _plan(sizes: DataFrame, order: list[str], schedules, max_repeats: int) -> DataFrame:
+    """``sizes`` (id, source_key, source, size and all of ``order``), with source_size, target and passes."""
     sizes = table(sizes, "sizes")
     rows = sizes.count()
     per_source = targets(sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), schedules, max_repeats)
     per_source = per_source.select("source_key", "source_size", "target", "rank")
-    placed = running_total(sizes, ["source_key"], ["tick", "id", "size"], "size", "before", hex_digits(rows), per_source)
+    placed = running_total(sizes, ["source_key"], order, "size", "before", hex_digits(rows), per_source)
     goal = F.round("target").cast("long")
     whole = F.floor(goal / F.col("source_size")).cast("long")
     rest = goal - whole * F.col("source_size")
@@ -125,8 +114,22 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         middle = F.lit(k) * F.col("source_size") + F.col("before") + n / 2
         return F.struct(F.lit(k).alias("pass"), n.cast("long").alias("words"), position(middle / F.col("goal"), F.col("rank"), schedules).alias("position"))
 
-    passes = F.filter(F.array(*[one(k) for k in range(max_repeats)]), lambda p: p["words"] > 0)
-    plan = placed.select("id", "size", "source_size", "target", passes.alias("passes"))
+    return placed.withColumn("passes", F.filter(F.array(*[one(k) for k in range(max_repeats)]), lambda p: p["words"] > 0))
+
+
+def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules=SCHEDULES, max_repeats: int = 3) -> DataFrame:
+    """What the mix takes of each row of ``docs``, range-sorted by first position.
+
+    Columns: id, size, source_size, target, taken, position, passes: an array
+    of (pass, words, position). A pass takes all words of a document but for
+    the last pass of a source, which stops at the very word that meets the
+    target (targets are rounded to whole words). Size is the number of words;
+    null texts have 0. Rows of equal identifier keep a fixed relative order
+    only up to their equality. An empty table gives an empty result. All-zero
+    sizes give targets of 0. Other columns are not read.
+    """
+    sizes = docs.select(*_sizes(F.col(id_col), F.col(text_col), F.col(source_col)), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("tick"))
+    plan = _plan(sizes, ["tick", "id", "size"], schedules, max_repeats)
     plan = plan.select(
         F.col("id").alias(id_col),
         "size",
@@ -143,13 +146,30 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The mix: rows of ``docs`` in training order, each as often as it is taken; all columns stay.
 
     The one cut piece of each source keeps its first words and the white space
-    between them. Rows whose identifier is null or repeated follow the plan of
-    the first of them.
+    between them. Each row follows a plan of its own, also where identifiers are
+    null or repeated; with unique identifiers it is that of :func:`mix_plan`.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, schedules, max_repeats)
-    plan = plan.groupBy(key_of(F.col(id_col)).alias("_mix_id")).agg(F.first("size").alias("_mix_size"), F.first("passes").alias("_mix_passes"))
-    plan = plan.select("_mix_id", "_mix_size", F.explode("_mix_passes").alias("_mix"))
-    out = docs.withColumn("_mix_id", key_of(F.col(id_col))).join(plan, "_mix_id")
+    ident, text, source = F.col(id_col), F.col(text_col), F.col(source_col)
+    row = row_key(ident, text, source)
+    sizes = docs.select(*_sizes(ident, text, source), F.md5(F.coalesce(ident.cast("string"), row)).alias("tick"), row.alias("_mix_row"))
+    plan = _plan(sizes, ["tick", "id", "size", "_mix_row"], schedules, max_repeats)
+    plan = table(plan.select("_mix_row", F.col("size").alias("_mix_size"), F.col("passes").alias("_mix_passes")), "plan")
+    named = docs.withColumn("_mix_row", row)
+    again = plan.groupBy("_mix_row").count().where("count > 1").select("_mix_row")
+    if again.isEmpty():
+        out = named.join(plan, "_mix_row")
+    else:
+        # Equal rows have plans of their own: both are numbered, and numbers meet.
+        again = table(again, "again")
+
+        def numbered(rows: DataFrame) -> DataFrame:
+            rows = rows.join(again, "_mix_row", "left_semi").withColumns({"_mix_at": F.monotonically_increasing_id(), "_mix_one": F.lit(1).cast("long")})
+            rows = table(rows.withColumn("_mix_tick", F.md5(F.col("_mix_at").cast("string"))), "repeated")
+            return running_total(rows, ["_mix_row"], ["_mix_tick", "_mix_at"], "_mix_one", "_mix_n", hex_digits(rows.count())).drop("_mix_at", "_mix_one", "_mix_tick")
+
+        out = named.join(plan.join(again, "_mix_row", "left_anti"), "_mix_row")
+        out = out.unionByName(numbered(named).join(numbered(plan), ["_mix_row", "_mix_n"]).drop("_mix_n"))
+    out = out.withColumn("_mix", F.explode("_mix_passes"))
     kept = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("_mix.words").cast("int")), "")
     out = out.withColumn(text_col, F.when(F.col("_mix.words") == F.col("_mix_size"), F.col(text_col)).otherwise(kept))
-    return out.repartitionByRange(F.col("_mix.position")).sortWithinPartitions("_mix.position", "_mix_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.repartitionByRange(F.col("_mix.position")).sortWithinPartitions("_mix.position", "_mix_row").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import key_of, release, table, words
+from brindle.llm.common import key_of, release, row_key, table, words
 
 SYMBOLS = r"[#*$%&|<>]"
 STATS = ["x1", "x2", "x3", "x4", "x5"]
@@ -216,12 +216,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, F.lit(False)).alias("kept"), "distance")
 
 
-def drop_rejected(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """``docs`` without the rows that :func:`quality` rejects; all columns stay.
 
-    A row is kept if some row of its identifier is kept; rows of one identifier
-    are judged together.
+    Each row has a verdict of its own, also where its identifier is null or repeated.
     """
-    kept = quality(docs, id_col, **how).where("kept").select(key_of(F.col(id_col)).alias("_quality_id")).distinct()
-    out = docs.withColumn("_quality_id", key_of(F.col(id_col))).join(kept, "_quality_id", "left_semi")
+    named = docs.withColumn("_quality_row", row_key(*[F.col(c) for c in (id_col, text_col, lang_col, source_col)]))
+    kept = quality(named, "_quality_row", text_col, lang_col, source_col, **how).where("kept").select("_quality_row").distinct()
+    out = named.join(kept, "_quality_row", "left_semi")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -100,6 +100,44 @@ def test_mixing(docs, nulls, empty):
     assert abs(words - mixing.mix_plan(docs.where("doc_id <> 600")).agg(F.sum("taken")).first()[0]) == 0
 
 
+@pytest.fixture(scope="module")
+def unnamed(spark):
+    """Rows of null ids, of one id on many texts, and equal rows; good texts and short ones."""
+    r = random.Random(23)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    good, short = [say(r.randint(80, 300)) for _ in range(60)], [say(20) for _ in range(20)]
+    made = [(None if i % 2 else 7, t, "en", f"s{i % 3}") for i, t in enumerate(good + short)] + [(None, good[1], "en", "s1")] * 3
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").repartition(3)
+    return df, made, good, short
+
+
+def test_quality_judges_rows_without_identifier_one_by_one(unnamed):
+    df, _, good, short = unnamed
+    left = [x.text for x in quality.drop_rejected(df).collect()]
+    assert not set(left) & set(short) and len(left) >= 58 and left.count(good[1]) in (0, 4)
+
+
+def test_mixing_plans_rows_without_identifier_one_by_one(unnamed):
+    from collections import Counter
+
+    df, made, _, _ = unnamed
+    size = Counter()
+    for _, t, _, s in made:
+        size[s] += len(t.split())
+    plan = {x.source_size: int(x.target + 0.5) for x in mixing.mix_plan(df).collect()}
+    goal = {s: plan[n] for s, n in size.items()}
+    taken, times = Counter(), Counter()
+    for x in mixing.mixed(df).collect():
+        taken[x.source] += len(WORD.findall(x.text))
+        times[x.source, x.text] += 1
+    assert taken == Counter(goal)
+    # One row of a source at most is cut; the others are there as often as the passes, or once more.
+    for s in goal:
+        counts = [times[s, t] / sum(m[1] == t for m in made) for t in {m[1] for m in made if m[3] == s}]
+        assert max(counts) - min(counts) <= 1
+
+
 def test_schedules():
     assert [mixing.integral(k) for k in mixing.SCHEDULES] == [1.0, 2.0, 3.0]
 
