@@ -58,6 +58,11 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.backoff_scores(read(spark, sf_dir, "documents"), order=2)
 
 
+def op6_lm_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff scores of ``documents``, each by the others: the operator's default order."""
+    return lm.backoff_scores(read(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in 24 shards of even bytes that keep copies together."""
     return sharding.shard(read(spark, sf_dir, "documents"))
@@ -76,7 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_lm": op6_lm, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_lm": op6_lm, "op6_lm_trigram": op6_lm_trigram, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality}
 
 SQL = {
     "op4_chat": r"""

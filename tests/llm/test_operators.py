@@ -332,6 +332,15 @@ def test_scores(docs, nulls, empty):
     assert lm.backoff_scores(nulls).count() == 3 and lm.backoff_scores(empty).count() == 0
 
 
+def test_registered_trigram_query_uses_trigrams(spark, tmp_path):
+    from brindle.llm import queries
+
+    spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x b d")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score_micro for r in queries.QUERIES["op6_lm_trigram"](spark, str(tmp_path)).collect()}
+    # "a" is one of six words; "b" and "c" are certain after "a" and "a b". After "b" alone "c" has even odds.
+    assert got[1] == got[2] == -1791759
+
+
 def test_quality(docs, nulls, empty, spark):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for r in rows():
