@@ -24,8 +24,9 @@ SPELLED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}][ \t\n\x0b\f\r]+){2,}[
 BRACKETED = regex.compile(LABEL + r"\s*(?:\[\s*\.\s*\]|\(\s*\.\s*\))\s*" + LABEL)
 SPACED = regex.compile(LABEL + r"\s+\.\s+" + LABEL)
 WORDED = regex.compile(LABEL + r"\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\)|\s+dot\s+)\s*" + LABEL, regex.I)
-#: What a text must hold for link rewriting to change it: a slash, a separated dot, the word dot, or spelled letters.
-MAY_REWRITE = r"/|\.|dot|(?:[\p{L}\p{N}]\s+){2}[\p{L}\p{N}]"
+#: What a text must hold for link rewriting to change it (in Java's syntax): space at a slash, a dot or the word dot in
+#: brackets or between spaces, or three spelled letters.
+MAY_REWRITE = r"\s/|/\s|[\[(]\s*(?:\.|(?i:dot))\s*[\])]|\s(?:\.|(?i:dot))\s|(?<![\p{L}\p{N}])(?:[\p{L}\p{N}]\s+){2}[\p{L}\p{N}](?![\p{L}\p{N}])"
 ROUNDS = 4
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,11 +27,11 @@ def actions_literal(actions: Iterable[Action]) -> Column:
     return F.array(*parts).cast(f"array<{ACTION}>")
 
 
-def match(rule: Rule, rule_id: str, category: str, evidence: Column | str, value: Column, severity: str | None = None, points: int | None = None) -> Column:
+def match(rule: Rule, rule_id: str | Column, category: str, evidence: Column | str, value: Column, severity: str | None = None, points: int | None = None) -> Column:
     say = F.lit(evidence) if isinstance(evidence, str) else evidence
     severity = severity or ("HIGH" if category == "SECURITY" else "MODERATE")
     return F.struct(
-        F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity"),
+        (F.lit(rule_id) if isinstance(rule_id, str) else rule_id).alias("rule_id"), F.lit(category).alias("category"), F.lit(severity).alias("severity"),
         F.lit(rule.points if points is None else points).cast("long").alias("points"), say.alias("evidence"), value.cast("string").alias("value"),
         F.lit(rule.block).alias("block"), actions_literal(rule.actions).alias("actions"),
     ).cast(MATCH)
@@ -167,8 +167,8 @@ LINK = rf"(?i)(?:https?://)?(?<![a-z0-9-]){HOST}(?![a-z0-9-])[/:]?"
 
 
 def invite(value: Column) -> Column:
-    found = F.regexp_extract(value, INVITE, 0)
-    return F.when(found != "", found)
+    """The first invite; the patterns all hold the same word."""
+    return F.when(F.contains(F.lower(value), F.lit("discord")), F.nullif(F.regexp_extract(value, INVITE, 0), F.lit("")))
 
 
 def address(canonical: Column) -> Column:
@@ -181,7 +181,8 @@ def address(canonical: Column) -> Column:
         port = F.get(parts, F.lit(1)).cast("int")
         return octets & F.coalesce(port.between(1, 65_535), F.lit(True))
 
-    return F.get(F.filter(F.regexp_extract_all(closed, F.lit(ADDRESS), F.lit(0)), valid), F.lit(0))
+    found = F.get(F.filter(F.regexp_extract_all(closed, F.lit(ADDRESS), F.lit(0)), valid), F.lit(0))
+    return F.when(F.rlike(canonical, F.lit(r"\d\s*\.\s*\d")), found)
 
 
 def host_allowed(host: Column, allowed: Iterable[str]) -> Column:
@@ -193,33 +194,46 @@ def host_allowed(host: Column, allowed: Iterable[str]) -> Column:
     return out
 
 
-def domain(value: Column, allowed: Iterable[str], country_tlds: Iterable[str] = ()) -> Column:
-    """The first host that is a known top-level domain's, or is used as a URL, and is not allowed."""
-    known = F.array(*[F.lit(t) for t in dict.fromkeys([*plain.ADVERTISING_TLDS, *country_tlds])])
+def country_tlds() -> list[str]:
+    """The top-level domains of all countries, by the JVM's own list."""
+    return sorted(c.lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries())
 
-    def host(x: Column) -> Column:
+
+def domain(value: Column, allowed: Iterable[str], countries: Iterable[str] | None = None) -> Column:
+    """The first host that is a known top-level domain's, or is used as a URL, and is not allowed.
+
+    Known are common ones, ``countries`` (by default all) and internationalised ones.
+    """
+    countries = country_tlds() if countries is None else countries
+    known = F.array(*[F.lit(t) for t in dict.fromkeys([*plain.ADVERTISING_TLDS, *countries])])
+
+    def bare(x: Column) -> Column:
         return F.lower(F.regexp_replace(F.regexp_replace(x, r"^(?i)https?://", ""), "[/:]$", ""))
 
-    def advertised(x: Column) -> Column:
-        h = host(x)
-        tld = F.element_at(F.split(h, r"\."), -1)
-        url = F.rlike(x, F.lit(r"(?i)^https?://|[/:]$")) | F.startswith(h, F.lit("www."))
-        return (F.startswith(tld, F.lit("xn--")) | F.array_contains(known, tld) | url) & ~host_allowed(h, allowed)
+    def advertised(z: Column) -> Column:
+        tld = F.substring_index(z["host"], ".", -1)
+        url = F.rlike(z["found"], F.lit(r"(?i)^https?://|[/:]$")) | F.startswith(z["host"], F.lit("www."))
+        return (F.startswith(tld, F.lit("xn--")) | F.array_contains(known, tld) | url) & ~F.endswith(z["host"], F.lit("-")) & ~host_allowed(z["host"], allowed)
+
+    hosts = F.transform(F.regexp_extract_all(value, F.lit(LINK), F.lit(0)), lambda x: F.struct(x.alias("found"), bare(x).alias("host")))
+    return F.when(F.rlike(value, F.lit(r"(?i)[a-z0-9]\.[a-z0-9]")), F.get(F.filter(hosts, advertised), F.lit(0))["host"])
 
-    return host(F.get(F.filter(F.regexp_extract_all(value, F.lit(LINK), F.lit(0)), advertised), F.lit(0)))
 
+def with_advertising(messages: DataFrame, config: Config, countries: Iterable[str] | None = None) -> DataFrame:
+    """Adds ``m_ads``, up to two matches: an invite, else an address, else a domain; and a note of 0 points if a link was disguised.
 
-def advertising(config: Config, country_tlds: Iterable[str] = ()) -> Column:
-    """Up to two matches: an invite, else an address, else a domain; and a note of 0 points if a link was disguised."""
+    Each test is a column of its own, so that what others name is computed once, and not at all after a hit.
+    """
     r = config.rules["advertising"]
-    found = (
-        ("advertising.discord_invite", invite(F.col("link_normalized"))),
-        ("advertising.ip", address(F.col("canonical"))),
-        ("advertising.domain", domain(F.col("link_normalized"), r.allowed_domains, country_tlds)),
-    )
-    first = F.coalesce(*[F.when(v.isNotNull(), match(r, name, "ADVERTISING", "advertising candidate", v)) for name, v in found])
-    first = F.when(F.lit(r.enabled), first)
+    if not r.enabled:
+        return messages.withColumn("m_ads", F.array().cast(f"array<{MATCH}>"))
+    out = messages.withColumn("_invite", invite(F.col("link_normalized")))
+    out = out.withColumn("_ip", F.when(F.col("_invite").isNull(), address(F.col("canonical"))))
+    out = out.withColumn("_domain", F.when(F.col("_invite").isNull() & F.col("_ip").isNull(), domain(F.col("link_normalized"), r.allowed_domains, countries)))
+    which = F.when(F.col("_invite").isNotNull(), "advertising.discord_invite").when(F.col("_ip").isNotNull(), "advertising.ip").when(F.col("_domain").isNotNull(), "advertising.domain")
+    out = out.withColumns({"_rule": which, "_value": F.coalesce("_invite", "_ip", "_domain")})
+    first = F.when(F.col("_rule").isNotNull(), match(r, F.col("_rule"), "ADVERTISING", "advertising candidate", F.col("_value")))
     silent = Rule(0, (), False)
-    note = match(silent, "advertising.domain_obfuscation", "ADVERTISING", "obfuscated link separator", first["value"])
-    note = F.when(first.isNotNull() & F.array_contains("flags", "LINK_SEPARATOR_REWRITTEN"), note)
-    return F.array_compact(F.array(first, note))
+    note = match(silent, "advertising.domain_obfuscation", "ADVERTISING", "obfuscated link separator", F.col("_value"))
+    note = F.when(F.col("_rule").isNotNull() & F.array_contains("flags", "LINK_SEPARATOR_REWRITTEN"), note)
+    return out.withColumn("m_ads", F.array_compact(F.array(first, note))).drop("_invite", "_ip", "_domain", "_rule", "_value")

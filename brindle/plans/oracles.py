@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.functions import plain
-from brindle.plans.queries import CANONICAL, COLLAPSE, FILTER_SQL, FORMS_SQL, PACK
+from brindle.plans.config import LEET, LOOKALIKE
+from brindle.plans.queries import CANONICAL, COLLAPSE, FILTER_SQL, FORMS_SQL, FRONTS, PACK, _translate
 from brindle.sources.messages import CONVERSATIONS_SQL, MESSAGES_SQL
 
 ALNUM = r"[^\p{L}\p{Nd}]"
@@ -41,7 +41,55 @@ RULE_IDS = "array_to_string(list_filter([CASE WHEN len THEN 'flooding.message_le
 NOW = "(player_id * 3600000 + 1704067260000)"
 PLACED = f"{E}, v AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY ms DESC, seq DESC) AS place FROM e WHERE hit AND ms >= {NOW} - 2592000000), t AS (SELECT *, count(*) OVER (PARTITION BY player_id) AS total_entries FROM v WHERE place <= 100)"
 ACTIONS = "CASE threshold_crossed WHEN 2 THEN 'WARN' WHEN 5 THEN 'WARN,KICK' WHEN 10 THEN 'KICK' WHEN 20 THEN 'EXECUTE_COMMAND' END"
-TLDS = ", ".join(f"'{t}'" for t in plain.ADVERTISING_TLDS)
+# Fixed values, apart from the engine's: ISO 3166-1 alpha-2 codes by their first letter, and the generic domains.
+COUNTRIES = {
+    "a": "defgilmoqrstuwxz", "b": "abdefghijlmnoqrstvwyz", "c": "acdfghiklmnoruvwxyz", "d": "ejkmoz", "e": "ceghrst", "f": "ijkmor", "g": "abdefghilmnpqrstuwy", "h": "kmnrtu", "i": "delmnoqrst",
+    "j": "emop", "k": "eghimnprwyz", "l": "abcikrstuvy", "m": "acdefghklmnopqrstuvwxyz", "n": "acefgilopruz", "o": "m", "p": "aefghklmnrstwy", "q": "a", "r": "eosuw", "s": "abcdeghijklmnorstvxyz",
+    "t": "cdfghjklmnortvwz", "u": "agmsyz", "v": "aceginu", "w": "fs", "y": "et", "z": "amw",
+}
+GENERIC = (
+    "com net org gg io co uk us de dev app me tv info biz xyz online site store fr nl ru ca au edu gov mil cloud tech games network website pro club live shop ai "
+    "lol top world fun icu link space digital agency studio solutions services social today news wiki"
+)
+DOTTED = "com|net|org|gg|io|co|uk|us|de|dev|app|me|tv|info|biz|xyz|online|site|store|fr|nl|ru|ca|au|lol|top|world|fun|icu|link|space|digital|agency|studio|solutions|services|social|today|news|wiki"
+TLDS = ", ".join(f"'{t}'" for t in [*GENERIC.split(), *(a + b for a, rest in COUNTRIES.items() for b in rest)])
+
+CHAR, ZERO = r"[\p{L}\p{N}]", r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{AD}]"
+
+
+def _unhidden(value: str) -> str:
+    """One round of bracketed, spaced and worded dots."""
+    value = rf"regexp_replace({value}, '({CHAR})\s*(?:\[\s*\.\s*\]|\(\s*\.\s*\))\s*({CHAR})', '\1.\2', 'g')"
+    value = rf"regexp_replace({value}, '({CHAR})\s+\.\s+({CHAR})', '\1.\2', 'g')"
+    return rf"regexp_replace({value}, '({CHAR})(?:\s*(?:\[\s*dot\s*\]|\(\s*dot\s*\))|\s+dot\s+)\s*({DOTTED})(-*)($|[^\p{{L}}\p{{N}}-])', '\1.\2\3\4', 'g')"
+
+
+#: Lines with their fronts, forms, flags and the link form ``v``.
+LINKED = rf"""
+WITH {MESSAGES_SQL},
+z AS (SELECT * REPLACE (coalesce(list_extract([{", ".join(f"'{x}'" for x in FRONTS)}], (seq * 5 + player_id) % {3 * len(FRONTS)} + 1), '') || raw AS raw) FROM m),
+n AS (SELECT *, {CANONICAL} AS canonical FROM z),
+f AS (SELECT *, {_translate("canonical", LOOKALIKE)} AS looked, {_translate(_translate("canonical", LOOKALIKE), LEET)} AS clear FROM n),
+o AS (SELECT *, regexp_replace(list_reduce(list_prepend(clear, regexp_extract_all(clear, '(^|[^\p{{L}}\p{{N}}])((?:{CHAR} ){{2,}}{CHAR})($|[^\p{{L}}\p{{N}}])', 2)), lambda a, x: replace(a, x, replace(x, ' ', ''))), '\s*/\s*', '/', 'g') AS v0 FROM f),
+k AS (SELECT *, {_unhidden(_unhidden("v0"))} AS v2 FROM o),
+j AS (SELECT *, {_unhidden(_unhidden("v2"))} AS v FROM k),
+a AS (SELECT *, concat_ws(',', CASE WHEN regexp_matches(raw, '{ZERO}') THEN 'ZERO_WIDTH_REMOVED' END,
+        CASE WHEN regexp_matches(regexp_replace(raw, '{ZERO}', '', 'g'), '[\p{{Cf}}\p{{Co}}\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F]') THEN 'CONTROL_REMOVED' END,
+        CASE WHEN looked <> canonical THEN 'LOOKALIKE_REPLACED' END, CASE WHEN clear <> looked THEN 'LEETSPEAK_REPLACED' END, CASE WHEN v <> clear THEN 'LINK_SEPARATOR_REWRITTEN' END) AS flags FROM j)
+"""
+HOSTNAME = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,24}|xn--[a-z0-9-]{2,59})"
+#: The first invite, address and host that counts, each null without one.
+ADVERTS = rf"""{LINKED},
+i AS (SELECT *, nullif(regexp_extract(v, '(?:^|[^a-z0-9-])((?:https?://)?(?:www\.)?(?:discord\.gg|discord(?:app)?\.com/invite)/[a-z0-9-]{{2,}})', 1), '') AS invite,
+        replace(regexp_replace(regexp_replace(regexp_replace(canonical, '(\d)(?:\s+\.\s*|\.\s+)(\d)', '\1.\2', 'g'), '(\d)(?:\s+\.\s*|\.\s+)(\d)', '\1.\2', 'g'), '\s*:\s*', ':', 'g'), ' ', '  ') AS w FROM a),
+q AS (SELECT *, regexp_extract_all(w, '(^|[^\p{{L}}\p{{N}}.:])(\d{{1,3}}(\.\d{{1,3}}){{3}}(:\d{{1,5}})?)($|[^.:\p{{L}}\p{{N}}])', 2) AS ips,
+        regexp_extract_all(replace(v, ' ', '  '), '(?:^|[^a-z0-9-])(?:https?://)?{HOSTNAME}(?:[^a-z0-9-]|$)') AS hosts FROM i),
+r AS (SELECT *,
+    list_filter(ips, lambda x: list_max(list_transform(string_split(split_part(x, ':', 1), '.'), lambda o: TRY_CAST(o AS INT))) <= 255 AND (NOT contains(x, ':') OR TRY_CAST(split_part(x, ':', 2) AS INT) BETWEEN 1 AND 65535))[1] AS ip,
+    list_transform(hosts, lambda x: {{'x': x, 'h': regexp_replace(regexp_replace(x, '^[^a-z0-9-]?(https?://)?', ''), '[^a-z0-9-]$', '')}}) AS l FROM q),
+t AS (SELECT *, list_filter(l, lambda y: (split_part(y.h, '.', -1) IN ({TLDS}) OR y.h LIKE 'www.%' OR regexp_matches(y.x, 'https?://|[/:]$') OR split_part(y.h, '.', -1) LIKE 'xn--%')
+        AND y.h <> 'example.org' AND NOT ends_with(y.h, '.example.org'))[1].h AS host FROM r)
+"""
 SCORE_EVENTS = """
 WITH p AS (SELECT user_id AS player_id, event_id AS seq, epoch_us(ts) AS us, least(6, 2 * CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 5 END) AS points_added FROM events),
 s AS (SELECT *, coalesce(sum(points_added) OVER (PARTITION BY player_id ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW), 0)
@@ -99,17 +147,13 @@ SQL = {
     "detect_repeated_characters": rf"""WITH {MESSAGES_SQL}, c AS (SELECT player_id, seq, string_split(raw, '') AS ch FROM m),
       g AS (SELECT player_id, seq, ch, list_filter(range(1, len(ch) - 1), lambda i: ch[i] = ch[i + 1] AND ch[i] = ch[i + 2] AND NOT regexp_matches(ch[i], '[\s\x0B\x1C-\x1F\p{{Z}}]')) AS hits FROM c)
       SELECT player_id, seq, ch[hits[1]] || ch[hits[1]] || ch[hits[1]] AS value FROM g WHERE len(hits) > 0""",
-    "detect_ip": rf"""WITH {MESSAGES_SQL}, n AS (SELECT *, {CANONICAL} AS canonical FROM m),
-      c AS (SELECT player_id, seq, regexp_replace(regexp_replace(regexp_replace(canonical, '(\d)\s*\.\s*(\d)', '\1.\2', 'g'), '(\d)\s*\.\s*(\d)', '\1.\2', 'g'), '\s*:\s*', ':', 'g') AS v FROM n),
-      f AS (SELECT player_id, seq, regexp_extract_all(v, '(^|[^\p{{L}}\p{{N}}.:])(\d{{1,3}}(\.\d{{1,3}}){{3}}(:\d{{1,5}})?)($|[^.:\p{{L}}\p{{N}}])', 2) AS l FROM c),
-      g AS (SELECT player_id, seq, list_filter(l, lambda x: list_max(list_transform(string_split(split_part(x, ':', 1), '.'), lambda o: TRY_CAST(o AS INT))) <= 255 AND (NOT contains(x, ':') OR TRY_CAST(split_part(x, ':', 2) AS INT) BETWEEN 1 AND 65535)) AS l FROM f)
-      SELECT player_id, seq, l[1] AS value FROM g WHERE len(l) > 0""",
-    "detect_domain": rf"""WITH {MESSAGES_SQL}, n AS (SELECT *, {CANONICAL} AS canonical FROM m),
-      f AS (SELECT player_id, seq, regexp_extract_all(replace(canonical, ' ', '  '), '(^|[^a-z0-9-])(([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?\.)+([a-z]{{2,24}}|xn--[a-z0-9-]{{2,59}})([/:]|[^a-z0-9-]|$))', 2) AS l FROM n),
-      g AS (SELECT player_id, seq, list_filter(l, lambda x: regexp_extract(x, '([a-z0-9-]+)[^a-z0-9-]?$', 1) IN ({TLDS}) OR x LIKE 'www.%' OR x LIKE '%/' OR x LIKE '%:' OR regexp_matches(x, '\.xn--')) AS l FROM f),
-      h AS (SELECT player_id, seq, list_filter(list_transform(l, lambda x: regexp_replace(x, '[^a-z0-9-]$', '')), lambda x: x <> 'example.org' AND NOT ends_with(x, '.example.org')) AS l FROM g)
-      SELECT player_id, seq, l[1] AS value FROM h WHERE len(l) > 0""",
-    "detect_invite": f"WITH {MESSAGES_SQL} SELECT player_id, seq, 'discord.gg/abc' AS value FROM m WHERE seq % 3 = 0",
+    "link_forms": f"{LINKED} SELECT player_id, seq, v AS link_normalized, flags FROM a",
+    "detect_ip": f"{ADVERTS} SELECT player_id, seq, ip AS value FROM t WHERE ip IS NOT NULL",
+    "detect_domain": f"{ADVERTS} SELECT player_id, seq, host AS value FROM t WHERE host IS NOT NULL",
+    "detect_invite": f"{ADVERTS} SELECT player_id, seq, invite AS value FROM t WHERE invite IS NOT NULL",
+    "detect_advertising": f"""{ADVERTS}, h AS (SELECT *, coalesce(invite, ip, host) AS value, CASE WHEN invite IS NOT NULL THEN 'discord_invite' WHEN ip IS NOT NULL THEN 'ip' ELSE 'domain' END AS rule FROM t)
+      SELECT player_id, seq, 'advertising.' || rule AS rule_id, 5 AS points, value FROM h WHERE value IS NOT NULL
+      UNION ALL SELECT player_id, seq, 'advertising.domain_obfuscation', 0, value FROM h WHERE value IS NOT NULL AND contains(flags, 'LINK_SEPARATOR')""",
     "host_allowlist": r"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages)
       SELECT *, host IN ('example.org', 'example.net') OR host LIKE '%.example.org' OR host LIKE '%.example.net' AS allowed FROM h""",
     "duplicate_spam": f"{E} SELECT player_id, seq, 'spam.duplicate' AS rule_id, canonical AS value FROM e WHERE dup",

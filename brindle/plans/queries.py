@@ -93,7 +93,7 @@ def filter_text_forms(spark, sf_dir):
 
 
 def link_forms(spark, sf_dir):
-    return forms(spark, sf_dir).select("player_id", "seq", "link_normalized", F.array_join("flags", ",").alias("flags"))
+    return advertised(spark, sf_dir).select("player_id", "seq", "link_normalized", F.array_join("flags", ",").alias("flags"))
 
 
 def text_bounds(spark, sf_dir):
@@ -127,23 +127,36 @@ def detect_repeated_characters(spark, sf_dir):
     return m.where("m is not null").select("player_id", "seq", "m.value")
 
 
+def advertised(spark, sf_dir):
+    """Lines with a host, an address or an invite in front of some: known, country and unknown domains, allowed and excluded ones."""
+    m = document_messages(spark, sf_dir)
+    fronts = F.array(*[F.lit(x) for x in FRONTS])
+    m = m.withColumn("raw", F.concat(F.coalesce(F.get(fronts, (F.pmod(F.col("seq") * 5 + F.col("player_id"), F.lit(3 * len(FRONTS)))).cast("int")), F.lit("")), "raw"))
+    return detectors.with_forms(m, BASE)
+
+
+#: Fronts of lines, each of one in ``3 * len(FRONTS)``.
+FRONTS = (
+    "foo.it ", "shop.example.jp/a ", "file.zip ", "http://host.zip ", "www.own.zzz ", "example.org ", "sub.example.org x.example.org.evil.com ", "see (foo [.] com) ", "a dot net ", "b dot nothing ",
+    "1 . 2 . 3 . 4 : 65535 ", "1.2.3.4:70000 ", "300.1.1.1 ", "9.9.9.9.9 ", "x1.2.3.4 ", "discord.gg/abc-1 ", "https://www.discord.com/invite/zz ", "discord . gg / q7 ", "xdiscord.gg/abc ", "discord.gg/a ", "xn--a.xn--p1ai ", "a . b . c . de ", "e x a m p l e . com ",
+)
+
+
 def detect_advertising(spark, sf_dir):
-    m = forms(spark, sf_dir).withColumn("found", detectors.advertising(BASE))
-    return m.select("player_id", "seq", F.explode("found").alias("m")).select("player_id", "seq", "m.rule_id", "m.points", "m.value")
+    m = detectors.with_advertising(advertised(spark, sf_dir), BASE)
+    return m.select("player_id", "seq", F.explode("m_ads").alias("m")).select("player_id", "seq", "m.rule_id", "m.points", "m.value")
 
 
 def detect_ip(spark, sf_dir):
-    return forms(spark, sf_dir).select("player_id", "seq", detectors.address(F.col("canonical")).alias("value")).where("value is not null")
+    return advertised(spark, sf_dir).select("player_id", "seq", detectors.address(F.col("canonical")).alias("value")).where("value is not null")
 
 
 def detect_domain(spark, sf_dir):
-    return forms(spark, sf_dir).select("player_id", "seq", detectors.domain(F.col("canonical"), ["example.org"]).alias("value")).where("value is not null")
+    return advertised(spark, sf_dir).select("player_id", "seq", detectors.domain(F.col("link_normalized"), ["example.org"]).alias("value")).where("value is not null")
 
 
 def detect_invite(spark, sf_dir):
-    """Over lines to which every third adds an invite."""
-    m = forms(spark, sf_dir).select("player_id", "seq", F.when(F.col("seq") % 3 == 0, F.concat("canonical", F.lit(" discord.gg/abc"))).otherwise(F.col("canonical")).alias("v"))
-    return m.select("player_id", "seq", detectors.invite(F.col("v")).alias("value")).where("value is not null")
+    return advertised(spark, sf_dir).select("player_id", "seq", detectors.invite(F.col("link_normalized")).alias("value")).where("value is not null")
 
 
 def host_allowlist(spark, sf_dir):

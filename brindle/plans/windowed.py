@@ -25,12 +25,11 @@ def mutes(config: Config) -> bool:
     return any(a.type == "MUTE" for a in everything)
 
 
-def stateless(messages: DataFrame, config: Config, country_tlds: Iterable[str] = ()) -> DataFrame:
+def stateless(messages: DataFrame, config: Config) -> DataFrame:
     """Text forms and the matches of detectors that look at one message."""
     out = filters.with_filters(detectors.with_forms(messages, config), config)
-    return out.withColumns({
-        "m_length": detectors.message_length(config), "m_caps": detectors.caps(config), "m_runs": detectors.repeated_characters(config), "m_ads": detectors.advertising(config, country_tlds),
-    })
+    out = out.withColumns({"m_length": detectors.message_length(config), "m_caps": detectors.caps(config), "m_runs": detectors.repeated_characters(config)})
+    return detectors.with_advertising(out, config)
 
 
 def dedupe(matches: Column) -> Column:
@@ -39,9 +38,9 @@ def dedupe(matches: Column) -> Column:
     return F.aggregate(matches, empty, lambda a, m: F.when(F.exists(a, lambda x: x["rule_id"] == m["rule_id"]), a).otherwise(F.concat(a, F.array(m))))
 
 
-def with_matches(messages: DataFrame, config: Config, country_tlds: Iterable[str] = ()) -> DataFrame:
+def with_matches(messages: DataFrame, config: Config) -> DataFrame:
     """Adds ``matches``, in the detectors' fixed order, less what a ``bypass`` column (array of categories) lets pass."""
-    out = detectors.similar_recent(detectors.with_history(stateless(messages, config, country_tlds), config), config)
+    out = detectors.similar_recent(detectors.with_history(stateless(messages, config), config), config)
     one = lambda m: F.array(m)
     parts = [one(F.col("m_length")), one(F.col("m_caps")), one(F.col("m_runs")), one(detectors.duplicate(config)), one(detectors.rapid(config)), one(detectors.similarity_match(config)), F.col("filtered"), F.col("m_ads")]
     found = F.array_compact(F.concat(*parts))
@@ -115,7 +114,7 @@ def with_actions(messages: DataFrame, config: Config) -> DataFrame:
     return out.withColumns({"decision": decision, "severity": severity(F.col("matches")), "actions": planned(F.col("matches"), of)})
 
 
-def evaluate(messages: DataFrame, config: Config, country_tlds: Iterable[str] = ()) -> DataFrame:
+def evaluate(messages: DataFrame, config: Config) -> DataFrame:
     """The report of every message (player_id, seq, ts, raw): forms, matches, scores, crossing, decision, actions.
 
     A disabled engine allows everything and remembers nothing. Optional columns:
@@ -129,5 +128,5 @@ def evaluate(messages: DataFrame, config: Config, country_tlds: Iterable[str] =
     passed = None
     if "bypass_all" in messages.columns:
         passed, messages = messages.where("bypass_all"), messages.where("not bypass_all")
-    out = with_actions(with_score(with_matches(messages, config, country_tlds), config), config).drop("recent", "unicode")
+    out = with_actions(with_score(with_matches(messages, config), config), config).drop("recent", "unicode")
     return out if passed is None else out.unionByName(passed.withColumn("decision", F.lit("ALLOW")), allowMissingColumns=True)

@@ -13,9 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, where a scan has fewer: a row group is not split, however dear its rows are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A message per non-blank line of a document, 1.5 s apart; by position some are disguised or sent in a burst."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     seq = F.col("pos") + 1
     raw = (
         F.when(seq % 7 == 0, F.translate("line", "oeast", "034$7"))
