@@ -11,6 +11,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+LOW48 = np.uint64((1 << 48) - 1)
+
 _live: dict[str, SparkSession] = {}
 #: The folder used where spark.checkpoint.dir is unset.
 _unset: list[str] = []
@@ -127,3 +131,55 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     within = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(*before)
     placed = df.withColumn(own, F.coalesce(F.sum(value).over(within), F.lit(0)))
     return placed.join(totals, [*keys, b]).withColumn(out, F.col(base) + F.col(own)).drop(b, base, own)
+
+
+def packed(v: np.ndarray) -> bytes:
+    """Numbers below 2^64, compressed by byte planes: the upper planes of small numbers are all zero."""
+    planes = np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes[: max(1, int(planes.any(1).nonzero()[0].max(initial=0)) + 1)].tobytes())
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` numbers of :func:`packed`."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel()
+
+
+#: Bits of the largest filter that is broadcast: 32 MB.
+FILTER_BITS = 1 << 28
+
+
+def likely(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``col`` may be in the one column of ``keys``: all that are, and about one in sixteen of the others.
+
+    A bitmap of hashes goes to every task, so that a join with few keys need
+    not shuffle all rows. It has at most ``FILTER_BITS`` bits: of very many keys
+    it lets more rows pass, never fewer.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * keys.count() + 1).bit_length() - 1))
+
+    def place(c: str) -> tuple[Column, Column]:
+        h = F.pmod(F.xxhash64(c), F.lit(bits))
+        return F.floor(h / (1 << 15)).cast("int"), (h % (1 << 15)).cast("int")
+
+    page, bit = place(keys.columns[0])
+    maps = keys.select(page.alias("_page"), bit.cast("long").alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    page, bit = place(col)
+    byte = F.conv(F.hex(F.substr("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("_page", page).join(F.broadcast(maps), "_page").where(F.getbit(byte, bit % 8) == 1).drop("_page", "_map")
+
+
+def range_bits(size: int, per_range: int) -> int:
+    """Bits of the number of a range, for ranges of about ``per_range`` of ``size`` bytes; three at least."""
+    return max(3, (max(1, -(-size // per_range)) - 1).bit_length())
+
+
+def ranged(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes as tags that sort by range, the upper ``bits`` of the hash; up to 16 bits, the range and the lower 48 bits."""
+    return hashes if bits >= 16 else (hashes >> np.uint64(64 - bits) << np.uint64(48)) | (hashes & LOW48)
+
+
+def range_of(tags: np.ndarray, bits: int) -> np.ndarray:
+    return tags >> np.uint64(64 - bits if bits >= 16 else 48)

@@ -8,7 +8,13 @@ with its totals, a block sums scores per document.
 
 A block asks for an n-gram once, however many of its documents hold it, so a
 very common n-gram is no hot key, and what is shuffled follows the number of
-distinct n-grams by block. Ranges are as many as the text has ``RANGE`` bytes.
+distinct n-grams by block. Ranges are a power of two, of about ``RANGE`` bytes of
+text each, however much text there is.
+
+This is the join of exploded n-grams with count tables, its rows packed: a row
+of (block, order, range) stands for the sorted keys of all n-grams that they
+have in common. Keys travel as gaps and totals as byte planes, compressed; one
+row per n-gram would shuffle some ten times as much.
 
 The score of word i, with the longest context of at most ``order - 1`` words
 that its document has before it, is count(context word) / count(context) if
@@ -29,12 +35,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_shuffles, release, table
+from brindle.llm.common import LOW48, free_shuffles, packed, range_bits, range_of, ranged, release, table, unpacked
 
 BACKOFF = 0.4
 #: Bytes of text in a block, and behind one range of a count table.
 BLOCK, RANGE = 3 << 20, 16 << 20
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def micro(x) -> np.ndarray:
@@ -42,20 +47,10 @@ def micro(x) -> np.ndarray:
     return np.rint(1e6 * np.log(x)).astype(np.int64)
 
 
-def narrow(v: np.ndarray) -> bytes:
-    """Counts in two, four or eight bytes each, as the largest needs."""
-    top = int(v.max()) if len(v) else 0
-    return v.astype("<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8").tobytes()
-
-
-def widen(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{len(data) // n}").astype(np.int64)
-
-
 class Grams:
     """The n-grams of a block's documents: by order the distinct tags, sorted, their counts, and each word's place among them."""
 
-    def __init__(self, texts: list[bytes], order: int, parts: int):
+    def __init__(self, texts: list[bytes], order: int, bits: int):
         each = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in each], dtype=np.int64)
         total = int(self.sizes.sum())
@@ -70,8 +65,7 @@ class Grams:
                 older = np.append(np.zeros(k - 1, dtype=np.uint64), word[: max(0, total - k + 1)])[:total]
                 h = (h ^ (older * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))) * np.uint64(0xFF51AFD7ED558CCD)
                 h ^= h >> np.uint64(33)
-            part = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts)
-            tag = (part << np.uint64(48)) | (h & LOW48)
+            tag = ranged(h, bits)
             has = self.before >= k - 1
             tags, inverse, counts = np.unique(tag[has], return_inverse=True, return_counts=True)
             place = np.full(total, -1)
@@ -96,7 +90,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=1)
     ids, texts, size = [], [], 0
 
-    def packed() -> pd.DataFrame:
+    def block() -> pd.DataFrame:
         sizes = np.array([len(t) for t in texts], dtype="<u8").tobytes()
         return pd.DataFrame({"ids": [list(ids)], "sizes": [sizes], "texts": [pack.compress(b"".join(texts))]})
 
@@ -104,13 +98,13 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, text in zip(b["id"], b["text"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             if ids and size + len(data) > BLOCK:
-                yield packed()
+                yield block()
                 ids, texts, size = [], [], 0
             ids.append(key)
             texts.append(data)
             size += len(data)
     if ids:
-        yield packed()
+        yield block()
 
 
 def _texts(sizes: bytes, blob: bytes) -> list[bytes]:
@@ -119,44 +113,42 @@ def _texts(sizes: bytes, blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
 
-def _ask(batches: Iterator[pd.DataFrame], order: int, parts: int) -> Iterator[pd.DataFrame]:
-    """A block's distinct n-grams and counts, by range: (part, order, block, keys of six bytes, counts)."""
+def _ask(batches: Iterator[pd.DataFrame], order: int, bits: int) -> Iterator[pd.DataFrame]:
+    """A block's distinct n-grams and counts, by range: (part, order, block, number, gaps of the sorted tags, counts)."""
     for b in batches:
         for r in b.itertuples(index=False):
-            g = Grams(_texts(r.sizes, r.texts), order, parts)
+            g = Grams(_texts(r.sizes, r.texts), order, bits)
             for k in range(1, order + 1):
                 tags, counts, rows = g.tags[k - 1], g.counts[k - 1], []
-                which, at = np.unique(tags >> np.uint64(48), return_index=True)
+                which, at = np.unique(range_of(tags, bits), return_index=True)
                 for p, a, z in zip(which.tolist(), at, np.append(at, len(tags))[1:], strict=True):
-                    six = np.ascontiguousarray(tags[a:z].view(np.uint8).reshape(-1, 8)[:, :6])
-                    rows.append((p, k, r.block, six.tobytes(), narrow(counts[a:z])))
-                yield pd.DataFrame(rows, columns=["part", "k", "block", "keys", "counts"])
+                    gaps = np.diff(tags[a:z] & LOW48 if bits < 16 else tags[a:z], prepend=np.uint64(0))
+                    rows.append((p, k, r.block, int(z - a), packed(gaps), packed(counts[a:z])))
+                yield pd.DataFrame(rows, columns=["part", "k", "block", "n", "keys", "counts"])
 
 
 def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals of one range, for each block in the order of its keys."""
     out = []
     for k, mine in rows.groupby("k"):
-        counts = [widen(c, len(x) // 6) for c, x in zip(mine["counts"], mine["keys"], strict=True)]
-        keys = np.zeros((sum(len(c) for c in counts), 8), dtype=np.uint8)
-        keys[:, :6] = np.frombuffer(b"".join(mine["keys"]), dtype=np.uint8).reshape(-1, 6)
-        tags, inverse = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(tags)).astype(np.int64)[inverse]
-        at = np.cumsum([len(c) for c in counts])[:-1]
-        for block, t in zip(mine["block"], np.split(total, at), strict=True):
-            out.append((block, int(k), int(rows["part"].iloc[0]), narrow(t)))
-    return pd.DataFrame(out, columns=["block", "k", "part", "totals"])
-
-
-def _score(blocks: pd.DataFrame, answers: pd.DataFrame, order: int, parts: int, words: int) -> pd.DataFrame:
+        sizes = mine["n"].to_numpy()
+        tags = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint64) for x, n in zip(mine["keys"], sizes, strict=True)])
+        counts = np.concatenate([unpacked(x, n) for x, n in zip(mine["counts"], sizes, strict=True)]).astype(np.float64)
+        tags, inverse = np.unique(tags, return_inverse=True)
+        total = np.bincount(inverse, weights=counts, minlength=len(tags)).astype(np.uint64)[inverse]
+        for block, n, t in zip(mine["block"], sizes, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
+            out.append((block, int(k), int(rows["part"].iloc[0]), int(n), packed(t)))
+    return pd.DataFrame(out, columns=["block", "k", "part", "n", "totals"])
+
+
+def _score(blocks: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int, words: int) -> pd.DataFrame:
     r = blocks.iloc[0]
-    g = Grams(_texts(r["sizes"], r["texts"]), order, parts)
+    g = Grams(_texts(r["sizes"], r["texts"]), order, bits)
     answers = answers.sort_values(["k", "part"])
     left = []
     for k in range(1, order + 1):
-        sizes = np.unique(g.tags[k - 1] >> np.uint64(48), return_counts=True)[1]
-        parts_ = [widen(t, n) for t, n in zip(answers.loc[answers["k"] == k, "totals"], sizes, strict=True)]
-        total = np.concatenate([np.zeros(0, dtype=np.int64), *parts_])
+        mine = answers[answers["k"] == k]
+        total = np.concatenate([np.zeros(0, dtype=np.int64), *(unpacked(t, n).astype(np.int64) for t, n in zip(mine["totals"], mine["n"], strict=True))])
         count = np.zeros(len(g.doc), dtype=np.int64)
         has = g.place[k - 1] >= 0
         count[has] = total[g.place[k - 1][has]]
@@ -186,8 +178,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words and a score of 0. Rows that repeat are
     documents of their own. A null id stays null. In a corpus of one document
-    each word scores 1 / 1. An empty table gives an empty result. Other columns
-    are not read.
+    each word scores 1 / 1. A very long text is a block of its own, in one task.
+    An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -201,12 +193,12 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame({"n": [sum(len(t.split()) for t in ts) for ts in texts], "size": [sum(map(len, ts)) for ts in texts]})
 
     words, size = blocks.select("sizes", "texts").mapInPandas(sized, "n long, size long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    parts = int(min(max(8, -(-size // RANGE)), 1 << 16))
-    asked = blocks.select("block", "sizes", "texts").mapInPandas(lambda it: _ask(it, order, parts), "part int, k int, block long, keys binary, counts binary")
-    totals = asked.groupBy("part").applyInPandas(_add_up, "block long, k int, part int, totals binary")
+    bits = range_bits(size, RANGE)
+    asked = blocks.select("block", "sizes", "texts").mapInPandas(lambda it: _ask(it, order, bits), "part long, k int, block long, n long, keys binary, counts binary")
+    totals = asked.groupBy("part").applyInPandas(_add_up, "block long, k int, part long, n long, totals binary")
     totals = table(totals, "totals")
     free_shuffles(spark)
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(lambda b, t: _score(b, t, order, parts, words), "id string, n_words long, n_seen long, score_micro long")
+    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(lambda b, t: _score(b, t, order, bits, words), "id string, n_words long, n_seen long, score_micro long")
     scored = table(scored, "scores")
     release(totals, blocks)
     free_shuffles(spark)
