@@ -81,6 +81,17 @@ v AS (SELECT *, {COLLAPSE.format("ch", "x = ' ' OR")} AS ft, {COLLAPSE.format("c
 """
 
 
+def each(rows: DataFrame, found: str) -> DataFrame:
+    """A row per element ``m`` of the array ``found``. A filter that Spark infers for an inner explode, or pushes below a
+    projection, would compute the whole chain of forms again, for each name in it; it stops at an outer one."""
+    return rows.select("*", F.explode_outer(found).alias("m")).where("m is not null")
+
+
+def hits(rows: DataFrame, value) -> DataFrame:
+    """Rows where ``value`` (as ``m``) is not null, for the same reason."""
+    return each(rows.withColumn("_found", F.array(value)), "_found").drop("_found")
+
+
 def normalize_forms(spark, sf_dir):
     return forms(spark, sf_dir).select("player_id", "seq", "canonical", "deobfuscated", "compact", "collapsed")
 
@@ -110,21 +121,18 @@ def duration_formats(spark, sf_dir):
 
 
 def detect_length(spark, sf_dir):
-    m = document_messages(spark, sf_dir).withColumn("m", detectors.message_length(BASE))
-    return m.where("m is not null").select("player_id", "seq", "m.rule_id", "m.points", F.col("m.value").cast("long").alias("n"))
+    return hits(document_messages(spark, sf_dir), detectors.message_length(BASE)).select("player_id", "seq", "m.rule_id", "m.points", F.col("m.value").cast("long").alias("n"))
 
 
 def detect_caps(spark, sf_dir):
-    m = document_messages(spark, sf_dir).withColumn("m", detectors.caps(BASE))
-    return m.where("m is not null").select("player_id", "seq", "m.rule_id", "m.points")
+    return hits(document_messages(spark, sf_dir), detectors.caps(BASE)).select("player_id", "seq", "m.rule_id", "m.points")
 
 
 RUNS = BASE.with_rule("repeated_characters", maximum_repeated_letters=2, maximum_repeated_symbols=2)
 
 
 def detect_repeated_characters(spark, sf_dir):
-    m = document_messages(spark, sf_dir).withColumn("m", detectors.repeated_characters(RUNS))
-    return m.where("m is not null").select("player_id", "seq", "m.value")
+    return hits(document_messages(spark, sf_dir), detectors.repeated_characters(RUNS)).select("player_id", "seq", "m.value")
 
 
 def advertised(spark, sf_dir):
@@ -144,19 +152,19 @@ FRONTS = (
 
 def detect_advertising(spark, sf_dir):
     m = detectors.with_advertising(advertised(spark, sf_dir), BASE)
-    return m.select("player_id", "seq", F.explode("m_ads").alias("m")).select("player_id", "seq", "m.rule_id", "m.points", "m.value")
+    return each(m, "m_ads").select("player_id", "seq", "m.rule_id", "m.points", "m.value")
 
 
 def detect_ip(spark, sf_dir):
-    return advertised(spark, sf_dir).select("player_id", "seq", detectors.address(F.col("canonical")).alias("value")).where("value is not null")
+    return hits(advertised(spark, sf_dir), detectors.address(F.col("canonical"))).select("player_id", "seq", F.col("m").alias("value"))
 
 
 def detect_domain(spark, sf_dir):
-    return advertised(spark, sf_dir).select("player_id", "seq", detectors.domain(F.col("link_normalized"), ["example.org"]).alias("value")).where("value is not null")
+    return hits(advertised(spark, sf_dir), detectors.domain(F.col("link_normalized"), ["example.org"])).select("player_id", "seq", F.col("m").alias("value"))
 
 
 def detect_invite(spark, sf_dir):
-    return advertised(spark, sf_dir).select("player_id", "seq", detectors.invite(F.col("link_normalized")).alias("value")).where("value is not null")
+    return hits(advertised(spark, sf_dir), detectors.invite(F.col("link_normalized"))).select("player_id", "seq", F.col("m").alias("value"))
 
 
 def host_allowlist(spark, sf_dir):
@@ -165,13 +173,11 @@ def host_allowlist(spark, sf_dir):
 
 
 def duplicate_spam(spark, sf_dir):
-    m = detectors.with_history(forms(spark, sf_dir), BASE).withColumn("m", detectors.duplicate(BASE))
-    return m.where("m is not null").select("player_id", "seq", "m.rule_id", "m.value")
+    return hits(detectors.with_history(forms(spark, sf_dir), BASE), detectors.duplicate(BASE)).select("player_id", "seq", "m.rule_id", "m.value")
 
 
 def rapid_spam(spark, sf_dir):
-    m = detectors.with_history(forms(spark, sf_dir), BASE).withColumn("m", detectors.rapid(BASE))
-    return m.where("m is not null").select("player_id", "seq", "m.evidence", F.col("m.value").cast("long").alias("n"))
+    return hits(detectors.with_history(forms(spark, sf_dir), BASE), detectors.rapid(BASE)).select("player_id", "seq", "m.evidence", F.col("m.value").cast("long").alias("n"))
 
 
 def similarity_containment(spark, sf_dir):
@@ -183,7 +189,7 @@ def similarity_containment(spark, sf_dir):
 
 def similarity_spam(spark, sf_dir):
     m = detectors.similar_recent(detectors.with_history(forms(spark, sf_dir), BASE), BASE)
-    return m.where("similar is not null").select("player_id", "seq", "similar")
+    return hits(m, F.col("similar")).select("player_id", "seq", "similar")
 
 
 # --- filters ----------------------------------------------------------------------------------------------------------
@@ -192,7 +198,7 @@ def similarity_spam(spark, sf_dir):
 def _filtered(*chosen: Filter):
     def query(spark, sf_dir):
         m = filters.with_filters(forms(spark, sf_dir), replace(BASE, filters=chosen))
-        return m.select("player_id", "seq", F.explode("filtered").alias("m")).select("player_id", "seq", "m.rule_id", "m.value")
+        return each(m, "filtered").select("player_id", "seq", "m.rule_id", "m.value")
 
     return query
 
@@ -205,12 +211,12 @@ def filter_builtin_pattern(spark, sf_dir):
     m = document_messages(spark, sf_dir)
     m = m.withColumn("raw", F.when(F.col("seq") % 5 == 0, F.concat("raw", F.lit(" B.4.d w0rdz"), F.lit(" baddw0rds"))).otherwise(F.col("raw")))
     m = filters.with_filters(detectors.with_forms(m, BASE), replace(BASE, filters=(PATTERN,)))
-    return m.select("player_id", "seq", F.explode("filtered").alias("m")).select("player_id", "seq", "m.value")
+    return each(m, "filtered").select("player_id", "seq", "m.value")
 
 
 def filter_exceptions(spark, sf_dir):
     m = filters.with_filters(forms(spark, sf_dir), replace(BASE, filters=(FILTERS[8],)))
-    return m.select("player_id", "seq", F.explode("prevented").alias("p")).select("player_id", "seq", "p.rule_id", "p.exception")
+    return each(m, "prevented").select("player_id", "seq", "m.rule_id", "m.exception")
 
 
 # --- scores, actions, history -----------------------------------------------------------------------------------------
