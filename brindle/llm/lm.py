@@ -27,6 +27,7 @@ itself. Logarithms are rounded to millionths, whose sums do not depend on order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,9 @@ def micro(x) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of a block's documents: by order the distinct tags, sorted, their counts, and each word's place among them."""
+    """The n-grams of a block's documents: by order (from ``least``) the distinct tags, sorted, their counts, and each word's place among them."""
 
-    def __init__(self, texts: list[bytes], order: int, bits: int):
+    def __init__(self, texts: list[bytes], order: int, bits: int, least: int = 1):
         each = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in each], dtype=np.int64)
         total = int(self.sizes.sum())
@@ -65,6 +66,8 @@ class Grams:
                 older = np.append(np.zeros(k - 1, dtype=np.uint64), word[: max(0, total - k + 1)])[:total]
                 h = (h ^ (older * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))) * np.uint64(0xFF51AFD7ED558CCD)
                 h ^= h >> np.uint64(33)
+            if k < least:
+                continue
             tag = ranged(h, bits)
             has = self.before >= k - 1
             tags, inverse, counts = np.unique(tag[has], return_inverse=True, return_counts=True)
@@ -113,32 +116,28 @@ def _texts(sizes: bytes, blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
 
-def _ask(batches: Iterator[pd.DataFrame], order: int, bits: int) -> Iterator[pd.DataFrame]:
-    """A block's distinct n-grams and counts, by range: (part, order, block, number, gaps of the sorted tags, counts)."""
+def _ask(batches: Iterator[pd.DataFrame], k: int, bits: int) -> Iterator[pd.DataFrame]:
+    """A block's distinct n-grams of order k and counts, by range: (part, block, number, gaps of the sorted tags, counts)."""
     for b in batches:
         for r in b.itertuples(index=False):
-            g = Grams(_texts(r.sizes, r.texts), order, bits)
-            for k in range(1, order + 1):
-                tags, counts, rows = g.tags[k - 1], g.counts[k - 1], []
-                which, at = np.unique(range_of(tags, bits), return_index=True)
-                for p, a, z in zip(which.tolist(), at, np.append(at, len(tags))[1:], strict=True):
-                    gaps = np.diff(tags[a:z] & LOW48 if bits < 16 else tags[a:z], prepend=np.uint64(0))
-                    rows.append((p, k, r.block, int(z - a), packed(gaps), packed(counts[a:z])))
-                yield pd.DataFrame(rows, columns=["part", "k", "block", "n", "keys", "counts"])
+            g = Grams(_texts(r.sizes, r.texts), k, bits, least=k)
+            tags, counts, rows = g.tags[0], g.counts[0], []
+            which, at = np.unique(range_of(tags, bits), return_index=True)
+            for p, a, z in zip(which.tolist(), at, np.append(at, len(tags))[1:], strict=True):
+                gaps = np.diff(tags[a:z] & LOW48 if bits < 16 else tags[a:z], prepend=np.uint64(0))
+                rows.append((p, r.block, int(z - a), packed(gaps), packed(counts[a:z])))
+            yield pd.DataFrame(rows, columns=["part", "block", "n", "keys", "counts"])
 
 
-def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+def _add_up(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """Totals of one range, for each block in the order of its keys."""
-    out = []
-    for k, mine in rows.groupby("k"):
-        sizes = mine["n"].to_numpy()
-        tags = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint64) for x, n in zip(mine["keys"], sizes, strict=True)])
-        counts = np.concatenate([unpacked(x, n) for x, n in zip(mine["counts"], sizes, strict=True)]).astype(np.float64)
-        tags, inverse = np.unique(tags, return_inverse=True)
-        total = np.bincount(inverse, weights=counts, minlength=len(tags)).astype(np.uint64)[inverse]
-        for block, n, t in zip(mine["block"], sizes, np.split(total, np.cumsum(sizes)[:-1]), strict=True):
-            out.append((block, int(k), int(rows["part"].iloc[0]), int(n), packed(t)))
-    return pd.DataFrame(out, columns=["block", "k", "part", "n", "totals"])
+    sizes = rows["n"].to_numpy()
+    tags = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint64) for x, n in zip(rows["keys"], sizes, strict=True)])
+    counts = np.concatenate([unpacked(x, n) for x, n in zip(rows["counts"], sizes, strict=True)]).astype(np.float64)
+    tags, inverse = np.unique(tags, return_inverse=True)
+    total = np.bincount(inverse, weights=counts, minlength=len(tags)).astype(np.uint64)[inverse]
+    each = zip(rows["block"], sizes, np.split(total, np.cumsum(sizes)[:-1]), strict=True)
+    return pd.DataFrame([(block, k, int(rows["part"].iloc[0]), int(n), packed(t)) for block, n, t in each], columns=["block", "k", "part", "n", "totals"])
 
 
 def _score(blocks: pd.DataFrame, answers: pd.DataFrame, order: int, bits: int, words: int) -> pd.DataFrame:
@@ -194,13 +193,19 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     words, size = blocks.select("sizes", "texts").mapInPandas(sized, "n long, size long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = range_bits(size, RANGE)
-    asked = blocks.select("block", "sizes", "texts").mapInPandas(lambda it: _ask(it, order, bits), "part long, k int, block long, n long, keys binary, counts binary")
-    totals = asked.groupBy("part").applyInPandas(_add_up, "block long, k int, part long, n long, totals binary")
-    totals = table(totals, "totals")
-    free_shuffles(spark)
+
+    def summed(k: int) -> DataFrame:
+        """The totals that each block asked for, of one order: what is shuffled of an order goes before the next comes."""
+        asked = blocks.select("block", "sizes", "texts").mapInPandas(lambda it: _ask(it, k, bits), "part long, block long, n long, keys binary, counts binary")
+        out = table(asked.groupBy("part").applyInPandas(lambda rows: _add_up(rows, k), "block long, k int, part long, n long, totals binary"), "totals")
+        free_shuffles(spark)
+        return out
+
+    tables = [summed(k) for k in range(1, order + 1)]
+    totals = reduce(DataFrame.unionByName, tables)
     scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(lambda b, t: _score(b, t, order, bits, words), "id string, n_words long, n_seen long, score_micro long")
     scored = table(scored, "scores")
-    release(totals, blocks)
+    release(*tables, blocks)
     free_shuffles(spark)
     mean = F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words"))
     return scored.select(F.col("id").cast("long").alias(id_col), "n_words", "n_seen", "score_micro", mean.alias("mean_score"))
