@@ -55,6 +55,33 @@ def most_entries(evaluated: DataFrame, now: Column, decay_seconds: int) -> DataF
     return counts.agg(F.coalesce(F.max("count"), F.lit(0)).alias("most_entries"))
 
 
+def active_page(entries: DataFrame, states: DataFrame, now: Column, number: Column, size: int = 6) -> DataFrame:
+    """A page of each player's active score entries (player_id, rule_id, points, created, expires), newest first, with the
+    total score, the mute that stands (muted_until: null for ever) and the thresholds crossed of ``states``."""
+    by = Window.partitionBy("player_id")
+    live = entries.where(F.col("expires") > now)
+    place = F.row_number().over(by.orderBy(F.col("created").desc(), "rule_id"))
+    out = page(live.withColumns({"place": place, "score": F.sum("points").over(by)}), number, size, clamp=True)
+    out = out.join(states.select("player_id", "muted", "muted_until", "crossed"), "player_id", "left")
+    stands = F.coalesce(F.col("muted") & (F.col("muted_until").isNull() | (F.col("muted_until") > now)), F.lit(False))
+    return out.withColumns({"muted": stands, "muted_until": F.when(stands, F.col("muted_until")), "crossed": F.array_sort(F.coalesce("crossed", F.array().cast("array<bigint>")))})
+
+
+def crossed(after: Column, thresholds) -> Column:
+    """The thresholds that a score has reached, ascending."""
+    return F.filter(F.array(*[F.lit(t) for t in sorted(thresholds)]).cast("array<bigint>"), lambda t: t <= after)
+
+
+def preview(values: Column, most: int = 20) -> Column:
+    """What a preview shows of matches, prevented matches or actions."""
+    return F.slice(values, 1, most)
+
+
+def status(players: DataFrame, config) -> DataFrame:
+    """One row: players tracked, filters active."""
+    return players.agg(F.count_distinct("player_id").alias("tracked_players")).withColumn("active_filters", F.lit(sum(f.rule.enabled for f in config.filters)))
+
+
 def suggest_names(players: DataFrame, prefix: str) -> DataFrame:
     """Distinct non-blank names with a prefix, case aside, in case-free order."""
     names = players.select("name").where(F.trim("name") != "").distinct()
@@ -62,5 +89,20 @@ def suggest_names(players: DataFrame, prefix: str) -> DataFrame:
 
 
 def evict_oldest(players: DataFrame, n: int = 1) -> DataFrame:
-    """The ``n`` players to evict: not durable, longest idle, then by id."""
-    return players.where("not durable").orderBy("last_activity", "player_id").limit(n)
+    """The ``n`` players to evict: not durable, longest idle, then by id as text."""
+    return players.where("not durable").orderBy("last_activity", F.col("player_id").cast("string")).limit(n)
+
+
+def admitted(players: DataFrame, arriving: DataFrame, most: int) -> DataFrame:
+    """Which of ``arriving`` (player_id, ts) are admitted where at most ``most`` players (player_id, last_activity, durable) are tracked.
+
+    Known players are. New ones take the free places in order of arrival, then
+    those of players that may be evicted; the others are refused, which blocks
+    their message. Ranks are over the new players and the places alone.
+    """
+    counts = players.agg(F.count(F.lit(1)).alias("tracked"), F.count_if(~F.col("durable")).alias("spare"))
+    new = arriving.groupBy("player_id").agg(F.min("ts").alias("ts")).join(players.select("player_id"), "player_id", "left_anti")
+    new = new.withColumn("place", F.row_number().over(Window.orderBy("ts", F.col("player_id").cast("string"))))
+    new = new.join(F.broadcast(counts)).withColumn("admitted", F.col("place") <= F.greatest(F.lit(most) - F.col("tracked"), F.lit(0)) + F.col("spare"))
+    known = arriving.select("player_id").distinct().join(players.select("player_id"), "player_id", "left_semi")
+    return known.withColumn("admitted", F.lit(True)).unionByName(new.select("player_id", "admitted"))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 #: Permission node: categories that it lets pass.
 BYPASS = {
     "bypass.spam": ("SPAM", "DUPLICATE", "SIMILARITY", "FLOODING"),
-    "bypass.advertising": ("ADVERTISING",),
     "bypass.filters": ("FILTERED_CONTENT",),
+    "bypass.advertising": ("ADVERTISING",),
+    "bypass.security": ("SECURITY",),
 }
 
 
@@ -26,22 +27,37 @@ def permission(requests: DataFrame, explicit: DataFrame, level: int, fallback: b
     return out.withColumns({"allowed": F.coalesce("explicit", op), "origin": F.when(F.col("explicit").isNotNull(), "PROVIDER").when(op, "OPERATOR").otherwise("DENIED")}).drop("explicit")
 
 
-def bypass(granted: DataFrame) -> DataFrame:
-    """(player_id, node) grants to (player_id, bypass_all, bypass)."""
-    cats = F.lit(None).cast("array<string>")
-    for node, names in BYPASS.items():
-        cats = F.when(F.col("node") == node, F.array(*[F.lit(n) for n in names])).otherwise(cats)
-    by = granted.select("player_id", (F.col("node") == "bypass.all").alias("a"), F.coalesce(cats, F.array().cast("array<string>")).alias("c")).groupBy("player_id")
-    return by.agg(F.bool_or("a").alias("bypass_all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("c")))).alias("bypass"))
+def bypass(players: DataFrame, explicit: DataFrame, level: int = 4, operators: bool = False) -> DataFrame:
+    """(player_id, operator_level) and explicit (player_id, node, value) to (player_id, bypass_all, bypass).
+
+    A node holds by its explicit value (of several a denial wins), else for
+    operators of the level, if they bypass at all. ``bypass`` is empty where
+    everything is bypassed.
+    """
+    nodes = ("bypass.all", *BYPASS)
+    said = explicit.groupBy("player_id").agg(*[F.min(F.when(F.col("node") == n, F.col("value"))).alias(n) for n in nodes])
+    out = players.join(said, "player_id", "left")
+    op = F.lit(operators) & (F.coalesce("operator_level", F.lit(0)) >= level)
+    holds = lambda n: F.coalesce(F.col(f"`{n}`"), op)
+    none = F.array().cast("array<string>")
+    cats = F.flatten(F.array(*[F.when(holds(n), F.array(*[F.lit(c) for c in c_])).otherwise(none) for n, c_ in BYPASS.items()]))
+    return out.select("player_id", holds("bypass.all").alias("bypass_all"), F.when(holds("bypass.all"), none).otherwise(F.array_sort(cats)).alias("bypass"))
 
 
-def target(queries: DataFrame, online: DataFrame, known: DataFrame) -> DataFrame:
-    """(q): a player by online name, else by id, else by the last known name, case aside."""
-    by_name = online.groupBy(F.col("name").alias("q")).agg(F.min("player_id").alias("by_name"))
-    by_id = known.select(F.col("player_id").cast("string").alias("q"), F.col("player_id").alias("by_id")).distinct()
-    by_known = known.groupBy(F.lower("name").alias("_q")).agg(F.min("player_id").alias("by_known"))
-    out = queries.join(by_name, "q", "left").join(by_id, "q", "left").withColumn("_q", F.lower("q")).join(by_known, "_q", "left")
-    return out.select("q", F.coalesce("by_name", "by_id", "by_known").alias("player_id"))
+#: How an identifier is written.
+UUID = r"(?i)^[0-9a-f]{1,8}(-[0-9a-f]{1,4}){3}-[0-9a-f]{1,12}$"
+
+
+def target(queries: DataFrame, online: DataFrame, known: DataFrame, id_pattern: str = UUID) -> DataFrame:
+    """(q): a player by online name, else by id, known or not, else by the last known name, case aside; and their name."""
+    first = lambda rows, key, as_: rows.groupBy(key.alias("_k")).agg(F.min(F.struct("player_id", "name")).alias(as_))
+    out = queries.withColumn("_k", F.col("q")).join(first(online, F.col("name"), "live"), "_k", "left")
+    out = out.join(first(known, F.col("player_id").cast("string"), "stored"), "_k", "left").withColumn("_k", F.lower("q")).join(first(known, F.lower("name"), "last"), "_k", "left")
+    is_id = F.rlike("q", F.lit(id_pattern))
+    player = F.coalesce(F.col("live.player_id").cast("string"), F.when(is_id, F.col("q")), F.col("last.player_id").cast("string"))
+    stored = F.when(F.trim("stored.name") != "", F.col("stored.name"))
+    name = F.coalesce(F.col("live.name"), F.when(is_id, F.coalesce(stored, F.col("q"))), F.col("last.name"))
+    return out.select("q", player.alias("player_id"), name.alias("name"))
 
 
 def muted(messages: DataFrame, mutes: DataFrame, how: str = "left_anti") -> DataFrame:
@@ -52,10 +68,18 @@ def muted(messages: DataFrame, mutes: DataFrame, how: str = "left_anti") -> Data
     return messages.join(m, inside, how)
 
 
-def alert_recipients(alerts: DataFrame, staff: DataFrame) -> DataFrame:
-    """Every alert to everyone online who may see alerts; the original only to those who may inspect, if configured."""
-    to = staff.where("online and alerts").select(F.col("player_id").alias("recipient"), "inspect")
-    out = alerts.crossJoin(to)
+def alert_recipients(alerts: DataFrame, staff: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every alert to everyone online who may see alerts; the original only to those who may inspect, if configured.
+
+    What comes out is a row per alert and recipient by nature. The recipients
+    are one array, of checked size, that goes along with the alerts.
+    """
+    to = staff.where("online and alerts").select("player_id", "inspect")
+    n = to.count()
+    if n > most:
+        raise ValueError(f"{n} recipients of alerts, where {most} are the most")
+    who = to.agg(F.array_sort(F.collect_list(F.struct(F.col("player_id").alias("recipient"), "inspect"))).alias("_who"))
+    out = alerts.join(F.broadcast(who)).select("*", F.explode("_who").alias("_to")).select(*alerts.columns, "_to.recipient", "_to.inspect")
     return out.withColumn("original", F.when(F.col("inspect") & F.col("show_original"), F.col("original"))).drop("inspect", "show_original")
 
 

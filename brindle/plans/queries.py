@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import plain, similarity, text
-from brindle.operators import cases, detectors, filters, history, lookups
+from brindle.operators import detectors, filters, history, lookups
 from brindle.plans import windowed
 from brindle.plans.config import FILTER_LEET, LEET, LOOKALIKE, Action, Config, Filter, Rule, default_config, normal_term
 from brindle.sources.messages import MESSAGES_SQL, conversation_messages, document_messages, read
@@ -132,6 +132,14 @@ RUNS = BASE.with_rule("repeated_characters", maximum_repeated_letters=2, maximum
 
 
 def detect_repeated_characters(spark, sf_dir):
+    """At the default limits, over lines to which some add runs of symbols at the limit and beyond."""
+    m = document_messages(spark, sf_dir)
+    m = m.withColumn("raw", F.when(F.col("seq") % 6 == 1, F.concat("raw", F.lit(" ========"))).when(F.col("seq") % 6 == 2, F.concat("raw", F.lit(" ==========!"))).otherwise(F.col("raw")))
+    return hits(m, detectors.repeated_characters(BASE)).select("player_id", "seq", "m.value")
+
+
+def detect_short_runs(spark, sf_dir):
+    """At limits of two."""
     return hits(document_messages(spark, sf_dir), detectors.repeated_characters(RUNS)).select("player_id", "seq", "m.value")
 
 
@@ -344,21 +352,6 @@ def lookup_permission(spark, sf_dir):
     return lookups.permission(asked, given, 3).select("player_id", "allowed", "origin")
 
 
-def case_lifecycle(spark, sf_dir):
-    """Each user's first signup opens a case for 30 days; later events click on it."""
-    e = events(spark, sf_dir)
-    opened = e.where("event_type = 'signup'").groupBy(F.col("user_id").alias("case_id")).agg(F.min("ts").alias("opened_at"))
-    opened = opened.withColumn("expires_at", F.col("opened_at") + F.make_dt_interval(days=F.lit(3)))
-    kind = F.col("event_type")
-    clicks = e.where("event_type <> 'view'").select(
-        F.col("user_id").alias("case_id"), "ts", F.col("event_id").alias("seq"), F.col("event_id").alias("user_id"),
-        F.when(kind == "purchase", "BAN").otherwise("DISMISS").alias("action"),
-        F.when(kind == "click", "retry").when(kind == "error", "failed").otherwise("ok").alias("outcome"),
-    )
-    done = cases.lifecycle(opened, clicks, F.lit("2030-01-01").cast("timestamp"))
-    return done.select("case_id", "status", "claimed_by", "attempts")
-
-
 def tier_s_evaluate(spark, sf_dir):
     """The flagship slice by the stateful tier."""
     e = processor.evaluate(document_messages(spark, sf_dir), SLICE)
@@ -380,10 +373,10 @@ def audit_daily_counts(spark, sf_dir):
 QUERIES = {
     q.__name__: q
     for q in (
-        moderate_slice, normalize_forms, filter_text_forms, link_forms, text_bounds, duration_formats, detect_length, detect_caps, detect_repeated_characters, detect_advertising, detect_ip, detect_domain, detect_invite,
+        moderate_slice, normalize_forms, filter_text_forms, link_forms, text_bounds, duration_formats, detect_length, detect_caps, detect_repeated_characters, detect_short_runs, detect_advertising, detect_ip, detect_domain, detect_invite,
         host_allowlist, duplicate_spam, rapid_spam, similarity_containment, similarity_spam, filter_builtin_pattern, filter_exceptions, match_union, rule_counts, category_severity_rollup, score_transition,
         threshold_crossing, point_cap, action_plan, decision_summary, template_expand, violation_history, history_page, history_page_core, history_retention, active_violations, max_score_entries, mute_gate, bypass_filter,
-        suggest_names, lookup_permission, case_lifecycle, tier_s_evaluate, auto_mute_feedback, audit_daily_counts,
+        suggest_names, lookup_permission, tier_s_evaluate, auto_mute_feedback, audit_daily_counts,
     )
 }
 QUERIES |= {f"filter_{f.mode.lower()}": _filtered(f) for f in FILTERS[:8]}

@@ -10,11 +10,12 @@ order of (ts, seq); a stream must deliver them so across batches.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -34,36 +35,79 @@ def _matches(text: str | None) -> list[dict[str, Any]]:
     return out
 
 
+def _report(player: str, got: dict) -> tuple:
+    return (player, got["seq"], got["ts"], got["decision"], got["rule_ids"], got["points_before"], got["points_added"], got["points_after"], got["threshold_crossed"], got["actions"])
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in REPORT.split(", ")])
+    frame["threshold_crossed"] = frame["threshold_crossed"].astype("Int64")
+    return frame
+
+
+def _message(r: Any) -> dict[str, Any]:
+    return {"ts": int(r.ts_us), "seq": int(r.seq), "canonical": r.canonical, "deobfuscated": r.deobfuscated, "first": _matches(r.first), "last": _matches(r.last)}
+
+
+def folded(state: dict, todo: pd.DataFrame, config: Config) -> tuple[dict, list[dict]]:
+    """The state after rows in the order of (ts, seq), and the reports of the messages among them.
+
+    A control event that is not valid changes nothing: it must not stop the others.
+    """
+    out = []
+    for r in todo.sort_values(["ts_us", "seq"], kind="stable").itertuples(index=False):
+        if r.control:
+            try:
+                state = fold.control(state, {"ts": int(r.ts_us), "seq": int(r.seq), **json.loads(r.control)}, config)
+            except (ValueError, KeyError, TypeError) as e:
+                logging.getLogger(__name__).warning("control event %s of player left out: %s", r.seq, e)
+            continue
+        state, got = fold.evaluate(state, _message(r), config)
+        out.append(got)
+    return state, out
+
+
 class Moderator(StatefulProcessor):
-    """Folds a player's messages and control events into reports."""
+    """Folds a player's messages and control events into reports; with timers, forgets players after their idle time."""
 
-    def __init__(self, config: Config):
-        self.config = config
+    def __init__(self, config: Config, timers: bool = False):
+        self.config, self.timers = config, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", StructType([StructField("json", StringType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else fold.new_state()
-        todo = pd.concat(list(rows)).sort_values(["ts_us", "seq"], kind="stable")
-        out = []
-        for r in todo.itertuples(index=False):
-            if r.control:
-                state = fold.control(state, {"ts": int(r.ts_us), "seq": int(r.seq), **json.loads(r.control)}, self.config)
-                continue
-            message = {"ts": int(r.ts_us), "seq": int(r.seq), "canonical": r.canonical, "deobfuscated": r.deobfuscated, "first": _matches(r.first), "last": _matches(r.last)}
-            state, got = fold.evaluate(state, message, self.config)
-            out.append((key[0], got["seq"], got["ts"], got["decision"], got["rule_ids"], got["points_before"], got["points_added"], got["points_after"], got["threshold_crossed"], got["actions"]))
+    def _load(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else fold.new_state()
+
+    def _keep(self, state: dict) -> None:
         self.state.update((json.dumps(state, ensure_ascii=False),))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
-        frame["threshold_crossed"] = frame["threshold_crossed"].astype("Int64")
-        yield frame
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._keep(json.loads(initialState["state"].iloc[0]))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state, out = folded(self._load(), pd.concat(list(rows)), self.config)
+        self._keep(state)
+        if self.timers and state["active"] is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer((state["active"] + fold.idle(self.config)) // 1_000 + 1)
+        yield _frame([_report(key[0], got) for got in out])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = fold.pruned(self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1_000, self.config) if self.state.exists() else None
+        if state is None:
+            self.state.clear()
+        else:
+            self._keep(state)
+        yield _frame([])
 
     def close(self) -> None:
         pass
 
 
-def prepared(messages: DataFrame, config: Config) -> DataFrame:
+def prepared(messages: DataFrame, config: Config, with_time: bool = False) -> DataFrame:
     """Messages (player_id, seq, ts, raw, optional control: JSON of a staff event) with forms and stateless matches."""
     if "control" not in messages.columns:
         messages = messages.withColumn("control", F.lit(None).cast("string"))
@@ -71,13 +115,62 @@ def prepared(messages: DataFrame, config: Config) -> DataFrame:
     first = F.array_compact(F.array("m_length", "m_caps", "m_runs")).cast(f"array<{MATCH}>")
     return out.select(
         F.col("player_id").cast("string").alias("player_id"), F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("ts_us"), "canonical", "deobfuscated",
-        F.to_json(first).alias("first"), F.to_json(F.concat("filtered", "m_ads")).alias("last"), "control",
+        F.to_json(first).alias("first"), F.to_json(F.concat("filtered", "m_ads")).alias("last"), "control", *(["ts"] if with_time else []),
     )
 
 
-def evaluate(messages: DataFrame, config: Config) -> DataFrame:
-    """Reports of all messages, batch or streaming, by the state that earlier ones left."""
-    spark = messages.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def evaluate(messages: DataFrame, config: Config, initial: DataFrame | None = None, timers: bool = False) -> DataFrame:
+    """Reports of all messages, batch or streaming, by the state that earlier ones left.
+
+    ``initial`` (player_id, state: JSON) is where players start, as from a
+    snapshot. With ``timers``, for streams whose ``ts`` has a watermark, a player
+    is pruned once the watermark passes the end of the idle time; without them
+    state grows with the number of players ever seen. The session must keep
+    streaming state in RocksDB (:func:`stateful`).
+    """
+    stateful(messages.sparkSession)
+    rows = prepared(messages, config, timers)
+    first = None if initial is None else initial.select(F.col("player_id").cast("string").alias("player_id"), "state").groupBy("player_id")
+    return rows.groupBy("player_id").transformWithStateInPandas(Moderator(config, timers), outputStructType=REPORT, outputMode="Update", timeMode="EventTime" if timers else "None", initialState=first)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stateful(spark: SparkSession) -> None:
+    """Sets the session up for keyed state, where it does not name another provider than Spark's default."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key).endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKS)
     _ = spark.streams.active  # starts the coordinator of state stores, which batch queries need too
-    return prepared(messages, config).groupBy("player_id").transformWithStateInPandas(Moderator(config), outputStructType=REPORT, outputMode="Update", timeMode="None")
+
+
+def states(messages: DataFrame, config: Config) -> DataFrame:
+    """(player_id, state: JSON) after all messages, in one batch: a player's rows are folded in one task."""
+
+    def last(rows: pd.DataFrame) -> pd.DataFrame:
+        state, _ = folded(fold.new_state(), rows, config)
+        return pd.DataFrame({"player_id": [rows["player_id"].iloc[0]], "state": [json.dumps(state, ensure_ascii=False)]})
+
+    return prepared(messages, config).groupBy("player_id").applyInPandas(last, "player_id string, state string")
+
+
+def preview(messages: DataFrame, kept: DataFrame, config: Config) -> DataFrame:
+    """Reports that messages would have, each by its player's state in ``kept`` (player_id, state); nothing is written back."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield _frame([_report(r.player_id, fold.preview(json.loads(r.state) if isinstance(r.state, str) else None, _message(r), config)) for r in b.itertuples(index=False)])
+
+    return prepared(messages, config).join(kept.select("player_id", "state"), "player_id", "left").mapInPandas(look, REPORT)
+
+
+def prune(kept: DataFrame, now_us: int, config: Config) -> DataFrame:
+    """States (player_id, state) without what has expired by ``now_us``, and without players of whom nothing is left."""
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            left = [(p, fold.pruned(json.loads(s), now_us, config)) for p, s in zip(b["player_id"], b["state"], strict=True)]
+            yield pd.DataFrame([(p, json.dumps(s, ensure_ascii=False)) for p, s in left if s is not None], columns=["player_id", "state"])
+
+    return kept.select("player_id", "state").mapInPandas(rest, "player_id string, state string")
