@@ -3,8 +3,10 @@
 Documents of equal text are linked. Every document starts in a shard drawn from
 its identifier; iterative joins then move linked documents to the shard in
 which most of their neighbours are, as far as that shard's quota of bytes
-allows, until nothing moves; unlinked documents fill what is left, large ones
-first, so that sizes end even (the law is ``bytes``) while few links are cut.
+allows, until nothing moves or ``rounds`` have passed; shards above an even
+share then give up whole texts to those below; unlinked documents fill what is left,
+large ones first, so that sizes end even (the law is ``bytes``) while few links
+are cut.
 
 Links are never listed: equal texts have equal sizes and are interchangeable, so
 the state is a row per (text, shard) with a count, at most ``shards`` rows for a
@@ -22,6 +24,9 @@ from brindle.llm.common import hex_digits, release, running_total, table
 #: Size classes (lower bounds, bytes) in which unlinked documents are placed; the small ones even out the rest.
 CLASSES = (1 << 20, 1 << 17, 1 << 15, 1 << 13, 1 << 11, 1 << 9, 0)
 
+#: Quota of a shard while labels propagate, in even shares: without room to spare few texts could meet. What is above one share is drained.
+SLACK = 1.5
+
 
 def _loads(state: DataFrame, shards: int, size: str) -> list[int]:
     got = {r[0]: int(r[1]) for r in state.groupBy("shard").agg(F.sum(size)).collect()}
@@ -51,7 +56,7 @@ def _by_interval(quota: list[int], at: Column) -> Column:
 
 
 def propagate(state: DataFrame, capacity: int, shards: int, rounds: int) -> DataFrame:
-    """Moves ``state`` (key, tick, size, shard, n) towards fewer cut links under ``capacity`` bytes a shard."""
+    """Moves ``state`` (key, tick, size, shard, n) towards fewer cut links under ``capacity`` bytes a shard, for ``rounds`` at most."""
     for _ in range(rounds):
         loads = _loads(state.withColumn("bytes", F.col("n") * F.col("size")), shards, "bytes")
         room = [max(0, capacity - x) for x in loads]
@@ -85,12 +90,53 @@ def propagate(state: DataFrame, capacity: int, shards: int, rounds: int) -> Data
     return state
 
 
+def drain(state: DataFrame, capacity: int, shards: int) -> DataFrame:
+    """Moves what shards hold beyond ``capacity`` bytes into the lowest of the others.
+
+    A shard gives up whole texts, as far as they cover its excess; they queue,
+    and the room below the common level, shard by shard, cuts the queue. So only
+    texts at the ends of a room are split, and no shard ends above ``capacity``
+    by more than about a document.
+    """
+    loads = _loads(state.withColumn("bytes", F.col("n") * F.col("size")), shards, "bytes")
+    excess = [max(0, x - capacity) for x in loads]
+    if not any(excess):
+        return state
+    over = F.array(*[F.lit(x) for x in excess])
+    full = table(state.where(F.get(over, "shard") > 0).withColumn("bytes", F.col("n") * F.col("size")), "full")
+    queued = running_total(full, ["shard"], ["tick", "key"], "bytes", "before", hex_digits(full.count()))
+    # As many documents as begin before the excess ends; half a document is left, not moved.
+    need = F.floor((F.get(over, "shard") - F.col("before")) / F.col("size") + F.lit(0.5))
+    taken = F.least(F.greatest(need, F.lit(0)), F.col("n")).cast("long")
+    moved = table(queued.withColumn("taken", taken).where("taken > 0").select("key", "tick", "size", "shard", "taken", F.lit("all").alias("all"), (F.col("taken") * F.col("size")).alias("bytes")), "moved")
+    gone = _loads(moved, shards, "bytes")
+    room = level([a - b for a, b in zip(loads, gone, strict=True)], sum(gone))
+    pool = running_total(moved, ["all"], ["tick", "key", "shard"], "bytes", "at", hex_digits(moved.count()))
+    ends, end = [], 0
+    for s in (s for s in range(shards) if room[s]):
+        ends.append((s, end, end + room[s]))
+        end += room[s]
+    # Documents whose middle is before a place in the queue.
+    upto = lambda x: F.least(F.greatest(F.floor((F.lit(x) - F.col("at")) / F.col("size") + F.lit(0.5)), F.lit(0)), F.col("taken")).cast("long")
+    if not ends:
+        return state
+    last = ends[-1][0]
+    parts = F.array(*[F.struct(F.lit(s).alias("to"), ((F.col("taken") if s == last else upto(z)) - upto(a)).alias("m")) for s, a, z in ends])
+    into = pool.select("key", "tick", "size", F.explode(F.filter(parts, lambda x: x["m"] > 0)).alias("x")).select("key", "tick", "size", F.col("x.to").alias("shard"), F.col("x.m").alias("n"))
+    out = moved.select("key", "tick", "size", "shard", (-F.col("taken")).alias("n"))
+    new = state.unionByName(out).unionByName(into).groupBy("key", "tick", "size", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+    new = table(new, "labels")
+    release(full, moved)
+    return new
+
+
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 30) -> DataFrame:
     """One row per row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size is the bytes of the text plus 8; a null text has none and is linked
     with empty ones. Slots number a shard's rows without gaps. Rows that repeat,
-    or whose identifier is null, are rows of their own. The law ``bytes`` does
+    or whose identifier is null, are rows of their own. A very long text is one
+    size. The law ``bytes`` does
     not fix a document's place in a larger layout: grown_shard is null. An
     empty table gives an empty result. Other columns are not read.
     """
@@ -112,7 +158,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     first = F.pmod(F.xxhash64("tick"), F.lit(shards)).cast("int")
     state = rows.withColumn("shard", first).groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")).join(linked.select("key", "size"), "key")
     state = table(state.select("key", F.col("key").alias("tick"), "size", "shard", "n"), "labels")
-    state = propagate(state, capacity, shards, rounds)
+    state = drain(propagate(state, int(capacity * SLACK), shards, rounds), capacity, shards)
 
     # A text's documents, ranked, fill its shards in order.
     ends = F.array_sort(F.collect_list(F.struct("shard", "n")))
