@@ -26,14 +26,29 @@ def boundary_regex(term: str) -> str:
     return EDGE[0] + re.escape(term) + EDGE[1]
 
 
+#: Tokens that a window joins at most.
+WINDOW = 32
+
+
+def _window_body(target: str) -> str:
+    runs = [(c, len(list(g))) for c, g in itertools.groupby(target)]
+    return " ?".join(f"{re.escape(c)}(?: ?{re.escape(c)}){{{n - 1},{max(2, n) - 1}}}" for c, n in runs)
+
+
 def window_regex(term: str) -> str:
     """The token-window expression of a term, or one that matches nothing for a term without letters."""
     target = plain.compact(term)
-    if not target:
-        return "(?!)"
-    runs = [(c, len(list(g))) for c, g in itertools.groupby(target)]
-    parts = [f"{re.escape(c)}(?: ?{re.escape(c)}){{{n - 1},{max(2, n) - 1}}}" for c, n in runs]
-    return "(?:^|(?<= ))" + " ?".join(parts) + "(?= |$)"
+    return "(?:^|(?<= ))" + _window_body(target) + "(?= |$)" if target else "(?!)"
+
+
+def window_matches(normalized: Column, term: str) -> Column:
+    """Whether consecutive tokens, ``WINDOW`` at most, join to the term. Only terms of more letters than half of that can need more."""
+    target = plain.compact(term)
+    found = F.rlike(normalized, F.lit(window_regex(term)))
+    if 2 * len(target) <= WINDOW:
+        return found
+    short = lambda t, i: F.rlike(F.array_join(F.slice(t, i, WINDOW), " "), F.lit("^" + _window_body(target) + "(?= |$)"))
+    return found & let(text.tokens(normalized), lambda t: F.exists(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: short(t, i)))
 
 
 def term_matches(normalized: Column, compacted: Column, term: str, mode: str) -> Column:
@@ -41,7 +56,7 @@ def term_matches(normalized: Column, compacted: Column, term: str, mode: str) ->
         return F.contains(normalized, F.lit(term))
     if mode == "COMPACT":
         return F.contains(compacted, F.lit(term))
-    window = F.rlike(normalized, F.lit(window_regex(term)))
+    window = window_matches(normalized, term)
     if mode in ("COMPACT_WORD", "COMPACT_PHRASE"):
         return window
     boundary = F.rlike(normalized, F.lit(boundary_regex(term)))

@@ -7,6 +7,7 @@ values go into plans as literals.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
@@ -459,3 +460,110 @@ def migrate_pack(text: str, required: Mapping[str, list[str]], marker: str) -> s
     for rule in pack.get("rules", []):
         rule["terms"] = list(dict.fromkeys([*rule.get("terms", []), *required.get(rule.get("id"), [])]))
     return json.dumps(pack | {"migrations": [*pack.get("migrations", []), marker]}, ensure_ascii=False)
+
+
+def read_packs(folder: str) -> dict[str, str]:
+    """The texts of a folder's packs by file name, in order; global exceptions are no pack. ValueError for an unsafe name."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if not name.endswith(".json") or name == "exceptions.json" or not os.path.isfile(path):
+            continue
+        if not re.fullmatch(r"[a-z0-9][a-z0-9_-]{0,63}", name.removesuffix(".json")):
+            raise ValueError(f"invalid name of a filter pack: {name}")
+        with open(path, encoding="utf-8") as f:
+            out[name] = f.read()
+    return out
+
+
+def migrate_packs(packs: Mapping[str, str], required: Mapping[str, Mapping[str, list[str]]], marker: str) -> dict[str, str]:
+    """All packs (text by name) with what ``required`` (by name) adds to them, or none: an error in one changes no other."""
+    return dict(packs) | {name: migrate_pack(packs[name], rules, marker) for name, rules in required.items() if name in packs}
+
+
+@dataclass(frozen=True)
+class Alerts:
+    """Where alerts go, and who may act on them."""
+
+    enabled: bool = False
+    token_environment_variable: str = "DISCORD_BOT_TOKEN"
+    bot_token: str = ""
+    guild_id: str = ""
+    alert_channel_id: str = ""
+    allowed_role_ids: tuple[str, ...] = ()
+    allowed_user_ids: tuple[str, ...] = ()
+    mention_role_id: str = ""
+    case_expiry_seconds: int = DAY
+    include_original_message: bool = False
+    actions: Mapping[str, bool] = field(default_factory=lambda: {"mute_10_minutes": True, "mute_1_hour": True, "permanent_ban": True})
+
+
+def snowflake(value: Any) -> bool:
+    """An unsigned decimal identifier of 64 bits, not zero."""
+    return isinstance(value, str) and re.fullmatch(r"[0-9]{1,20}", value) is not None and 0 < int(value) < 1 << 64
+
+
+def load_alerts(content: str, environment: Mapping[str, str]) -> tuple[Alerts, list[Problem]]:
+    """The configuration of alerts; with any problem, alerts are off and the problems are returned."""
+    problems: list[Problem] = []
+    say = lambda path, message: problems.append(Problem(path, message))
+    try:
+        raw = json.loads(content)
+    except ValueError:
+        return Alerts(), [Problem("$", "invalid JSON")]
+    if not isinstance(raw, dict):
+        return Alerts(), [Problem("$", "must be a JSON object")]
+
+    def get(name: str, default: Any, kind: type, word: str, of: Mapping[str, Any] = raw, at: str = "$") -> Any:
+        value = of.get(name)
+        if value is None:
+            return default
+        if not isinstance(value, kind) or (kind is int and isinstance(value, bool)):
+            say(f"{at}.{name}", f"must be {word}")
+            return default
+        return value.strip() if kind is str else value
+
+    def ids(name: str) -> tuple[str, ...]:
+        out = []
+        for i, value in enumerate(get(name, [], list, "an array")):
+            value = value.strip() if isinstance(value, str) else value
+            if value == "":
+                continue
+            if snowflake(value):
+                out.append(value)
+            else:
+                say(f"$.{name}[{i}]", "must be an unsigned decimal identifier")
+        return tuple(dict.fromkeys(out))
+
+    base = Alerts()
+    string, boolean = (str, "a string"), (bool, "a boolean")
+    if get("schema_version", 1, int, "an integer") != 1:
+        say("$.schema_version", "must equal 1")
+    enabled = get("enabled", False, *boolean)
+    variable, token = get("token_environment_variable", base.token_environment_variable, *string), get("bot_token", "", *string)
+    guild, channel, mention = (get(n, "", *string) for n in ("guild_id", "alert_channel_id", "mention_role_id"))
+    roles, users = ids("allowed_role_ids"), ids("allowed_user_ids")
+    chosen = get("actions", {}, dict, "an object")
+    actions = {k: get(k, v, *boolean, chosen, "$.actions") for k, v in base.actions.items()}
+    try:
+        expiry = parse_duration(get("case_expiry", "24h", *string), 7 * DAY)
+        if expiry < 300:
+            raise ValueError
+    except ValueError:
+        say("$.case_expiry", "must be a duration between 5 minutes and 7 days")
+        expiry = base.case_expiry_seconds
+    for name, value in (("guild_id", guild), ("alert_channel_id", channel), ("mention_role_id", mention)):
+        if value and not snowflake(value):
+            say(f"$.{name}", "must be an unsigned decimal identifier")
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", variable):
+        say("$.token_environment_variable", "must be a valid environment-variable name")
+    if enabled:
+        for name, value in (("guild_id", guild), ("alert_channel_id", channel)):
+            if not value:
+                say(f"$.{name}", "is required while alerts are enabled")
+        if any(actions.values()) and not roles and not users:
+            say("$.allowed_role_ids", "at least one allowed role or user is required while actions are enabled")
+        if not environment.get(variable, "").strip() and not token:
+            say("$.bot_token", "must be given here or by the environment variable")
+    got = Alerts(enabled and not problems, variable, token, guild, channel, roles, users, mention, expiry, get("include_original_message", False, *boolean), actions)
+    return got, problems

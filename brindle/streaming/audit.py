@@ -6,6 +6,7 @@ import re
 import warnings
 from datetime import date, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,7 +105,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
         try:
             found.agg(*[F.count(c) for c in found.columns]).collect()
             return found
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             if "MALFORMED_RECORD" not in str(e) and "FAILED_READ_FILE" not in str(e):
                 raise
             damaged.append(place)

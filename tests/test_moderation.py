@@ -1,6 +1,8 @@
 """The moderation engine: unit cases, plan shape, and the registered queries against their SQL."""
 
+import itertools
 import os
+import random
 from dataclasses import replace
 
 import duckdb
@@ -13,7 +15,7 @@ import __spark_entry__
 from brindle.functions import plain, similarity, text
 from brindle.operators import cases, detectors, filters, lookups
 from brindle.plans import config as C
-from brindle.plans import oracles, queries, windowed
+from brindle.plans import queries, staff, windowed
 
 SF = "/root/testdata/sf0.001"
 BASE = C.default_config()
@@ -167,13 +169,87 @@ def test_cases_and_lookups(spark):
     k = spark.createDataFrame([("a", ts(2), 1, "u1", "BAN", "retry"), ("a", ts(3), 2, "u2", "BAN", "ok"), ("a", ts(4), 3, "u3", "DISMISS", "ok"), ("b", ts(5), 4, "u1", "BAN", "ok")], "case_id string, t string, seq int, user_id string, action string, outcome string").selectExpr("*", "timestamp(t) ts")
     got = {r.case_id: (r.status, r.claimed_by, r.attempts) for r in cases.lifecycle(c, k, F.lit(ts(9)).cast("timestamp")).collect()}
     assert got == {"a": ("RESOLVED", "u2", 2), "b": ("EXPIRED", None, 0)}
-    g = lookups.bypass(spark.createDataFrame([("p", "bypass.spam"), ("p", "bypass.filters"), ("q", "bypass.all")], "player_id string, node string"))
-    got = {r.player_id: (r.bypass_all, r.bypass) for r in g.collect()}
-    assert got == {"p": (False, ["DUPLICATE", "FILTERED_CONTENT", "FLOODING", "SIMILARITY", "SPAM"]), "q": (True, [])}
-
-
-def test_window_regex_is_the_token_loop():
-    assert filters.window_regex("evil").startswith("(?:^|(?<= ))e")
+    players = spark.createDataFrame([("p", 0), ("q", 4), ("r", 4), ("s", None)], "player_id string, operator_level int")
+    said = spark.createDataFrame([("p", "bypass.spam", True), ("p", "bypass.filters", True), ("p", "bypass.security", True), ("q", "bypass.all", True), ("q", "bypass.all", False), ("r", "bypass.all", False)], "player_id string, node string, value boolean")
+    got = {r.player_id: (r.bypass_all, r.bypass) for r in lookups.bypass(players, said).collect()}
+    assert got == {"p": (False, ["DUPLICATE", "FILTERED_CONTENT", "FLOODING", "SECURITY", "SIMILARITY", "SPAM"]), "q": (False, []), "r": (False, []), "s": (False, [])}
+    got = {r.player_id: (r.bypass_all, len(r.bypass)) for r in lookups.bypass(players, said, operators=True).collect()}
+    assert got == {"p": (False, 6), "q": (False, 7), "r": (False, 7), "s": (False, 0)}
+    with pytest.raises(ValueError, match="recipients"):
+        lookups.alert_recipients(players.selectExpr("1 id", "'x' original", "true show_original"), players.selectExpr("player_id", "true online", "true alerts", "true inspect"), most=3)
+
+
+def token_loop(tokens, target):
+    """Tokens from each place on joined, 32 at most, until they are the target up to doubled letters, or too long."""
+    runs = lambda w: [(c, len(list(g))) for c, g in itertools.groupby(w)]
+
+    def alike(candidate):
+        a, b = runs(target), runs(candidate)
+        return [c for c, _ in a] == [c for c, _ in b] and all(n <= m <= max(2, n) for (_, n), (_, m) in zip(a, b, strict=True))
+
+    for start in range(len(tokens)):
+        joined = ""
+        for end in range(start, min(len(tokens), start + 32)):
+            joined += tokens[end]
+            if alike(joined):
+                return True
+            if len(joined) >= 2 * len(target):
+                break
+    return False
+
+
+def test_window_is_the_token_loop(spark):
+    r = random.Random(8)
+    long_ = "ab" * 17
+    made = []
+    for target in ("ab", "aab", "abba", "abc", long_):
+        for _ in range(60):
+            body = "".join(c * r.choice((1, 1, 1, 2, 3)) for c in target) if r.random() < 0.6 else "".join(r.choice("abc") for _ in range(len(target)))
+            spaced = "".join(c + " " * (r.random() < 0.4) for c in body)
+            made.append((target, " ".join((r.choice(["", "c", "ba"]) + " " + spaced + " " + r.choice(["", "a"])).split())))
+    # 33 tokens of one letter are one too many, 32 and a pair are not.
+    made += [(long_, " ".join(long_)), (long_, long_[:2] + " " + " ".join(long_[2:])), (long_, long_[:3] + " " + " ".join(long_[3:]))]
+    for target in ("ab", "aab", "abba", "abc", long_):
+        mine = [t for k, t in made if k == target]
+        df = spark.createDataFrame([(t,) for t in mine], "t string").select("t", filters.window_matches(F.col("t"), target).alias("m"))
+        assert {x.t: x.m for x in df.collect()} == {t: token_loop(t.split(" "), target) for t in mine}
+
+
+def test_link_guard_lets_all_through_that_changes(spark):
+    r = random.Random(12)
+    bits = ["a", "b", "foo", "com", "net", ".", " ", " ", "[", "]", "(", ")", "dot", "DOT", "/", "-", "x1"]
+    made = ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in made], "t string").select("t", F.rlike("t", F.lit(plain.MAY_REWRITE)).alias("may"))
+    got = {x.t: x.may for x in df.collect()}
+    changed = [t for t in made if plain.link_normalize(t) != t]
+    assert len(changed) > 300 and all(got[t] for t in changed)
+
+
+def test_country_domains_count_by_default(spark):
+    config = BASE.only("advertising")
+    assert rules(spark, config, ["foo.it now", "shop.example.jp", "notes.zip"]) == [["advertising.domain"], ["advertising.domain"], []]
+
+
+def test_packs_and_alerts(tmp_path):
+    for name in ("b.json", "a.json", "exceptions.json", "x.txt"):
+        (tmp_path / name).write_text("{}")
+    (tmp_path / "c.json").mkdir()
+    assert list(C.read_packs(str(tmp_path))) == ["a.json", "b.json"]
+    (tmp_path / "Bad.json").write_text("{}")
+    with pytest.raises(ValueError, match="Bad"):
+        C.read_packs(str(tmp_path))
+    pack = '{"rules": [{"id": "fx.a", "terms": ["x"]}]}'
+    done = C.migrate_packs({"a": pack, "b": pack}, {"a": {"fx.a": ["y"]}}, "m1")
+    assert '"y"' in done["a"] and done["b"] == pack and C.migrate_packs(done, {"a": {"fx.a": ["z"]}}, "m1") == done
+    with pytest.raises(ValueError, match="Expecting"):
+        C.migrate_packs({"a": pack, "b": "{"}, {"a": {}, "b": {}}, "m1")
+    good = '{"enabled": true, "guild_id": "1", "alert_channel_id": "18446744073709551615", "allowed_user_ids": ["7", ""], "case_expiry": "5m"}'
+    got, problems = C.load_alerts(good, {"DISCORD_BOT_TOKEN": "t"})
+    assert got.enabled and not problems and got.allowed_user_ids == ("7",) and got.case_expiry_seconds == 300
+    bad = '{"enabled": true, "guild_id": "18446744073709551616", "allowed_role_ids": ["0"], "case_expiry": "8d", "actions": {"permanent_ban": 1}, "schema_version": 2}'
+    got, problems = C.load_alerts(bad, {})
+    assert not got.enabled and {p.path for p in problems} == {"$.guild_id", "$.alert_channel_id", "$.allowed_role_ids[0]", "$.allowed_role_ids", "$.case_expiry", "$.actions.permanent_ban", "$.schema_version", "$.bot_token"}
+    assert C.load_alerts("[", {})[1][0].path == "$"
 
 
 @pytest.fixture(scope="module")
@@ -185,11 +261,11 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["moderate_slice", "filter_text_forms", "rapid_spam", "filter_exceptions", "history_page", "case_lifecycle", "mute_gate", "bypass_filter"])
+@pytest.mark.parametrize("name", ["moderate_slice", "filter_text_forms", "rapid_spam", "filter_exceptions", "history_page", "mute_gate", "bypass_filter", "detect_advertising", "similarity_spam", *staff.SQL])
 def test_queries_match_their_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = __spark_entry__.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    want = duck.execute(oracles.SQL[name])
+    want = duck.execute(__spark_entry__.oracle_sql()[name])
     at = [[d[0] for d in want.description].index(c) for c in cols]
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
 

@@ -82,6 +82,90 @@ def test_tiers_agree_and_streams_do(rocks, tmp_path):
     assert key(rocks.table("reports")) == want
 
 
+def test_initial_state_and_broken_control_events(rocks):
+    said_ = [("p", 1, "2024-01-01 00:00:10", "hello there", None), ("p", 2, "2024-01-01 00:00:11", "hello there", '{"kind": "mute", "seconds": -5}'), ("p", 3, "2024-01-01 00:00:12", "x", "{broken"), ("p", 4, "2024-01-01 00:00:13", "hello there", None)]
+    m = rocks.createDataFrame(said_, "player_id string, seq long, t string, raw string, control string").selectExpr("player_id", "seq", "timestamp(t) ts", "raw", "control")
+    got = [(r.seq, r.rule_ids, r.points_before) for r in processor.evaluate(m, BASE).orderBy("seq").collect()]
+    assert got == [(1, [], 0), (4, ["spam.duplicate"], 0)]
+    now = 1_704_067_200 * S
+    state = fold.new_state() | {"entries": [{"points": 7, "rule": "r", "created": now, "expires": now + 3_600 * S}]}
+    first = rocks.createDataFrame([("p", json.dumps(state)), ("q", json.dumps(state))], "player_id string, state string")
+    got = [(r.seq, r.points_before) for r in processor.evaluate(m, BASE, initial=first).orderBy("seq").collect()]
+    assert got == [(1, 7), (4, 7)]
+
+
+def test_timers_forget_idle_players(rocks, tmp_path):
+    """A player who said nothing against the rules starts anew after the idle time; state does not keep the others' buffers."""
+    config = replace(BASE, state={**BASE.state, "inactive_player_minutes": 1})
+    days = lambda rows, n: rocks.createDataFrame(rows, "player_id string, seq long, t string, raw string").selectExpr("player_id", "seq", "timestamp(t) ts", "raw").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    days([("a", 1, "2024-01-01 00:00:00", "hello there"), ("b", 1, "2024-01-01 00:00:00", "hello there"), ("b", 2, "2024-01-01 00:00:01", "hello there")], 1)
+    schema = "player_id string, seq long, ts timestamp, raw string"
+
+    def run_() -> None:
+        stream = rocks.readStream.schema(schema).parquet(str(tmp_path / "in/*")).withWatermark("ts", "0 seconds")
+        q = processor.evaluate(stream, config, timers=True).writeStream.format("noop").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    def kept() -> dict:
+        rows = rocks.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "state").load().select("key.player_id", "value.json").collect()
+        return {r.player_id: json.loads(r.json) for r in rows}
+
+    run_()
+    assert set(kept()) <= {"a", "b"}
+    days([("z", 1, "2024-01-01 02:00:00", "hi")], 2)
+    run_()
+    days([("z", 2, "2024-01-01 02:00:01", "ho")], 3)
+    run_()
+    left = kept()
+    assert "a" not in left and left["b"]["recent"] == [] and left["b"]["violations"] and "z" in left
+
+
+def test_stream_audit_writes_a_batch_once(spark, tmp_path):
+    """A query that lost its commit log runs its last batch again: the log holds it once."""
+    e = windowed.evaluate(document_messages(spark, "/root/testdata/sf0.001").where("player_id < 30"), queries.SLICE)
+    history.violations(e).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = audit.stream_audit(stream, str(tmp_path / "log"), str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        for f in (tmp_path / "c" / "commits").iterdir():
+            f.unlink()
+    assert spark.read.json(str(tmp_path / "log")).count() == rows.count() > 0
+
+
+def test_expired_days_are_deleted(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-09", "2024-01-10"):
+        (tmp_path / f"event_date={day}").mkdir()
+    (tmp_path / "event_date=old").mkdir()
+    from datetime import date
+
+    assert audit.delete_expired(spark, str(tmp_path), date(2024, 1, 11), 2) == ["event_date=2024-01-01"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["event_date=2024-01-09", "event_date=2024-01-10", "event_date=old"]
+    assert audit.delete_expired(spark, str(tmp_path / "none"), date(2024, 1, 11), 2) == []
+
+
+def test_kept_states_of_both_versions(spark, tmp_path):
+    at = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    old = '{"player_id": "p", "name": "n", "mute": {"muted_until": "2024-01-10T00:00:05Z", "reason": "r", "source": "s"}, "score_entries": [], "crossed_thresholds": [2], "violations": []}'
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "part-0.json").write_text(old + "\n" + old.replace('"p"', '"q"').replace("00:00:05Z", "00:00:00Z"))
+    got = {r.player_id: r.mute for r in audit.restored(spark, str(tmp_path / "s"), 1, at).collect()}
+    assert got["p"].kind == "TEMPORARY" and got["p"].moderator_id is None and str(got["p"].muted_at) == "2024-01-10 00:00:00" and got["q"] is None
+    audit.write_snapshot(audit.kept(audit.restored(spark, str(tmp_path / "s"), 1, at), at, BASE), str(tmp_path / "t"))
+    again = audit.restored(spark, str(tmp_path / "t"), 2, at)
+    assert [(r.player_id, r.mute is None, r.crossed_thresholds) for r in again.orderBy("player_id").collect()] == [("p", False, [2]), ("q", True, [2])]
+    audit.write_snapshot(again, str(tmp_path / "t2"))
+    audit.write_snapshot(spark.read.schema(audit.SNAPSHOT).json(str(tmp_path / "t2")), str(tmp_path / "t"), purge_backup=True)
+    assert not (tmp_path / "t.backup").exists()
+    with pytest.raises(ValueError, match="version"):
+        audit.restored(spark, str(tmp_path / "t"), 3, at)
+    many = replace(BASE, state={**BASE.state, "maximum_score_entries_per_player": 0})
+    entry = spark.sql("SELECT 'p' player_id, '' name, null mute, array(named_struct('points', 1L, 'rule_id', 'r', 'created_at', timestamp'2024-01-01', 'expires_at', timestamp'2025-01-01')) score_entries, array() crossed_thresholds, array() violations")
+    with pytest.raises(Exception, match="score entries"):
+        audit.kept(audit.copied(entry, audit.SNAPSHOT), at, many).collect()
+
+
 def test_sinks(spark, tmp_path):
     e = windowed.evaluate(document_messages(spark, "/root/testdata/sf0.001").where("player_id < 30"), queries.SLICE)
     records = history.violations(e)
