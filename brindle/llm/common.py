@@ -31,6 +31,9 @@ def workspace(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        # A folder of this machine serves only tasks of this machine.
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _unset.append(tempfile.mkdtemp(prefix="brindle-checkpoints-")) if not _unset else None
         base = _unset[0]
     return base.rstrip("/")
@@ -43,10 +46,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns it reread: the lineage is cut."""
+#: Narrow rows that one task of a small table writes.
+PER_TASK = 250_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and returns it reread: the lineage is cut.
+
+    ``rows`` bounds the number of (narrow) rows, where that is known: no more tasks and files than it needs.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // PER_TASK)))).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._brindle_path = path  # type: ignore[attr-defined]
     return back

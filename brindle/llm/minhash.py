@@ -11,15 +11,17 @@ With 40 bands of 5 rows, a pair at the threshold of 0.8 shares no band with a
 probability of 1e-7, whatever the size of its sets.
 
 Skew. Documents with equal word sequences are one class, found by partial
-aggregation, and only its smallest identifier goes on. Within a band's bucket
-members are first linked to one pivot only, the member with most company in
-all buckets, which gathers large groups of near copies into components without
-pairs. A second round
-covers what a star can miss: in the buckets that still hold several
-components, members of different components are compared in blocks of bounded
-size, and only pairs whose estimate may reach the threshold leave a block. No
-pair in a bucket is left out by either round unless it is in one component
-already.
+aggregation, and only the class goes on. Buckets of equal members are one. Each
+class is first compared with one pivot only, the member with most company in
+the buckets that they share, which gathers large groups of near copies into
+components without pairs. A second round covers what that can miss: the buckets
+that still hold several components are cut into blocks of bounded size, in which
+members of different components are verified on full sets where they meet (of
+buckets with one most common component that fit a block, in one block). A
+third compares the blocks of one bucket with each other, the most common
+component's members not among themselves. Only a forest of joined labels leaves
+a block, so that what is written does not grow with the pairs of a group. No
+pair in a bucket is left out unless it is in one component already.
 """
 
 from __future__ import annotations
@@ -30,16 +32,18 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_shuffles, key_of, release, table
+from brindle.llm.common import free_shuffles, key_of, likely, release, table
 from brindle.llm.components import components
 
 BANDS, ROWS = 40, 5
 MANTISSA = 10
-BLOCK = 512
+#: Members of a block, bytes of their sets, and fingerprints compared at a time.
+BLOCK, BYTES, COLUMNS = 2048, 4 << 20, 4096
 #: Standard deviations of the estimate at the threshold below which a pair is not verified.
 MARGIN = 5.5
 
@@ -128,48 +132,104 @@ def _sketch(batches: Iterator[pd.DataFrame], ngram: int) -> Iterator[pd.DataFram
 
 def _sets(batches: Iterator[pd.DataFrame], ngram: int) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(k, s, p.tobytes()) for k, t in zip(b["rep"], b["text"], strict=True) for s, p in [shingles(t, ngram)]]
-        yield pd.DataFrame(rows, columns=["rep", "seq", "prints"])
+        rows = [(k, s, p.tobytes()) for k, t in zip(b["id"], b["text"], strict=True) for s, p in [shingles(t, ngram)]]
+        yield pd.DataFrame(rows, columns=["id", "seq", "prints"])
 
 
-def _close(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs whose estimate may reach the threshold."""
+def _verified(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs with 100 * intersection >= percent * union, on full sets, whose registers do not exclude that."""
+    t = percent / 100
     for b in batches:
+        x, y = (np.frombuffer(b"".join(b[c]), dtype="<u2").reshape(len(b), -1) for c in ("sig_a", "sig_b"))
+        n, m = b["n_a"].to_numpy(), b["n_b"].to_numpy()
+        ok = np.minimum(n, m) >= t * np.maximum(n, m) * (1 - 1e-9)
         if len(b):
-            x, y = (np.frombuffer(b"".join(b[c]), dtype="<u2").reshape(len(b), -1) for c in ("sig_a", "sig_b"))
-            n, m = b["n_a"].to_numpy(), b["n_b"].to_numpy()
-            ok = (estimate((x == y).mean(1), n, m) >= least(threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m) * (1 - 1e-9))
-            yield b.loc[ok, ["a", "b"]]
-
+            ok &= estimate((x == y).mean(1), n, m) >= least(t)
+        for i in np.flatnonzero(ok):
+            u, v = (np.frombuffer(b[c].iat[i], dtype=np.uint64) for c in ("prints_a", "prints_b"))
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            ok[i] = 100 * both >= percent * (len(u) + len(v) - both)
+        yield b.loc[ok, ["a", "b"]]
 
-def _verified(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Pairs with 100 * intersection >= percent * union, on full sets."""
-    for b in batches:
-        ok = []
-        for x, y in zip(b["prints_a"], b["prints_b"], strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
+def common(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """How many fingerprints each set of ``left`` shares with each of ``right``.
 
-def _blocks(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs across components within pairs of blocks (arrays of at most BLOCK members)."""
-    for b in batches:
-        for r in b.itertuples(index=False):
-            x, y = (np.frombuffer(b"".join(s), dtype="<u2").reshape(len(s), -1) for s in (r.sigs_a, r.sigs_b))
-            ids_a, ids_b, n, m = (np.asarray(v) for v in (r.ids_a, r.ids_b, r.ns_a, r.ns_b))
-            own_a, own_b = np.asarray(r.labels_a), np.asarray(r.labels_b)
-            out = []
-            for i in range(len(x)):
-                maybe = np.flatnonzero((own_b != own_a[i]) & (np.minimum(n[i], m) >= threshold * np.maximum(n[i], m) * (1 - 1e-9)))
-                if r.same:
-                    maybe = maybe[maybe > i]
-                if len(maybe):
-                    got = estimate((y[maybe] == x[i]).mean(1), np.full(len(maybe), n[i]), m[maybe])
-                    out += [(max(ids_a[i], j), min(ids_a[i], j)) for j in ids_b[maybe[got >= least(threshold)]]]
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
+    Fingerprints that both sides hold become columns of two 0/1 matrices, whose
+    product is taken ``COLUMNS`` at a time: memory is bounded by the number of sets.
+    """
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    sides = []
+    for sets in (left, right):
+        flat = np.frombuffer(b"".join(sets), dtype=np.uint64)
+        sides.append((flat, np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for flat, row in sides:
+        at = np.searchsorted(both, flat)
+        hit = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == flat) if len(both) else np.zeros(0, dtype=np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        places.append((at[order], row[order]))
+    for c in range(0, len(both), COLUMNS):
+        m = []
+        for (at, row), sets in zip(places, (left, right), strict=True):
+            i, j = np.searchsorted(at, [c, c + COLUMNS])
+            x = np.zeros((len(sets), min(COLUMNS, len(both) - c)), dtype=np.float32)
+            x[row[i:j], at[i:j] - c] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def merged(labels: np.ndarray, rows: np.ndarray, hits: np.ndarray, others: np.ndarray) -> list[tuple[int, int]]:
+    """(label, smallest label) of each group of labels that ``hits`` of members ``rows`` and ``others`` join."""
+    names, own = np.unique(labels, return_inverse=True)
+    i, j = np.nonzero(hits)
+    x, y = own[rows[i]], own[others[j]]
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    return [(int(names[k]), int(names[low[k]])) for k in np.flatnonzero(low != np.arange(len(low)))]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Labels that links within a block join. A block has members ``b``, and ``a`` if it is one of two.
+
+    A row's members are compared unless they have one label already: in a block
+    of its own, those outside its most common label with all. What leaves a
+    block is a forest of labels, however many pairs are alike.
+    """
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for k in range(batch.num_rows):
+            get = lambda c, k=k: batch.column(c)[k].values
+            labels, n, sets = get("labels_b").to_numpy(), get("ns_b").to_numpy(), get("prints_b").to_pylist()
+            if "labels_a" in batch.schema.names:
+                split = len(batch.column("labels_a")[k].values)
+                labels, n, sets = np.append(get("labels_a").to_numpy(), labels), np.append(get("ns_a").to_numpy(), n), get("prints_a").to_pylist() + sets
+                rows, others = np.arange(split), np.arange(split, len(labels))
+            else:
+                names, times = np.unique(labels, return_counts=True)
+                rows, others = np.flatnonzero(labels != names[times.argmax()]), np.arange(len(labels))
+            if not len(rows):
+                continue
+            shared = common([sets[i] for i in rows], [sets[j] for j in others])
+            hits = 100 * shared >= percent * (n[rows][:, None] + n[others][None, :] - shared)
+            found += merged(labels, rows, hits, others)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["a", "b"], dtype="int64"), preserve_index=False)
+
+
+def relabelled(labels: DataFrame, more: DataFrame, rows: int) -> DataFrame:
+    """``labels`` (v, label), of at most ``rows`` rows, after the edges ``more`` between labels; vertices without a row are their own labels."""
+    new = components(more)
+    old = labels.join(new.select(F.col("v").alias("label"), F.col("label").alias("_new")), "label", "left").select("v", F.coalesce("_new", "label").alias("label"))
+    return table(old.unionByName(new.join(labels, "v", "left_anti")), "labels", rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -179,87 +239,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts, and texts of white space, have empty sets and link
     with nothing. Rows with a null id have a null component and are kept. An id
     is one vertex: rows that repeat it share a component even if their texts
-    differ, and all that carry the component's id are kept. An empty table gives an empty result. Other
-    columns are not read.
+    differ, and all that carry the component's id are kept. A very long text is
+    one array of its shingles' fingerprints in one task, eight bytes a word. An
+    empty table gives an empty result. Other columns are not read.
     """
-    t = percent / 100
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # The identifier travels as text: pandas would turn longs with a null into doubles.
     sent = source.withColumn("id", F.col("id").cast("string"))
     sketched = sent.mapInPandas(lambda it: _sketch(it, ngram), "id string, seq binary, n long, sig binary")
     sketched = table(sketched.withColumn("id", F.col("id").cast("long")), "registers")
-    classes = sketched.where("n > 0 and id is not null")
-    reps = classes.groupBy("seq").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("r")).select("seq", F.col("r.id").alias("rep"), "r.n", "r.sig")
-    reps = table(reps, "classes")
-    numbers = reps.select("seq", "rep", "n")
-
-    band = lambda k: F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key"))
-    banded = reps.select("rep", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("b")).select("rep", "b.band", "b.key")
-    sizes = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = table(banded.join(sizes, ["band", "key"]), "bands")
-    # A bucket's pivot is its member with most company over all buckets: the text that near copies were made from
-    # shares more buckets with them than they do with each other.
-    company = shared.groupBy("rep").agg(F.sum("members").alias("company"))
-    pivots = shared.join(company, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("pivot"))
-    star = shared.join(pivots, ["band", "key"]).where("rep <> pivot").select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
-
-    sig = reps.select("rep", "n", "sig")
-
-    def described(pairs: DataFrame) -> DataFrame:
-        for s in ("a", "b"):
-            pairs = pairs.join(sig.toDF(s, f"n_{s}", f"sig_{s}"), s)
-        return pairs
-
-    close = described(star).mapInPandas(lambda it: _close(it, t), "a long, b long")
-    close = table(close, "close")
-    free_shuffles(docs.sparkSession)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Fetches the sets of the classes in ``pairs`` and keeps the pairs that hold on them."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = wanted.join(numbers, "rep").select("rep", F.col("seq").alias("want"))
-        texts = source.withColumnRenamed("id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
-        sets = texts.mapInPandas(lambda it: _sets(it, ngram), "rep long, seq binary, prints binary")
-        # A repeated id may carry other texts; of its class one copy of the set.
-        sets = sets.join(wanted, ["rep"]).where("seq = want").groupBy("rep").agg(F.first("prints").alias("prints"))
-        sets = table(sets, "sets")
-        free_shuffles(docs.sparkSession)
-        for s in ("a", "b"):
-            pairs = pairs.join(sets.toDF(s, f"prints_{s}"), s)
-        out = table(pairs.mapInPandas(lambda it: _verified(it, percent), "a long, b long"), "links")
-        release(sets)
+    linkable = sketched.where("n > 0 and id is not null")
+    classes = linkable.groupBy("seq").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("r"), F.count(F.lit(1)).alias("copies"))
+    # A class is a vertex of its own, numbered as it is written.
+    classes = table(classes.select(F.monotonically_increasing_id().alias("v"), "seq", F.col("r.id").alias("id"), "r.n", "r.sig", "copies"), "classes")
+
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS))
+    banded = classes.select("v", F.col("n").cast("int").alias("n"), F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
+    several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    entries = table(banded.join(several, "key"), "bands")
+    free_shuffles(spark)
+    # Buckets of equal members, told by their number and two sums over GF(2) of hashes, are one; the others' number is kept.
+    same = [F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")]
+    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), *same)
+    buckets = buckets.groupBy("members", "volume", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).drop("x", "y")
+    n_entries = entries.count()
+    shared = table(entries.join(buckets, "key"), "buckets", n_entries)
+    release(entries)
+
+    # Full sets, and registers, of the classes that share a bucket.
+    ours = table(shared.select("v").distinct(), "members", n_entries)
+    wanted = likely(classes.select("v", "id", "seq", "sig"), "v", ours).join(ours, "v")
+    wanted = table(wanted, "wanted")
+    ids = wanted.select("id").distinct()
+    # Not a semi-join, which Spark would push below the filter.
+    texts = likely(source, "id", ids).join(ids, "id")
+    sets = texts.mapInPandas(lambda it: _sets(it, ngram), "id long, seq binary, prints binary")
+    # Rows may repeat an id, with this class's text or another.
+    sets = sets.join(wanted, ["id", "seq"]).groupBy("id", "seq", "v").agg(F.first("prints").alias("prints"), F.first("sig").alias("sig"))
+    sets = table(sets.select("v", "sig", "prints"), "sets")
+    release(wanted, ours)
+    free_shuffles(spark)
+
+    # First round. A bucket's pivot is its member with most company over all buckets: the text that near copies were
+    # made from shares more buckets with them than they do with each other. Each class meets the pivot it shares most with.
+    company = shared.groupBy("v").agg(F.sum(F.col("members") * F.col("times")).alias("company"))
+    first = F.max(F.struct("company", (-F.col("v")).alias("w"), F.col("n").alias("m"))).alias("p")
+    pivots = shared.join(company, "v").groupBy("key").agg(first)
+    met = shared.join(pivots, "key").where("v <> -p.w").groupBy("v", "n", "p").agg(F.sum("times").alias("bands"))
+    met = met.groupBy("v", "n").agg(F.max(F.struct("bands", "p")).alias("p")).select(F.struct("v", "n").alias("x"), F.struct((-F.col("p.p.w")).alias("v"), F.col("p.p.m").alias("n")).alias("y"))
+    met = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    met = table(met.select(F.col("x.v").alias("a"), F.col("x.n").alias("n_a"), F.col("y.v").alias("b"), F.col("y.n").alias("n_b")), "met", n_entries)
+    pairs = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(percent / 100 * (1 - 1e-9)))
+    for s in ("a", "b"):
+        pairs = pairs.join(sets.toDF(s, f"sig_{s}", f"prints_{s}"), s)
+    links = table(pairs.mapInPandas(lambda it: _verified(it, percent), "a long, b long"), "links")
+    # Classes that share an id are one vertex.
+    twice = linkable.groupBy("id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("lo <> hi").select("id")
+    if not twice.isEmpty():
+        held = linkable.join(twice, "id").select("id", "seq").distinct().join(classes.select("v", "seq"), "seq")
+        links = links.unionByName(held.join(held.groupBy("id").agg(F.min("v").alias("b")), "id").where("v <> b").select(F.col("v").alias("a"), "b"))
+    labels = components(links, n_entries)
+    free_shuffles(spark)
+
+    def open_() -> DataFrame:
+        """Members of the buckets that hold several components, but for pairs that have met, with ``most``, the bucket's most common label."""
+        label = F.coalesce("label", "v").alias("label")
+        named = shared.drop("times").join(labels, "v", "left").select("v", "n", "key", "members", "volume", label)
+        ends = named.groupBy("key", "members").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("v").alias("a"), F.min("v").alias("b"))
+        ends = ends.where("lo <> hi").join(met.select("a", "b", F.lit(2).cast("long").alias("members")), ["members", "a", "b"], "left_anti")
+        named = table(named.join(ends.select("key"), "key"), "open", n_entries)
+        counts = named.groupBy("key", "label").count()
+        most = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
+        parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") * 8 / BYTES)).cast("int")
+        out = table(named.join(most, "key").withColumn("parts", parts).drop("members", "volume"), "open", n_entries)
+        release(named)
         return out
 
-    links = verify(close)
-    labels = components(links)
-
-    # Second round: buckets that hold several components.
-    label = F.coalesce("label", "rep").alias("label")
-    named = shared.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "band", "key", label)
-    mixed = named.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "key")
-    open_ = table(named.join(mixed, ["band", "key"], "left_semi"), "open")
-    again = links
-    if not open_.isEmpty():
-        within = Window.partitionBy("band", "key").orderBy("n", "rep")
-        members = open_.join(sig, "rep").withColumn("block", F.floor((F.row_number().over(within) - 1) / BLOCK))
-        column = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("n", "rep", "label", "sig"))), lambda x: x[c])
-        blocks = members.groupBy("band", "key", "block").agg(column("rep").alias("ids"), column("label").alias("labels"), column("n").alias("ns"), column("sig").alias("sigs"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-        blocks = table(blocks, "blocks")
-        named_ = lambda s: blocks.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "labels", "ns", "sigs", "lo", "hi")])
-        both = named_("a").join(named_("b"), ["band", "key"]).where((F.col("block_a") <= F.col("block_b")) & (F.col("hi_a") >= t * (1 - 1e-9) * F.col("lo_b")))
-        both = both.withColumn("same", F.col("block_a") == F.col("block_b"))
-        more = table(both.mapInPandas(lambda it: _blocks(it, t), "a long, b long").distinct(), "close")
+    def together(rows: DataFrame) -> DataFrame:
+        """Buckets of one most common label as one, where its members fit a block: they are mostly the same."""
+        groups = rows.select("most", "v", "n").distinct().groupBy("most").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"))
+        groups = groups.where((F.col("size") <= BLOCK) & (F.col("volume") * 8 <= BYTES)).select("most", F.lit(True).alias("fits"))
+        rows = rows.join(groups, "most", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+        rows = rows.withColumns({"key": F.when(F.col("fits"), F.col("most")).otherwise(F.col("key")), "parts": F.when(F.col("fits"), 1).otherwise(F.col("parts"))})
+        return rows.select("fits", "key", "v", "label", "parts").distinct()
+
+    def dealt(parts: Column) -> Column:
+        return F.pmod(F.xxhash64("v", "key"), parts).cast("int")
+
+    def gathered(rows: DataFrame, side: str, *keys: str) -> DataFrame:
+        one = rows.join(sets.select("v", "prints"), "v").groupBy("key", *keys).agg(F.collect_list(F.struct("label", "prints")).alias("all"))
+        size = lambda x: F.floor(F.octet_length(x["prints"]) / 8)
+        return one.select("key", *keys, F.transform("all", lambda x: x["label"]).alias(f"labels_{side}"), F.transform("all", size).alias(f"ns_{side}"), F.transform("all", lambda x: x["prints"]).alias(f"prints_{side}"))
+
+    # Second round: each block of a bucket that holds several components.
+    rest = open_()
+    if not rest.isEmpty():
+        blocks = gathered(together(rest).withColumn("part", dealt(F.col("parts"))), "b", "fits", "part").where("size(labels_b) > 1").drop("key", "fits", "part")
+        more = table(blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long").distinct(), "joined")
+        free_shuffles(spark)
         if not more.isEmpty():
-            again = links.unionByName(verify(more))
-            labels = components(again)
-
-    owner = numbers.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("seq", F.coalesce("label", "rep").alias("label"))
-    # A class may hold a third of all rows: its label is spread over salted copies of the class.
+            labels = relabelled(labels, more, n_entries)
+        # Third round: blocks against each other, where a bucket has several. One side leaves out its most common component.
+        if not rest.where("parts > 1").isEmpty():
+            left = open_()
+            share = (F.col("all") - F.col("top")) / F.col("all")
+            many = left.where("parts > 1").withColumn("parts_a", F.greatest(F.lit(1), F.ceil(F.col("parts") * share)).cast("int"))
+            few = many.where("label <> most").withColumn("part_a", dealt(F.col("parts_a")))
+            few = few.withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            whole = many.withColumn("part_b", dealt(F.col("parts"))).withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
+            both = gathered(few, "a", "part_a", "part_b").join(gathered(whole, "b", "part_a", "part_b"), ["key", "part_a", "part_b"]).drop("key", "part_a", "part_b")
+            more = table(both.mapInArrow(lambda it: _blocks(it, percent), "a long, b long").distinct(), "joined")
+            free_shuffles(spark)
+            if not more.isEmpty():
+                labels = relabelled(labels, more, n_entries)
+            release(left)
+    release(sets, shared, met, rest)
+
+    # A component's smallest id. Classes of one row that link with nothing need no row here.
+    named = classes.select("v", "seq", "id", "copies").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    lowest = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    owner = table(named.join(lowest, "label").select("seq", "component"), "owners")
+    # A class may hold a third of all rows: its component is spread over salted copies of the class.
     salts = 32
     owner = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = sketched.select("id", "seq", "n").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     out = out.join(owner, ["seq", "salt"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("label")).otherwise(F.col("id"))
+    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
