@@ -8,7 +8,8 @@ the Mahalanobis distance is beyond a chi-square quantile.
 
 The estimate is a deterministic MCD: from fixed starts, concentration steps
 recompute mean and covariance over the ``support`` share of the group that is
-nearest, and the start with the smallest determinant is refined. Covariances
+nearest, until determinants stand or alternate (25 steps at most), and the start
+with the smallest is refined. Covariances
 are regularised towards the pooled one (weight ``prior`` rows) and floored, so
 that one formula serves groups of any size, constant statistics included. In
 the verdict a floor is the least variance, not an addition to it.
@@ -32,8 +33,13 @@ from brindle.llm.common import key_of, release, row_key, table, words
 SYMBOLS = r"[#*$%&|<>]"
 STATS = ["x1", "x2", "x3", "x4", "x5"]
 D = len(STATS)
-#: Floors on the standard deviations: log words, log mean word length, root share of symbols, of repeated lines, of repeated words.
-FLOORS = (0.25, 0.08, 0.08, 0.15, 0.15)
+#: Floors on the standard deviations: log words, log mean word length, share of symbols, of repeated lines, of repeated words.
+#: Most texts have none of the last three, so that no scatter of their own would tell some from much; length alone is no fault.
+FLOORS = (1.0, 0.08, 0.012, 0.09, 0.08)
+#: Lines and words without a repeat that are added to each text: one repeated line of two is no half.
+PRIOR_LINES, PRIOR_WORDS = 10, 50
+#: Concentration ends when no log-determinant has moved by more.
+STILL = 1e-6
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
@@ -103,9 +109,9 @@ def _vector() -> dict[str, Column]:
     return {
         "x1": F.log1p(F.col("n_words").cast("double")),
         "x2": F.log(c / n),
-        "x3": F.sqrt(F.col("n_symbols") / c),
-        "x4": F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))),
-        "x5": F.sqrt(F.col("n_repeat_words") / n),
+        "x3": F.col("n_symbols") / c,
+        "x4": F.col("n_dup_lines") / (F.col("n_lines") + PRIOR_LINES),
+        "x5": F.col("n_repeat_words") / (n + PRIOR_WORDS),
     }
 
 
@@ -181,7 +187,7 @@ def _step(rows: DataFrame, fitted: DataFrame, support: float, prior: float, fact
     return _estimates(_moments(near.join(limit, keys).where("bin <= limit"), keys), ["start"], prior, factor)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, cutoff: float = 0.99, prior: float = 50.0, steps: int = 3) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", support: float = 0.75, cutoff: float = 0.999, prior: float = 50.0, steps: int = 25) -> DataFrame:
     """One row per row of ``docs``: id, the base statistics, base_failed, distance, kept.
 
     base_failed: fewer than 50 words, or over half the words in three-word
@@ -189,7 +195,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``cutoff`` quantile. Null languages and sources are groups of their own; a
     null text has no words and fails; a group of one row is judged by the
     pooled scatter around its own shrunken location. Rows that repeat are judged
-    alike. An empty table gives an empty result. Other columns are not read.
+    alike. A very long text is one array of its words in one task. An empty table
+    gives an empty result. Other columns are not read.
     """
     stats = docs.select(F.col(id_col).alias("id"), F.concat_ws("\x00", key_of(F.col(lang_col)), key_of(F.col(source_col))).alias("g"), *[c.alias(n) for n, c in base_statistics(F.col(text_col)).items()])
     stats = stats.select("id", "g", "w.*", "l.*", "word_chars", "n_symbols")
@@ -203,10 +210,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     central = _moments(rows.join(first.select("g", "m", "c"), "g").where(inner), ["g"])
     start = first.withColumn("start", F.lit(0)).unionByName(central.withColumn("start", F.lit(1)))
     fitted = table(_estimates(start, ["start"], prior), "fitted")
+    last = None
     for _ in range(steps):
         new = table(_step(rows, fitted.drop("ld"), support, prior), "fitted")
+        moved = new.join(fitted.select("g", "start", F.col("ld").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("ld") - F.col("old")))).first()[0]
         release(fitted)
         fitted = new
+        # Shrinkage may leave a small group between two subsets: it moves by the same amount for ever.
+        if moved is None or moved < STILL or (last is not None and abs(moved - last) < STILL):
+            break
+        last = moved
     best = fitted.groupBy("g").agg(F.min_by(F.struct("start", "m", "p"), F.struct("ld", "start")).alias("b")).select("g", "b.*")
     # The covariance of the nearest share of a normal sample is too small by this factor.
     factor = support / chi2_cdf(chi2_quantile(support, D), D + 2)
