@@ -72,8 +72,10 @@ def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: st
 
     ``loss_spans`` covers the (escaped) texts of the role ``learn``. Null roles
     and texts are empty; null conversations are one conversation; a null score
-    counts as 0. Messages must have unique identifiers within a conversation.
-    An empty table gives an empty result. Other columns are not read.
+    counts as 0. Messages must have unique identifiers within a conversation;
+    of a row that repeats another wholly, one counts. A very long conversation is
+    one array of its chosen path in one task. An empty table gives an empty
+    result. Other columns, whatever their names, are not read.
     """
     nodes = messages.select(
         key_of(F.col(conv_col)).alias("c"),
@@ -85,6 +87,11 @@ def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: st
         F.col(conv_col).alias("conv"),
     )
     nodes = table(nodes, "messages")
+    again = lambda: not nodes.groupBy("c", "n").count().where("count > 1").isEmpty()
+    if again():
+        nodes = table(nodes.distinct(), "messages")
+        if again():
+            raise ValueError("messages of one conversation share an identifier")
     chosen = best_paths(nodes, top).join(nodes.select("c", "n", "role", "text", "conv"), ["c", "n"])
     turns = F.transform(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), escape(t["role"]).alias("r"), escape(t["text"]).alias("t")))
     paths = chosen.groupBy("c", "leaf").agg(F.first("conv").alias("conv"), turns.alias("turns"))

@@ -95,6 +95,11 @@ def _sizes(ident: Column, text: Column, source: Column) -> list[Column]:
     return [ident.alias("id"), key_of(source).alias("source_key"), source.alias("source"), n_words(text).alias("size")]
 
 
+def unnamed(row: Column) -> Column:
+    """A key of a row without an identifier: its digest and a part of its place, so that equal rows are many keys."""
+    return F.concat(row, F.lit(":"), (F.monotonically_increasing_id() % 4096).cast("string"))
+
+
 def _plan(sizes: DataFrame, order: list[str], schedules, max_repeats: int) -> DataFrame:
     """``sizes`` (id, source_key, source, size and all of ``order``), with source_size, target and passes."""
     sizes = table(sizes, "sizes")
@@ -125,10 +130,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     the last pass of a source, which stops at the very word that meets the
     target (targets are rounded to whole words). Size is the number of words;
     null texts have 0. Rows of equal identifier keep a fixed relative order
-    only up to their equality. An empty table gives an empty result. All-zero
-    sizes give targets of 0. Other columns are not read.
+    only up to their equality. A very long text is counted in one task. An empty
+    table gives an empty result. All-zero sizes give targets of 0. Other columns
+    are not read. Sources are few: their table is sorted in one task.
     """
-    sizes = docs.select(*_sizes(F.col(id_col), F.col(text_col), F.col(source_col)), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("tick"))
+    ident, text, source = F.col(id_col), F.col(text_col), F.col(source_col)
+    sizes = docs.select(*_sizes(ident, text, source), F.md5(F.coalesce(ident.cast("string"), unnamed(row_key(ident, text, source)))).alias("tick"))
     plan = _plan(sizes, ["tick", "id", "size"], schedules, max_repeats)
     plan = plan.select(
         F.col("id").alias(id_col),
@@ -151,7 +158,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     ident, text, source = F.col(id_col), F.col(text_col), F.col(source_col)
     row = row_key(ident, text, source)
-    sizes = docs.select(*_sizes(ident, text, source), F.md5(F.coalesce(ident.cast("string"), row)).alias("tick"), row.alias("_mix_row"))
+    sizes = docs.select(*_sizes(ident, text, source), F.md5(F.coalesce(ident.cast("string"), unnamed(row))).alias("tick"), row.alias("_mix_row"))
     plan = _plan(sizes, ["tick", "id", "size", "_mix_row"], schedules, max_repeats)
     plan = table(plan.select("_mix_row", F.col("size").alias("_mix_size"), F.col("passes").alias("_mix_passes")), "plan")
     named = docs.withColumn("_mix_row", row)

@@ -121,7 +121,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length:
     src = src.select(F.to_json("key").alias("id"), "text")
     out = src.mapInPandas(cut, "id string, piece int, start long, length long, ids_crc32 long, ids binary")
     back = F.from_json("id", f"`{id_col}` {kind}")[id_col]
-    out = out.withColumn("tick", F.md5(F.concat_ws(":", "id", "piece", "ids_crc32"))).withColumn("id", back)
+    # With a row number, so that rows that are wholly equal are not one key.
+    out = out.withColumn("tick", F.md5(F.concat_ws(":", "id", "piece", "ids_crc32", F.monotonically_increasing_id()))).withColumn("id", back)
     return out if with_ids else out.drop("ids")
 
 
@@ -248,8 +249,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     With ``added``, strings of the tokenizer file's added tokens have their own
     ids, as ``tokenizers`` gives them at its defaults; else they are ordinary text.
     Null and empty texts are one end token. Rows that repeat, or whose
-    identifier is null, are packed as documents of their own. An empty table
-    gives an empty result. Other columns are not read.
+    identifier is null, are packed as documents of their own. A very long text is
+    one list of ids in one task. An empty table gives an empty result. Other
+    columns are not read. ``max_parts``, the parts of a pattern, and the steps of
+    the fit are parameters of the method: any value packs all pieces.
     """
     cut = table(pieces(docs, tokenizer, id_col, text_col, length, end_id, with_ids, added), "pieces")
     counts = np.zeros(length + 1, dtype=np.int64)

@@ -147,7 +147,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
         F.crc32(F.encode("t", "UTF-8")).alias("crc"),
         F.md5("t").alias("key"),
     )
-    rows = rows.withColumn("tick", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "key")))
+    # Rows without an identifier have their number in the table instead, so as not to be one key.
+    rows = rows.withColumn("tick", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id())), "key")))
     rows = table(rows, "sizes")
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     capacity, digits = -(-int(total) // shards), hex_digits(n)
