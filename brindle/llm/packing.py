@@ -43,8 +43,6 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel":
-        raise ValueError(f"{path} is not a byte-level BPE")
     # Printable bytes stand for themselves; the others, in order, for code points from 256.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain}
@@ -55,6 +53,24 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def plain_bytes(path: str) -> bool:
+    """Whether the file is a byte-level BPE without anything that :func:`encoder` leaves out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or spec.get("normalizer") is not None:
+        return False
+    if not before.get("use_regex", True) or before.get("add_prefix_space", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    # Merges in the order of their results' ids, which is the order of ranks.
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    return all(x < y for x, y in zip(ids, ids[1:], strict=False)) and min(ids, default=0) >= 0
+
+
 @lru_cache(maxsize=4)
 def whole(path: str, added: bool):
     """The ``tokenizers`` file itself; without ``added`` the strings of special tokens are ordinary text."""
@@ -83,7 +99,7 @@ def encode(path: str, text: str, added: bool) -> list[int]:
     """The ids of ``text`` as ``tokenizers`` gives them without a post-processor's tokens; with ``added``,
     strings of the file's added tokens have their own ids."""
     pattern, ids, plain = splitter(path)
-    if LONG_SPACE.search(text) or (added and not plain):
+    if not plain_bytes(path) or LONG_SPACE.search(text) or (added and not plain):
         return whole(path, added).encode(text, add_special_tokens=False).ids
     enc = encoder(path)
     try:
@@ -100,7 +116,7 @@ def encode(path: str, text: str, added: bool) -> list[int]:
         return whole(path, added).encode(text, add_special_tokens=False).ids
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, with_ids: bool, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, with_ids: bool, added: bool = True) -> DataFrame:
     """Token pieces of every document: its ids, then ``end_id``, cut from the back into ``length``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +258,7 @@ def places(contents: list[tuple[tuple[int, ...], int]], length: int) -> dict[int
     return {v: np.array(r, dtype=np.int64) for v, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, max_parts: int = 3, with_ids: bool = True, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 2, max_parts: int = 3, with_ids: bool = True, added: bool = True) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian
     unsigned 32-bit) if ``with_ids``.
 

@@ -85,7 +85,6 @@ def test_mix_and_packing(stages):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(TOKENIZER)
-    tok.encode_special_tokens = True
     want = Counter()
     for r in mixed:
         ids = np.array(tok.encode(r.text, add_special_tokens=False).ids + [2], dtype="<u4")
