@@ -12,7 +12,8 @@ substrings, so equal windows have equal anchors.
 2. Texts with shared anchors give, for each run of windows of one shared
    anchor, the bytes that the run spans. Equal snippets of an anchor are
    pre-aggregated to one, with the smallest identifier.
-3. The distinct snippets of a range of anchors form one string. Its
+3. The distinct snippets of a range of anchors that share a window with
+   another, by its hash, form one string. Its
    Burrows-Wheeler transform is taken from the order of its suffixes by their
    first bytes, and intervals are expanded: breadth first, each interval of a
    prefix p is extended backward to the intervals of cp, and a boundary that
@@ -30,19 +31,18 @@ snippets, whose sizes follow from the number of ranges.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_shuffles, release, table
+from brindle.llm.common import free_shuffles, likely, packed, range_bits, range_of, ranged, release, table, unpacked
 
 GRAM = 28
 #: Bytes of text hashed at once, of text behind one range of anchors, of snippets in one suffix array.
 SLICE, RANGE, ARRAY = 1 << 20, 16 << 20, 2 << 20
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def anchors(data: bytes, length: int) -> np.ndarray:
@@ -73,74 +73,67 @@ def anchors(data: bytes, length: int) -> np.ndarray:
     return np.minimum(h[: len(h) - width + span], h[width - span :]) if span < width else h
 
 
-def tags(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Range number (upper 16 bits) and the lower 48 bits of the hash."""
-    return ((hashes >> np.uint64(48)) % np.uint64(parts) << np.uint64(48)) | (hashes & LOW48)
-
-
-def _slim(v: np.ndarray) -> bytes:
-    """The lower six bytes of each."""
-    return np.ascontiguousarray(v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def tags(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Tags that sort by range. An anchor is a smallest hash, so it is mixed again (one to one) before its upper bits are taken."""
+    h = hashes * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return ranged(h ^ (h >> np.uint64(32)), bits)
 
 
-def owner_of(data: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(data).digest()[:8], "big", signed=True)
+def owner_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _scan(batches: Iterator[pd.DataFrame], parts: int, length: int) -> Iterator[pd.DataFrame]:
-    """Distinct anchors of texts, packed by range: rows (part, keys, owner's number, owners)."""
-    held: dict[int, np.ndarray] = {}
+def _scan(batches: Iterator[pd.DataFrame], bits: int, length: int, owner_of: Callable[[bytes], int]) -> Iterator[pd.DataFrame]:
+    """Distinct anchors of texts, packed by range: rows (part, number, gaps of the sorted keys, owner's number, owners)."""
+    held: dict[bytes, np.ndarray] = {}
     size = 0
 
-    def packed() -> pd.DataFrame:
-        owners = np.fromiter(held, dtype=np.int64, count=len(held))
+    def gathered() -> pd.DataFrame:
+        owners = np.fromiter(map(owner_of, held), dtype=np.int64, count=len(held))
         keys = np.concatenate(list(held.values()))
         who = np.repeat(np.arange(len(owners), dtype=np.uint16), [len(v) for v in held.values()])
         order = np.argsort(keys, kind="stable")
         keys, who = keys[order], who[order]
-        at = np.searchsorted(keys >> np.uint64(48), np.arange(parts + 1))
+        which, at = np.unique(range_of(keys, bits), return_index=True)
         rows = []
-        for p in range(parts):
-            a, b = at[p], at[p + 1]
-            if a < b:
-                present, short = np.unique(who[a:b], return_inverse=True)
-                rows.append((p, _slim(keys[a:b]), short.astype("<u2").tobytes(), owners[present].tobytes()))
-        return pd.DataFrame(rows, columns=["part", "keys", "who", "owners"])
+        for p, a, b in zip(which.tolist(), at, np.append(at, len(keys))[1:], strict=True):
+            present, short = np.unique(who[a:b], return_inverse=True)
+            gaps = np.diff(keys[a:b], prepend=keys[a])
+            rows.append((p, int(b - a), int(keys[a : a + 1].view(np.int64)[0]), packed(gaps), packed(short), owners[present].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "n", "low", "keys", "who", "owners"])
 
     for b in batches:
         for text in b["text"]:
             data = text.encode("utf-8", "surrogatepass")
-            if len(data) < length or (owner := owner_of(data)) in held:
+            if len(data) < length or (owner := hashlib.sha256(data).digest()) in held:
                 continue
             found = anchors(data, length)
             found = found[np.flatnonzero(np.append(True, found[1:] != found[:-1]))]
-            held[owner] = np.unique(tags(found, parts))
+            held[owner] = np.unique(tags(found, bits))
             size += len(held[owner])
             if size > 1 << 21 or len(held) >= 65_000:
-                yield packed()
+                yield gathered()
                 held, size = {}, 0
     if held:
-        yield packed()
+        yield gathered()
 
 
-def _shared(rows: pd.DataFrame, groups: int) -> pd.DataFrame:
-    """Of one range: anchors of two texts or more, by group of texts."""
-    keys = np.concatenate([_wide(x) for x in rows["keys"]])
-    who = np.concatenate([np.frombuffer(o, dtype=np.int64)[np.frombuffer(w, dtype="<u2")] for w, o in zip(rows["who"], rows["owners"], strict=True)])
+def _shared(rows: pd.DataFrame, groups: int, clash: list[int]) -> pd.DataFrame:
+    """Of one range: anchors of two texts or more, by group of texts. Owners in ``clash`` stand for several texts each."""
+    keys = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint64) + np.int64(low).view(np.uint64) for x, n, low in zip(rows["keys"], rows["n"], rows["low"], strict=True)])
+    who = np.concatenate([np.frombuffer(o, dtype=np.int64)[unpacked(w, n)] for w, o, n in zip(rows["who"], rows["owners"], rows["n"], strict=True)])
     order = np.lexsort((who, keys))
     keys, who = keys[order], who[order]
     same = keys[1:] == keys[:-1]
     differ = np.append(same & (who[1:] != who[:-1]), False)
+    if clash:
+        differ |= np.isin(who, clash)
     begins = np.flatnonzero(np.append(True, ~same))
     many = np.logical_or.reduceat(differ, begins)
     keep = np.repeat(many, np.diff(np.append(begins, len(keys))))
-    keys, who = keys[keep] | (np.uint64(int(rows["part"].iloc[0])) << np.uint64(48)), who[keep]
+    keys, who = keys[keep], who[keep]
     group = who.view(np.uint64) % np.uint64(groups)
     out = [(int(g), keys[m].tobytes(), who[m].tobytes()) for g in np.unique(group) for m in [group == g]]
     return pd.DataFrame(out, columns=["grp", "keys", "who"])
@@ -157,23 +150,23 @@ def _by_text(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"owner": owners, "keys": [k.tobytes() for k in np.split(keys, at[1:])]})
 
 
-def _snippets(batches: Iterator[pd.DataFrame], parts: int, length: int) -> Iterator[pd.DataFrame]:
+def _snippets(batches: Iterator[pd.DataFrame], bits: int, length: int) -> Iterator[pd.DataFrame]:
     """The bytes that each run of windows with one shared anchor spans."""
     for b in batches:
         cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        for key, owner, text, shared in zip(b["id"], b["owner"], b["text"], b["keys"], strict=True):
+        for key, doc, text, shared in zip(b["id"], b["v"], b["text"], b["keys"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            found = tags(anchors(data, length), parts)
+            found = tags(anchors(data, length), bits)
             begins = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
             ends = np.append(begins[1:], len(found)) + length - 1
             hit = np.isin(found[begins], np.frombuffer(shared, dtype=np.uint64))
             for a, z, tag in zip(begins[hit].tolist(), ends[hit].tolist(), found[begins[hit]].view(np.int64).tolist(), strict=True):
-                for c, v in zip(cols, (tag, key, owner, a, data[a:z]), strict=True):
+                for c, v in zip(cols, (tag, key, doc, a, data[a:z]), strict=True):
                     c.append(v)
             if len(cols[0]) > 200_000:
-                yield pd.DataFrame(dict(zip(("tag", "id", "owner", "start", "content"), cols, strict=True)))
+                yield pd.DataFrame(dict(zip(("tag", "id", "v", "start", "content"), cols, strict=True)))
                 cols = ([], [], [], [], [])
-        yield pd.DataFrame(dict(zip(("tag", "id", "owner", "start", "content"), cols, strict=True)))
+        yield pd.DataFrame(dict(zip(("tag", "id", "v", "start", "content"), cols, strict=True)))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -250,8 +243,29 @@ def smallest(contents: list[bytes], firsts: np.ndarray, length: int) -> list[np.
     return np.split(out[at], np.cumsum(windows)[:-1])
 
 
+def recurring(contents: list[bytes], length: int) -> np.ndarray:
+    """Which contents have a window whose hash occurs again; the windows of the others are unlike all."""
+    text = np.frombuffer(b"".join(contents) + bytes(8), dtype=np.uint8)
+    sizes = np.array([len(c) for c in contents])
+    windows = sizes - length + 1
+    at = np.arange(windows.sum()) + np.repeat(np.append(0, np.cumsum(sizes)[:-1]) - np.append(0, np.cumsum(windows)[:-1]), windows)
+    eight = np.lib.stride_tricks.as_strided(text[:8].view(np.uint64), (len(text) - 7,), (1,))
+    h = np.zeros(len(at), dtype=np.uint64)
+    for i in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ eight[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+    return np.logical_or.reduceat(times[inverse] > 1, np.append(0, np.cumsum(windows)[:-1]))
+
+
 def _expanded(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of one range of anchors: the smallest identifier by window, where it is not the snippet's own."""
+    """Of one range of anchors: the smallest identifier by window, where it is not the snippet's own.
+
+    Snippets that share an anchor by chance alone, with no window of another's, stay out of the transform.
+    """
+    rows = rows[recurring(list(rows["content"]), length)]
+    if not len(rows):
+        return rows[["tag", "mark"]].assign(mins=None)
     firsts = rows["first"].to_numpy()
     low = smallest(list(rows["content"]), firsts, length)
     mins = [None if (v == f).all() else v.tobytes() for v, f in zip(low, firsts, strict=True)]
@@ -263,7 +277,7 @@ def _expanded(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 def _removed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for key, owner, text, runs in zip(b["id"], b["owner"], b["text"], b["runs"], strict=True):
+        for key, v, text, runs in zip(b["id"], b["v"], b["text"], b["runs"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             gone = np.zeros(len(data) + 1, dtype=np.int64)
             for r in runs:
@@ -276,13 +290,13 @@ def _removed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFr
             gone = np.cumsum(gone)[:-1] > 0
             n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
             kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-            rows.append((key, owner, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
-        yield pd.DataFrame(rows, columns=["id", "owner", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
+            rows.append((v, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept))
+        yield pd.DataFrame(rows, columns=["v", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
 def owner_column(sha: Column) -> Column:
-    """The first eight bytes of a hex digest as a signed long, big-endian."""
-    return F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
+    """The first eight bytes of a digest as a signed long, big-endian."""
+    return F.conv(F.hex(F.substring(sha, 1, 8)), 16, -10).cast("long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, with_bytes: bool = True) -> DataFrame:
@@ -290,67 +304,82 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``with_bytes`` (null where nothing or all is removed).
 
     A null text is empty. Rows with a null id are left whole and cover nothing.
-    Rows that repeat an id are not smaller than each other. An empty table gives
-    an empty result. Other columns are not read. ``length`` is at least GRAM + 8.
+    Rows that repeat an id are not smaller than each other. A very long text is
+    hashed by slices, in one task. An empty table gives an empty result. Other
+    columns are not read. ``length`` is at least GRAM + 8.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    meta = source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    meta = table(meta.withColumn("owner", owner_column(F.col("sha"))), "texts")
-    total = meta.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    parts = int(min(max(8, -(-total // RANGE)), 1 << 16))
+    named = source.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    meta = table(named.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "sha").withColumn("owner", owner_column(F.col("sha"))), "texts")
+    total = int(meta.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
+    bits = range_bits(total, RANGE)
+    # The first document of each text, numbered. Owners that several texts share are expected n^2 / 2^65 times, two at 10^10 texts.
+    first = meta.where("id is not null").groupBy("sha", "owner").agg(F.min("id").alias("id"))
+    first = table(first.withColumn("v", F.monotonically_increasing_id()), "firsts")
+    clash = [r[0] for r in first.groupBy("owner").count().where("count > 1").select("owner").collect()]
 
     # 1. Shared anchors, by text.
     known = source.where("id is not null").select("text")
-    packed = known.mapInPandas(lambda it: _scan(it, parts, length), "part int, keys binary, who binary, owners binary")
-    shared = packed.groupBy("part").applyInPandas(lambda rows: _shared(rows, parts), "grp int, keys binary, who binary")
+    anchored = known.mapInPandas(lambda it: _scan(it, bits, length, owner_of), "part long, n long, low long, keys binary, who binary, owners binary")
+    shared = anchored.groupBy("part").applyInPandas(lambda rows: _shared(rows, 1 << bits, clash), "grp long, keys binary, who binary")
     shared = table(shared.groupBy("grp").applyInPandas(_by_text, "owner long, keys binary"), "anchors")
     free_shuffles(spark)
 
     # 2. Snippets of the first document of each such text.
-    first = meta.where("id is not null").groupBy("owner").agg(F.min("id").alias("id"))
-    wanted = shared.join(first, "owner")
-    named = source.withColumn("owner", owner_column(F.sha2("text", 256)))
-    texts = named.join(wanted, ["id", "owner"]).select("id", "owner", "text", "keys")
-    found = texts.mapInPandas(lambda it: _snippets(it, parts, length), "tag long, id long, owner long, start long, content binary")
-    found = table(found.withColumn("mark", F.xxhash64("content")), "snippets")
+    wanted = shared.join(first, "owner").drop("owner")
+    texts = named.join(wanted, ["id", "sha"]).select("id", "v", "text", "keys")
+    found = texts.mapInPandas(lambda it: _snippets(it, bits, length), "tag long, id long, v long, start int, content binary")
+    found = table(found.withColumns({"mark": F.xxhash64("content"), "size": F.octet_length("content")}), "snippets")
     free_shuffles(spark)
     release(shared)
 
-    # 3. Distinct snippets, expanded by ranges of anchors.
-    distinct = found.groupBy("tag", "content").agg(F.min("id").alias("first"), F.first("mark").alias("mark"))
+    # 3. Distinct snippets, told by anchor and digest (112 bits), of which one place of each is looked up. Those that are the
+    # only one of their anchor have nothing to match; the others are expanded by ranges of anchors.
+    distinct = found.groupBy("tag", "mark").agg(F.min("id").alias("first"), F.min(F.struct("v", "start")).alias("at"), F.count(F.lit(1)).alias("n"))
     distinct = table(distinct, "distinct")
-    volume = distinct.agg(F.coalesce(F.sum(F.octet_length("content") + 1), F.lit(0))).first()[0]
+    free_shuffles(spark)
+    several = table(distinct.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tag"), "several")
+    place = F.xxhash64("v", "start").alias("place")
+    chosen = table(likely(distinct, "tag", several).select("tag", "mark", "first", "at.v", "at.start"), "chosen")
+    rivals = likely(found.select("v", "start", "content", place), "place", chosen.select(place)).drop("place").join(chosen, ["v", "start"]).drop("v", "start")
+    rivals = table(rivals, "rivals")
+    keys = table(found.drop("content"), "places")
+    release(found, several, chosen)
+    free_shuffles(spark)
+    volume = rivals.agg(F.coalesce(F.sum(F.octet_length("content") + 1), F.lit(0))).first()[0]
     ranges = max(8, -(-int(volume) // ARRAY))
-    ranged = distinct.withColumn("range", F.pmod(F.xxhash64("tag"), F.lit(ranges)))
-    mins = ranged.groupBy("range").applyInPandas(lambda rows: _expanded(rows, length), "tag long, mark long, mins binary")
+    parted = rivals.withColumn("range", F.pmod(F.xxhash64("tag"), F.lit(ranges)))
+    mins = parted.groupBy("range").applyInPandas(lambda rows: _expanded(rows, length), "tag long, mark long, mins binary")
     mins = table(mins, "smallest")
     free_shuffles(spark)
 
     # 4. What each document loses.
-    said = distinct.select("tag", "mark", "first").join(mins, ["tag", "mark"], "left")
-    runs = found.select("tag", "mark", "id", "owner", "start", F.octet_length("content").cast("long").alias("size")).join(said, ["tag", "mark"])
+    said = distinct.select("tag", "mark", "first", "n").join(mins, ["tag", "mark"], "left").where("n > 1 or mins is not null").drop("n")
+    runs = keys.join(said, ["tag", "mark"])
     runs = runs.where((F.col("first") < F.col("id")) | F.col("mins").isNotNull())
-    runs = runs.groupBy("id", "owner").agg(F.collect_list(F.struct("start", "size", "mins")).alias("runs"))
+    runs = runs.groupBy("v").agg(F.collect_list(F.struct("start", "size", "mins")).alias("runs"))
     runs = table(runs, "runs")
-    release(found, mins)
+    release(keys, mins, distinct, rivals)
     free_shuffles(spark)
-    texts = named.join(runs, ["id", "owner"]).select("id", "owner", "text", "runs")
-    cut = texts.mapInPandas(lambda it: _removed(it, length), "id long, owner long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
-    cut = table((cut if with_bytes else cut.drop("kept_bytes")).dropDuplicates(["id", "owner"]), "removed")
+    texts = named.join(first.drop("owner").join(runs, "v"), ["id", "sha"]).select("id", "v", "text", "runs")
+    cut = texts.mapInPandas(lambda it: _removed(it, length), "v long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    cut = (cut if with_bytes else cut.drop("kept_bytes")).dropDuplicates(["v"])
+    cut = table(cut.join(first.select("v", "id", "sha"), "v").drop("v"), "removed")
+    release(runs)
     free_shuffles(spark)
 
     # Copies of a text: whole for the smallest id, nothing of the others. Salted, as one text may have a third of the rows.
     salts = 32
-    low = first.withColumnRenamed("id", "low").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = meta.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(low, ["owner", "salt"], "left")
-    out = out.join(cut.withColumnsRenamed({"n_removed": "r", "n_spans": "s", "kept_sha256": "k"}), ["id", "owner"], "left")
+    low = first.select("sha", F.col("id").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = meta.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(low, ["sha", "salt"], "left")
+    out = out.join(cut.withColumnsRenamed({"n_removed": "r", "n_spans": "s", "kept_sha256": "k"}), ["id", "sha"], "left")
     copy = F.coalesce((F.col("id") > F.col("low")) & (F.col("n_bytes") >= length), F.lit(False))
     return out.select(
         F.col("id").alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("r", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("s", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("k", "sha")).alias("kept_sha256"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("k", F.lower(F.hex("sha")))).alias("kept_sha256"),
         *(["kept_bytes"] if with_bytes else []),
     )
