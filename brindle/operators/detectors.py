@@ -75,14 +75,23 @@ def repeated_characters(config: Config) -> Column:
 
 
 HISTORY = "recent"
+#: The slice of time that a row is worked on in (see ``windowed.sliced``).
+SLICE = "_slice"
+
+
+def player(rows: DataFrame) -> list[str]:
+    """What a player's rows are partitioned by."""
+    return ["player_id", *([SLICE] if SLICE in rows.columns else [])]
 
 
 def with_history(messages: DataFrame, config: Config) -> DataFrame:
-    """Adds ``recent``, the player's last messages (newest last), and ``last_ts``, over one frame."""
+    """Adds ``recent``, the player's last messages (newest last), and ``last_ts``, over one frame; within a slice, where there are slices."""
     dup, sim, rapid = (config.rules[k] for k in ("duplicate_spam", "similarity_spam", "rapid_spam"))
     n = max(dup.history_size, sim.history_size, rapid.maximum_messages_in_window)
-    by = Window.partitionBy("player_id").orderBy("ts", "seq")
-    entry = F.struct("ts", "canonical", text.truncate(F.col("deobfuscated"), sim.maximum_processed_length).alias("clear"))
+    by = Window.partitionBy(*player(messages)).orderBy("ts", "seq")
+    # Only the similarity rule reads the text again.
+    clear = text.truncate(F.col("deobfuscated"), sim.maximum_processed_length)
+    entry = F.struct("ts", "canonical", (clear if sim.enabled else F.lit("")).alias("clear"))
     return messages.withColumns({HISTORY: F.collect_list(entry).over(by.rowsBetween(-n, -1)), "last_ts": F.lag("ts").over(by)})
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Permission node: categories that it lets pass.
@@ -62,10 +62,18 @@ def target(queries: DataFrame, online: DataFrame, known: DataFrame, id_pattern:
 
 def muted(messages: DataFrame, mutes: DataFrame, how: str = "left_anti") -> DataFrame:
     """Messages outside (``left_anti``) or inside (``left_semi``) of their player's mutes: muted_at <= ts < muted_until,
-    without an end for ever. An equi-join on the player with a range condition."""
-    m = mutes.select(F.col("player_id").alias("_p"), "muted_at", "muted_until")
-    inside = (F.col("player_id") == F.col("_p")) & (F.col("ts") >= F.col("muted_at")) & (F.col("muted_until").isNull() | (F.col("ts") < F.col("muted_until")))
-    return messages.join(m, inside, how)
+    without an end for ever.
+
+    A message is muted if the latest end of the mutes that have begun is after
+    it, so one window over messages and mutes in order of time does, and no
+    message meets every mute of its player.
+    """
+    begun = mutes.select("player_id", F.col("muted_at").alias("_at"), F.coalesce("muted_until", F.lit("9999-12-31 00:00:00").cast("timestamp")).alias("_until"), F.lit(False).alias("_said"))
+    said = messages.withColumns({"_at": F.col("ts"), "_said": F.lit(True)})
+    by = Window.partitionBy("player_id").orderBy("_at", "_said").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = said.unionByName(begun, allowMissingColumns=True).withColumn("_end", F.max("_until").over(by)).where("_said")
+    inside = F.coalesce(F.col("_end") > F.col("ts"), F.lit(False))
+    return out.where(inside if how == "left_semi" else ~inside).select(*messages.columns)
 
 
 def alert_recipients(alerts: DataFrame, staff: DataFrame, most: int = 10_000) -> DataFrame:

@@ -163,6 +163,25 @@ def test_one_exchange_and_sort(spark):
     assert plan.count("Exchange hashpartitioning") <= 2 and "BatchEvalPython" not in plan and "CartesianProduct" not in plan
 
 
+def test_slices_give_the_same(spark):
+    """A player with most messages, in slices hardly longer than what a row reaches."""
+    r = random.Random(5)
+    said_ = [("bot" if i % 10 else f"p{i % 7}", i, 1_700_000_000 + i * r.choice((0, 1, 7, 40)), r.choice(["hello there all", "hello there al", "x" * 230, "something else", "SHOUTING LOUD"])) for i in range(900)]
+    df = spark.createDataFrame(said_, "player_id string, seq long, s long, raw string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    config = replace(BASE, decay_seconds=300, thresholds=((2, (C.Action("WARN"),)), (10, (C.Action("KICK"),))))
+    cols = ["player_id", "seq", "points_before", "points_after", "threshold_crossed", F.transform("matches", lambda m: m["rule_id"])]
+    key = lambda out: sorted(map(str, out.select(*cols).collect()))
+    want = key(windowed.evaluate(df, config))
+    assert len(want) == 900 and key(windowed.evaluate(df, config, slice_seconds=400)) == want and key(windowed.evaluate(df, config, slice_seconds=100)) == want
+
+
+def test_mutes_that_overlap_touch_and_never_end(spark):
+    m = spark.createDataFrame([("p", i, i) for i in range(12)] + [("q", 0, 5)], "player_id string, seq long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    mutes = spark.createDataFrame([("p", 1, 4), ("p", 2, 3), ("p", 4, 5), ("p", 7, 7), ("p", 9, None), ("p", 10, 11)], "player_id string, a long, b long").selectExpr("player_id", "timestamp_seconds(a) muted_at", "timestamp_seconds(b) muted_until")
+    assert [r.seq for r in lookups.muted(m, mutes, "left_semi").orderBy("seq").collect()] == [1, 2, 3, 4, 9, 10, 11]
+    assert sorted((r.player_id, r.seq) for r in lookups.muted(m, mutes).collect()) == [("p", 0), ("p", 5), ("p", 6), ("p", 7), ("p", 8), ("q", 0)] and lookups.muted(m, mutes).columns == m.columns
+
+
 def test_cases_and_lookups(spark):
     ts = lambda s: f"2024-01-01 00:00:0{s}"
     c = spark.createDataFrame([("a", ts(0), ts(9)), ("b", ts(0), ts(1))], "case_id string, opened_at string, expires_at string").selectExpr("case_id", "timestamp(opened_at) opened_at", "timestamp(expires_at) expires_at")

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import history
+from brindle.operators import detectors, history
 from brindle.plans import config as C
 from brindle.plans import fold, queries, windowed
 from brindle.sources.messages import document_messages
@@ -166,6 +166,31 @@ def test_kept_states_of_both_versions(spark, tmp_path):
         audit.kept(audit.copied(entry, audit.SNAPSHOT), at, many).collect()
 
 
+def test_muted_messages_are_neither_judged_nor_remembered(rocks):
+    """The registered query against a simulation of length, capitals, duplicates and mutes, written apart from the fold."""
+    said_ = document_messages(rocks, "/root/testdata/sf0.001").where("player_id < 25").orderBy("player_id", "ts", "seq").collect()
+    forms = {(r.player_id, r.seq): r.canonical for r in detectors.with_forms(document_messages(rocks, "/root/testdata/sf0.001").where("player_id < 25"), BASE).select("player_id", "seq", "canonical").collect()}
+    want, by = {}, {}
+    for m in said_:
+        heard, scores, until = by.setdefault(m.player_id, ([], [], [None]))
+        now, low = m.ts.timestamp(), forms[m.player_id, m.seq]
+        if until[0] is not None and now < until[0]:
+            want[m.player_id, m.seq] = ("BLOCK", 0)
+            continue
+        letters = [c for c in m.raw if c.isalpha()]
+        points = (len(m.raw) > 220) + (len(letters) >= 8 and sum(c.isupper() for c in letters) > 0.75 * len(letters)) + 2 * (len(low) >= 3 and any(t >= now - 45 and x == low for t, x in heard[-8:]))
+        before = sum(p for t, p in scores if t + 1800 > now)
+        want[m.player_id, m.seq] = ("BLOCK" if points else "ALLOW", points)
+        scores.append((now, points))
+        heard.append((now, low))
+        if before < 2 <= before + points:
+            until[0] = now + 5
+    mute = replace(queries.SLICE, thresholds=((2, (C.Action("MUTE", seconds=5, reason="Repeated chat violations."),)),))
+    out = processor.evaluate(document_messages(rocks, "/root/testdata/sf0.001").where("player_id < 25"), mute).collect()
+    assert {(int(r.player_id), r.seq): (r.decision, r.points_added) for r in out} == want
+    assert sum("MUTE" in r.actions for r in out) > 0
+
+
 def test_sinks(spark, tmp_path):
     e = windowed.evaluate(document_messages(spark, "/root/testdata/sf0.001").where("player_id < 30"), queries.SLICE)
     records = history.violations(e)
