@@ -119,9 +119,10 @@ def bounded(value: Column, n: int) -> Column:
 
 
 def escape_markup(value: Column, n: int) -> Column:
-    """Mentions broken, markup escaped, an empty text named, a long one cut with an ellipsis."""
+    """Controls dropped, mentions broken, markup escaped, an empty text named, a long one cut with an ellipsis."""
     marks = r"\*_~`|>"
-    value = F.replace(F.coalesce(value, F.lit("")), F.lit("@"), F.lit("@​"))
+    value = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1F\x7F-\x9F\p{Cs}\x{2028}\x{2029}]", "")
+    value = F.replace(value, F.lit("@"), F.lit("@​"))
     value = F.regexp_replace(value, "([" + "".join("\\" + c for c in marks) + "])", r"\\$1")
     value = F.when(value == "", F.lit("unknown")).otherwise(value)
     return F.when(F.length(value) > n, F.concat(F.substring(value, 1, n - 1), F.lit("…"))).otherwise(value)

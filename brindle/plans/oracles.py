@@ -144,7 +144,7 @@ SQL = {
     "normalize_forms": f"{FORMS_SQL}, z AS (SELECT *, string_split(deobfuscated, '') AS ch FROM c) SELECT player_id, seq, canonical, deobfuscated, compact, {COLLAPSE.format('ch', '')} AS collapsed FROM z",
     "filter_text_forms": f"{FILTER_SQL} SELECT player_id, seq, ft AS normalized, fp AS punctuated, CASE WHEN ft = '' THEN 0 ELSE len(string_split(ft, ' ')) END AS n_tokens FROM v",
     "text_bounds": rf"""WITH {MESSAGES_SQL},
-      b AS (SELECT *, CASE WHEN raw = '' THEN 'unknown' ELSE regexp_replace(replace(raw, '@', '@' || chr(8203)), '([\\*_~`|>])', '\\\1', 'g') END AS x FROM m)
+      b AS (SELECT *, CASE WHEN raw = '' THEN 'unknown' ELSE regexp_replace(replace(regexp_replace(raw, '[\x00-\x1F\x7F-\x{{9F}}\x{{2028}}\x{{2029}}]', '', 'g'), '@', '@' || chr(8203)), '([\\*_~`|>])', '\\\1', 'g') END AS x FROM m)
       SELECT player_id, seq, regexp_replace(raw, '[\x00-\x1F\x7F-\x{{9F}}\x{{2028}}\x{{2029}}]', '', 'g')[1:160] AS bounded,
         regexp_replace(regexp_replace(raw, '[\r\n\x{{2028}}\x{{2029}}]', ' ', 'g'), '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g') AS stored,
         CASE WHEN length(x) > 512 THEN x[1:511] || '…' ELSE x END AS escaped FROM b""",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import similarity
-from brindle.operators import actions, cases, detectors, history, lookups
+from brindle.operators import actions, alerts, cases, detectors, history, lookups
 from brindle.plans import oracles, windowed
 from brindle.plans import queries as q
 from brindle.sources.messages import document_messages, read
@@ -93,6 +93,24 @@ def alert_recipients(spark, sf_dir):
     return lookups.alert_recipients(a, staff)
 
 
+@registered(r"""WITH x AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN '' WHEN event_id % 6 = 1 THEN repeat('ab', 200) ELSE '@every*one_' || user_id END AS name, user_id, event_type, event_id % 9 AS points, event_id % 3 AS k FROM events)
+  SELECT event_id, CASE WHEN name = '' THEN 'unknown' WHEN length(name) > 256 THEN name[1:255] || '…' ELSE '@' || chr(8203) || 'every\*one\_' || user_id END AS player,
+    CASE k WHEN 0 THEN 'unknown' WHEN 1 THEN 'spam.rapid' ELSE 'spam.rapid, fx.a\_b' END AS rules, event_type AS decision, 6 + CASE WHEN k > 0 THEN 1 ELSE 0 END AS n_fields,
+    CASE WHEN k = 2 THEN '' ELSE 'cam:case-' || event_id || ':m10,cam:case-' || event_id || ':ban,cam:case-' || event_id || ':dismiss' END AS buttons FROM x""")
+def alert_embed(spark, sf_dir):
+    """Events as alerts: names empty, too long, or with markup; some without a case or an original."""
+    n, u = F.col("event_id"), F.col("user_id")
+    name = F.when(n % 6 == 0, "").when(n % 6 == 1, F.lit("ab" * 200)).otherwise(F.concat(F.lit("@every*one_"), u.cast("string")))
+    rules = F.array_compact(F.array(F.when(n % 3 > 0, "spam.rapid"), F.when(n % 3 == 2, "fx.a_b")))
+    a = q.events(spark, sf_dir).select(
+        "event_id", u.alias("player_id"), name.alias("player_name"), rules.alias("rule_ids"), F.upper("event_type").alias("decision"), (n % 9).alias("points_added"), n.alias("score_after"),
+        F.when(n % 3 == 0, "").otherwise("said").alias("original"), F.when(n % 3 != 2, F.concat(F.lit("case-"), n.cast("string"))).alias("case_id"), "ts",
+    )
+    out = alerts.embedded(a, include_original=True, mention="7", enabled=("m10", "ban"))
+    value = lambda i: F.get("fields", F.lit(i))["value"]
+    return out.select("event_id", value(0).alias("player"), value(2).alias("rules"), value(3).alias("decision"), F.size("fields").alias("n_fields"), F.array_join(F.transform("buttons", lambda b: b["custom_id"]), ",").alias("buttons"))
+
+
 # --- cases ------------------------------------------------------------------------------------------------------------
 
 CLICKS = """c AS (SELECT user_id AS case_id, min(ts) AS opened_at FROM events WHERE event_type = 'signup' GROUP BY user_id),
