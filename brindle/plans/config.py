@@ -452,6 +452,16 @@ def check_reload(config: Config, tracked_players: int, score_entries: int) -> li
     return out
 
 
+def reload(active: Config, main: str, packs: Mapping[str, str], exceptions: str | None, tracked_players: int, score_entries: int) -> tuple[Config, list[Problem]]:
+    """The configuration to go on with, and why it is not the new one: any problem leaves the active one in place."""
+    try:
+        new = load_bundle(main, packs, exceptions)
+    except ConfigError as e:
+        return active, list(e.problems)
+    problems = check_reload(new, tracked_players, score_entries)
+    return (active, problems) if problems else (new, [])
+
+
 def migrate_pack(text: str, required: Mapping[str, list[str]], marker: str) -> str:
     """Adds required terms to a pack's rules, once: a pack that carries ``marker`` is returned as it is."""
     pack = json.loads(text)

@@ -146,6 +146,12 @@ def control(state: dict, event: dict, config: Config) -> dict:
     return out
 
 
+def cleared(before: dict, after: dict, scope: str) -> bool:
+    """Whether a clear of ``scope`` changed anything."""
+    kinds = {"score": ("entries", "crossed"), "history": ("violations",), "spam": ("times", "recent")}
+    return any(before[k] != after[k] for s, keys in kinds.items() if scope in (s, "all") for k in keys)
+
+
 def pruned(state: dict, now: int, config: Config) -> dict | None:
     """Without what has expired: scores, a mute, old records. After the idle time buffers go too, and a player whole
     without a mute, a score, a crossed threshold or a record."""

@@ -147,6 +147,8 @@ def test_config_collects_problems():
     with pytest.raises(C.ConfigError, match="unknown rule"):
         C.load_bundle("{}", {}, '{"global_exceptions": [{"term": "x", "applies_to": ["fx.none"]}]}')
     assert C.check_reload(got, 20_000, 0)[0].path == "$.state.maximum_tracked_players"
+    assert C.reload(got, "{", {}, None, 0, 0)[0] is got and C.reload(got, "{}", {}, None, 20_000, 0)[0] is got
+    assert C.reload(got, "{}", {}, None, 0, 0) == (BASE, [])
 
 
 def test_templates(spark):

@@ -48,7 +48,9 @@ def test_controls():
     with pytest.raises(ValueError, match="mute"):
         fold.control(fold.new_state(), {"kind": "mute", "ts": 0, "seconds": 10**9}, BASE)
     for scope, empty in (("score", "entries"), ("history", "violations"), ("spam", "recent")):
-        state, _ = run(BASE, [said(0), said(1), {"kind": "clear", "ts": 2 * S, "scope": scope}])
+        full, _ = run(BASE, [said(0), said(1)])
+        state = fold.control(full, {"kind": "clear", "ts": 2 * S, "scope": scope}, BASE)
+        assert fold.cleared(full, state, scope) and fold.cleared(full, state, "all") and not fold.cleared(state, fold.control(state, {"kind": "clear", "ts": 3 * S, "scope": scope}, BASE), scope)
         assert not state[empty] and any(state[k] for k in ("entries", "violations", "recent"))
 
 
