@@ -8,8 +8,8 @@ the Mahalanobis distance is beyond a chi-square quantile.
 
 The estimate is a deterministic MCD: from fixed starts, concentration steps
 recompute mean and covariance over the ``support`` share of the group that is
-nearest, until determinants stand or alternate (25 steps at most), and the start
-with the smallest is refined. Covariances
+nearest, until no determinant moves by more than 2 % (25 steps at most), and the
+start with the smallest is refined. Covariances
 are regularised towards the pooled one (weight ``prior`` rows) and floored, so
 that one formula serves groups of any size, constant statistics included. In
 the verdict a floor is the least variance, not an addition to it.
@@ -38,8 +38,9 @@ D = len(STATS)
 FLOORS = (1.0, 0.08, 0.012, 0.09, 0.08)
 #: Lines and words without a repeat that are added to each text: one repeated line of two is no half.
 PRIOR_LINES, PRIOR_WORDS = 10, 50
-#: Concentration ends when no log-determinant has moved by more.
-STILL = 1e-6
+#: Concentration ends when no group's log-determinant moves by more: 0.2 % of a standard deviation. Shrinkage may leave a
+#: small group between two subsets, which no number of steps would settle.
+STILL = 0.02
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
 
@@ -210,16 +211,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     central = _moments(rows.join(first.select("g", "m", "c"), "g").where(inner), ["g"])
     start = first.withColumn("start", F.lit(0)).unionByName(central.withColumn("start", F.lit(1)))
     fitted = table(_estimates(start, ["start"], prior), "fitted")
-    last = None
     for _ in range(steps):
         new = table(_step(rows, fitted.drop("ld"), support, prior), "fitted")
         moved = new.join(fitted.select("g", "start", F.col("ld").alias("old")), ["g", "start"]).agg(F.max(F.abs(F.col("ld") - F.col("old")))).first()[0]
         release(fitted)
         fitted = new
-        # Shrinkage may leave a small group between two subsets: it moves by the same amount for ever.
-        if moved is None or moved < STILL or (last is not None and abs(moved - last) < STILL):
+        if moved is None or moved < STILL:
             break
-        last = moved
     best = fitted.groupBy("g").agg(F.min_by(F.struct("start", "m", "p"), F.struct("ld", "start")).alias("b")).select("g", "b.*")
     # The covariance of the nearest share of a normal sample is too small by this factor.
     factor = support / chi2_cdf(chi2_quantile(support, D), D + 2)

@@ -573,11 +573,20 @@ def robust_verdicts(rows_, support=0.75, cutoff=0.999, prior=50.0):
         sd = np.sqrt(np.maximum(np.var(x, 0), 0))
         return x[(np.abs(x - x.mean(0)) <= 1.5 * sd + floors).all(1)]
 
-    best = {}
+    best, runs = {}, []
     for parts in (rows_, {g: inner(x) for g, x in rows_.items()}):
         fits = {g: (m, plus(c)) for g, (m, c) in moments(parts)[0].items()}
-        for _ in range(25):
-            fits = {g: (m, plus(c)) for g, (m, c) in moments(nearest(fits))[0].items()}
+        runs.append(fits)
+    # Both starts go on until neither moves in any group.
+    sizes_of = lambda: np.array([[np.linalg.slogdet(f[1])[1] for f in fits.values()] for fits in runs])
+    old = sizes_of()
+    for _ in range(25):
+        runs = [{g: (m, plus(c)) for g, (m, c) in moments(nearest(fits))[0].items()} for fits in runs]
+        size = sizes_of()
+        if np.abs(size - old).max() < quality.STILL:
+            break
+        old = size
+    for fits in runs:
         for g, f in fits.items():
             if g not in best or np.linalg.slogdet(f[1])[1] < np.linalg.slogdet(best[g][1])[1] - 1e-9:
                 best[g] = f
