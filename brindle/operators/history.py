@@ -98,11 +98,11 @@ def admitted(players: DataFrame, arriving: DataFrame, most: int) -> DataFrame:
 
     Known players are. New ones take the free places in order of arrival, then
     those of players that may be evicted; the others are refused, which blocks
-    their message. Ranks are over the new players and the places alone.
+    their message. What is ranked is as many new players as there are places.
     """
-    counts = players.agg(F.count(F.lit(1)).alias("tracked"), F.count_if(~F.col("durable")).alias("spare"))
+    tracked, spare = players.agg(F.count(F.lit(1)), F.count_if(~F.col("durable"))).first()
     new = arriving.groupBy("player_id").agg(F.min("ts").alias("ts")).join(players.select("player_id"), "player_id", "left_anti")
-    new = new.withColumn("place", F.row_number().over(Window.orderBy("ts", F.col("player_id").cast("string"))))
-    new = new.join(F.broadcast(counts)).withColumn("admitted", F.col("place") <= F.greatest(F.lit(most) - F.col("tracked"), F.lit(0)) + F.col("spare"))
+    won = new.orderBy("ts", F.col("player_id").cast("string")).limit(max(most - tracked, 0) + spare).select("player_id", F.lit(True).alias("admitted"))
+    new = new.join(won, "player_id", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
     known = arriving.select("player_id").distinct().join(players.select("player_id"), "player_id", "left_semi")
     return known.withColumn("admitted", F.lit(True)).unionByName(new.select("player_id", "admitted"))
