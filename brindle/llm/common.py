@@ -50,13 +50,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 PER_TASK = 250_000
 
 
-def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def table(df: DataFrame, name: str, rows: int | None = None, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns it reread: the lineage is cut.
 
     ``rows`` bounds the number of (narrow) rows, where that is known: no more tasks and files than it needs.
     """
     path = new_path(df.sparkSession, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // PER_TASK)))).write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // PER_TASK)))).write.option("compression", codec).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._brindle_path = path  # type: ignore[attr-defined]
     return back

@@ -277,14 +277,14 @@ def _expanded(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 def _removed(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for key, v, text, runs in zip(b["id"], b["v"], b["text"], b["runs"], strict=True):
+        for key, v, text, starts, sizes, parts in zip(b["id"], b["v"], b["text"], b["starts"], b["sizes"], b["parts"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
             gone = np.zeros(len(data) + 1, dtype=np.int64)
-            for r in runs:
-                if r["mins"] is None:
-                    hit = np.arange(r["size"] - length + 1) + r["start"]
-                else:
-                    hit = np.flatnonzero(np.frombuffer(r["mins"], dtype=np.int64) < key) + r["start"]
+            # Runs that go whole, then windows of the others.
+            np.add.at(gone, starts, 1)
+            np.add.at(gone, starts + sizes, -1)
+            if len(parts):
+                hit = np.concatenate([np.flatnonzero(np.frombuffer(r["mins"], dtype=np.int64) < key) + r["start"] for r in parts])
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + length, -1)
             gone = np.cumsum(gone)[:-1] > 0
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = shared.join(first, "owner").drop("owner")
     texts = named.join(wanted, ["id", "sha"]).select("id", "v", "text", "keys")
     found = texts.mapInPandas(lambda it: _snippets(it, bits, length), "tag long, id long, v long, start int, content binary")
-    found = table(found.withColumns({"mark": F.xxhash64("content"), "size": F.octet_length("content")}), "snippets")
+    found = table(found.withColumns({"mark": F.xxhash64("content"), "size": F.octet_length("content")}), "snippets", codec="zstd")
     free_shuffles(spark)
     release(shared)
 
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.xxhash64("v", "start").alias("place")
     chosen = table(likely(distinct, "tag", several).select("tag", "mark", "first", "at.v", "at.start"), "chosen")
     rivals = likely(found.select("v", "start", "content", place), "place", chosen.select(place)).drop("place").join(chosen, ["v", "start"]).drop("v", "start")
-    rivals = table(rivals, "rivals")
+    rivals = table(rivals, "rivals", codec="zstd")
     keys = table(found.drop("content"), "places")
     release(found, several, chosen)
     free_shuffles(spark)
@@ -358,11 +358,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     said = distinct.select("tag", "mark", "first", "n").join(mins, ["tag", "mark"], "left").where("n > 1 or mins is not null").drop("n")
     runs = keys.join(said, ["tag", "mark"])
     runs = runs.where((F.col("first") < F.col("id")) | F.col("mins").isNotNull())
-    runs = runs.groupBy("v").agg(F.collect_list(F.struct("start", "size", "mins")).alias("runs"))
-    runs = table(runs, "runs")
+    whole = F.collect_list(F.when(F.col("mins").isNull(), F.struct("start", "size")))
+    runs = runs.groupBy("v").agg(whole.alias("whole"), F.collect_list(F.when(F.col("mins").isNotNull(), F.struct("start", "mins"))).alias("parts"))
+    runs = table(runs.select("v", F.transform("whole", lambda x: x["start"]).alias("starts"), F.transform("whole", lambda x: x["size"]).alias("sizes"), "parts"), "runs")
     release(keys, mins, distinct, rivals)
     free_shuffles(spark)
-    texts = named.join(first.drop("owner").join(runs, "v"), ["id", "sha"]).select("id", "v", "text", "runs")
+    texts = named.join(first.drop("owner").join(runs, "v"), ["id", "sha"]).select("id", "v", "text", "starts", "sizes", "parts")
     cut = texts.mapInPandas(lambda it: _removed(it, length), "v long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     cut = (cut if with_bytes else cut.drop("kept_bytes")).dropDuplicates(["v"])
     cut = table(cut.join(first.select("v", "id", "sha"), "v").drop("v"), "removed")
