@@ -10,6 +10,11 @@ version line, and owns the records that start inside the range, reading past
 its end to finish the last. Ranges need no index and no knowledge of each
 other.
 
+No record is lost in silence. Between the first record of a range and its end
+members must follow one another without a gap; a member that opens as a record
+and cannot be decoded to its end is damaged; and an archive must yield as many
+records as the manifest says. Each of these fails the read by the archive's name.
+
 Archives are reached by URI through Arrow's file systems, in the shared folder.
 A writer task's file counts only if the task's manifest row does, so retried
 tasks leave no duplicates.
@@ -33,6 +38,13 @@ from brindle.llm.common import new_path, table
 MAGIC = b"\x1f\x8b\x08"
 SALTS = 64
 CHUNK = 1 << 18
+ARCHIVE = 256 << 20
+#: Tasks over which byte ranges are dealt, at most.
+TASKS = 50_000
+
+
+class DamagedArchive(ValueError):
+    """An archive does not hold the records that it should."""
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_revisit: int) -> DataFrame:
@@ -45,10 +57,14 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
-    low = table(rows.groupBy("digest", "salt").agg(F.min("id").alias("low")), "payloads")
+    low = table(rows.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.sum("n_bytes").alias("volume")), "payloads", pages.count())
+    # Archives of about ARCHIVE bytes of payload, or as many as there are cores.
+    volume = low.agg(F.coalesce(F.sum("volume"), F.lit(0))).first()[0]
+    files = max(pages.sparkSession.sparkContext.defaultParallelism, -(-int(volume) // ARCHIVE))
     first = low.join(low.groupBy("digest").agg(F.min("low").alias("first")), "digest").select("digest", "salt", "first")
     again = (F.col("n_bytes") >= min_revisit) & (F.col("id").isNull() | (F.col("id") != F.col("first")))
-    return rows.join(first, ["digest", "salt"]).select("id", "url", "payload", "digest", "n_bytes", F.when(again, F.col("first")).alias("refers_to"))
+    out = rows.join(first, ["digest", "salt"]).select("id", "url", "payload", "digest", "n_bytes", F.when(again, F.col("first")).alias("refers_to"))
+    return out.coalesce(files)
 
 
 def record(key: str, url: str | None, payload: bytes, digest: str, n_bytes: int, refers_to: str | None) -> bytes:
@@ -75,8 +91,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Null payloads are empty. A null identifier is written as ``null`` and is
     never the smallest; where all are null each record is a response. Rows
-    that repeat in identifier and payload are each written alike. An empty
-    table gives an empty manifest. Other columns are not read.
+    that repeat in identifier and payload are each written alike. A very long
+    payload is held whole by its task. An empty table gives an empty manifest.
+    Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     where = new_path(spark, "warc")
@@ -104,38 +121,47 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return table(rows.mapInPandas(write, "path string, n_bytes long, n_records long"), "manifest")
 
 
-def members(read, start: int, end: int, size: int) -> Iterator[bytes]:
+def members(read, start: int, end: int, size: int, name: str = "archive", strict: bool = True) -> Iterator[bytes]:
     """Contents of the gzip members that begin in [start, end) and open with a WARC version line.
 
     ``read(at, n)`` gives bytes of the file. What only looks like a member, by
-    its magic, fails to decode or opens otherwise, and is skipped by one byte.
+    its magic, fails to decode before a version line or opens otherwise, and is
+    skipped by one byte. With ``strict`` a member that fails after its version
+    line, and bytes between members that are none, raise :class:`DamagedArchive`;
+    without it they are skipped too.
     """
-    at = start
+    at, follows = start, start == 0
     while at < end:
         buf = read(at, min(CHUNK, end - at) + len(MAGIC) - 1)
         k = buf.find(MAGIC)
+        if strict and follows and k != 0:
+            raise DamagedArchive(f"{name}: no record at byte {at}")
         if k < 0:
             at += max(1, len(buf) - len(MAGIC) + 1)
             continue
         at += k
         if at >= end:
             return
-        d, parts, pos, got = zlib.decompressobj(31), [], at, 0
+        d, parts, pos, got, opened = zlib.decompressobj(31), [], at, 0, False
         try:
             while not d.eof and pos < size:
                 data = read(pos, CHUNK)
                 pos += len(data)
                 parts.append(d.decompress(data))
                 got += len(parts[-1])
-                if got >= 5 and not (parts[0] if len(parts[0]) >= 5 else b"".join(parts))[:5] == b"WARC/":
-                    raise zlib.error("no WARC version line")
+                if got >= 5 and not opened:
+                    if (parts[0] if len(parts[0]) >= 5 else b"".join(parts))[:5] != b"WARC/":
+                        raise zlib.error("no WARC version line")
+                    opened = True
             if not d.eof or got < 5:
                 raise zlib.error("cut short")
-        except zlib.error:
+        except zlib.error as e:
+            if strict and (opened or follows):
+                raise DamagedArchive(f"{name}: record at byte {at}: {e}") from e
             at += 1
             continue
         yield b"".join(parts)
-        at = pos - len(d.unused_data)
+        at, follows = pos - len(d.unused_data), True
 
 
 def parse(data: bytes) -> dict:
@@ -152,20 +178,27 @@ def parse(data: bytes) -> dict:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
-    """The records of the archives in ``manifest`` (path, n_bytes): page_id, url, record_type,
-    payload_bytes, payload_digest, refers_to and, if asked for, payload (null for revisits)."""
+    """The records of the archives in ``manifest`` (path, n_bytes, n_records): page_id, url, record_type,
+    payload_bytes, payload_digest, refers_to and, if asked for, payload (null for revisits).
+
+    Records are written to the shared folder and counted; an archive with others
+    than ``n_records`` raises :class:`DamagedArchive`. Rows that repeat were
+    written as often and are read as often. An empty manifest gives an empty
+    result. A very long payload is held whole by the task that owns its record.
+    Other columns of the manifest are not read.
+    """
     ranges = manifest.where("n_bytes > 0").select("path", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    n = max(1, ranges.count())
+    n = min(TASKS, max(1, ranges.count()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if with_payload else [])]
+        columns = ["path", "id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if with_payload else [])]
         for b in batches:
             for path, size, start in b.itertuples(index=False):
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with store.open_input_file(name) as f:
-                    for data in members(lambda at, k, f=f: f.read_at(k, at), start, min(start + split_bytes, size), size):
-                        rows.append(parse(data))
+                    for data in members(lambda at, k, f=f: f.read_at(k, at), start, min(start + split_bytes, size), size, path):
+                        rows.append(parse(data) | {"path": path})
                         held += len(data) if with_payload else 512
                         if held > 1 << 24:
                             yield pd.DataFrame(rows)[columns]
@@ -173,7 +206,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = 8
                 if rows:
                     yield pd.DataFrame(rows)[columns]
 
-    schema = "id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string" + ", payload binary" * with_payload
-    out = ranges.repartition(n, "path", "start").mapInPandas(scan, schema)
+    schema = "path string, id string, url string, record_type string, payload_bytes long, payload_digest string, refers_to string" + ", payload binary" * with_payload
+    out = table(ranges.repartition(n, "path", "start").mapInPandas(scan, schema), "records")
+    found = out.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    short = manifest.join(found, "path", "left").where(F.coalesce("found", F.lit(0)) != F.col("n_records")).select("path", "found", "n_records").take(5)
+    if short:
+        raise DamagedArchive("; ".join(f"{r.path}: {r.found or 0} of {r.n_records} records" for r in short))
     number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
     return out.select(number("id").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), *(["payload"] if with_payload else []))
