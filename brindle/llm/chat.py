@@ -67,13 +67,14 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     return paths.join(done.select("c", "n", "depth"), ["c", "n"])
 
 
-def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: str, role_col: str, text_col: str, score_col: str, top: int = 1, learn: str = "assistant") -> DataFrame:
+def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: str, role_col: str, text_col: str, score_col: str, top: int = 1, learn: str = "assistant", unique: bool = False) -> DataFrame:
     """One row per chosen path: conv, leaf, formatted, loss_spans (start, length; in code points).
 
     ``loss_spans`` covers the (escaped) texts of the role ``learn``. Null roles
     and texts are empty; null conversations are one conversation; a null score
     counts as 0. Messages must have unique identifiers within a conversation;
-    of a row that repeats another wholly, one counts. A very long conversation is
+    of a row that repeats another wholly, one counts (``unique``: identifiers are
+    unique by their making, as row numbers are, and need no look). A very long conversation is
     one array of its chosen path in one task. An empty table gives an empty
     result. Other columns, whatever their names, are not read.
     """
@@ -88,7 +89,7 @@ def format_paths(messages: DataFrame, conv_col: str, id_col: str, parent_col: st
     )
     nodes = table(nodes, "messages")
     again = lambda: not nodes.groupBy("c", "n").count().where("count > 1").isEmpty()
-    if again():
+    if not unique and again():
         nodes = table(nodes.distinct(), "messages")
         if again():
             raise ValueError("messages of one conversation share an identifier")

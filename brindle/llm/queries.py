@@ -34,7 +34,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql("SELECT -1L AS conv_id, CAST(k AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(k, role)")
     by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     rows = rows.unionByName(planted).withColumn("n", F.row_number().over(by_turn)).withColumns({"up": F.when(F.col("n") > 1, F.col("n") - 1), "score": F.lit(1.0)})
-    done = chat.format_paths(rows, "conv_id", "n", "up", "role", "text", "score")
+    done = chat.format_paths(rows, "conv_id", "n", "up", "role", "text", "score", unique=True)
     done = done.withColumns({"turns": chat.read_back(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
