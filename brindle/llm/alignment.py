@@ -3,9 +3,9 @@
 Python only tokenises. It returns, for each text and tokenizer, the ids and the
 byte offsets at which tokens end. All else is arrays inside the JVM:
 ``array_intersect`` of the two arrays of ends gives the offsets where tokens of
-both end, which cut the text into groups; sorted among one tokenizer's ends,
-they give how many of its tokens lie before each cut; a ``sequence`` of places
-takes a group's tokens and nested ``transform`` its links. Each step is linear in the text, or
+both end, which cut the text into groups; sorted among a tokenizer's other ends,
+they give the places of the tokens that end at the cuts; a ``sequence`` of
+places takes a group's tokens and nested ``transform`` its links. Each step is linear in the text, or
 a sort of two runs that ascend: no array grows element by element.
 
 Corpus-wide counts are a partial aggregate of each document's distinct pairs. A
@@ -199,44 +199,62 @@ def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Itera
                 known.forget()
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` and its lambdas name it."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
+def _at(cuts: Column, inner: Column) -> Column:
+    """The places of a tokenizer's tokens that end at ``cuts``, given its ``inner`` ends, behind a first place of -1.
 
-
-def _before(ends: Column, cuts: Column) -> Column:
-    """How many of ``ends`` are up to each of ``cuts``, both ascending: the places of odd numbers among both, sorted."""
-    marked = F.sort_array(F.concat(F.transform(ends, lambda e: e * 2), F.transform(cuts, lambda c: c * 2 + 1)))
+    They are the places of the cuts among both, sorted: cuts are odd there.
+    """
+    marked = F.sort_array(F.concat(F.transform(cuts, lambda c: c * 2 + 1), F.transform(inner, lambda e: e * 2)))
     places = F.filter(F.transform(marked, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
-    return F.transform(places, lambda p, g: p - g)
+    places = F.when(F.size(inner) > 0, places).when(F.size(cuts) > 0, F.sequence(F.lit(0), F.size(cuts) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(F.lit(-1)), places)
+
 
+def _items(ids: Column, at: Column, g: Column) -> Column:
+    """The ids of group ``g``. Not by slice, which inside a lambda looks at its whole array each time."""
+    return F.transform(F.sequence(at[g] + 1, at[g + 1]), lambda i: ids[i])
 
-def _groups(ids: Column, before: Column) -> Column:
-    """The ids between one cut and the next."""
 
-    def group(upto: Column, g: Column) -> Column:
-        # Not slice, which looks at its whole array each time inside a lambda.
-        start = F.when(g > 0, before[g - 1]).otherwise(0)
-        return F.when(upto - start == 1, F.array(ids[start])).otherwise(F.transform(F.sequence(start, upto - 1), lambda i: ids[i]))
+def _single(g: Column) -> Column:
+    """Whether group ``g`` has one token of each."""
+    at, bt = F.col("at"), F.col("bt")
+    return (at[g + 1] - at[g] == 1) & (bt[g + 1] - bt[g] == 1)
 
-    return F.transform(before, group)
+
+def _every(group: Callable[[Column], Column]) -> Column:
+    """``group`` of the number of each group."""
+    return F.transform("cuts", lambda c, g: group(g))
 
 
 #: A pair of ids as one number: the first's times this, plus the second's.
 WIDE = 1 << 20
 
 
-def _linked(x: Column, y: Column) -> Column:
+def _linked(g: Column) -> Column:
     """All pairs of a group."""
-    one = (F.size(x) == 1) & (F.size(y) == 1)
     pair = lambda a, b: a.cast("long") * WIDE + b
-    return F.when(one, F.array(pair(x[0], y[0]))).otherwise(F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: pair(a, b)))))
+    several = F.transform(_items(F.col("a"), F.col("at"), g), lambda a: F.transform(_items(F.col("b"), F.col("bt"), g), lambda b: pair(a, b)))
+    return F.when(_single(g), F.array(pair(F.col("a")[F.col("at")[g + 1]], F.col("b")[F.col("bt")[g + 1]]))).otherwise(F.flatten(several))
 
 
-def _written(x: Column, y: Column) -> Column:
+def _written(g: Column) -> Column:
     """A group as text: the first's ids, a bar, the second's."""
-    said = lambda v: F.when(F.size(v) == 1, v[0].cast("string")).otherwise(F.array_join(v.cast("array<string>"), ","))
-    return F.concat(said(x), F.lit("|"), said(y))
+    sides = [("a_said", "at"), ("b_said", "bt")]
+    one = [F.col(c)[F.col(at)[g + 1]] for c, at in sides]
+    many = [F.array_join(_items(F.col(c), F.col(at), g), ",") for c, at in sides]
+    return F.when(_single(g), F.concat(one[0], F.lit("|"), one[1])).otherwise(F.concat(many[0], F.lit("|"), many[1]))
+
+
+def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, a, a_ends, b, b_ends, cuts, at, bt): tokens, the offsets where both end, and the places of the tokens that end there.
+
+    ``cuts``, ``at`` and ``bt`` are read more than once by what follows, so that they stay projections of their own.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    tokens = source.mapInArrow(lambda it: _tokens(it, first, second), f"id {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    cut = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "a_in": F.array_except("a_ends", "b_ends"), "b_in": F.array_except("b_ends", "a_ends")})
+    return cut.withColumns({"at": _at(F.col("cuts"), F.col("a_in")), "bt": _at(F.col("cuts"), F.col("b_in"))}).drop("a_in", "b_in")
 
 
 def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,16 +267,9 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     long text is one row of arrays, in time that grows as its length (times the
     logarithm, for the sort). An empty table gives an empty result. Other columns are not read.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    tokens = source.mapInArrow(lambda it: _tokens(it, first, second), f"id {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
-
-    def grouped(cuts: Column) -> Column:
-        sides = [let(_before(F.col(f"{c}_ends"), cuts), lambda before, c=c: _groups(F.col(c), before)) for c in ("a", "b")]
-        return F.zip_with(*sides, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
-    groups = let(F.array_intersect("a_ends", "b_ends"), grouped)
-    return tokens.select(F.col("id").alias(id_col), "a", "a_ends", "b", "b_ends", groups.alias("groups"))
+    group = lambda g: F.struct(_items(F.col("a"), F.col("at"), g).alias("x"), _items(F.col("b"), F.col("bt"), g).alias("y"))
+    rows = placed(docs, first, second, id_col, text_col)
+    return rows.select(F.col("id").alias(id_col), "a", "a_ends", "b", "b_ends", _every(group).alias("groups"))
 
 
 def link_counts(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> DataFrame:
@@ -272,22 +283,19 @@ def link_counts(docs: DataFrame, first: str, second: str, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
 
-    def told(groups: Column) -> Column:
-        text = F.array_join(F.transform(groups, lambda g: _written(g["x"], g["y"])), ";")
-        links = F.flatten(F.transform(groups, lambda g: _linked(g["x"], g["y"])))
-        sha = F.when(F.size(groups) > 0, F.sha2(text, 256)).otherwise("")
-        return F.struct(F.size(groups).cast("long").alias("n_groups"), sha.alias("groups_sha256"), links.alias("links"))
-
-    aligned = align(docs, first, second, id_col, text_col)
-    rows = aligned.select(F.col(id_col).alias("id"), F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), let(F.col("groups"), told).alias("r"))
+    rows = placed(docs, first, second, id_col, text_col)
+    rows = rows.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>")})
+    count = lambda c: F.size(c).cast("long")
+    sha = F.when(F.size("cuts") > 0, F.sha2(F.array_join(_every(_written), ";"), 256)).otherwise("")
+    rows = rows.select("id", count("a").alias("n_a"), count("b").alias("n_b"), count("cuts").alias("n_groups"), F.flatten(_every(_linked)).alias("links"), sha.alias("groups_sha256"))
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "aligned", codec="zstd")
 
     # In how many documents each pair is, and whether no pair of its first id is in more.
-    counts = rows.select(F.explode(F.array_distinct("r.links")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("documents"))
+    counts = rows.select(F.explode(F.array_distinct("links")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("documents"))
     counts = table(counts.withColumn("first", F.floor(F.col("pair") / WIDE)), "pairs")
     top = counts.groupBy("first").agg(F.max("documents").alias("top"))
     known = counts.join(top, "first").select("pair", "documents", (F.col("documents") == F.col("top")).cast("long").alias("best"))
-    each = rows.select("row", F.explode("r.links").alias("pair"))
+    each = rows.select("row", F.explode("links").alias("pair"))
     if counts.count() <= pairs:
         met = each.join(F.broadcast(known), "pair").select("row", "documents", "best")
     else:
@@ -296,7 +304,7 @@ def link_counts(docs: DataFrame, first: str, second: str, id_col: str = "doc_id"
     sums = table(met.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("documents").alias("count_sum")), "sums")
     free_shuffles(spark)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    out = rows.select("row", "id", "n_a", "n_b", "r.n_groups", F.size("r.links").cast("long").alias("n_links"), "r.groups_sha256").join(sums, "row", "left")
+    out = rows.select("row", "id", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups_sha256").join(sums, "row", "left")
     out = table(out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"), "counts")
     release(rows, counts, sums)
     return out
