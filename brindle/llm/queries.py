@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm import alignment, chat, exact_dedup, lm, minhash, mixing, packing, quality, repair, sharding, suffix_dedup, warc
+from brindle.llm import alignment, chat, exact_dedup, jaccard, lm, minhash, mixing, packing, quality, repair, sharding, suffix_dedup, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,12 +90,17 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumnRenamed("conv", "conv_id")
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` by a Jaccard similarity of 0.85 of four-word shingles."""
+    return jaccard.similar(read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` by two tokenizers: groups, links, and in how many documents each linked pair is."""
     return alignment.link_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_lm": op6_lm, "op6_lm_trigram": op6_lm_trigram, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality, "op11_repair": op11_repair, "op13_alignment": op13_alignment}
+QUERIES = {"op1_packing": op1_packing, "op2_mixing": op2_mixing, "op3_suffix_dedup": op3_suffix_dedup, "op4_chat": op4_chat, "op5_warc": op5_warc, "op6_lm": op6_lm, "op6_lm_trigram": op6_lm_trigram, "op7_sharding": op7_sharding, "op8_minhash": op8_minhash, "op9_exact_dedup": op9_exact_dedup, "op10_quality": op10_quality, "op11_repair": op11_repair, "op12_jaccard": op12_jaccard, "op13_alignment": op13_alignment}
 
 SQL = {
     "op4_chat": r"""
