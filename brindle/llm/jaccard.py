@@ -20,12 +20,13 @@ with most company is that n-gram's pivot, and it takes the pivot it shares most
 with. What that links, as components and in blocks of like size, are the groups;
 every other class is a group of its own.
 
-Matrix. Its rows are (n-gram, group) for the first n-grams of members. Documents
-meet the groups there, except those they are linked with already: of an n-gram's
-most common component the members do not meet that component's groups, so that
-copies of one template make no pairs among themselves. Pairs of document and
-group go on if parity bitmaps (a lower bound of the symmetric difference), then
-the full union, leave the bound open; then members are compared on full sets.
+Matrix. Its rows are (n-gram, group) for the first n-grams of members. Groups
+look theirs up there, so that members that are alike ask once, and meet all
+groups but those they are linked with already: an n-gram's most common component
+does not meet itself, so that copies of one template make no pairs. Pairs of
+groups go on if parity bitmaps (a lower bound of the symmetric difference), then
+the full unions, leave the bound open. What is left is opened: members that
+share enough with the other group's union are compared on full sets.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import free_shuffles, likely, packed, release, table, unpacked
 from brindle.llm.components import components
-from brindle.llm.minhash import shingles
+from brindle.llm.minhash import common, shingles
 
 #: Counters of n-grams, and counters to a page.
 COUNTERS, PAGE = 1 << 20, 1 << 14
@@ -162,13 +163,26 @@ def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of document and group whose overlap with the full union is enough for a member of ``least`` or more."""
+    """Pairs of groups whose unions share enough for members whose sizes add up to ``least`` or more."""
     for batch in batches:
         ok = []
-        for x, u, least in zip(batch.column("prints").to_pylist(), batch.column("every").to_pylist(), batch.column("least").to_pylist(), strict=True):
-            x, u = np.frombuffer(x, dtype=np.uint64), np.frombuffer(u, dtype=np.uint64)
-            ok.append(len(np.intersect1d(x, u, assume_unique=True)) * (100 + percent) >= percent * (len(x) + max(len(x), least)))
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["v", "g"])
+        for x, u, least in zip(batch.column("mine").to_pylist(), batch.column("every").to_pylist(), batch.column("least").to_pylist(), strict=True):
+            both = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(u, dtype=np.uint64), assume_unique=True))
+            ok.append(both * (100 + percent) >= percent * least)
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["h", "g"])
+
+
+def _members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups of which any two members are linked: members that share enough with the other's union, on full sets."""
+    for batch in batches:
+        ok = []
+        for left, right in zip(batch.column("mine").to_pylist(), batch.column("prints").to_pylist(), strict=True):
+            n, m = (np.array([len(p) // 8 for p in side]) for side in (left, right))
+            union = np.unique(np.frombuffer(b"".join(right), dtype=np.uint64)).tobytes()
+            stay = np.flatnonzero(common(left, [union])[:, 0] * (100 + percent) >= percent * (n + m.min()))
+            shared = common([left[i] for i in stay], right) if len(stay) else np.zeros((0, len(right)))
+            ok.append(bool((100 * shared >= percent * (n[stay][:, None] + m[None, :] - shared)).any()))
+        yield batch.filter(pa.array(ok, pa.bool_())).select(["h", "g"])
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, percent: int = 85) -> DataFrame:
@@ -255,37 +269,39 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
     looked = table(known.join(mixed, "token"), "looked")
     common = looked.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
     known = looked.join(common, "token").withColumn("top", F.col("label") == F.col("top"))
-    matrix = known.groupBy("token", "g", "label", "top").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    asking = known.where("small").select("token", "v", "n", F.col("label").alias("own"), "top")
+    spread = [F.min("n").alias("least"), F.max("n").alias("most")]
+    matrix = known.groupBy("token", "g", "label", "top").agg(*spread)
+    asking = known.where("small").groupBy("token", "g", "label", "top").agg(*spread).toDF("token", "h", "own", "mine", "low", "high")
 
     def looked_up(queries: DataFrame, rows: DataFrame) -> DataFrame:
-        fits = (F.col("label") != F.col("own")) & (F.col("n") <= F.col("most")) & (F.col("n") * 100 >= F.col("least") * percent)
-        return queries.drop("top").join(rows.drop("top"), "token").where(fits).select("v", "g")
+        fits = (F.col("label") != F.col("own")) & (F.col("low") <= F.col("most")) & (F.col("high") * 100 >= F.col("least") * percent)
+        return queries.join(rows, "token").where(fits).select(F.least("g", "h").alias("h"), F.greatest("g", "h").alias("g"))
 
-    pairs = looked_up(asking.where("not top"), matrix).unionByName(looked_up(asking.where("top"), matrix.where("not top"))).distinct()
-    met = table(pairs, "pairs")
+    met2 = looked_up(asking.where("not mine"), matrix).unionByName(looked_up(asking.where("mine"), matrix.where("not top"))).distinct()
+    met2 = table(met2, "pairs")
     free_shuffles(spark)
-    single = F.col("union_bits").isNull()
-    sized = groups.select("g", "least", "size", "union_bits")
-    pairs = met.join(sized, "g", "left").join(classes.select("v", "n", "bits"), "v")
-    alone = classes.select(F.col("v").alias("g"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
-    ones = pairs.where(single).drop("least", "size", "union_bits").join(alone, "g").select("v", "g", "n", F.col("_n").alias("size"), F.col("_n").alias("least"), "bits", F.col("_bits").alias("union_bits"))
-    at_least = F.greatest("n", "least").alias("least")
-    pairs = open_(pairs.where(~single).select("v", "g", "n", "size", at_least, "bits", "union_bits").unionByName(ones.select("v", "g", "n", "size", at_least, "bits", "union_bits")), "v", "g")
-    more = sets(pairs.select("v").union(pairs.where("g >= 0").select("g")).distinct())
-    # Groups of one are the bound itself; of others the union decides whether they are opened.
-    ask = pairs.where("g < 0").select("v", "g", "least").join(more, "v").join(groups.select("g", "every"), "g")
-    passed = table(ask.select("v", "g", "least", "prints", "every").mapInArrow(lambda it: _bounded(it, percent), "v long, g long"), "passed")
-    opened = passed.join(more.toDF("v", "prints_a"), "v").join(members.select("g", F.col("v").alias("b"), F.col("prints").alias("prints_b")), "g")
-    opened = table(opened.select(F.col("v").alias("a"), "b", "prints_a", "prints_b").mapInArrow(lambda it: _alike(it, percent), "a long, b long"), "links")
-    found = alike(pairs.where("g >= 0").select(F.col("v").alias("a"), F.col("g").alias("b")), more)
-    final = components(edges.unionByName(opened).unionByName(found))
+    sized = groups.select("g", "least", "size", "union_bits").unionByName(classes.select(F.col("v").alias("g"), F.col("n").alias("least"), F.col("n").alias("size"), F.col("bits").alias("union_bits")))
+    pairs = met2.join(sized.toDF("h", "low", "n", "bits"), "h").join(sized, "g")
+    pairs = open_(pairs.withColumn("least", F.col("low") + F.col("least") - F.col("n")), "h", "g")
+    ones = pairs.select("g").union(pairs.select("h")).where("g >= 0").distinct()
+    more = sets(ones.select(F.col("g").alias("v")))
+    # The full unions decide which groups are opened.
+    every = groups.select("g", "every").unionByName(more.toDF("g", "every"))
+    ask = pairs.select("h", "g", (F.col("least") + F.col("n")).alias("least")).join(every.toDF("h", "mine"), "h").join(every, "g")
+    passed = table(ask.select("h", "g", "least", "mine", "every").mapInArrow(lambda it: _bounded(it, percent), "h long, g long"), "passed")
+    lists = members.groupBy("g").agg(F.collect_list("prints").alias("prints")).unionByName(more.select(F.col("v").alias("g"), F.array("prints").alias("prints")))
+    opened = passed.join(lists.toDF("h", "mine"), "h").join(lists, "g")
+    found = table(opened.select("h", "g", "mine", "prints").mapInArrow(lambda it: _members(it, percent), "h long, g long"), "links")
+    # A group's number tells its first member.
+    member = lambda c: F.when(F.col(c) < 0, -1 - F.col(c)).otherwise(F.col(c))
+    found_links = found.select(member("h").alias("a"), member("g").alias("b"))
+    final = components(edges.unionByName(found_links))
     free_shuffles(spark)
 
     named = classes.select("v", "seq", "id", "copies").join(final, "v", "left").withColumn("label", F.coalesce("label", "v"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
     owner = table(named.join(lowest, "label").select("seq", "component"), "owners")
-    release(classes, entries, near, prints, links, labels, members, groups, looked, met, pairs, more, passed, opened, found)
+    release(classes, entries, near, prints, links, labels, members, groups, looked, met2, pairs, more, passed, found)
     return owned(shown, owner, id_col)
 
 
