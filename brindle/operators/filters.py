@@ -4,11 +4,13 @@ Terms are compiled to literals and regular expressions on the driver. A
 token-window match (consecutive tokens joined, runs of a character tolerated) is
 one expression over the token string: each run of e equal characters may take e
 to max(2, e), with at most one space before any but the first character.
+
+Filters of more than ``MANY`` terms share one machine (:mod:`terms`), which
+keeps the plan and the time for a text the same however many terms there are.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterable
 
@@ -16,9 +18,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brindle.functions import plain, text
+from brindle.operators import terms
 from brindle.operators.detectors import MATCH, match
+from brindle.operators.terms import WINDOW, window_body
 from brindle.plans.config import COMPACT, LEGACY, PATTERNS, Config, Filter
 
+#: Terms of a filter that are expressions of their own, at most.
+MANY = 32
 EDGE = (r"(?<![\p{javaLetterOrDigit}])", r"(?![\p{javaLetterOrDigit}])")
 
 
@@ -26,19 +32,10 @@ def boundary_regex(term: str) -> str:
     return EDGE[0] + re.escape(term) + EDGE[1]
 
 
-#: Tokens that a window joins at most.
-WINDOW = 32
-
-
-def _window_body(target: str) -> str:
-    runs = [(c, len(list(g))) for c, g in itertools.groupby(target)]
-    return " ?".join(f"{re.escape(c)}(?: ?{re.escape(c)}){{{n - 1},{max(2, n) - 1}}}" for c, n in runs)
-
-
 def window_regex(term: str) -> str:
     """The token-window expression of a term, or one that matches nothing for a term without letters."""
     target = plain.compact(term)
-    return "(?:^|(?<= ))" + _window_body(target) + "(?= |$)" if target else "(?!)"
+    return "(?:^|(?<= ))" + window_body(target) + "(?= |$)" if target else "(?!)"
 
 
 def window_matches(normalized: Column, term: str) -> Column:
@@ -47,7 +44,7 @@ def window_matches(normalized: Column, term: str) -> Column:
     found = F.rlike(normalized, F.lit(window_regex(term)))
     if 2 * len(target) <= WINDOW:
         return found
-    short = lambda t, i: F.rlike(F.array_join(F.slice(t, i, WINDOW), " "), F.lit("^" + _window_body(target) + "(?= |$)"))
+    short = lambda t, i: F.rlike(F.array_join(F.slice(t, i, WINDOW), " "), F.lit("^" + window_body(target) + "(?= |$)"))
     return found & let(text.tokens(normalized), lambda t: F.exists(F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1))), lambda i: short(t, i)))
 
 
@@ -146,13 +143,16 @@ def covered(normalized: Column, compacted: Column, term: str, f: Filter) -> Colu
     return let(first, lambda x: F.when(x["n"] > 0, x["by"]).otherwise(let(second, lambda y: F.when(y["n"] > 0, y["by"]))))
 
 
-def filter_result(f: Filter, variants: list[tuple[Column, Column]]) -> tuple[Column, Column]:
-    """(match, exception that prevented it) of one filter; at most one is not null.
+def filter_result(f: Filter, variants: list[tuple[Column, Column]], known: Column | None = None) -> tuple[Column, Column]:
+    """(match, exception that prevented it) of one filter; at most one is not null. ``known`` has its first term, if that was found elsewhere.
 
     Only the first matching term counts: if it is excepted, the filter is, even
     where a later term matches. An exception must cover every variant in which
     that term matches.
     """
+    if known is not None:
+        named = [pattern_match(n, c, p) for p in f.patterns for n, c in variants]
+        return _result(f, F.coalesce(known["term"], *named), known["by"])
     tests = [F.when(_any([term_matches(n, c, t, f.mode) for n, c in variants]), F.lit(i)) for i, t in enumerate(f.terms)]
     which = F.coalesce(*tests, F.lit(-1)) if tests else F.lit(-1)
     named = [pattern_match(n, c, p) for p in f.patterns for n, c in variants]
@@ -166,6 +166,10 @@ def filter_result(f: Filter, variants: list[tuple[Column, Column]]) -> tuple[Col
             held = let(F.array_compact(states), lambda z: F.when(~F.exists(z, lambda x: x["by"].isNull()), F.get(z, F.lit(0))["by"]))
             by_term = F.when(which == i, held).otherwise(by_term)
         prevented = by_term
+    return _result(f, value, prevented)
+
+
+def _result(f: Filter, value: Column, prevented: Column) -> tuple[Column, Column]:
     hit = F.lit(f.rule.enabled) & value.isNotNull()
     found = match(f.rule, f.id, f.category, f"filtered {f.mode.lower()}", value, f.severity)
     return F.when(hit & prevented.isNull(), found), F.when(hit, prevented)
@@ -189,7 +193,12 @@ def with_filters(messages, config: Config):
     out = out.withColumns({"_fc": text.compact(F.col("_f")), "_pc": text.compact(F.col("_p"))})
     modern = [(F.col("_f"), F.col("_fc")), (F.col("_p"), F.col("_pc"))]
     legacy = [(F.col("deobfuscated"), F.col("compact"))]
-    results = {f.id: filter_result(f, legacy if f.mode in LEGACY else modern) for f in config.filters}
+    many = [f for f in config.filters if len(f.terms) > MANY and all(f.terms)]
+    if many:
+        sent = tuple(terms.Many(f.mode, f.mode in LEGACY, f.mode in COMPACT, f.terms, f.exceptions) for f in many)
+        out = out.withColumn("_terms", terms.first_terms(sent, legacy, modern))
+    known = {f.id: F.get("_terms", F.lit(k)) for k, f in enumerate(many)}
+    results = {f.id: filter_result(f, legacy if f.mode in LEGACY else modern, known.get(f.id)) for f in config.filters}
     found = F.array_compact(F.array(*[r[0] for r in results.values()])) if results else F.array()
     prevented = F.array_compact(F.array(*[F.when(r[1].isNotNull(), F.struct(F.lit(k).alias("rule_id"), r[1].alias("exception"))) for k, r in results.items()])) if results else F.array()
-    return out.withColumns({"filtered": found.cast(f"array<{MATCH}>"), "prevented": prevented.cast("array<struct<rule_id:string,exception:string>>")}).drop("_f", "_p", "_fc", "_pc")
+    return out.withColumns({"filtered": found.cast(f"array<{MATCH}>"), "prevented": prevented.cast("array<struct<rule_id:string,exception:string>>")}).drop("_f", "_p", "_fc", "_pc", "_terms")

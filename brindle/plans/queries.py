@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -222,6 +223,21 @@ def filter_builtin_pattern(spark, sf_dir):
     return each(m, "filtered").select("player_id", "seq", "m.value")
 
 
+#: 10,000 terms of four syllables of the test data's prose.
+SYLLABLES = "th an ti er on ha st nd en ed".split()
+MANY_TERMS = tuple(map("".join, itertools.product(SYLLABLES, repeat=4)))
+
+
+def filter_many_words(spark, sf_dir):
+    """The first of 10,000 terms that is a word of a message."""
+    return _filtered(Filter("fx.many", "WORD", MANY_TERMS, Rule(1)))(spark, sf_dir)
+
+
+def filter_many_substrings(spark, sf_dir):
+    """The first of 10,000 terms that a message holds anywhere."""
+    return _filtered(Filter("fx.many", "SUBSTRING", MANY_TERMS, Rule(1)))(spark, sf_dir)
+
+
 def filter_exceptions(spark, sf_dir):
     m = filters.with_filters(forms(spark, sf_dir), replace(BASE, filters=(FILTERS[8],)))
     return each(m, "prevented").select("player_id", "seq", "m.rule_id", "m.exception")
@@ -374,7 +390,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         moderate_slice, normalize_forms, filter_text_forms, link_forms, text_bounds, duration_formats, detect_length, detect_caps, detect_repeated_characters, detect_short_runs, detect_advertising, detect_ip, detect_domain, detect_invite,
-        host_allowlist, duplicate_spam, rapid_spam, similarity_containment, similarity_spam, filter_builtin_pattern, filter_exceptions, match_union, rule_counts, category_severity_rollup, score_transition,
+        host_allowlist, duplicate_spam, rapid_spam, similarity_containment, similarity_spam, filter_builtin_pattern, filter_many_words, filter_many_substrings, filter_exceptions, match_union, rule_counts, category_severity_rollup, score_transition,
         threshold_crossing, point_cap, action_plan, decision_summary, template_expand, violation_history, history_page, history_page_core, history_retention, active_violations, max_score_entries, mute_gate, bypass_filter,
         suggest_names, lookup_permission, tier_s_evaluate, auto_mute_feedback, audit_daily_counts,
     )
