@@ -224,6 +224,7 @@ SQL = {
 }
 SQL["tier_s_evaluate"] = f"{E} SELECT player_id, seq, decision, points_before, points_added, threshold_crossed FROM e"
 SQL["audit_daily_counts"] = f"{E} SELECT make_timestamp(ms * 1000)::DATE AS event_date, count(*) AS n, sum(points_added)::BIGINT AS points FROM e WHERE hit GROUP BY ALL"
+SQL["snapshot_from_state"] = E.replace(DUPLICATE, "false") + " SELECT player_id, seq, decision, points_before, points_added, points_after, threshold_crossed FROM e WHERE seq > 10"
 #: Terms of four syllables with their places, and the first that is among ``parts`` of a message.
 MANY_SQL = """, y AS (SELECT unnest(['th', 'an', 'ti', 'er', 'on', 'ha', 'st', 'nd', 'en', 'ed']) AS x, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1) AS k),
   terms AS (SELECT a.x || b.x || c.x || d.x AS term, a.k * 1000 + b.k * 100 + c.k * 10 + d.k AS i FROM y a, y b, y c, y d),

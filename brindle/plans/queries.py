@@ -13,7 +13,7 @@ from brindle.operators import detectors, filters, history, lookups
 from brindle.plans import windowed
 from brindle.plans.config import FILTER_LEET, LEET, LOOKALIKE, Action, Config, Filter, Rule, default_config, normal_term
 from brindle.sources.messages import MESSAGES_SQL, conversation_messages, document_messages, read
-from brindle.streaming import audit, processor
+from brindle.streaming import audit, codec, processor
 
 BASE = default_config()
 WARN = (Action("WARN", message="Please follow the server chat rules."),)
@@ -381,6 +381,20 @@ def auto_mute_feedback(spark, sf_dir):
     return e.select("player_id", "seq", "decision", "points_added", F.array_join("actions", ",").alias("actions"))
 
 
+#: Length and capitals, scores and thresholds: what a snapshot keeps of the rules.
+KEPT = replace(BASE.only("message_length", "caps"), thresholds=THRESHOLDS, state={**BASE.state, "maximum_tracked_players": 1_000_000})
+RESTART = 10
+
+
+def snapshot_from_state(spark, sf_dir):
+    """Messages up to the tenth by one engine, its state written as a snapshot, the rest by an engine that starts from it."""
+    m, at = document_messages(spark, sf_dir), F.timestamp_millis(F.lit(1_704_067_200_000))
+    path = audit.shared_path(spark, "snapshot")
+    codec.save(processor.states(m.where(F.col("seq") <= RESTART), KEPT), path, at, KEPT)
+    e = processor.evaluate(m.where(F.col("seq") > RESTART), KEPT, initial=codec.restore(spark, path, at, KEPT))
+    return e.select(F.col("player_id").cast("long").alias("player_id"), "seq", "decision", "points_before", "points_added", "points_after", "threshold_crossed")
+
+
 def audit_daily_counts(spark, sf_dir):
     rows = audit.audit_rows(history.violations(sliced(spark, sf_dir)))
     return rows.groupBy("event_date").agg(F.count(F.lit(1)).alias("n"), F.sum("points_added").alias("points"))
@@ -392,7 +406,7 @@ QUERIES = {
         moderate_slice, normalize_forms, filter_text_forms, link_forms, text_bounds, duration_formats, detect_length, detect_caps, detect_repeated_characters, detect_short_runs, detect_advertising, detect_ip, detect_domain, detect_invite,
         host_allowlist, duplicate_spam, rapid_spam, similarity_containment, similarity_spam, filter_builtin_pattern, filter_many_words, filter_many_substrings, filter_exceptions, match_union, rule_counts, category_severity_rollup, score_transition,
         threshold_crossing, point_cap, action_plan, decision_summary, template_expand, violation_history, history_page, history_page_core, history_retention, active_violations, max_score_entries, mute_gate, bypass_filter,
-        suggest_names, lookup_permission, tier_s_evaluate, auto_mute_feedback, audit_daily_counts,
+        suggest_names, lookup_permission, tier_s_evaluate, auto_mute_feedback, snapshot_from_state, audit_daily_counts,
     )
 }
 QUERIES |= {f"filter_{f.mode.lower()}": _filtered(f) for f in FILTERS[:8]}

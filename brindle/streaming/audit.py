@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 import warnings
 from datetime import date, timedelta
 
@@ -68,6 +70,16 @@ def _files(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh place in the folder that all executors share; a local one only where none is named and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="brindle-")
+    return f"{base.rstrip('/')}/brindle-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def write_snapshot(states: DataFrame, path: str, purge_backup: bool = False) -> None:
     """States by player id. The snapshot before becomes the backup; Spark's commit makes the new one whole or absent.
 

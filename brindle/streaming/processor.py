@@ -84,7 +84,10 @@ class Moderator(StatefulProcessor):
         self.state.update((json.dumps(state, ensure_ascii=False),))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self._keep(json.loads(initialState["state"].iloc[0]))
+        state = json.loads(initialState["state"].iloc[0])
+        if not isinstance(state, dict) or set(state) != set(fold.new_state()):
+            raise ValueError(f"the initial state of player {key[0]} is not a state")
+        self._keep(state)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state, out = folded(self._load(), pd.concat(list(rows)), self.config)
