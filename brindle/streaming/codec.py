@@ -22,7 +22,7 @@ STATE = (
     "crossed array<bigint>, noticed bigint, active bigint"
 )
 #: Who muted: a rule, or staff.
-RULE, STAFF = "AUTOMATIC", "STAFF"
+RULE, STAFF = "automatic", "manual"
 
 
 def from_checkpoint(spark: SparkSession, checkpoint: str) -> DataFrame:
