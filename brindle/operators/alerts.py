@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text
 
+# The title and the note that alerts carry.
 TITLE, NOTE = "Staff alert", "A configured moderation rule produced a staff notification."
 # Code, label and style of a case's buttons; the last is always there.
 BUTTONS = (("m10", "Mute 10m", "PRIMARY"), ("m60", "Mute 1h", "PRIMARY"), ("ban", "Ban", "DANGER"), ("dismiss", "Dismiss", "SECONDARY"))
