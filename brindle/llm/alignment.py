@@ -1,13 +1,18 @@
 """Links between the tokens of two tokenizers over the same text.
 
-Python only tokenises. It returns, for each text and tokenizer, the ids and the
-byte offsets at which tokens end. All else is arrays inside the JVM:
+Python only tokenises. It returns ids and the byte offsets at which tokens end,
+for each text, or for the distinct units of a slice of texts with each text's
+units by number. All else is arrays inside the JVM:
 ``array_intersect`` of the two arrays of ends gives the offsets where tokens of
 both end, which cut the text into groups; sorted among a tokenizer's other ends,
 they give the places of the tokens that end at the cuts; a ``sequence`` of
 places takes a group's tokens and nested ``transform`` its links. Each step is linear in the text, or
 a sort of two runs that ascend: no array grows element by element.
 
+No group crosses the end of a unit, where both tokenizers end a token. So
+:func:`link_counts` aligns each distinct unit of a slice once, and a document's
+groups and links are those of its units, one after the other.
+
 Corpus-wide counts are a partial aggregate of each document's distinct pairs. A
 pair's count meets the documents again by a broadcast of the counts where they
 are at most ``PAIRS`` rows, and else by a shuffle of each document's pairs.
@@ -32,11 +37,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.common import free_shuffles, release, table
 from brindle.llm.packing import encoder, plain_bytes, whole
 
-#: Bytes of text that are tokenised at a time, and characters of units that a worker keeps.
+#: Characters of text that are tokenised, and whose units are aligned, at a time, and characters of units that a worker keeps.
 SLICE, KEEP = 1 << 20, 32 << 20
 #: Pairs whose counts are broadcast, at most: some 100 MB.
 PAIRS = 1 << 21
@@ -120,18 +126,20 @@ class Side:
         else:
             self.ok.extend(b"".join([self.entries[i] for i in ids]) == f" {u}".encode() for u, ids in zip(units, each, strict=True))
 
-    def tokens(self, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For texts of ``counts`` units each: ids and ends of all tokens, each text's number of tokens, and whether its units are right."""
-        start, ids, ok = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.ids, dtype=np.int32), np.frombuffer(self.ok, dtype=bool)
+    def tokens(self, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of ``counts`` units each: ids and ends of all tokens, and each text's number of tokens."""
+        start, ids = np.frombuffer(self.start, dtype=np.int64), np.frombuffer(self.ids, dtype=np.int32)
         first = start[place]
         n = start[place + 1] - first
         flat = ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        edge = np.append(0, np.cumsum(counts))
-        offsets = np.append(0, np.cumsum(n))[edge]
+        offsets = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))]
         ends = np.append(0, np.cumsum(self.size[flat]))
         ends = ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
-        wrong = np.append(0, np.cumsum(~ok[place]))[edge]
-        return flat, ends.astype(np.int32), np.diff(offsets), np.diff(wrong) == 0
+        return flat, ends.astype(np.int32), np.diff(offsets)
+
+    def sizes(self, place: np.ndarray) -> np.ndarray:
+        """The number of tokens of each unit."""
+        return np.diff(np.frombuffer(self.start, dtype=np.int64))[place]
 
 
 class Units:
@@ -147,7 +155,7 @@ class Units:
         for side in self.sides:
             side.forget()
 
-    def tokens(self, units: list[str], counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def places(self, units: list[str]) -> np.ndarray:
         known = len(self.at)
         place = np.array(list(map(self.at.__getitem__, units)), dtype=np.int64)
         new = list(islice(reversed(self.at), len(self.at) - known))[::-1]
@@ -155,7 +163,13 @@ class Units:
             self.kept += sum(map(len, new))
             for side in self.sides:
                 side.learn(new)
-        return [side.tokens(place, counts) for side in self.sides]
+        return place
+
+    def right(self, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For texts of ``counts`` units each, whether both sides' tokens join to every unit."""
+        edge = np.append(0, np.cumsum(counts))
+        wrong = ~np.logical_and(*(np.frombuffer(side.ok, dtype=bool)[place] for side in self.sides))
+        return np.diff(np.append(0, np.cumsum(wrong))[edge]) == 0
 
 
 def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -169,8 +183,11 @@ def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
-    """(id, a, a_ends, b, b_ends); empty arrays for empty texts and those whose tokens do not join to a space and the text."""
+def _read(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:
+    """By slices: the texts' ids, all units known so far, the numbers of the texts' units in a row, and how many each text has.
+
+    Empty texts and those whose tokens do not join to a space and the text have none.
+    """
     known = Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)))
     apart = plain_bytes(first) and by_units(second)
     for batch in batches:
@@ -179,26 +196,49 @@ def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Itera
             texts = every[lo:hi]
             split = [t.split(" ") if apart and not RUN.search(f" {t}") else [t] for t in texts]
             for again in range(2):
-                units = [u for s in split for u in s]
                 counts = np.array([len(s) for s in split])
-                sides = known.tokens(units, counts)
-                good = sides[0][3] & sides[1][3]
+                place = known.places([u for s in split for u in s])
+                good = known.right(place, counts)
                 if again or all(g or len(s) == 1 for g, s in zip(good, split, strict=True)):
                     break
-                split = [s if g else [t] for s, g, t in zip(split, good, texts, strict=True)]
+                split = [s if g else [t] for t, s, g in zip(texts, split, good, strict=True)]
             good &= np.array([t != "" for t in texts])
-            columns = [batch.column(0).slice(lo, hi - lo)]
-            for ids, ends, n, _ in sides:
-                if not good.all():
-                    stay = np.repeat(good, n)
-                    ids, ends, n = ids[stay], ends[stay], n * good
-                at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids, ends)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "a", "a_ends", "b", "b_ends"])
+            yield batch.column(0).slice(lo, hi - lo), known, place[np.repeat(good, counts)], counts * good
             if known.kept > KEEP:
                 known.forget()
 
 
+def _lists(n: np.ndarray, items: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(items.astype(np.int32)))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
+    """(id, a, a_ends, b, b_ends) of each text."""
+    for ids, known, place, counts in _read(batches, first, second):
+        columns = [ids]
+        for side in known.sides:
+            flat, ends, n = side.tokens(place, counts)
+            columns += [_lists(n, flat), _lists(n, ends)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "a", "a_ends", "b", "b_ends"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
+    """(docs, unit_ends, a, a_ends, b, b_ends), a row a slice: its distinct units one behind the other, and each text's id, numbers of tokens, and units."""
+    for ids, known, place, counts in _read(batches, first, second):
+        distinct, units = np.unique(place, return_inverse=True)
+        one = np.array([len(distinct)])
+        edge = np.append(0, np.cumsum(counts))
+        sizes = [pa.array(np.diff(np.append(0, np.cumsum(side.sizes(place)))[edge])) for side in known.sides]
+        docs = pa.StructArray.from_arrays([ids, *sizes, _lists(counts, units)], ["id", "n_a", "n_b", "units"])
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)]
+        for side in known.sides:
+            flat, ends, n = side.tokens(distinct, one)
+            if len(columns) == 1:
+                columns.append(_lists(one, ends[np.cumsum(side.sizes(distinct)) - 1]))
+            columns += [_lists(n, flat), _lists(n, ends)]
+        yield pa.RecordBatch.from_arrays(columns, ["docs", "unit_ends", "a", "a_ends", "b", "b_ends"])
+
+
 def _at(cuts: Column, inner: Column) -> Column:
     """The places of a tokenizer's tokens that end at ``cuts``, given its ``inner`` ends, behind a first place of -1.
 
@@ -231,32 +271,63 @@ WIDE = 1 << 20
 
 
 def _linked(g: Column) -> Column:
-    """All pairs of a group."""
+    """All pairs of group ``g``."""
     pair = lambda a, b: a.cast("long") * WIDE + b
     several = F.transform(_items(F.col("a"), F.col("at"), g), lambda a: F.transform(_items(F.col("b"), F.col("bt"), g), lambda b: pair(a, b)))
     return F.when(_single(g), F.array(pair(F.col("a")[F.col("at")[g + 1]], F.col("b")[F.col("bt")[g + 1]]))).otherwise(F.flatten(several))
 
 
 def _written(g: Column) -> Column:
-    """A group as text: the first's ids, a bar, the second's."""
+    """Group ``g`` as text: the first's ids, a bar, the second's."""
     sides = [("a_said", "at"), ("b_said", "bt")]
     one = [F.col(c)[F.col(at)[g + 1]] for c, at in sides]
     many = [F.array_join(_items(F.col(c), F.col(at), g), ",") for c, at in sides]
     return F.when(_single(g), F.concat(one[0], F.lit("|"), one[1])).otherwise(F.concat(many[0], F.lit("|"), many[1]))
 
 
-def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
+#: Arrays of numbers without nulls, which functions sort and hash unboxed.
+NUMBERS = T.ArrayType(T.IntegerType(), False)
+TOKENS = [T.StructField(c, NUMBERS) for c in ("a", "a_ends", "b", "b_ends")]
+
+
+def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, sliced: bool = False) -> DataFrame:
     """(id, a, a_ends, b, b_ends, cuts, at, bt): tokens, the offsets where both end, and the places of the tokens that end there.
 
+    With ``sliced`` the rows are slices, of docs and unit_ends in place of id.
     ``cuts``, ``at`` and ``bt`` are read more than once by what follows, so that they stay projections of their own.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    tokens = source.mapInArrow(lambda it: _tokens(it, first, second), f"id {kind}, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>")
+    name = T.StructField("id", docs.schema[id_col].dataType)
+    if sliced:
+        doc = T.StructType([name, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", NUMBERS)])
+        head = [T.StructField("docs", T.ArrayType(doc, False)), T.StructField("unit_ends", NUMBERS)]
+    else:
+        head = [name]
+    read = _slices if sliced else _tokens
+    tokens = source.mapInArrow(lambda it: read(it, first, second), T.StructType([*head, *TOKENS]))
     cut = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "a_in": F.array_except("a_ends", "b_ends"), "b_in": F.array_except("b_ends", "a_ends")})
     return cut.withColumns({"at": _at(F.col("cuts"), F.col("a_in")), "bt": _at(F.col("cuts"), F.col("b_in"))}).drop("a_in", "b_in")
 
 
+def by_document(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_a, n_b, n_groups, links, groups_sha256): each unit of a slice aligned once, and put together for each document."""
+    slices = placed(docs, first, second, id_col, text_col, sliced=True)
+    slices = slices.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>"), "within": F.array_except("cuts", "unit_ends")})
+    slices = slices.withColumn("ut", _at(F.col("unit_ends"), F.col("within")))
+    ut = F.col("ut")
+    groups = lambda u, group: F.transform(F.sequence(ut[u] + 1, ut[u + 1]), group)
+    of_unit = lambda made: F.transform("unit_ends", lambda e, u: made(u))
+    units = slices.select("docs", "ut", of_unit(lambda u: F.flatten(groups(u, _linked))).alias("links"), of_unit(lambda u: F.array_join(groups(u, _written), ";")).alias("said"))
+
+    def document(d: Column) -> Column:
+        each = lambda made: F.transform(d["units"], made)
+        n_groups = F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + ut[u + 1] - ut[u])
+        sha = F.when(F.size(d["units"]) > 0, F.sha2(F.array_join(each(lambda u: F.col("said")[u]), ";"), 256)).otherwise("")
+        return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups.alias("n_groups"), F.flatten(each(lambda u: F.col("links")[u])).alias("links"), sha.alias("groups_sha256"))
+
+    return units.select(F.inline(F.transform("docs", document)))
+
+
 def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, a, a_ends, b, b_ends (ids and byte offsets of the tokens of the
     ``tokenizers`` file ``first`` and the sentencepiece model ``second``, over a space and the text), and
@@ -282,12 +353,7 @@ def link_counts(docs: DataFrame, first: str, second: str, id_col: str = "doc_id"
     documents by a shuffle.
     """
     spark = docs.sparkSession
-
-    rows = placed(docs, first, second, id_col, text_col)
-    rows = rows.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>")})
-    count = lambda c: F.size(c).cast("long")
-    sha = F.when(F.size("cuts") > 0, F.sha2(F.array_join(_every(_written), ";"), 256)).otherwise("")
-    rows = rows.select("id", count("a").alias("n_a"), count("b").alias("n_b"), count("cuts").alias("n_groups"), F.flatten(_every(_linked)).alias("links"), sha.alias("groups_sha256"))
+    rows = by_document(docs, first, second, id_col, text_col)
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "aligned", codec="zstd")
 
     # In how many documents each pair is, and whether no pair of its first id is in more.
