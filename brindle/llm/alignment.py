@@ -43,7 +43,7 @@ from brindle.llm.common import free_shuffles, release, table
 from brindle.llm.packing import encoder, plain_bytes, whole
 
 #: Characters of text that are tokenised, and whose units are aligned, at a time, and characters of units that a worker keeps.
-SLICE, KEEP = 1 << 20, 32 << 20
+SLICE, KEEP = 1 << 19, 32 << 20
 #: Pairs whose counts are broadcast, at most: some 100 MB.
 PAIRS = 1 << 21
 #: A space between white space, or before the end behind white space: a run of which a tokenizer may make one token.
