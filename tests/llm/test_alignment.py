@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -100,3 +101,23 @@ def test_nulls_and_repeats(spark):
     assert sorted((r.doc_id is None, r.n_a) for r in got) == [(False, 1), (False, 2), (True, 0), (True, 2)]
     assert {r.count_sum for r in got if r.n_a == 2} == {4}
     assert alignment.link_counts(spark.createDataFrame([], SCHEMA), FIRST, SECOND).collect() == []
+
+
+def test_slices(monkeypatch):
+    """Units of many small slices, put together, are the tokens of the texts; numbers of tokens and ends agree."""
+    rows = [t or "" for t in texts() if t is None or len(t) < 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["id", "text"])
+    monkeypatch.setattr(alignment, "SLICE", 300)
+    whole = {r["id"]: r for b in alignment._tokens([batch], FIRST, SECOND) for r in b.to_pylist()}
+    slices = [r for b in alignment._slices([batch], FIRST, SECOND) for r in b.to_pylist()]
+    assert len(slices) > 10
+    seen = 0
+    for s in slices:
+        for side in ("a", "b"):
+            at = [0, *(s[f"{side}_ends"].index(e) + 1 for e in s["unit_ends"])]
+            unit = [s[side][i:j] for i, j in zip(at, at[1:], strict=False)]
+            for d in s["docs"]:
+                want = whole[d["id"]][side]
+                assert [i for u in d["units"] for i in unit[u]] == want and d[f"n_{side}"] == len(want)
+                seen += side == "a"
+    assert seen == len(rows)
