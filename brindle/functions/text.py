@@ -103,7 +103,7 @@ def tokens(filtered: Column) -> Column:
     return F.when(filtered == "", F.array().cast("array<string>")).otherwise(F.split(filtered, " "))
 
 
-def truncate(value: Column, n: int) -> Column:
+def truncate(value: Column, n: int | Column) -> Column:
     return F.substring(value, 1, n)
 
 

@@ -105,7 +105,7 @@ def _since(seconds: int) -> Column:
 
 
 def claims(config: Config, x: Column) -> Column:
-    """Whether the duplicate rule claims an earlier message of the last ``history_size``."""
+    """Whether the duplicate rule claims an earlier message, if that is one of the last ``history_size``."""
     r = config.rules["duplicate_spam"]
     return F.lit(r.enabled) & (F.length("canonical") >= r.minimum_length) & (x["ts"] >= _since(r.duplicate_window_seconds)) & (x["canonical"] == F.col("canonical"))
 
@@ -142,11 +142,12 @@ def similar_recent(messages: DataFrame, config: Config) -> DataFrame:
     UDF; rows without any are NULL to it.
     """
     r = config.rules["similarity_spam"]
-    t = F.lit(float(r.similarity_threshold))
+    t = F.lit(r.similarity_threshold).cast("double")
     now = text.truncate(F.col("deobfuscated"), r.maximum_processed_length)
     open_ = F.lit(r.enabled) & (F.length(now) >= r.minimum_length)
     recent = F.reverse(_newest(r.history_size))
-    fit = F.transform(F.filter(recent, lambda x: (x["ts"] >= _since(r.window_seconds)) & ~((x["clear"] == now) & claims(config, x))), lambda x: x["clear"])
+    claimed = lambda x, i: (x["clear"] == now) & (i < config.rules["duplicate_spam"].history_size) & claims(config, x)
+    fit = F.transform(F.filter(recent, lambda x, i: (x["ts"] >= _since(r.window_seconds)) & ~claimed(x, i)), lambda x: x["clear"])
     out = messages.withColumn("_now", F.when(open_, now))
     out = out.withColumn("_words", similarity.word_set(F.col("_now")))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from typing import Any
 
 from brindle.functions import plain
-from brindle.plans.config import SEVERITIES, Action, Config
+from brindle.plans.config import MOST, SEVERITIES, Action, Config
 
 INT_MAX = 2_147_483_647
 SECOND = 1_000_000
@@ -58,7 +58,8 @@ def history_matches(state: dict, message: dict, config: Config) -> list[dict]:
     text = message["deobfuscated"][: sim.maximum_processed_length]
     if sim.enabled and len(text) >= sim.minimum_length:
         for k, x in newest[: sim.history_size]:
-            if x["ts"] >= now - sim.window_seconds * SECOND and not (x["clear"] == text and claims(x, k)) and plain.similar(text, x["clear"], sim.similarity_threshold):
+            clear = x["clear"][: sim.maximum_processed_length]
+            if x["ts"] >= now - sim.window_seconds * SECOND and not (clear == text and claims(x, k)) and plain.similar(text, clear, sim.similarity_threshold):
                 out.append({"rule_id": "spam.similarity", "category": "SIMILARITY", "rule": sim})
                 break
     return [{"rule_id": m["rule_id"], "category": m["category"], "severity": "MODERATE", "points": m["rule"].points, "block": m["rule"].block, "actions": m["rule"].actions} for m in out]
@@ -103,7 +104,7 @@ def evaluate(state: dict, message: dict, config: Config) -> tuple[dict, dict]:
     report |= {"decision": "BLOCK" if any(m["block"] for m in matches) else "ALLOW", "rule_ids": [m["rule_id"] for m in matches], "points_added": added, "points_after": after, "threshold_crossed": crossed, "actions": kinds}
     dup, sim, rapid = (config.rules[k] for k in ("duplicate_spam", "similarity_spam", "rapid_spam"))
     keep = max(dup.duplicate_window_seconds, sim.window_seconds) * SECOND
-    recent = [x for x in state["recent"] if x["ts"] >= now - keep] + [{"ts": now, "canonical": message["canonical"], "clear": message["deobfuscated"][: sim.maximum_processed_length]}]
+    recent = [x for x in state["recent"] if x["ts"] >= now - keep] + [{"ts": now, "canonical": message["canonical"], "clear": message["deobfuscated"][: MOST["similar_length"]]}]
     times = [t for t in state["times"] if t >= now - rapid.window_seconds * SECOND] + [now]
     records = [v for v in state["violations"] if v["ts"] >= now - config.history["retention_days"] * DAY]
     if matches:

@@ -16,6 +16,7 @@ from brindle.functions import plain, similarity, text
 from brindle.operators import cases, detectors, filters, lookups
 from brindle.plans import config as C
 from brindle.plans import queries, staff, windowed
+from brindle.streaming import processor
 
 SF = "/root/testdata/sf0.001"
 BASE = C.default_config()
@@ -294,3 +295,15 @@ def test_queries_match_their_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["player_id", "seq", "n_matches", "points_after", "threshold_crossed", "decision"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_similarity_leaves_out_only_what_the_duplicate_rule_claims(spark):
+    """An equal text beyond the duplicate rule's number of messages is similar, in both tiers."""
+    config = BASE.with_rule("duplicate_spam", history_size=1)
+    texts = ["hello there friend", "quite other words", "hello there friend", "hello there friend"]
+    rows = [("p", k, f"2024-01-01 00:00:{k * 5:02d}", t) for k, t in enumerate(texts)]
+    m = spark.createDataFrame(rows, "player_id string, seq long, t string, raw string").selectExpr("player_id", "seq", "timestamp(t) ts", "raw")
+    got = windowed.evaluate(m, config).orderBy("seq").select(F.transform("matches", lambda x: x["rule_id"]).alias("ids")).collect()
+    want = [[], [], ["spam.similarity"], ["spam.duplicate", "spam.similarity"]]
+    assert [r.ids for r in got] == want
+    assert [list(r.rule_ids) for r in processor.evaluate(m, config).orderBy("seq").collect()] == want
