@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import similarity
 from brindle.operators import actions, alerts, cases, detectors, history, lookups
-from brindle.plans import oracles, windowed
+from brindle.plans import asof, oracles, windowed
+from brindle.plans import config as C
 from brindle.plans import queries as q
 from brindle.sources.messages import document_messages, read
 from brindle.streaming import audit, processor
@@ -384,3 +386,77 @@ def osa_bounded(spark, sf_dir):
   SELECT doc_id, i, a = b OR ratio >= 0.8::DOUBLE AND damerau_levenshtein(a, b) <= most AS near FROM r""")
 def similar_words(spark, sf_dir):
     return _words(spark, sf_dir).select("doc_id", "i", similarity.similar(F.col("a"), F.col("b"), 0.8).alias("near"))
+
+
+# --- reloads ----------------------------------------------------------------------------------------------------------
+
+OFF = {name: {"enabled": False} for name in ("similarity_spam", "repeated_characters", "advertising")}
+
+
+def _version(length: int, caps: dict, duplicate: tuple[int, int], rapid: tuple[int, int, int], minutes: int, cap: int, steps: tuple[int, int]) -> str:
+    own = {
+        "message_length": {"maximum_length": length}, "caps": caps, "duplicate_spam": {"history_size": duplicate[0], "duplicate_window_seconds": duplicate[1]},
+        "rapid_spam": {"minimum_interval_ms": rapid[0], "maximum_messages_in_window": rapid[1], "window_seconds": rapid[2]},
+    }
+    return json.dumps({"rules": OFF | own, "score": {"point_decay_minutes": minutes, "maximum_points_per_message": cap, "thresholds": [{"points": n, "actions": [a]} for n, a in zip(steps, ("WARN", "KICK"), strict=True)]}})
+
+
+def reloads() -> asof.Timeline:
+    """Four versions over January 2024 out of six reloads: one is not valid, one asks for too little, one changes nothing."""
+    at = lambda day, hour=0: (1_704_067_200 + (day - 1) * C.DAY + hour * 3_600) * 1_000_000
+    last = _version(60, {"minimum_letters": 8, "points": 4, "actions": ["WARN"]}, (3, 3 * C.DAY), (7_200_000, 3, C.DAY), 1_440, 20, (2, 8))
+    attempts = [
+        asof.Attempt(at(8), _version(40, {"minimum_letters": 5}, (30, 20 * C.DAY), (60_000, 6, 5 * C.DAY), 8_640, 2, (5, 12))),
+        asof.Attempt(at(12), _version(40, {"minimum_letters": 0}, (30, 20 * C.DAY), (60_000, 6, 5 * C.DAY), 8_640, 2, (5, 12))),
+        asof.Attempt(at(14), json.dumps({"state": {"maximum_tracked_players": 10}}), tracked_players=11),
+        asof.Attempt(at(16, 12), json.dumps({"enabled": False})),
+        asof.Attempt(at(20), last),
+        asof.Attempt(at(22), last),
+    ]
+    first = C.load(_version(30, {"minimum_letters": 5}, (6, 5 * C.DAY), (3_600_000, 4, 2 * C.DAY), 2_880, 20, (3, 6)))
+    return asof.timeline(first, attempts)[0]
+
+
+RELOADS = """WITH k(v, on_, len_, letters, caps_points, caps_block, dup_n, dup_s, gap_ms, rapid_n, rapid_s, decay, cap, t1, t2) AS (VALUES
+    (0, true, 30, 5, 1, true, 6, 432000, 3600000, 4, 172800, 172800, 20, 3, 6), (1, true, 40, 5, 1, true, 30, 1728000, 60000, 6, 432000, 518400, 2, 5, 12),
+    (2, false, 0, 0, 0, false, 0, 0, 0, 0, 0, 0, 0, 0, 0), (3, true, 60, 8, 4, false, 3, 259200, 7200000, 3, 86400, 86400, 20, 2, 8)),
+  w AS (SELECT user_id AS player_id, event_id AS seq, epoch_us(ts) AS us, event_type || ' ' || event_id % 3 || CASE WHEN event_id % 11 = 0 THEN repeat(' and so on', 3) WHEN event_id % 13 = 0 THEN repeat(' and so on', 6) ELSE '' END AS said,
+      (ts >= TIMESTAMP '2024-01-08')::INT + (ts >= TIMESTAMP '2024-01-16 12:00:00')::INT + (ts >= TIMESTAMP '2024-01-20')::INT AS v FROM events),
+  e AS (SELECT *, CASE WHEN seq % 7 = 0 THEN upper(said) ELSE said END AS raw FROM w JOIN k USING (v)),
+  m AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY us, seq) AS rn FROM e WHERE on_),
+  b AS (SELECT *, lag(us) OVER (PARTITION BY player_id ORDER BY rn) AS last_us, max(rn + 1 - rapid_n) OVER p AS r_first, max(us - rapid_s * 1000000::BIGINT) OVER p AS r_old,
+      max(rn + 1 - greatest(dup_n, 8)) OVER p AS d_first, max(us - greatest(dup_s, 45) * 1000000::BIGINT) OVER p AS d_old FROM m
+    WINDOW p AS (PARTITION BY player_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  x AS (SELECT b.player_id, b.rn, count(*) FILTER (o.rn >= b.r_first AND o.us >= b.r_old AND o.rn >= b.rn - b.rapid_n AND o.us >= b.us - b.rapid_s * 1000000::BIGINT) AS n_rapid,
+      coalesce(bool_or(o.rn >= b.d_first AND o.us >= b.d_old AND o.rn >= b.rn - b.dup_n AND o.us >= b.us - b.dup_s * 1000000::BIGINT AND lower(o.raw) = lower(b.raw)), false) AS dup
+    FROM b LEFT JOIN b o ON o.player_id = b.player_id AND o.rn < b.rn GROUP BY b.player_id, b.rn),
+  l AS (SELECT b.*, x.dup, length(raw) > len_ AS long_, length(regexp_replace(raw, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(raw, '[^A-Z]', '', 'g')) AS n_upper,
+      coalesce(us - last_us < gap_ms * 1000::BIGINT, false) OR n_rapid >= rapid_n AS rapid FROM b JOIN x USING (player_id, rn)),
+  h AS (SELECT *, n_letters >= letters AND n_upper > 0.75 * n_letters AS caps FROM l),
+  p AS (SELECT *, least(cap, long_::INT + caps::INT * caps_points + dup::INT * 2 + rapid::INT) AS added FROM h),
+  s AS (SELECT p.player_id, p.rn, coalesce(sum(o.added) FILTER (o.us + o.decay * 1000000::BIGINT > p.us), 0) AS before FROM p LEFT JOIN p o ON o.player_id = p.player_id AND o.rn < p.rn GROUP BY p.player_id, p.rn)
+  SELECT player_id, seq, array_to_string(list_filter([CASE WHEN long_ THEN 'flooding.message_length' END, CASE WHEN caps THEN 'flooding.caps' END, CASE WHEN dup THEN 'spam.duplicate' END, CASE WHEN rapid THEN 'spam.rapid' END], lambda y: y IS NOT NULL), ',') AS rule_ids,
+    added::BIGINT AS points_added, CASE WHEN before < t2 AND before + added >= t2 THEN t2 WHEN before < t1 AND before + added >= t1 THEN t1 END::BIGINT AS threshold_crossed,
+    CASE WHEN long_ OR dup OR rapid OR (caps AND caps_block) THEN 'BLOCK' ELSE 'ALLOW' END AS decision FROM p JOIN s USING (player_id, rn)
+  UNION ALL SELECT player_id, seq, '', 0, NULL, 'ALLOW' FROM e WHERE NOT on_"""
+
+
+def _event_messages(spark, sf_dir):
+    n = F.col("event_id")
+    said = F.concat("event_type", F.lit(" "), (n % 3).cast("string"), F.when(n % 11 == 0, F.lit(" and so on" * 3)).when(n % 13 == 0, F.lit(" and so on" * 6)).otherwise(""))
+    return q.events(spark, sf_dir).select(F.col("user_id").alias("player_id"), n.alias("seq"), "ts", F.when(n % 7 == 0, F.upper(said)).otherwise(said).alias("raw"))
+
+
+@registered(RELOADS)
+def config_reload(spark, sf_dir):
+    """Events as messages, each judged by the version of the configuration in force at its time."""
+    e = asof.evaluate(_event_messages(spark, sf_dir), reloads())
+    ids = F.array_join(F.transform("matches", lambda m: m["rule_id"]), ",")
+    return e.select("player_id", "seq", ids.alias("rule_ids"), "points_added", F.col("threshold_crossed").cast("long").alias("threshold_crossed"), "decision")
+
+
+@registered(RELOADS)
+def config_reload_stateful(spark, sf_dir):
+    """The same by the stateful tier, whose state goes on from version to version."""
+    e = processor.evaluate(_event_messages(spark, sf_dir), reloads())
+    return e.select(F.col("player_id").cast("long").alias("player_id"), "seq", F.array_join("rule_ids", ",").alias("rule_ids"), "points_added", "threshold_crossed", "decision")

@@ -41,10 +41,15 @@ def dedupe(matches: Column) -> Column:
 def with_matches(messages: DataFrame, config: Config) -> DataFrame:
     """Adds ``matches``, in the detectors' fixed order, less what a ``bypass`` column (array of categories) lets pass."""
     out = detectors.similar_recent(detectors.with_history(stateless(messages, config), config), config)
+    return joined(out, detectors.duplicate(config), detectors.rapid(config), detectors.similarity_match(config))
+
+
+def joined(out: DataFrame, duplicate: Column, rapid: Column, similarity: Column) -> DataFrame:
+    """Adds ``matches`` to rows with stateless matches, from those and the three that look back."""
     one = lambda m: F.array(m)
-    parts = [one(F.col("m_length")), one(F.col("m_caps")), one(F.col("m_runs")), one(detectors.duplicate(config)), one(detectors.rapid(config)), one(detectors.similarity_match(config)), F.col("filtered"), F.col("m_ads")]
+    parts = [one(F.col("m_length")), one(F.col("m_caps")), one(F.col("m_runs")), one(duplicate), one(rapid), one(similarity), F.col("filtered"), F.col("m_ads")]
     found = F.array_compact(F.concat(*parts))
-    if "bypass" in messages.columns:
+    if "bypass" in out.columns:
         found = F.filter(found, lambda m: ~F.array_contains("bypass", m["category"]))
         shown = ~F.array_contains("bypass", "FILTERED_CONTENT")
         out = out.withColumn("prevented", F.when(shown, F.col("prevented")).otherwise(F.array().cast(out.schema["prevented"].dataType)))
@@ -52,7 +57,7 @@ def with_matches(messages: DataFrame, config: Config) -> DataFrame:
     return out.withColumn("matches", dedupe(found)).drop("m_length", "m_caps", "m_runs", "m_ads", "filtered", "similar", "last_ts")
 
 
-def contributions(matches: Column, cap: int) -> Column:
+def contributions(matches: Column, cap: int | Column) -> Column:
     """What each match is awarded: its points, as far as the message's cap allows."""
     start = F.struct(F.array().cast("array<bigint>").alias("got"), F.lit(cap).cast("long").alias("left"))
 
@@ -114,17 +119,21 @@ def with_actions(messages: DataFrame, config: Config) -> DataFrame:
     return out.withColumns({"decision": decision, "severity": severity(F.col("matches")), "actions": planned(F.col("matches"), of)})
 
 
-def sliced(messages: DataFrame, config: Config, seconds: int) -> DataFrame:
+def lookback(config: Config) -> int:
+    """The seconds that rules look back."""
+    dup, sim, rapid = (config.rules[k] for k in ("duplicate_spam", "similarity_spam", "rapid_spam"))
+    return max(dup.duplicate_window_seconds, sim.window_seconds, rapid.window_seconds, -(-rapid.minimum_interval_ms // 1000))
+
+
+def sliced(messages: DataFrame, reach: int, seconds: int) -> DataFrame:
     """``messages`` by slices of time: each row in its own, and once more (``_carried``) in those that it reaches into.
 
     No rule looks further back than its window, and no score than the decay,
     before which a row's points need its own windows. A row is thus carried
-    over ``decay + window``; with slices of some multiple of that a player with
-    very many messages is as many tasks as slices, for few rows more.
+    over ``reach``, decay and window; with slices of some multiple of that a
+    player with very many messages is as many tasks as slices, for few rows more.
     """
-    dup, sim, rapid = (config.rules[k] for k in ("duplicate_spam", "similarity_spam", "rapid_spam"))
-    window = max(dup.duplicate_window_seconds, sim.window_seconds, rapid.window_seconds, -(-rapid.minimum_interval_ms // 1000))
-    reach = (config.decay_seconds + window + 1) * 1_000_000
+    reach = (reach + 1) * 1_000_000
     us, size = F.unix_micros("ts"), seconds * 1_000_000
     own = F.floor(us / F.lit(size))
     out = messages.withColumn(detectors.SLICE, F.explode(F.sequence(own, F.floor((us + F.lit(reach)) / F.lit(size)))))
@@ -148,7 +157,7 @@ def evaluate(messages: DataFrame, config: Config, slice_seconds: int | None = No
     if "bypass_all" in messages.columns:
         passed, messages = messages.where("bypass_all"), messages.where("not bypass_all")
     if slice_seconds is not None:
-        messages = sliced(messages, config, slice_seconds)
+        messages = sliced(messages, config.decay_seconds + lookback(config), slice_seconds)
     out = with_score(with_matches(messages, config), config)
     if slice_seconds is not None:
         out = out.where("not _carried").drop("_carried", detectors.SLICE)

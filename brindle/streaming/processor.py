@@ -5,6 +5,10 @@ state; the processor sees one row per message. State is one JSON value per
 player in Spark's state store, bounded by the configuration's limits, and is
 recovered from the checkpoint. Within a batch a player's rows are taken in
 order of (ts, seq); a stream must deliver them so across batches.
+
+Where a configuration is asked for, a timeline of reloads may stand: each row is
+then taken by the version in force at its time. A stream that is started again
+from its checkpoint with a longer timeline goes on with the state that it had.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -21,7 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from brindle.operators.detectors import MATCH
-from brindle.plans import fold, windowed
+from brindle.plans import asof, fold, windowed
+from brindle.plans.asof import Timeline, in_force
 from brindle.plans.config import Action, Config
 
 REPORT = "player_id string, seq long, ts_us long, decision string, rule_ids array<string>, points_before long, points_added long, points_after long, threshold_crossed long, actions array<string>"
@@ -49,13 +55,14 @@ def _message(r: Any) -> dict[str, Any]:
     return {"ts": int(r.ts_us), "seq": int(r.seq), "canonical": r.canonical, "deobfuscated": r.deobfuscated, "first": _matches(r.first), "last": _matches(r.last)}
 
 
-def folded(state: dict, todo: pd.DataFrame, config: Config) -> tuple[dict, list[dict]]:
+def folded(state: dict, todo: pd.DataFrame, over: Config | Timeline) -> tuple[dict, list[dict]]:
     """The state after rows in the order of (ts, seq), and the reports of the messages among them.
 
     A control event that is not valid changes nothing: it must not stop the others.
     """
     out = []
     for r in todo.sort_values(["ts_us", "seq"], kind="stable").itertuples(index=False):
+        config = in_force(over, int(r.ts_us))
         if r.control:
             try:
                 state = fold.control(state, {"ts": int(r.ts_us), "seq": int(r.seq), **json.loads(r.control)}, config)
@@ -70,7 +77,7 @@ def folded(state: dict, todo: pd.DataFrame, config: Config) -> tuple[dict, list[
 class Moderator(StatefulProcessor):
     """Folds a player's messages and control events into reports; with timers, forgets players after their idle time."""
 
-    def __init__(self, config: Config, timers: bool = False):
+    def __init__(self, config: Config | Timeline, timers: bool = False):
         self.config, self.timers = config, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -95,11 +102,12 @@ class Moderator(StatefulProcessor):
         if self.timers and state["active"] is not None:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-            self.handle.registerTimer((state["active"] + fold.idle(self.config)) // 1_000 + 1)
+            self.handle.registerTimer((state["active"] + fold.idle(in_force(self.config, state["active"]))) // 1_000 + 1)
         yield _frame([_report(key[0], got) for got in out])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        state = fold.pruned(self._load(), expiredTimerInfo.getExpiryTimeInMs() * 1_000, self.config) if self.state.exists() else None
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1_000
+        state = fold.pruned(self._load(), now, in_force(self.config, now)) if self.state.exists() else None
         if state is None:
             self.state.clear()
         else:
@@ -110,19 +118,37 @@ class Moderator(StatefulProcessor):
         pass
 
 
-def prepared(messages: DataFrame, config: Config, with_time: bool = False) -> DataFrame:
-    """Messages (player_id, seq, ts, raw, optional control: JSON of a staff event) with forms and stateless matches."""
-    if "control" not in messages.columns:
-        messages = messages.withColumn("control", F.lit(None).cast("string"))
-    out = windowed.stateless(messages.withColumn("raw", F.coalesce("raw", F.lit(""))), config)
+def _judged(messages: DataFrame, config: Config) -> DataFrame:
+    """Adds ``judged``, the forms and stateless matches of ``raw``; the columns of ``messages`` stay."""
+    out = windowed.stateless(messages, config)
     first = F.array_compact(F.array("m_length", "m_caps", "m_runs")).cast(f"array<{MATCH}>")
-    return out.select(
-        F.col("player_id").cast("string").alias("player_id"), F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("ts_us"), "canonical", "deobfuscated",
-        F.to_json(first).alias("first"), F.to_json(F.concat("filtered", "m_ads")).alias("last"), "control", *(["ts"] if with_time else []),
-    )
+    judged = F.struct("canonical", "deobfuscated", F.to_json(first).alias("first"), F.to_json(F.concat("filtered", "m_ads")).alias("last"))
+    return out.select(*messages.columns, judged.alias("judged"))
+
 
+def prepared(messages: DataFrame, config: Config | Timeline, with_time: bool = False) -> DataFrame:
+    """Messages (player_id, seq, ts, raw, optional control: JSON of a staff event) with forms and stateless matches.
 
-def evaluate(messages: DataFrame, config: Config, initial: DataFrame | None = None, timers: bool = False) -> DataFrame:
+    A timeline's versions are branches over their own time in a batch. A stream
+    must read its source once, however many versions there are, to go on from a
+    checkpoint: there every version sees each row, but the text of its own alone.
+    """
+    control = F.col("control") if "control" in messages.columns else F.lit(None).cast("string")
+    out = messages.select(F.col("player_id").cast("string").alias("player_id"), F.col("seq").cast("long").alias("seq"), "ts", F.coalesce("raw", F.lit("")).alias("raw"), control.alias("control"))
+    if messages.isStreaming and isinstance(config, Timeline):
+        rest, parts = [c for c in out.columns if c != "raw"], []
+        out = out.withColumnRenamed("raw", "said")
+        for v, c in enumerate(config.configs):
+            seen = out.withColumn("raw", F.when(config.within(v), F.col("said")).otherwise(""))
+            out = _judged(seen, c).drop("raw").withColumnRenamed("judged", f"judged_{v}")
+            parts.append(F.when(config.within(v), F.col(f"judged_{v}")))
+        out = out.select(*rest, F.coalesce(*parts).alias("judged"))
+    else:
+        out = reduce(DataFrame.unionByName, [_judged(rows, c) for c, rows in asof.versions(config, out)])
+    return out.select("player_id", "seq", F.unix_micros("ts").alias("ts_us"), "judged.canonical", "judged.deobfuscated", "judged.first", "judged.last", "control", *(["ts"] if with_time else []))
+
+
+def evaluate(messages: DataFrame, config: Config | Timeline, initial: DataFrame | None = None, timers: bool = False) -> DataFrame:
     """Reports of all messages, batch or streaming, by the state that earlier ones left.
 
     ``initial`` (player_id, state: JSON) is where players start, as from a
@@ -148,7 +174,7 @@ def stateful(spark: SparkSession) -> None:
     _ = spark.streams.active  # starts the coordinator of state stores, which batch queries need too
 
 
-def states(messages: DataFrame, config: Config) -> DataFrame:
+def states(messages: DataFrame, config: Config | Timeline) -> DataFrame:
     """(player_id, state: JSON) after all messages, in one batch: a player's rows are folded in one task."""
 
     def last(rows: pd.DataFrame) -> pd.DataFrame:
@@ -158,22 +184,22 @@ def states(messages: DataFrame, config: Config) -> DataFrame:
     return prepared(messages, config).groupBy("player_id").applyInPandas(last, "player_id string, state string")
 
 
-def preview(messages: DataFrame, kept: DataFrame, config: Config) -> DataFrame:
+def preview(messages: DataFrame, kept: DataFrame, config: Config | Timeline) -> DataFrame:
     """Reports that messages would have, each by its player's state in ``kept`` (player_id, state); nothing is written back."""
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield _frame([_report(r.player_id, fold.preview(json.loads(r.state) if isinstance(r.state, str) else None, _message(r), config)) for r in b.itertuples(index=False)])
+            yield _frame([_report(r.player_id, fold.preview(json.loads(r.state) if isinstance(r.state, str) else None, _message(r), in_force(config, int(r.ts_us)))) for r in b.itertuples(index=False)])
 
     return prepared(messages, config).join(kept.select("player_id", "state"), "player_id", "left").mapInPandas(look, REPORT)
 
 
-def prune(kept: DataFrame, now_us: int, config: Config) -> DataFrame:
+def prune(kept: DataFrame, now_us: int, config: Config | Timeline) -> DataFrame:
     """States (player_id, state) without what has expired by ``now_us``, and without players of whom nothing is left."""
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            left = [(p, fold.pruned(json.loads(s), now_us, config)) for p, s in zip(b["player_id"], b["state"], strict=True)]
+            left = [(p, fold.pruned(json.loads(s), now_us, in_force(config, now_us))) for p, s in zip(b["player_id"], b["state"], strict=True)]
             yield pd.DataFrame([(p, json.dumps(s, ensure_ascii=False)) for p, s in left if s is not None], columns=["player_id", "state"])
 
     return kept.select("player_id", "state").mapInPandas(rest, "player_id string, state string")
