@@ -2,8 +2,8 @@
 
 All but two are chains of SQL functions inside code generation. NFKC and link
 rewriting have no SQL form; their Arrow UDFs see NULL, and so next to no data,
-for rows that cannot change: ASCII text, and text without a dot, slash or
-spelled letters.
+for rows that cannot change: text of ASCII and common Latin letters, and text
+without a dot, slash or spelled letters.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ CONTROLS = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}]"
 OTHER_CONTROLS = rf"[[\p{{Cc}}\p{{Cf}}\p{{Cs}}\p{{Co}}\p{{Cn}}]&&[^\p{{javaWhitespace}}\p{{javaSpaceChar}}]]"
 ZERO_WIDTH = "[" + "".join(rf"\x{{{ord(c):X}}}" for c in plain.ZERO_WIDTH) + "]"
 NO_WORD = r"[^\p{javaLetterOrDigit}]"
+#: What texts must hold for NFKC, and for :func:`sanitize` beyond their ends, to change them: ASCII's graphic characters and
+#: the letters of Latin-1 and the start of Latin Extended-A stay as they are and combine with nothing but what is not among them.
+MAY_COMPOSE = r"[^\x00-\x7F\x{C0}-\x{131}]"
+MAY_HOLD = r"[^\x20-\x7E\x{C0}-\x{131}]|  "
 
 
 @F.pandas_udf(StringType())
@@ -42,14 +46,13 @@ def only_where(udf, test: Column, value: Column) -> Column:
 
 
 def nfkc(raw: Column) -> Column:
-    return only_where(_nfkc, F.rlike(raw, F.lit(r"[^\x00-\x7F]")), raw)
+    return only_where(_nfkc, F.rlike(raw, F.lit(MAY_COMPOSE)), raw)
 
 
 def sanitize(value: Column) -> Column:
     """Controls and formats dropped, white space runs to one space, ends trimmed."""
-    value = F.regexp_replace(value, ZERO_WIDTH, "")
-    value = F.regexp_replace(value, OTHER_CONTROLS, "")
-    return F.trim(F.regexp_replace(value, f"{SPACES}+", " "))
+    shown = F.regexp_replace(F.regexp_replace(value, ZERO_WIDTH, ""), OTHER_CONTROLS, "")
+    return F.trim(F.when(F.rlike(value, F.lit(MAY_HOLD)), F.regexp_replace(shown, f"{SPACES}+", " ")).otherwise(value))
 
 
 def substitute(value: Column, table: Mapping[str, str]) -> Column:
