@@ -126,9 +126,11 @@ def rapid(config: Config) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _first_similar(now: pd.Series, candidates: pd.Series, threshold: pd.Series) -> pd.Series:
+def _first_near(now: pd.Series, candidates: pd.Series, threshold: pd.Series) -> pd.Series:
+    """The first of the candidates within the edit bound."""
+
     def first(a, texts, t):
-        return None if a is None or texts is None else next((x for x in texts if plain.similar(a, x, t)), None)
+        return None if a is None or texts is None else next((x for x in texts if plain.near(a, x, t)), None)
 
     return pd.Series([first(*r) for r in zip(now, candidates, threshold, strict=True)], dtype=object)
 
@@ -136,10 +138,9 @@ def _first_similar(now: pd.Series, candidates: pd.Series, threshold: pd.Series)
 def similar_recent(messages: DataFrame, config: Config) -> DataFrame:
     """Adds ``similar``: the newest of the recent texts that resembles the message's.
 
-    Lengths, shared words and Levenshtein's distance d settle nearly all: the
-    edit distance lies between d / 2 and d. Only texts for which the bound lies
-    between, and that are newer than the first that is settled, go to one Arrow
-    UDF; rows without any are NULL to it.
+    Lengths and shared words settle many. Of the texts that are newer than the
+    first that these accept, those of like length go to one Arrow UDF for the
+    edit distance; rows without any are NULL to it.
     """
     r = config.rules["similarity_spam"]
     t = F.lit(r.similarity_threshold).cast("double")
@@ -152,24 +153,21 @@ def similar_recent(messages: DataFrame, config: Config) -> DataFrame:
     out = out.withColumn("_words", similarity.word_set(F.col("_now")))
 
     def measured(x: Column) -> Column:
-        """Whether the words settle it, Levenshtein's distance where that may, and the bound."""
+        """Whether the words settle it, and whether the edit distance may."""
         n, m = F.length("_now"), F.length(x)
         short, long_ = F.least(n, m), F.greatest(n, m)
         words = similarity.word_set(x)
         least = F.least(F.size("_words"), F.size(words))
         shared = (short >= 4) & (short >= 0.6 * long_) & (least > 0) & (F.size(F.array_intersect(F.col("_words"), words)) >= t * least)
-        most = F.floor((F.lit(1.0) - t) * long_).cast("int")
-        return F.struct(x.alias("x"), ((F.col("_now") == x) | shared).alias("sure"), F.when((short >= 0.6 * long_) & (short >= t * long_), F.levenshtein(F.col("_now"), x)).alias("d"), most.alias("most"))
+        return F.struct(x.alias("x"), ((F.col("_now") == x) | shared).alias("sure"), ((short >= 0.6 * long_) & (short >= t * long_)).alias("open"))
 
     out = out.withColumn("_fit", F.when(open_, F.transform(fit, measured)))
-    sure = lambda z: z["sure"] | F.coalesce(z["d"] <= z["most"], F.lit(False))
-    near = F.filter("_fit", lambda z: sure(z) | F.coalesce(z["d"] <= 2 * z["most"], F.lit(False)))
-    out = out.withColumn("_near", F.transform(near, lambda z: F.struct(z["x"].alias("x"), sure(z).alias("sure"))))
+    out = out.withColumn("_near", F.filter("_fit", lambda z: z["sure"] | z["open"]))
     out = out.withColumn("_first", F.array_position(F.transform("_near", lambda z: z["sure"]), True).cast("int"))
     doubtful = F.when(F.col("_first") > 0, F.slice("_near", 1, F.greatest(F.col("_first") - 1, F.lit(0)))).otherwise(F.col("_near"))
     out = out.withColumn("_doubt", F.transform(doubtful, lambda z: z["x"]))
     some = F.size("_doubt") > 0
-    found = _first_similar(F.when(some, F.col("_now")), F.when(some, F.col("_doubt")), t)
+    found = _first_near(F.when(some, F.col("_now")), F.when(some, F.col("_doubt")), t)
     settled = F.when(F.col("_first") > 0, F.get("_near", F.col("_first") - 1)["x"])
     return out.withColumn("similar", F.coalesce(found, settled)).drop("_now", "_words", "_fit", "_near", "_first", "_doubt")
 
