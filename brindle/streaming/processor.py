@@ -55,25 +55,78 @@ def _message(r: Any) -> dict[str, Any]:
     return {"ts": int(r.ts_us), "seq": int(r.seq), "canonical": r.canonical, "deobfuscated": r.deobfuscated, "first": _matches(r.first), "last": _matches(r.last)}
 
 
-def folded(state: dict, todo: pd.DataFrame, over: Config | Timeline) -> tuple[dict, list[dict]]:
-    """The state after rows in the order of (ts, seq), and the reports of the messages among them.
+def _step(state: dict, r: Any, over: Config | Timeline) -> tuple[dict, dict | None]:
+    """The state after a row, and the report of a message.
 
     A control event that is not valid changes nothing: it must not stop the others.
     """
+    config = in_force(over, int(r.ts_us))
+    if r.control:
+        try:
+            state = fold.control(state, {"ts": int(r.ts_us), "seq": int(r.seq), **json.loads(r.control)}, config)
+        except (ValueError, KeyError, TypeError) as e:
+            logging.getLogger(__name__).warning("control event %s of player left out: %s", r.seq, e)
+        return state, None
+    return fold.evaluate(state, _message(r), config)
+
+
+def folded(state: dict, todo: pd.DataFrame, over: Config | Timeline) -> tuple[dict, list[dict]]:
+    """The state after rows in the order of (ts, seq), and the reports of the messages among them."""
     out = []
     for r in todo.sort_values(["ts_us", "seq"], kind="stable").itertuples(index=False):
-        config = in_force(over, int(r.ts_us))
-        if r.control:
-            try:
-                state = fold.control(state, {"ts": int(r.ts_us), "seq": int(r.seq), **json.loads(r.control)}, config)
-            except (ValueError, KeyError, TypeError) as e:
-                logging.getLogger(__name__).warning("control event %s of player left out: %s", r.seq, e)
-            continue
-        state, got = fold.evaluate(state, _message(r), config)
-        out.append(got)
+        state, got = _step(state, r, over)
+        if got is not None:
+            out.append(got)
     return state, out
 
 
+def _started(player: str, state: str) -> dict:
+    """An initial state, checked."""
+    out = json.loads(state)
+    if not isinstance(out, dict) or set(out) != set(fold.new_state()):
+        raise ValueError(f"the initial state of player {player} is not a state")
+    return out
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """A batch's rows by player, each player's in the order of (ts, seq), after initial states: one sort for all players of a task."""
+    start = [F.col("state").isNull()] if "state" in rows.columns else []
+    return rows.repartition("player_id").sortWithinPartitions("player_id", *start, "ts_us", "seq")
+
+
+def _reports(batches: Iterator[pd.DataFrame], over: Config | Timeline) -> Iterator[pd.DataFrame]:
+    """Reports of rows that :func:`_in_order` dealt; a row with a ``state`` is where its player starts."""
+    player, state = ..., fold.new_state()
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False):
+            started = isinstance(r.state, str)
+            if r.player_id != player:
+                player, state = r.player_id, _started(r.player_id, r.state) if started else fold.new_state()
+            if started:
+                continue
+            state, got = _step(state, r, over)
+            if got is not None:
+                out.append(_report(player, got))
+        yield _frame(out)
+
+
+def _lasts(batches: Iterator[pd.DataFrame], over: Config | Timeline) -> Iterator[pd.DataFrame]:
+    """(player_id, state) after rows that :func:`_in_order` dealt."""
+    player, state = None, None
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False):
+            if state is None or r.player_id != player:
+                if state is not None:
+                    out.append((player, json.dumps(state, ensure_ascii=False)))
+                player, state = r.player_id, fold.new_state()
+            state, _ = _step(state, r, over)
+        yield pd.DataFrame(out, columns=["player_id", "state"])
+    if state is not None:
+        yield pd.DataFrame([(player, json.dumps(state, ensure_ascii=False))], columns=["player_id", "state"])
+
+
 class Moderator(StatefulProcessor):
     """Folds a player's messages and control events into reports; with timers, forgets players after their idle time."""
 
@@ -91,10 +144,7 @@ class Moderator(StatefulProcessor):
         self.state.update((json.dumps(state, ensure_ascii=False),))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        state = json.loads(initialState["state"].iloc[0])
-        if not isinstance(state, dict) or set(state) != set(fold.new_state()):
-            raise ValueError(f"the initial state of player {key[0]} is not a state")
-        self._keep(state)
+        self._keep(_started(key[0], initialState["state"].iloc[0]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         state, out = folded(self._load(), pd.concat(list(rows)), self.config)
@@ -154,12 +204,19 @@ def evaluate(messages: DataFrame, config: Config | Timeline, initial: DataFrame
     ``initial`` (player_id, state: JSON) is where players start, as from a
     snapshot. With ``timers``, for streams whose ``ts`` has a watermark, a player
     is pruned once the watermark passes the end of the idle time; without them
-    state grows with the number of players ever seen. The session must keep
-    streaming state in RocksDB (:func:`stateful`).
+    state grows with the number of players ever seen. A stream's session must
+    keep state in RocksDB (:func:`stateful`). A batch keeps none: its rows are
+    sorted by player and folded one after the other.
     """
-    stateful(messages.sparkSession)
     rows = prepared(messages, config, timers)
-    first = None if initial is None else initial.select(F.col("player_id").cast("string").alias("player_id"), "state").groupBy("player_id")
+    first = None if initial is None else initial.select(F.col("player_id").cast("string").alias("player_id"), "state")
+    if not messages.isStreaming and not timers:
+        rows = rows.withColumn("state", F.lit(None).cast("string"))
+        if first is not None:
+            rows = rows.unionByName(first.withColumns({"ts_us": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), allowMissingColumns=True)
+        return _in_order(rows).mapInPandas(lambda it: _reports(it, config), REPORT)
+    stateful(messages.sparkSession)
+    first = None if first is None else first.groupBy("player_id")
     return rows.groupBy("player_id").transformWithStateInPandas(Moderator(config, timers), outputStructType=REPORT, outputMode="Update", timeMode="EventTime" if timers else "None", initialState=first)
 
 
@@ -176,12 +233,7 @@ def stateful(spark: SparkSession) -> None:
 
 def states(messages: DataFrame, config: Config | Timeline) -> DataFrame:
     """(player_id, state: JSON) after all messages, in one batch: a player's rows are folded in one task."""
-
-    def last(rows: pd.DataFrame) -> pd.DataFrame:
-        state, _ = folded(fold.new_state(), rows, config)
-        return pd.DataFrame({"player_id": [rows["player_id"].iloc[0]], "state": [json.dumps(state, ensure_ascii=False)]})
-
-    return prepared(messages, config).groupBy("player_id").applyInPandas(last, "player_id string, state string")
+    return _in_order(prepared(messages, config)).mapInPandas(lambda it: _lasts(it, config), "player_id string, state string")
 
 
 def preview(messages: DataFrame, kept: DataFrame, config: Config | Timeline) -> DataFrame:

@@ -209,3 +209,25 @@ def test_sinks(spark, tmp_path):
         crc.unlink()
     assert audit.read_snapshot(spark, str(tmp_path / "s"), "player_id string, state string").count() == 2
     assert audit.read_snapshot(spark, str(tmp_path / "none"), "player_id string, state string").count() == 0
+
+
+def test_a_batch_folds_all_players_of_a_task_in_one_pass(spark):
+    """Players that span Arrow batches, and no grouping by player, each group of which costs milliseconds."""
+    lines = "WARNING SHOUTING HERE", "same words again", "same words again", "fine"
+    rows = [(p, i, 1_700_000_000 + i, lines[i % 4]) for p in range(40) for i in range(9)] + [(None, i, 1_700_000_000 + i, "null player") for i in range(3)]
+    m = spark.createDataFrame(rows, "player_id long, seq long, t long, raw string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    half = processor.states(m.where("seq < 5"), queries.SLICE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        whole = processor.evaluate(m, queries.SLICE)
+        plan = whole._jdf.queryExecution().toString() + half._jdf.queryExecution().toString()
+        assert "TransformWithState" not in plan and "FlatMapGroups" not in plan
+        late = processor.evaluate(m.where("seq >= 5"), queries.SLICE, initial=half)
+        key = lambda r: (str(r.player_id), r.seq)
+        got = sorted(whole.collect(), key=key)
+        assert len(got) == len(rows) and half.count() == 41
+        assert sorted(late.collect(), key=key) == [r for r in got if r.seq >= 5]
+        state = {r.player_id: r.state for r in processor.states(m, queries.SLICE).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(state) == 41 and all(s == state["0"] for p, s in state.items() if p is not None)
