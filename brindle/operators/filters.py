@@ -196,7 +196,9 @@ def with_filters(messages, config: Config):
     many = [f for f in config.filters if len(f.terms) > MANY and all(f.terms)]
     if many:
         sent = tuple(terms.Many(f.mode, f.mode in LEGACY, f.mode in COMPACT, f.terms, f.exceptions) for f in many)
-        out = out.withColumn("_terms", terms.first_terms(sent, legacy, modern))
+        # Forms that none of them reads stay out of Python.
+        read = [v if any(t.legacy == old for t in sent) else [] for v, old in ((legacy, True), (modern, False))]
+        out = out.withColumn("_terms", terms.first_terms(sent, *read))
     known = {f.id: F.get("_terms", F.lit(k)) for k, f in enumerate(many)}
     results = {f.id: filter_result(f, legacy if f.mode in LEGACY else modern, known.get(f.id)) for f in config.filters}
     found = F.array_compact(F.array(*[r[0] for r in results.values()])) if results else F.array()

@@ -25,6 +25,8 @@ from brindle.functions import plain
 
 #: Characters of the terms of one machine, at most (some hundred bytes each).
 CHARS = 1 << 21
+#: Texts that are held as lists of variants at a time, where one machine serves them all.
+ROWS = 1000
 #: Tokens that a window joins at most.
 WINDOW = 32
 
@@ -201,8 +203,12 @@ def first_terms(filters: tuple[Many, ...], legacy: list[tuple[Column, Column]],
 
     @F.pandas_udf(RESULT)
     def found(*forms: pd.Series) -> pd.Series:
-        pairs = [list(zip(forms[k].fillna(""), forms[k + 1].fillna(""), strict=True)) for k in range(0, len(forms), 2)]
-        texts = [(list(v[:first]), list(v[first:])) for v in zip(*pairs, strict=True)]
-        return pd.Series([[None if x is None else x._asdict() for x in row] for row in find(filters, texts)], dtype=object)
+        out, n = [], ROWS if len(_parts(filters)) == 1 else max(1, len(forms[0]))
+        for lo in range(0, len(forms[0]), n):
+            own = [f.iloc[lo : lo + n].fillna("") for f in forms]
+            pairs = [list(zip(own[k], own[k + 1], strict=True)) for k in range(0, len(own), 2)]
+            texts = [(list(v[:first]), list(v[first:])) for v in zip(*pairs, strict=True)]
+            out += [[None if x is None else x._asdict() for x in row] for row in find(filters, texts)]
+        return pd.Series(out, dtype=object)
 
     return found(*[c for pair in [*legacy, *modern] for c in pair])

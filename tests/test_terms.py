@@ -86,3 +86,15 @@ def test_queries_match_their_sql(spark, name):
     rows = sorted(str([r[i] for i in at]) for r in want.fetchall())
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == rows
     assert rows
+
+
+def test_forms_that_no_filter_reads_stay_out_of_python(spark, monkeypatch):
+    sent, real = [], terms.first_terms
+    monkeypatch.setattr(terms, "first_terms", lambda many, legacy, modern: sent.append((len(legacy), len(modern))) or real(many, legacy, modern))
+    some = tuple(f"term{c}" for c in "abcdefghijklmnopqrstuvwxyzäöüéèêñóíçàùâîô")
+    df = spark.createDataFrame([(f"a term{c} b",) for c in "".join(t[-1] for t in some) + "þ" for _ in range(60)], "raw string")
+    for mode in ("WORD", "NORMALIZED_WORD"):
+        config = replace(BASE, filters=(Filter("many", mode, some, Rule(1)),))
+        out = filters.with_filters(detectors.with_forms(df, config), config).select("raw", F.size("filtered").alias("n")).collect()
+        assert len(out) == 60 * (len(some) + 1) and all(r.n == ("þ" not in r.raw) for r in out)
+    assert sent == [(1, 0), (0, 2)]
