@@ -62,8 +62,9 @@ def message_length(config: Config) -> Column:
 
 def caps(config: Config) -> Column:
     r = config.rules["caps"]
-    letters = F.regexp_count("raw", F.lit(r"\p{javaLetter}"))
-    ratio = F.regexp_count("raw", F.lit(r"[\p{javaLetter}&&[\p{javaUpperCase}]]")) / letters
+    # A count of matches would make an array of them.
+    letters = F.length(F.regexp_replace("raw", r"[^\p{javaLetter}]+", ""))
+    ratio = F.length(F.regexp_replace("raw", r"[^\p{javaLetter}]+|[\p{javaLetter}&&[^\p{javaUpperCase}]]+", "")) / letters
     hit = (letters >= r.minimum_letters) & (ratio > r.maximum_uppercase_ratio)
     return F.when(F.lit(r.enabled) & hit, match(r, "flooding.caps", "FLOODING", "too many capitals", F.round(ratio, 4)))
 

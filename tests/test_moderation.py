@@ -375,3 +375,11 @@ def test_edit_distance_of_long_texts():
         assert f(a, b, 71) == 72
         took.append(time.process_time() - start)
     assert took[1] * 50 < took[0]
+
+
+def test_capitals_are_counted_without_arrays(spark):
+    texts = ["ABCDEFGH", "ABCDEFg!", "ÄÖÜÉ ÑÇÈÍ 12", "ßabcdefg", "ABCDEFgh", "1234 !!", "", "𝐀𝐁𝐂𝐃𝐄𝐅𝐆𝐇", "ABCDEFǅh"]
+    out = messages(spark, texts).select("seq", detectors.caps(BASE).isNotNull().alias("hit"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+    assert {r.seq for r in out.collect() if r.hit} == {0, 2, 7}
