@@ -4,14 +4,16 @@ Python only tokenises. It returns ids and the byte offsets at which tokens end,
 for each text, or for the distinct units of a slice of texts with each text's
 units by number. All else is arrays inside the JVM:
 ``array_intersect`` of the two arrays of ends gives the offsets where tokens of
-both end, which cut the text into groups; sorted among a tokenizer's other ends,
-they give the places of the tokens that end at the cuts; a ``sequence`` of
+both end, which cut the text into groups; sorted among a tokenizer's ends, they
+give the places of the tokens that end at the cuts; a ``sequence`` of
 places takes a group's tokens and nested ``transform`` its links. Each step is linear in the text, or
 a sort of two runs that ascend: no array grows element by element.
 
 No group crosses the end of a unit, where both tokenizers end a token. So
 :func:`link_counts` aligns each distinct unit of a slice once, and a document's
-groups and links are those of its units, one after the other.
+groups and links are those of its units, one after the other. The ``FREQUENT``
+units that a sample of texts holds most often are aligned once for all slices,
+as one row that is broadcast; which they are decides nothing but the time.
 
 Corpus-wide counts are a partial aggregate of each document's distinct pairs. A
 pair's count meets the documents again by a broadcast of the counts where they
@@ -50,6 +52,8 @@ PAIRS = 1 << 21
 RUN = re.compile(r"\s (?!\S)|  ")
 #: Units longer than this are not kept.
 LONG = 64
+#: Units that are aligned once for all slices, at most, and texts that they are taken from, about.
+FREQUENT, SAMPLE = 1 << 16, 4096
 
 
 @lru_cache(maxsize=2)
@@ -143,10 +147,10 @@ class Side:
 
 
 class Units:
-    """Numbers the units as they come, and has their tokens by both tokenizers."""
+    """Numbers the units as they come, those of ``first`` first, and has their tokens by both tokenizers."""
 
-    def __init__(self, *sides: Side):
-        self.sides = sides
+    def __init__(self, *sides: Side, first: list[str] = ()):
+        self.sides, self.first = sides, first
         self.forget()
 
     def forget(self) -> None:
@@ -154,6 +158,7 @@ class Units:
         self.kept = 0
         for side in self.sides:
             side.forget()
+        self.places(self.first)
 
     def places(self, units: list[str]) -> np.ndarray:
         known = len(self.at)
@@ -183,12 +188,16 @@ def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _read(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:
+def _units(first: str, second: str, frequent: list[str]) -> Units:
+    return Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)), first=frequent)
+
+
+def _read(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str]) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:
     """By slices: the texts' ids, all units known so far, the numbers of the texts' units in a row, and how many each text has.
 
     Empty texts and those whose tokens do not join to a space and the text have none.
     """
-    known = Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)))
+    known = _units(first, second, frequent)
     apart = plain_bytes(first) and by_units(second)
     for batch in batches:
         every = batch.column(1).to_pylist()
@@ -214,7 +223,7 @@ def _lists(n: np.ndarray, items: np.ndarray) -> pa.ListArray:
 
 def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
     """(id, a, a_ends, b, b_ends) of each text."""
-    for ids, known, place, counts in _read(batches, first, second):
+    for ids, known, place, counts in _read(batches, first, second, []):
         columns = [ids]
         for side in known.sides:
             flat, ends, n = side.tokens(place, counts)
@@ -222,31 +231,68 @@ def _tokens(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Itera
         yield pa.RecordBatch.from_arrays(columns, ["id", "a", "a_ends", "b", "b_ends"])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:
-    """(docs, unit_ends, a, a_ends, b, b_ends), a row a slice: its distinct units one behind the other, and each text's id, numbers of tokens, and units."""
-    for ids, known, place, counts in _read(batches, first, second):
-        distinct, units = np.unique(place, return_inverse=True)
-        one = np.array([len(distinct)])
+def _right(known: Units) -> np.ndarray:
+    """The places of the frequent units whose tokens join to them."""
+    n = len(known.first)
+    return np.flatnonzero(known.right(np.arange(n), np.ones(n, dtype=np.int64))) if n else np.arange(0)
+
+
+def _aligned(known: Units, distinct: np.ndarray) -> list[pa.Array]:
+    """(unit_ends, a, a_ends, b, b_ends) of the units at the places ``distinct``, one behind the other."""
+    columns, one = [], np.array([len(distinct)])
+    for side in known.sides:
+        flat, ends, n = side.tokens(distinct, one)
+        if not columns:
+            columns.append(_lists(one, ends[np.cumsum(side.sizes(distinct)) - 1]))
+        columns += [_lists(n, flat), _lists(n, ends)]
+    return columns
+
+
+ALIGNED = ["unit_ends", "a", "a_ends", "b", "b_ends"]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str]) -> Iterator[pa.RecordBatch]:
+    """The frequent units, for each row read."""
+    for batch in batches:
+        known = _units(first, second, frequent)
+        for _ in range(batch.num_rows):
+            yield pa.RecordBatch.from_arrays(_aligned(known, _right(known)), ALIGNED)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str] = ()) -> Iterator[pa.RecordBatch]:
+    """(docs, unit_ends, a, a_ends, b, b_ends), a row a slice: each text's id, numbers of tokens, and units, and the slice's distinct units that are not frequent.
+
+    Units are numbers: the frequent ones come first, then the slice's.
+    """
+    number = None
+    for ids, known, place, counts in _read(batches, first, second, frequent):
+        if number is None:
+            right = _right(known)
+            number = np.full(len(frequent), -1)
+            number[right] = np.arange(len(right))
         edge = np.append(0, np.cumsum(counts))
         sizes = [pa.array(np.diff(np.append(0, np.cumsum(side.sizes(place)))[edge])) for side in known.sides]
+        own = place >= len(frequent)
+        units = np.empty(len(place), dtype=np.int64)
+        units[~own] = number[place[~own]]
+        distinct, back = np.unique(place[own], return_inverse=True)
+        units[own] = len(right) + back
         docs = pa.StructArray.from_arrays([ids, *sizes, _lists(counts, units)], ["id", "n_a", "n_b", "units"])
-        columns = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)]
-        for side in known.sides:
-            flat, ends, n = side.tokens(distinct, one)
-            if len(columns) == 1:
-                columns.append(_lists(one, ends[np.cumsum(side.sizes(distinct)) - 1]))
-            columns += [_lists(n, flat), _lists(n, ends)]
-        yield pa.RecordBatch.from_arrays(columns, ["docs", "unit_ends", "a", "a_ends", "b", "b_ends"])
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), *_aligned(known, distinct)]
+        yield pa.RecordBatch.from_arrays(columns, ["docs", *ALIGNED])
 
 
-def _at(cuts: Column, inner: Column) -> Column:
-    """The places of a tokenizer's tokens that end at ``cuts``, given its ``inner`` ends, behind a first place of -1.
+def _among(cuts: str, ends: str) -> Column:
+    """A tokenizer's ends in order, those that are cuts twice."""
+    return F.sort_array(F.concat(cuts, ends))
 
-    They are the places of the cuts among both, sorted: cuts are odd there.
-    """
-    marked = F.sort_array(F.concat(F.transform(cuts, lambda c: c * 2 + 1), F.transform(inner, lambda e: e * 2)))
-    places = F.filter(F.transform(marked, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
-    places = F.when(F.size(inner) > 0, places).when(F.size(cuts) > 0, F.sequence(F.lit(0), F.size(cuts) - 1)).otherwise(F.array().cast("array<int>"))
+
+def _at(cuts: str, both: str) -> Column:
+    """The places of a tokenizer's tokens that end at ``cuts``, given :func:`_among`, behind a first place of -1."""
+    b = F.col(both)
+    places = F.filter(F.sequence(F.lit(0), F.size(b) - 2), lambda i: b[i] == b[i + 1])
+    # Each cut before is there twice.
+    places = F.when(F.size(cuts) > 0, F.transform(places, lambda i, g: i - g)).otherwise(F.array().cast("array<int>"))
     return F.concat(F.array(F.lit(-1)), places)
 
 
@@ -290,42 +336,63 @@ NUMBERS = T.ArrayType(T.IntegerType(), False)
 TOKENS = [T.StructField(c, NUMBERS) for c in ("a", "a_ends", "b", "b_ends")]
 
 
-def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, sliced: bool = False) -> DataFrame:
-    """(id, a, a_ends, b, b_ends, cuts, at, bt): tokens, the offsets where both end, and the places of the tokens that end there.
+def _cut(tokens: DataFrame) -> DataFrame:
+    """Adds cuts, at, bt: the offsets where both tokenizers end, and the places of the tokens that end there.
 
-    With ``sliced`` the rows are slices, of docs and unit_ends in place of id.
     ``cuts``, ``at`` and ``bt`` are read more than once by what follows, so that they stay projections of their own.
     """
+    cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    both = cut.withColumns({"a_both": _among("cuts", "a_ends"), "b_both": _among("cuts", "b_ends")})
+    return both.withColumns({"at": _at("cuts", "a_both"), "bt": _at("cuts", "b_both")}).drop("a_both", "b_both")
+
+
+def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, a, a_ends, b, b_ends, cuts, at, bt): tokens, and :func:`_cut`."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     name = T.StructField("id", docs.schema[id_col].dataType)
-    if sliced:
-        doc = T.StructType([name, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", NUMBERS)])
-        head = [T.StructField("docs", T.ArrayType(doc, False)), T.StructField("unit_ends", NUMBERS)]
-    else:
-        head = [name]
-    read = _slices if sliced else _tokens
-    tokens = source.mapInArrow(lambda it: read(it, first, second), T.StructType([*head, *TOKENS]))
-    cut = tokens.withColumns({"cuts": F.array_intersect("a_ends", "b_ends"), "a_in": F.array_except("a_ends", "b_ends"), "b_in": F.array_except("b_ends", "a_ends")})
-    return cut.withColumns({"at": _at(F.col("cuts"), F.col("a_in")), "bt": _at(F.col("cuts"), F.col("b_in"))}).drop("a_in", "b_in")
-
-
-def by_document(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_a, n_b, n_groups, links, groups_sha256): each unit of a slice aligned once, and put together for each document."""
-    slices = placed(docs, first, second, id_col, text_col, sliced=True)
-    slices = slices.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>"), "within": F.array_except("cuts", "unit_ends")})
-    slices = slices.withColumn("ut", _at(F.col("unit_ends"), F.col("within")))
+    return _cut(source.mapInArrow(lambda it: _tokens(it, first, second), T.StructType([name, *TOKENS])))
+
+
+def frequent_units(texts: DataFrame, most: int) -> list[str]:
+    """The units, ``most`` at most, that a sample of about ``SAMPLE`` texts' beginnings holds most often, twice at least."""
+    some = texts.sample(fraction=min(1.0, SAMPLE / max(1, texts.count())), seed=1)
+    units = some.select(F.explode(F.split(F.substring("text", 1, SLICE), " ")).alias("unit")).where(F.length("unit").between(1, LONG))
+    units = units.groupBy("unit").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return [r.unit for r in units.orderBy(F.desc("times"), "unit").limit(most).collect()]
+
+
+def _by_unit(cut: DataFrame, *others: str) -> DataFrame:
+    """``others``, and by unit: its links, and its groups as text."""
+    rows = cut.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>"), "u_both": _among("unit_ends", "cuts")})
+    rows = rows.withColumn("ut", _at("unit_ends", "u_both"))
     ut = F.col("ut")
     groups = lambda u, group: F.transform(F.sequence(ut[u] + 1, ut[u + 1]), group)
     of_unit = lambda made: F.transform("unit_ends", lambda e, u: made(u))
-    units = slices.select("docs", "ut", of_unit(lambda u: F.flatten(groups(u, _linked))).alias("links"), of_unit(lambda u: F.array_join(groups(u, _written), ";")).alias("said"))
+    links, said = of_unit(lambda u: F.flatten(groups(u, _linked))), of_unit(lambda u: F.array_join(groups(u, _written), ";"))
+    return rows.select(*others, links.alias("links"), said.alias("said"))
 
-    def document(d: Column) -> Column:
-        each = lambda made: F.transform(d["units"], made)
-        n_groups = F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + ut[u + 1] - ut[u])
-        sha = F.when(F.size(d["units"]) > 0, F.sha2(F.array_join(each(lambda u: F.col("said")[u]), ";"), 256)).otherwise("")
-        return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), n_groups.alias("n_groups"), F.flatten(each(lambda u: F.col("links")[u])).alias("links"), sha.alias("groups_sha256"))
 
-    return units.select(F.inline(F.transform("docs", document)))
+def by_document(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, frequent: int = FREQUENT) -> DataFrame:
+    """(id, n_a, n_b, n_groups, links, groups_sha256): the ``frequent`` units aligned once, each other unit of a slice once, and put together for each document."""
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    often = frequent_units(source.select("text"), frequent)
+    units = T.StructType([T.StructField("unit_ends", NUMBERS), *TOKENS])
+    doc = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", NUMBERS)])
+    slices = source.mapInArrow(lambda it: _slices(it, first, second, often), T.StructType([T.StructField("docs", T.ArrayType(doc, False)), *units]))
+    once = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(lambda it: _frequent(it, first, second, often), units)
+    once = _by_unit(_cut(once)).toDF("links_0", "said_0").withColumn("often", F.size("links_0"))
+    rows = _by_unit(_cut(slices), "docs").crossJoin(F.broadcast(once))
+    of = lambda c: lambda u: F.when(u < F.col("often"), F.col(f"{c}_0")[u]).otherwise(F.col(c)[u - F.col("often")])
+
+    def document(d: Column) -> Column:
+        each = lambda c: F.transform(d["units"], of(c))
+        said = F.when(F.size(d["units"]) > 0, F.array_join(each("said"), ";"))
+        return F.struct(d["id"].alias("id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.flatten(each("links")).alias("links"), said.alias("said"))
+
+    made = rows.select(F.inline(F.transform("docs", document)))
+    # Groups are counted by their bars.
+    n_groups = F.octet_length("said") - F.octet_length(F.replace("said", F.lit("|"), F.lit("")))
+    return made.select("id", "n_a", "n_b", F.coalesce(n_groups, F.lit(0)).cast("long").alias("n_groups"), "links", F.coalesce(F.sha2("said", 256), F.lit("")).alias("groups_sha256"))
 
 
 def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,3 +121,22 @@ def test_slices(monkeypatch):
                 assert [i for u in d["units"] for i in unit[u]] == want and d[f"n_{side}"] == len(want)
                 seen += side == "a"
     assert seen == len(rows)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, alignment.FREQUENT])
+def test_frequent_units(spark, frequent, monkeypatch):
+    """Units aligned once for all slices change nothing, however many they are."""
+    monkeypatch.setattr(alignment, "SLICE", 300)
+    rows = [t for t in texts() if t is None or len(t) < 5000]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y", 2) for i, t in enumerate(rows)], SCHEMA).repartition(2)
+    assert len(alignment.frequent_units(docs.na.fill("").select("text"), frequent)) == min(frequent, 3) or frequent > 3
+    got = {r.id: (r.n_a, r.n_b, r.n_groups, len(r.links), r.groups_sha256) for r in alignment.by_document(docs, FIRST, SECOND, "doc_id", "text", frequent).collect()}
+    assert [got[i] for i in range(len(rows))] == [(*w[:4], w[6]) for w in expected(rows)]
+
+
+def test_slices_leave_frequent_units_out():
+    """A slice's row has only the units that are not frequent; a unit whose tokens do not join to it is never frequent."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["one two one", "two three"])], ["id", "text"])
+    (row,) = [r for b in alignment._slices([batch], FIRST, SECOND, ["two", "▁", "one"]) for r in b.to_pylist()]
+    assert [d["units"] for d in row["docs"]] == [[1, 0, 1], [0, 2]] and len(row["unit_ends"]) == 1
+    assert row["unit_ends"] == [len(" three")]
