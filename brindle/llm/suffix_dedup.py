@@ -151,38 +151,57 @@ def _by_text(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _snippets(batches: Iterator[pd.DataFrame], bits: int, length: int) -> Iterator[pd.DataFrame]:
-    """The bytes that each run of windows with one shared anchor spans."""
+    """The bytes that each run of windows with one shared anchor spans. A text's ``keys`` are its shared anchors in order."""
+    names = ("tag", "id", "v", "start")
     for b in batches:
-        cols: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        runs: list[tuple[np.ndarray, ...]] = []
+        content: list[bytes] = []
+
+        def gathered() -> pd.DataFrame:
+            columns = [np.concatenate(c) for c in zip(*runs, strict=True)] if runs else [np.zeros(0, dtype=np.int64)] * len(names)
+            return pd.DataFrame(dict(zip(names, columns, strict=True))).assign(content=content)  # noqa: B023
+
         for key, doc, text, shared in zip(b["id"], b["v"], b["text"], b["keys"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            found = tags(anchors(data, length), bits)
+            found = anchors(data, length)
+            # Tags are one to one but for their ranges: runs of a tag are runs of an anchor, or several.
             begins = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+            tag = tags(found[begins], bits)
+            new = np.append(True, tag[1:] != tag[:-1])
+            begins, tag = begins[new], tag[new]
             ends = np.append(begins[1:], len(found)) + length - 1
-            hit = np.isin(found[begins], np.frombuffer(shared, dtype=np.uint64))
-            for a, z, tag in zip(begins[hit].tolist(), ends[hit].tolist(), found[begins[hit]].view(np.int64).tolist(), strict=True):
-                for c, v in zip(cols, (tag, key, doc, a, data[a:z]), strict=True):
-                    c.append(v)
-            if len(cols[0]) > 200_000:
-                yield pd.DataFrame(dict(zip(("tag", "id", "v", "start", "content"), cols, strict=True)))
-                cols = ([], [], [], [], [])
-        yield pd.DataFrame(dict(zip(("tag", "id", "v", "start", "content"), cols, strict=True)))
+            keys = np.frombuffer(shared, dtype=np.uint64)
+            hit = keys[np.minimum(np.searchsorted(keys, tag), len(keys) - 1)] == tag
+            begins, tag = begins[hit], tag[hit].view(np.int64)
+            runs.append((tag, np.full(len(tag), key), np.full(len(tag), doc), begins))
+            content += [data[a:z] for a, z in zip(begins.tolist(), ends[hit].tolist(), strict=True)]
+            if len(content) > 200_000:
+                yield gathered()
+                runs, content = [], []
+        yield gathered()
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` symbols or more, by prefix doubling from packs of seven bytes."""
+    """Suffixes in the order of their first ``depth`` symbols or more, from packs of seven bytes; those that agree that far in any order.
+
+    Ranks of two packs, or of three where they fit a word, make those of a longer one.
+    """
     n, have = len(text), 7
     padded = np.append(text, np.zeros(have, dtype=np.uint8)).astype(np.int64)
     key = np.zeros(n, dtype=np.int64)
     for i in range(have):
         key = (key << 8) | padded[i : i + n]
-    rank = np.unique(key, return_inverse=True)[1]
     while have < depth:
-        tail = np.zeros(n, dtype=np.int64)
-        tail[: n - have] = rank[have:] + 1
-        rank = np.unique(rank * (n + 1) + tail, return_inverse=True)[1]
-        have *= 2
-    return np.argsort(rank, kind="stable")
+        rank = np.unique(key, return_inverse=True)[1] + 1
+        top = int(rank.max(initial=0)) + 1
+        packs = 3 if top < 1 << 21 else 2
+        key = rank
+        for k in range(1, packs):
+            tail = np.zeros(n, dtype=np.int64)
+            tail[: max(0, n - k * have)] = rank[k * have :]
+            key = key * top + tail
+        have *= packs
+    return np.argsort(key)
 
 
 def boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
