@@ -157,6 +157,11 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: shuffled and merged at any size, never collected by the driver for a broadcast."""
+    return df.hint("shuffle_merge")
+
+
 #: Bits of the largest filter that is broadcast: 32 MB.
 FILTER_BITS = 1 << 28
 

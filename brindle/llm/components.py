@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import release, table
+from brindle.llm.common import growing, release, table
 
 
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
@@ -24,15 +24,15 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: neighbours above a vertex link to its smallest neighbour.
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(growing(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = table(large, "edges", rows)
         # Small star: a vertex and its neighbours below link to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(growing(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", 2 * rows)
         release(large)
         # Done once no edge has changed: every vertex above links to its component's smallest alone.
-        stands = new.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(new, ["a", "b"], "left_anti").isEmpty()
+        stands = new.join(growing(now), ["a", "b"], "left_anti").isEmpty() and now.join(growing(new), ["a", "b"], "left_anti").isEmpty()
         release(now)
         now = new
         if stands:

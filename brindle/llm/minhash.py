@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_shuffles, key_of, likely, release, table
+from brindle.llm.common import free_shuffles, growing, key_of, likely, release, table
 from brindle.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -228,8 +228,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 def relabelled(labels: DataFrame, more: DataFrame, rows: int) -> DataFrame:
     """``labels`` (v, label), of at most ``rows`` rows, after the edges ``more`` between labels; vertices without a row are their own labels."""
     new = components(more)
-    old = labels.join(new.select(F.col("v").alias("label"), F.col("label").alias("_new")), "label", "left").select("v", F.coalesce("_new", "label").alias("label"))
-    return table(old.unionByName(new.join(labels, "v", "left_anti")), "labels", rows)
+    old = labels.join(growing(new.select(F.col("v").alias("label"), F.col("label").alias("_new"))), "label", "left").select("v", F.coalesce("_new", "label").alias("label"))
+    return table(old.unionByName(new.join(growing(labels), "v", "left_anti")), "labels", rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, percent: int = 80) -> DataFrame:
@@ -257,26 +257,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS))
     banded = classes.select("v", F.col("n").cast("int").alias("n"), F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("key"))
     several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
-    entries = table(banded.join(several, "key"), "bands")
+    entries = table(banded.join(growing(several), "key"), "bands")
     free_shuffles(spark)
     # Buckets of equal members, told by their number and two sums over GF(2) of hashes, are one; the others' number is kept.
     same = [F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")]
     buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("volume"), *same)
     buckets = buckets.groupBy("members", "volume", "x", "y").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).drop("x", "y")
     n_entries = entries.count()
-    shared = table(entries.join(buckets, "key"), "buckets", n_entries)
+    shared = table(entries.join(growing(buckets), "key"), "buckets", n_entries)
     release(entries)
 
     # Full sets, and registers, of the classes that share a bucket.
     ours = table(shared.select("v").distinct(), "members", n_entries)
-    wanted = likely(classes.select("v", "id", "seq", "sig"), "v", ours).join(ours, "v")
+    wanted = likely(classes.select("v", "id", "seq", "sig"), "v", ours).join(growing(ours), "v")
     wanted = table(wanted, "wanted")
     ids = wanted.select("id").distinct()
     # Not a semi-join, which Spark would push below the filter.
-    texts = likely(source, "id", ids).join(ids, "id")
+    texts = likely(source, "id", ids).join(growing(ids), "id")
     sets = texts.mapInPandas(lambda it: _sets(it, ngram), "id long, seq binary, prints binary")
     # Rows may repeat an id, with this class's text or another.
-    sets = sets.join(wanted, ["id", "seq"]).groupBy("id", "seq", "v").agg(F.first("prints").alias("prints"), F.first("sig").alias("sig"))
+    sets = sets.join(growing(wanted), ["id", "seq"]).groupBy("id", "seq", "v").agg(F.first("prints").alias("prints"), F.first("sig").alias("sig"))
     sets = table(sets.select("v", "sig", "prints"), "sets")
     release(wanted, ours)
     free_shuffles(spark)
@@ -285,14 +285,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # made from shares more buckets with them than they do with each other. Each class meets the pivot it shares most with.
     company = shared.groupBy("v").agg(F.sum(F.col("members") * F.col("times")).alias("company"))
     first = F.max(F.struct("company", (-F.col("v")).alias("w"), F.col("n").alias("m"))).alias("p")
-    pivots = shared.join(company, "v").groupBy("key").agg(first)
-    met = shared.join(pivots, "key").where("v <> -p.w").groupBy("v", "n", "p").agg(F.sum("times").alias("bands"))
+    pivots = shared.join(growing(company), "v").groupBy("key").agg(first)
+    met = shared.join(growing(pivots), "key").where("v <> -p.w").groupBy("v", "n", "p").agg(F.sum("times").alias("bands"))
     met = met.groupBy("v", "n").agg(F.max(F.struct("bands", "p")).alias("p")).select(F.struct("v", "n").alias("x"), F.struct((-F.col("p.p.w")).alias("v"), F.col("p.p.m").alias("n")).alias("y"))
     met = met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
     met = table(met.select(F.col("x.v").alias("a"), F.col("x.n").alias("n_a"), F.col("y.v").alias("b"), F.col("y.n").alias("n_b")), "met", n_entries)
     pairs = met.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(percent / 100 * (1 - 1e-9)))
     for s in ("a", "b"):
-        pairs = pairs.join(sets.toDF(s, f"sig_{s}", f"prints_{s}"), s)
+        pairs = pairs.join(growing(sets.toDF(s, f"sig_{s}", f"prints_{s}")), s)
     links = table(pairs.mapInPandas(lambda it: _verified(it, percent), "a long, b long"), "links")
     # Classes that share an id are one vertex.
     twice = linkable.groupBy("id").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("lo <> hi").select("id")
@@ -305,14 +305,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def open_() -> DataFrame:
         """Members of the buckets that hold several components, but for pairs that have met, with ``most``, the bucket's most common label."""
         label = F.coalesce("label", "v").alias("label")
-        named = shared.drop("times").join(labels, "v", "left").select("v", "n", "key", "members", "volume", label)
+        named = shared.drop("times").join(growing(labels), "v", "left").select("v", "n", "key", "members", "volume", label)
         ends = named.groupBy("key", "members").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("v").alias("a"), F.min("v").alias("b"))
-        ends = ends.where("lo <> hi").join(met.select("a", "b", F.lit(2).cast("long").alias("members")), ["members", "a", "b"], "left_anti")
-        named = table(named.join(ends.select("key"), "key"), "open", n_entries)
+        ends = ends.where("lo <> hi").join(growing(met.select("a", "b", F.lit(2).cast("long").alias("members"))), ["members", "a", "b"], "left_anti")
+        named = table(named.join(growing(ends.select("key")), "key"), "open", n_entries)
         counts = named.groupBy("key", "label").count()
         most = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
         parts = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("volume") * 8 / BYTES)).cast("int")
-        out = table(named.join(most, "key").withColumn("parts", parts).drop("members", "volume"), "open", n_entries)
+        out = table(named.join(growing(most), "key").withColumn("parts", parts).drop("members", "volume"), "open", n_entries)
         release(named)
         return out
 
@@ -320,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Buckets of one most common label as one, where its members fit a block: they are mostly the same."""
         groups = rows.select("most", "v", "n").distinct().groupBy("most").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"))
         groups = groups.where((F.col("size") <= BLOCK) & (F.col("volume") * 8 <= BYTES)).select("most", F.lit(True).alias("fits"))
-        rows = rows.join(groups, "most", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
+        rows = rows.join(growing(groups), "most", "left").withColumn("fits", F.coalesce("fits", F.lit(False)))
         rows = rows.withColumns({"key": F.when(F.col("fits"), F.col("most")).otherwise(F.col("key")), "parts": F.when(F.col("fits"), 1).otherwise(F.col("parts"))})
         return rows.select("fits", "key", "v", "label", "parts").distinct()
 
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.pmod(F.xxhash64("v", "key"), parts).cast("int")
 
     def gathered(rows: DataFrame, side: str, *keys: str) -> DataFrame:
-        one = rows.join(sets.select("v", "prints"), "v").groupBy("key", *keys).agg(F.collect_list(F.struct("label", "prints")).alias("all"))
+        one = rows.join(growing(sets.select("v", "prints")), "v").groupBy("key", *keys).agg(F.collect_list(F.struct("label", "prints")).alias("all"))
         size = lambda x: F.floor(F.octet_length(x["prints"]) / 8)
         return one.select("key", *keys, F.transform("all", lambda x: x["label"]).alias(f"labels_{side}"), F.transform("all", size).alias(f"ns_{side}"), F.transform("all", lambda x: x["prints"]).alias(f"prints_{side}"))
 
@@ -357,14 +357,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(sets, shared, met, rest)
 
     # A component's smallest id. Classes of one row that link with nothing need no row here.
-    named = classes.select("v", "seq", "id", "copies").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = classes.select("v", "seq", "id", "copies").join(growing(labels), "v", "left").withColumn("label", F.coalesce("label", "v"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
-    owner = table(named.join(lowest, "label").select("seq", "component"), "owners")
+    owner = table(named.join(growing(lowest), "label").select("seq", "component"), "owners")
     # A class may hold a third of all rows: its component is spread over salted copies of the class.
     salts = 32
     owner = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     out = sketched.select("id", "seq", "n").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    out = out.join(owner, ["seq", "salt"], "left")
+    out = out.join(growing(owner), ["seq", "salt"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
