@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import free_shuffles, likely, packed, release, table, unpacked
+from brindle.llm.common import free_shuffles, growing, likely, packed, release, table, unpacked
 from brindle.llm.components import components
 from brindle.llm.minhash import common, shingles
 
@@ -210,16 +210,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
     entries = classes.select("v", "n", as_small.alias("as_small"), F.posexplode("tokens").alias("place", "token"))
     entries = entries.select("token", "v", "n", (F.col("place") < F.col("as_small")).alias("small"))
     several = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    entries = table(entries.join(several, "token"), "entries")
+    entries = table(entries.join(growing(several), "token"), "entries")
     free_shuffles(spark)
 
     def sets(wanted: DataFrame) -> DataFrame:
         """(v, prints), written, of the classes in the one column of ``wanted``."""
-        own = table(likely(classes.select("v", "id", "seq"), "v", wanted).join(wanted, "v"), "wanted")
+        own = table(likely(classes.select("v", "id", "seq"), "v", wanted).join(growing(wanted), "v"), "wanted")
         ids = own.select("id").distinct()
-        texts = likely(source, "id", ids).join(ids, "id")
+        texts = likely(source, "id", ids).join(growing(ids), "id")
         found = texts.mapInArrow(lambda it: _sets(it, ngram), "id long, seq binary, prints binary")
-        out = table(found.join(own, ["id", "seq"]).groupBy("v").agg(F.first("prints").alias("prints")), "sets")
+        out = table(found.join(growing(own), ["id", "seq"]).groupBy("v").agg(F.first("prints").alias("prints")), "sets")
         release(own)
         free_shuffles(spark)
         return out
@@ -227,7 +227,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
     def alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are linked, written."""
         for s in ("a", "b"):
-            pairs = pairs.join(prints.toDF(s, f"prints_{s}"), s)
+            pairs = pairs.join(growing(prints.toDF(s, f"prints_{s}")), s)
         return table(pairs.select("a", "b", "prints_a", "prints_b").mapInArrow(lambda it: _alike(it, percent), "a long, b long"), "links")
 
     def open_(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -236,11 +236,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
 
     # One meeting of each class, with the pivot that it shares most with.
     company = entries.groupBy("v").agg(F.sum("members").alias("company"))
-    pivots = entries.join(company, "v").groupBy("token").agg(F.max(F.struct("company", (-F.col("v")).alias("w"), "n")).alias("p"))
-    met = entries.join(pivots, "token").where("v <> -p.w").groupBy("v", "p").count().groupBy("v").agg(F.max(F.struct("count", "p")).alias("p"))
+    pivots = entries.join(growing(company), "v").groupBy("token").agg(F.max(F.struct("company", (-F.col("v")).alias("w"), "n")).alias("p"))
+    met = entries.join(growing(pivots), "token").where("v <> -p.w").groupBy("v", "p").count().groupBy("v").agg(F.max(F.struct("count", "p")).alias("p"))
     met = met.select(F.greatest("v", -F.col("p.p.w")).alias("a"), F.least("v", -F.col("p.p.w")).alias("b")).distinct()
     side = classes.select("v", "n", "bits")
-    met = met.join(side.toDF("a", "n", "bits"), "a").join(side.toDF("b", "size", "union_bits"), "b")
+    met = met.join(growing(side.toDF("a", "n", "bits")), "a").join(growing(side.toDF("b", "size", "union_bits")), "b")
     near = open_(met.where(F.least("n", "size") * 100 >= F.greatest("n", "size") * percent).withColumn("least", F.col("size")), "a", "b")
     prints = sets(near.select(F.col("a").alias("v")).union(near.select("b")).distinct())
     links = alike(near, prints)
@@ -253,44 +253,44 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
 
     # Groups: classes of one component and like size. Numbers of groups of one are those of their classes.
     linked = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    members = linked.join(labels, "v").join(classes.select("v", "n"), "v").join(prints, "v").withColumn("like", F.floor(F.log(F.col("n")) / F.log(F.lit(ALIKE))))
+    members = linked.join(growing(labels), "v").join(growing(classes.select("v", "n")), "v").join(growing(prints), "v").withColumn("like", F.floor(F.log(F.col("n")) / F.log(F.lit(ALIKE))))
     sizes = members.groupBy("label", "like").agg(F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") * 8 / BYTES)).alias("parts"))
-    members = members.join(sizes, ["label", "like"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    members = members.join(growing(sizes), ["label", "like"]).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     heads = members.groupBy("label", "like", "part").agg((-1 - F.min("v")).alias("g"))
-    members = table(members.join(heads, ["label", "like", "part"]).select("g", "v", "n", "label", "prints"), "members")
+    members = table(members.join(growing(heads), ["label", "like", "part"]).select("g", "v", "n", "label", "prints"), "members")
     gathered = members.groupBy("g").agg(F.first("label").alias("label"), F.min("n").alias("least"), F.max("n").alias("most"), F.collect_list("prints").alias("prints"))
     groups = table(gathered.mapInArrow(_unions, "g long, label long, least long, most long, size long, union_bits binary, every binary"), "groups")
 
     # The matrix, and the documents that look their n-grams up in it.
     place = members.select("v", "g", F.col("label"))
-    known = entries.join(place, "v", "left").join(labels.toDF("v", "own"), "v", "left")
+    known = entries.join(growing(place), "v", "left").join(growing(labels.toDF("v", "own")), "v", "left")
     known = known.select("token", "v", "n", "small", F.coalesce("g", "v").alias("g"), F.coalesce("label", "own", "v").alias("label"))
     mixed = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    looked = table(known.join(mixed, "token"), "looked")
+    looked = table(known.join(growing(mixed), "token"), "looked")
     common = looked.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-    known = looked.join(common, "token").withColumn("top", F.col("label") == F.col("top"))
+    known = looked.join(growing(common), "token").withColumn("top", F.col("label") == F.col("top"))
     spread = [F.min("n").alias("least"), F.max("n").alias("most")]
     matrix = known.groupBy("token", "g", "label", "top").agg(*spread)
     asking = known.where("small").groupBy("token", "g", "label", "top").agg(*spread).toDF("token", "h", "own", "mine", "low", "high")
 
     def looked_up(queries: DataFrame, rows: DataFrame) -> DataFrame:
         fits = (F.col("label") != F.col("own")) & (F.col("low") <= F.col("most")) & (F.col("high") * 100 >= F.col("least") * percent)
-        return queries.join(rows, "token").where(fits).select(F.least("g", "h").alias("h"), F.greatest("g", "h").alias("g"))
+        return queries.join(growing(rows), "token").where(fits).select(F.least("g", "h").alias("h"), F.greatest("g", "h").alias("g"))
 
     met2 = looked_up(asking.where("not mine"), matrix).unionByName(looked_up(asking.where("mine"), matrix.where("not top"))).distinct()
     met2 = table(met2, "pairs")
     free_shuffles(spark)
     sized = groups.select("g", "least", "size", "union_bits").unionByName(classes.select(F.col("v").alias("g"), F.col("n").alias("least"), F.col("n").alias("size"), F.col("bits").alias("union_bits")))
-    pairs = met2.join(sized.toDF("h", "low", "n", "bits"), "h").join(sized, "g")
+    pairs = met2.join(growing(sized.toDF("h", "low", "n", "bits")), "h").join(growing(sized), "g")
     pairs = open_(pairs.withColumn("least", F.col("low") + F.col("least") - F.col("n")), "h", "g")
     ones = pairs.select("g").union(pairs.select("h")).where("g >= 0").distinct()
     more = sets(ones.select(F.col("g").alias("v")))
     # The full unions decide which groups are opened.
     every = groups.select("g", "every").unionByName(more.toDF("g", "every"))
-    ask = pairs.select("h", "g", (F.col("least") + F.col("n")).alias("least")).join(every.toDF("h", "mine"), "h").join(every, "g")
+    ask = pairs.select("h", "g", (F.col("least") + F.col("n")).alias("least")).join(growing(every.toDF("h", "mine")), "h").join(growing(every), "g")
     passed = table(ask.select("h", "g", "least", "mine", "every").mapInArrow(lambda it: _bounded(it, percent), "h long, g long"), "passed")
     lists = members.groupBy("g").agg(F.collect_list("prints").alias("prints")).unionByName(more.select(F.col("v").alias("g"), F.array("prints").alias("prints")))
-    opened = passed.join(lists.toDF("h", "mine"), "h").join(lists, "g")
+    opened = passed.join(growing(lists.toDF("h", "mine")), "h").join(growing(lists), "g")
     found = table(opened.select("h", "g", "mine", "prints").mapInArrow(lambda it: _members(it, percent), "h long, g long"), "links")
     # A group's number tells its first member.
     member = lambda c: F.when(F.col(c) < 0, -1 - F.col(c)).otherwise(F.col(c))
@@ -298,9 +298,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngr
     final = components(edges.unionByName(found_links))
     free_shuffles(spark)
 
-    named = classes.select("v", "seq", "id", "copies").join(final, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = classes.select("v", "seq", "id", "copies").join(growing(final), "v", "left").withColumn("label", F.coalesce("label", "v"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
-    owner = table(named.join(lowest, "label").select("seq", "component"), "owners")
+    owner = table(named.join(growing(lowest), "label").select("seq", "component"), "owners")
     release(classes, entries, near, prints, links, labels, members, groups, looked, met2, pairs, more, passed, found)
     return owned(shown, owner, id_col)
 
@@ -309,6 +309,6 @@ def owned(shown: DataFrame, owner: DataFrame, id_col: str) -> DataFrame:
     """Rows with their class' component: a class may hold a third of all rows, so that it is spread over salted copies."""
     salts = 32
     owner = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = shown.select("id", "seq", "n").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(owner, ["seq", "salt"], "left")
+    out = shown.select("id", "seq", "n").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(growing(owner), ["seq", "salt"], "left")
     component: Column = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from brindle.llm import jaccard
+from brindle.llm import components, jaccard, minhash
 
 SCHEMA = "doc_id long, text string, v long, label string, g int, token long, n int"
 
@@ -106,3 +106,22 @@ def test_nulls_repeats_empty(spark):
     assert got == [(3, 3, 3), (5, 3, 3), (7, 2, 3), (7, 3, 3), (9, 2, 3), (9, 2, 3)]
     assert sum(r.doc_id is None and r.component_id is None for r in jaccard.similar(docs).collect()) == 2
     assert jaccard.similar(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("module, run", [(jaccard, lambda d: jaccard.similar(d)), (minhash, lambda d: minhash.near_duplicates(d, ngram=2))])
+def test_growing_tables_are_not_broadcast(spark, monkeypatch, module, run):
+    """However small the tables, only bitmaps of bounded size are broadcast: what goes through the driver does not grow with the input."""
+    plans = []
+
+    def table(df, *a, made=module.table, **k):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return made(df, *a, **k)
+
+    for m in (module, components):
+        monkeypatch.setattr(m, "table", table)
+    base = [f"w{i} x{i % 7} y{i % 5} z{i % 3}" for i in range(60)]
+    rows = [(i, " ".join(base[i % 5 :][:50]) + f" end{i}") for i in range(40)]
+    out = run(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+    assert len(plans) > 10 and all("_page" in line for line in joins), joins
