@@ -2,12 +2,14 @@
 
 Python only tokenises. It returns ids and the byte offsets at which tokens end,
 for each text, or for the distinct units of a slice of texts with each text's
-units by number. All else is arrays inside the JVM:
-``array_intersect`` of the two arrays of ends gives the offsets where tokens of
-both end, which cut the text into groups; sorted among a tokenizer's ends, they
-give the places of the tokens that end at the cuts; a ``sequence`` of
-places takes a group's tokens and nested ``transform`` its links. Each step is linear in the text, or
-a sort of two runs that ascend: no array grows element by element.
+units by number, and for each byte of a unit the place of its token. All else
+is arrays inside the JVM: ``array_intersect`` of the two arrays of ends gives
+the offsets where tokens of both end, which cut the text into groups; the
+tokens of the bytes behind one cut and before the next are a group's first and
+last, a ``sequence`` of places takes those between them and nested
+``transform`` its links. Where all tokens of a unit end at the same places,
+``zip_with`` does. Each step is linear in the text, or a sort of two runs that
+ascend: no array grows element by element.
 
 No group crosses the end of a unit, where both tokenizers end a token. So
 :func:`link_counts` aligns each distinct unit of a slice once, and a document's
@@ -21,8 +23,9 @@ are at most ``PAIRS`` rows, and else by a shuffle of each document's pairs.
 
 Tokenising goes by units, a space and what follows up to the next one, which
 neither tokenizer's tokens cross in plain text: a worker keeps the tokens of
-units it has seen. Texts in which white space runs together around a space go
-through the tokenizers whole, and so does any whose units do not give its bytes.
+units it has seen, from task to task. Texts in which white space runs together
+around a space go through the tokenizers whole, and so does any whose units do
+not give its bytes.
 """
 
 from __future__ import annotations
@@ -31,12 +34,13 @@ import json
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, count, islice
+from itertools import batched, chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,8 +48,8 @@ from pyspark.sql import types as T
 from brindle.llm.common import free_shuffles, release, table
 from brindle.llm.packing import encoder, plain_bytes, whole
 
-#: Characters of text that are tokenised, and whose units are aligned, at a time, and characters of units that a worker keeps.
-SLICE, KEEP = 1 << 19, 32 << 20
+#: Characters of text that are tokenised, and whose units are aligned, at a time, and characters of units that a worker keeps besides the frequent ones.
+SLICE, KEEP = 1 << 19, 2 << 20
 #: Pairs whose counts are broadcast, at most: some 100 MB.
 PAIRS = 1 << 21
 #: A space between white space, or before the end behind white space: a run of which a tokenizer may make one token.
@@ -53,7 +57,7 @@ RUN = re.compile(r"\s (?!\S)|  ")
 #: Units longer than this are not kept.
 LONG = 64
 #: Units that are aligned once for all slices, at most, and texts that they are taken from, about.
-FREQUENT, SAMPLE = 1 << 16, 4096
+FREQUENT, SAMPLE = 1 << 18, 1 << 14
 
 
 @lru_cache(maxsize=2)
@@ -115,11 +119,12 @@ class Side:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], entries: list[bytes]):
         self.encode, self.entries = encode, entries
         self.size = np.array([len(e) for e in entries], dtype=np.int64)
-        self.forget()
-
-    def forget(self) -> None:
         self.ids, self.start, self.ok = array("i"), array("q", [0]), bytearray()
 
+    def forget(self, but: int) -> None:
+        """Forgets all units but the first."""
+        del self.ids[self.start[but] :], self.start[but + 1 :], self.ok[but:]
+
     def learn(self, units: list[str]) -> None:
         each = self.encode(units)
         flat = list(chain.from_iterable(each))
@@ -149,18 +154,23 @@ class Side:
 class Units:
     """Numbers the units as they come, those of ``first`` first, and has their tokens by both tokenizers."""
 
-    def __init__(self, *sides: Side, first: list[str] = ()):
+    def __init__(self, *sides: Side, first: tuple[str, ...] = ()):
         self.sides, self.first = sides, first
-        self.forget()
+        self.at: dict[str, int] = defaultdict(count().__next__)
+        self.kept = 0
+        for some in batched(first, 1 << 14):
+            self.places(some)
+        self.kept = 0
 
     def forget(self) -> None:
-        self.at: dict[str, int] = defaultdict(count().__next__)
+        """Forgets all units but the first."""
+        n = len(self.first)
+        self.at = defaultdict(count(n).__next__, zip(self.first, range(n), strict=True))
         self.kept = 0
         for side in self.sides:
-            side.forget()
-        self.places(self.first)
+            side.forget(n)
 
-    def places(self, units: list[str]) -> np.ndarray:
+    def places(self, units: Sequence[str]) -> np.ndarray:
         known = len(self.at)
         place = np.array(list(map(self.at.__getitem__, units)), dtype=np.int64)
         new = list(islice(reversed(self.at), len(self.at) - known))[::-1]
@@ -177,32 +187,33 @@ class Units:
         return np.diff(np.append(0, np.cumsum(wrong))[edge]) == 0
 
 
-def _sliced(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _sliced(lengths: list[int]) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > a and size + len(t) > SLICE:
+    for i, n in enumerate(lengths):
+        if i > a and size + n > SLICE:
             yield a, i
             a, size = i, 0
-        size += len(t)
-    if texts:
-        yield a, len(texts)
+        size += n
+    if lengths:
+        yield a, len(lengths)
 
 
-def _units(first: str, second: str, frequent: list[str]) -> Units:
+@lru_cache(maxsize=1)
+def _units(first: str, second: str, frequent: tuple[str, ...]) -> Units:
+    """A worker's units, with which its next task goes on."""
     return Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)), first=frequent)
 
 
-def _read(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str]) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:
+def _read(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: Sequence[str]) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:
     """By slices: the texts' ids, all units known so far, the numbers of the texts' units in a row, and how many each text has.
 
     Empty texts and those whose tokens do not join to a space and the text have none.
     """
-    known = _units(first, second, frequent)
+    known = _units(first, second, tuple(frequent))
     apart = plain_bytes(first) and by_units(second)
     for batch in batches:
-        every = batch.column(1).to_pylist()
-        for lo, hi in _sliced(every):
-            texts = every[lo:hi]
+        for lo, hi in _sliced(pc.utf8_length(batch.column(1)).to_pylist()):
+            texts = batch.column(1).slice(lo, hi - lo).to_pylist()
             split = [t.split(" ") if apart and not RUN.search(f" {t}") else [t] for t in texts]
             for again in range(2):
                 counts = np.array([len(s) for s in split])
@@ -251,15 +262,15 @@ def _aligned(known: Units, distinct: np.ndarray) -> list[pa.Array]:
 ALIGNED = ["unit_ends", "a", "a_ends", "b", "b_ends"]
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """The frequent units, for each row read."""
     for batch in batches:
-        known = _units(first, second, frequent)
+        known = _units(first, second, tuple(frequent))
         for _ in range(batch.num_rows):
             yield pa.RecordBatch.from_arrays(_aligned(known, _right(known)), ALIGNED)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: list[str] = ()) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
     """(docs, unit_ends, a, a_ends, b, b_ends), a row a slice: each text's id, numbers of tokens, and units, and the slice's distinct units that are not frequent.
 
     Units are numbers: the frequent ones come first, then the slice's.
@@ -282,58 +293,90 @@ def _slices(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent
         yield pa.RecordBatch.from_arrays(columns, ["docs", *ALIGNED])
 
 
-def _among(cuts: str, ends: str) -> Column:
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, one a batch, with an array of structs ``units`` for :data:`ALIGNED`.
+
+    A unit has its tokens' ids a and b, their ends from the unit's start, and for each byte the place of its token (a_of, b_of).
+    """
+    for batch in batches:
+        last = batch.column("unit_ends").flatten().to_numpy()
+        size = np.diff(np.append(0, last))
+        columns = []
+        for side in ("a", "b"):
+            ends = batch.column(f"{side}_ends").flatten().to_numpy()
+            stop = np.searchsorted(ends, last, side="right")
+            n = np.diff(np.append(0, stop))
+            of = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends))) - np.repeat(stop - n, size)
+            columns += [_lists(n, batch.column(side).flatten().to_numpy()), _lists(n, ends - np.repeat(last - size, n)), _lists(size, of)]
+        units = pa.StructArray.from_arrays(columns, [f.name for f in UNIT])
+        others = [c for c in batch.schema.names if c not in ALIGNED]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units)], [*others, "units"])
+
+
+def _among(cuts: Column, ends: Column) -> Column:
     """A tokenizer's ends in order, those that are cuts twice."""
     return F.sort_array(F.concat(cuts, ends))
 
 
-def _at(cuts: str, both: str) -> Column:
+def _at(cuts: Column, both: Column) -> Column:
     """The places of a tokenizer's tokens that end at ``cuts``, given :func:`_among`, behind a first place of -1."""
-    b = F.col(both)
-    places = F.filter(F.sequence(F.lit(0), F.size(b) - 2), lambda i: b[i] == b[i + 1])
+    places = F.filter(F.sequence(F.lit(0), F.size(both) - 2), lambda i: both[i] == both[i + 1])
     # Each cut before is there twice.
     places = F.when(F.size(cuts) > 0, F.transform(places, lambda i, g: i - g)).otherwise(F.array().cast("array<int>"))
     return F.concat(F.array(F.lit(-1)), places)
 
 
-def _items(ids: Column, at: Column, g: Column) -> Column:
-    """The ids of group ``g``. Not by slice, which inside a lambda looks at its whole array each time."""
-    return F.transform(F.sequence(at[g] + 1, at[g + 1]), lambda i: ids[i])
+def _items(ids: Column, first: Column, last: Column) -> Column:
+    """The ids at the places ``first`` to ``last``. Not by slice, which inside a lambda looks at its whole array each time."""
+    return F.transform(F.sequence(first, last), lambda i: ids[i])
 
 
-def _single(g: Column) -> Column:
-    """Whether group ``g`` has one token of each."""
-    at, bt = F.col("at"), F.col("bt")
-    return (at[g + 1] - at[g] == 1) & (bt[g + 1] - bt[g] == 1)
+#: A pair of ids as one number: the first's times this, plus the second's.
+WIDE = 1 << 20
 
 
-def _every(group: Callable[[Column], Column]) -> Column:
-    """``group`` of the number of each group."""
-    return F.transform("cuts", lambda c, g: group(g))
+def _pair(a: Column, b: Column) -> Column:
+    return a.cast("long") * WIDE + b
 
 
-#: A pair of ids as one number: the first's times this, plus the second's.
-WIDE = 1 << 20
+def _both(a: Column, b: Column) -> Column:
+    return F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
+
+
+def _by_token(u: Column) -> Column:
+    """links and said of a unit in which both tokenizers' tokens end at the same places: each group is one token of each."""
+    return F.struct(F.zip_with(u["a"], u["b"], _pair).alias("links"), F.array_join(F.zip_with(u["a"], u["b"], _both), ";").alias("said"))
 
 
-def _linked(g: Column) -> Column:
-    """All pairs of group ``g``."""
-    pair = lambda a, b: a.cast("long") * WIDE + b
-    several = F.transform(_items(F.col("a"), F.col("at"), g), lambda a: F.transform(_items(F.col("b"), F.col("bt"), g), lambda b: pair(a, b)))
-    return F.when(_single(g), F.array(pair(F.col("a")[F.col("at")[g + 1]], F.col("b")[F.col("bt")[g + 1]]))).otherwise(F.flatten(several))
+def _by_cuts(u: Column) -> Column:
+    """links and said of a unit by its cuts, the places where tokens of both end."""
 
+    def groups(cuts: Column, single: Callable[[Column, Column], Column], several: Callable[[Column, Column], Column]) -> Column:
+        def group(cut: Column, g: Column) -> Column:
+            start, end = F.when(g == 0, F.lit(0)).otherwise(cuts[g - 1]), cut - 1
+            first, last = [u[of][start] for of in ("a_of", "b_of")], [u[of][end] for of in ("a_of", "b_of")]
+            one = (first[0] == last[0]) & (first[1] == last[1])
+            return F.when(one, single(u["a"][last[0]], u["b"][last[1]])).otherwise(several(*(_items(u[c], i, j) for c, i, j in zip("ab", first, last, strict=True))))
 
-def _written(g: Column) -> Column:
-    """Group ``g`` as text: the first's ids, a bar, the second's."""
-    sides = [("a_said", "at"), ("b_said", "bt")]
-    one = [F.col(c)[F.col(at)[g + 1]] for c, at in sides]
-    many = [F.array_join(_items(F.col(c), F.col(at), g), ",") for c, at in sides]
-    return F.when(_single(g), F.concat(one[0], F.lit("|"), one[1])).otherwise(F.concat(many[0], F.lit("|"), many[1]))
+        return F.transform(cuts, group)
+
+    cross = lambda x, y: F.flatten(F.transform(x, lambda a: F.transform(y, lambda b: _pair(a, b))))
+    said = lambda ids: F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+    links = lambda cuts: F.flatten(groups(cuts, lambda a, b: F.array(_pair(a, b)), cross))
+    text = lambda cuts: F.array_join(groups(cuts, _both, lambda x, y: F.concat(said(x), F.lit("|"), said(y))), ";")
+    # An expression inside a lambda is computed wherever it stands: the cuts are an array's one item, to be computed once.
+    return F.transform(F.array(F.array_intersect(u["a_ends"], u["b_ends"])), lambda cuts: F.struct(links(cuts).alias("links"), text(cuts).alias("said")))[0]
+
+
+def _by_unit(units: str) -> Column:
+    """links and said, the links and the groups as text, of each unit."""
+    return F.transform(units, lambda u: F.when(u["a_ends"] == u["b_ends"], _by_token(u)).otherwise(_by_cuts(u)))
 
 
 #: Arrays of numbers without nulls, which functions sort and hash unboxed.
 NUMBERS = T.ArrayType(T.IntegerType(), False)
 TOKENS = [T.StructField(c, NUMBERS) for c in ("a", "a_ends", "b", "b_ends")]
+UNIT = [T.StructField(c, NUMBERS) for c in ("a", "a_ends", "a_of", "b", "b_ends", "b_of")]
 
 
 def _cut(tokens: DataFrame) -> DataFrame:
@@ -342,8 +385,9 @@ def _cut(tokens: DataFrame) -> DataFrame:
     ``cuts``, ``at`` and ``bt`` are read more than once by what follows, so that they stay projections of their own.
     """
     cut = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    both = cut.withColumns({"a_both": _among("cuts", "a_ends"), "b_both": _among("cuts", "b_ends")})
-    return both.withColumns({"at": _at("cuts", "a_both"), "bt": _at("cuts", "b_both")}).drop("a_both", "b_both")
+    cuts = F.col("cuts")
+    both = cut.withColumns({"a_both": _among(cuts, F.col("a_ends")), "b_both": _among(cuts, F.col("b_ends"))})
+    return both.withColumns({"at": _at(cuts, F.col("a_both")), "bt": _at(cuts, F.col("b_both"))}).drop("a_both", "b_both")
 
 
 def placed(docs: DataFrame, first: str, second: str, id_col: str, text_col: str) -> DataFrame:
@@ -361,27 +405,17 @@ def frequent_units(texts: DataFrame, most: int) -> list[str]:
     return [r.unit for r in units.orderBy(F.desc("times"), "unit").limit(most).collect()]
 
 
-def _by_unit(cut: DataFrame, *others: str) -> DataFrame:
-    """``others``, and by unit: its links, and its groups as text."""
-    rows = cut.withColumns({"a_said": F.col("a").cast("array<string>"), "b_said": F.col("b").cast("array<string>"), "u_both": _among("unit_ends", "cuts")})
-    rows = rows.withColumn("ut", _at("unit_ends", "u_both"))
-    ut = F.col("ut")
-    groups = lambda u, group: F.transform(F.sequence(ut[u] + 1, ut[u + 1]), group)
-    of_unit = lambda made: F.transform("unit_ends", lambda e, u: made(u))
-    links, said = of_unit(lambda u: F.flatten(groups(u, _linked))), of_unit(lambda u: F.array_join(groups(u, _written), ";"))
-    return rows.select(*others, links.alias("links"), said.alias("said"))
-
-
 def by_document(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, frequent: int = FREQUENT) -> DataFrame:
     """(id, n_a, n_b, n_groups, links, groups_sha256): the ``frequent`` units aligned once, each other unit of a slice once, and put together for each document."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     often = frequent_units(source.select("text"), frequent)
-    units = T.StructType([T.StructField("unit_ends", NUMBERS), *TOKENS])
+    units = T.StructField("units", T.ArrayType(T.StructType(UNIT), False))
     doc = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", NUMBERS)])
-    slices = source.mapInArrow(lambda it: _slices(it, first, second, often), T.StructType([T.StructField("docs", T.ArrayType(doc, False)), *units]))
-    once = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(lambda it: _frequent(it, first, second, often), units)
-    once = _by_unit(_cut(once)).toDF("links_0", "said_0").withColumn("often", F.size("links_0"))
-    rows = _by_unit(_cut(slices), "docs").crossJoin(F.broadcast(once))
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(often))
+    slices = source.mapInArrow(lambda it: _nested(_slices(it, first, second, sent.value)), T.StructType([T.StructField("docs", T.ArrayType(doc, False)), units]))
+    once = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(lambda it: _nested(_frequent(it, first, second, sent.value)), T.StructType([units]))
+    once = once.select(_by_unit("units").alias("own")).select(F.col("own.links").alias("links_0"), F.col("own.said").alias("said_0"), F.size("own").alias("often"))
+    rows = slices.select("docs", _by_unit("units").alias("own")).select("docs", "own.links", "own.said").crossJoin(F.broadcast(once))
     of = lambda c: lambda u: F.when(u < F.col("often"), F.col(f"{c}_0")[u]).otherwise(F.col(c)[u - F.col("often")])
 
     def document(d: Column) -> Column:
@@ -405,9 +439,10 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     long text is one row of arrays, in time that grows as its length (times the
     logarithm, for the sort). An empty table gives an empty result. Other columns are not read.
     """
-    group = lambda g: F.struct(_items(F.col("a"), F.col("at"), g).alias("x"), _items(F.col("b"), F.col("bt"), g).alias("y"))
+    items = lambda ids, at, g: _items(F.col(ids), F.col(at)[g] + 1, F.col(at)[g + 1])
+    groups = F.transform("cuts", lambda c, g: F.struct(items("a", "at", g).alias("x"), items("b", "bt", g).alias("y")))
     rows = placed(docs, first, second, id_col, text_col)
-    return rows.select(F.col("id").alias(id_col), "a", "a_ends", "b", "b_ends", _every(group).alias("groups"))
+    return rows.select(F.col("id").alias(id_col), "a", "a_ends", "b", "b_ends", groups.alias("groups"))
 
 
 def link_counts(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> DataFrame:

@@ -140,3 +140,55 @@ def test_slices_leave_frequent_units_out():
     (row,) = [r for b in alignment._slices([batch], FIRST, SECOND, ["two", "▁", "one"]) for r in b.to_pylist()]
     assert [d["units"] for d in row["docs"]] == [[1, 0, 1], [0, 2]] and len(row["unit_ends"]) == 1
     assert row["unit_ends"] == [len(" three")]
+
+
+@pytest.mark.parametrize("keep", [alignment.KEEP, 0])
+def test_workers_keep_frequent_units(keep, monkeypatch):
+    """A worker's next task tokenises no frequent unit again, nor does a worker that forgets its other units; the rows stay the same."""
+    frequent, said, encode = ["two", "one", "▁", f"kept{keep}"], [], alignment.first_ids
+    monkeypatch.setattr(alignment, "KEEP", keep)
+    monkeypatch.setattr(alignment, "SLICE", 1)
+    monkeypatch.setattr(alignment, "first_ids", lambda path, units: [said.extend(units), encode(path, units)][1])
+    texts = ["one two one", "two three", "four four two", "three four"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["id", "text"])
+    tasks = [[r for b in alignment._slices([batch], FIRST, SECOND, frequent) for r in b.to_pylist()] for _ in range(3)]
+    assert said[:4] == frequent and not set(frequent) & set(said[4:])
+    assert sorted(said[4:]) == (["four"] * 6 + ["three"] * 6 if keep == 0 else ["four", "three"])
+    for rows in tasks:
+        for i, r in enumerate(rows):
+            ids = encode(FIRST, [u for u in frequent if u != "▁"])
+            at = [0, *(r["a_ends"].index(e) + 1 for e in r["unit_ends"])]
+            ids += [r["a"][x:y] for x, y in zip(at, at[1:], strict=False)]
+            assert [j for u in r["docs"][0]["units"] for j in ids[u]] == encode(FIRST, [texts[i]])[0]
+
+
+def test_units_of_a_slice():
+    """A unit's ends count from its start, and each of its bytes has the place of its token; a slice without other units has none."""
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["thüaeinö chökeitte 你好", "it's", ""])], ["id", "text"])
+    (row,) = [r for b in alignment._nested(alignment._slices([batch], FIRST, SECOND, ["slice"])) for r in b.to_pylist()]
+    assert list(row) == ["docs", "units"] and len(row["units"]) == 4
+    for u, text in zip(row["units"], ["thüaeinö", "chökeitte", "你好", "it's"], strict=True):
+        for c, entries in (("a", alignment.byte_entries(FIRST)), ("b", alignment.piece_entries(SECOND))):
+            assert b"".join(entries[i] for i in u[c]) == f" {text}".encode()
+            assert u[f"{c}_ends"] == ends(entries[i] for i in u[c])
+            assert u[f"{c}_of"] == [k for k, i in enumerate(u[c]) for _ in entries[i]]
+    (none,) = [r for b in alignment._nested(alignment._slices([batch.slice(1, 1)], FIRST, SECOND, ["it's"])) for r in b.to_pylist()]
+    assert none["units"] == [] and none["docs"][0]["units"] == [0]
+
+
+def test_groups_of_units(spark):
+    """Groups and links by cuts and by tokens, of units whose tokens end at the same places and of others, in the order of the units."""
+    rows = [
+        ([1, 2], [2, 5], [0, 0, 1, 1, 1], [7, 8], [2, 5], [0, 0, 1, 1, 1]),
+        ([1, 2, 3], [2, 3, 6], [0, 0, 1, 2, 2, 2], [7, 8, 9], [1, 3, 6], [0, 1, 1, 2, 2, 2]),
+        ([4], [3], [0, 0, 0], [5, 6], [1, 3], [0, 1, 1]),
+    ]
+    units = spark.createDataFrame([(rows,), ([],)], alignment.T.StructType([alignment.T.StructField("units", alignment.T.ArrayType(alignment.T.StructType(alignment.UNIT), False))]))
+    got = units.select(alignment._by_unit("units").alias("made")).collect()
+    pairs = lambda *p: [a * alignment.WIDE + b for a, b in p]
+    assert [(u.links, u.said) for u in got[0].made] == [
+        (pairs((1, 7), (2, 8)), "1|7;2|8"),
+        (pairs((1, 7), (1, 8), (2, 7), (2, 8), (3, 9)), "1,2|7,8;3|9"),
+        (pairs((4, 5), (4, 6)), "4|5,6"),
+    ]
+    assert got[1].made == []
