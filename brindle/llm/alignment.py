@@ -49,7 +49,7 @@ from brindle.llm.common import free_shuffles, release, table
 from brindle.llm.packing import encoder, plain_bytes, whole
 
 #: Characters of text that are tokenised, and whose units are aligned, at a time, and characters of units that a worker keeps besides the frequent ones.
-SLICE, KEEP = 1 << 19, 2 << 20
+SLICE, KEEP = 1 << 19, 1 << 20
 #: Pairs whose counts are broadcast, at most: some 100 MB.
 PAIRS = 1 << 21
 #: A space between white space, or before the end behind white space: a run of which a tokenizer may make one token.
@@ -198,10 +198,17 @@ def _sliced(lengths: list[int]) -> Iterator[tuple[int, int]]:
         yield a, len(lengths)
 
 
-@lru_cache(maxsize=1)
+#: A worker's one :class:`Units`, by what it was made of.
+KNOWN: dict[tuple[str, str, tuple[str, ...]], Units] = {}
+
+
 def _units(first: str, second: str, frequent: tuple[str, ...]) -> Units:
-    """A worker's units, with which its next task goes on."""
-    return Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)), first=frequent)
+    """A worker's units, with which its next task goes on. Those of another table are let go before any are made: two would not fit."""
+    key = (first, second, frequent)
+    if key not in KNOWN:
+        KNOWN.clear()
+        KNOWN[key] = Units(Side(lambda t: first_ids(first, t), byte_entries(first)), Side(lambda t: second_ids(second, t), piece_entries(second)), first=frequent)
+    return KNOWN[key]
 
 
 def _read(batches: Iterator[pa.RecordBatch], first: str, second: str, frequent: Sequence[str]) -> Iterator[tuple[pa.Array, Units, np.ndarray, np.ndarray]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import weakref
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -162,6 +163,23 @@ def test_workers_keep_frequent_units(keep, monkeypatch):
             assert [j for u in r["docs"][0]["units"] for j in ids[u]] == encode(FIRST, [texts[i]])[0]
 
 
+def test_units_of_one_table_at_a_time(monkeypatch):
+    """A worker that meets another table's frequent units has let go of those before when it makes them."""
+    kept = weakref.WeakSet()
+
+    class Made(alignment.Units):
+        def __init__(self, *sides, first=()):
+            assert not kept
+            super().__init__(*sides, first=first)
+            kept.add(self)
+
+    monkeypatch.setattr(alignment, "Units", Made)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b"])], ["doc_id", "text"])
+    for frequent in (["one table"], ["one table"], ["another"]):
+        assert len(list(alignment._slices([batch], FIRST, SECOND, frequent))) == 1
+    assert [k.first for k in kept] == [("another",)]
+
+
 def test_units_of_a_slice():
     """A unit's ends count from its start, and each of its bytes has the place of its token; a slice without other units has none."""
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["thüaeinö chökeitte 你好", "it's", ""])], ["id", "text"])
